@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm import chat, shard, url_filter
-from typeweave.sources.tables import table
+from typeweave.llm import bpe, chat, quality, shard, syncmer, url_filter
+from typeweave.sources.tables import handed_over, table
 
 URL_RULES = [
     url_filter.Rule("allow", "org"),
@@ -87,5 +87,51 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op4_shard": op4_shard, "op10_url_filter": op10_url_filter}
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmer.against_next(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    codec = bpe.shared(docs, tokenizer_path())
+    back = bpe.decoded(bpe.encoded(docs, "text", codec, keep_text=False), "token_ids", codec, "decoded")
+    return back.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all rows of ``docs``, learned from labels that aren't held out."""
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    rows = handed_over(quality.statistics(docs.select("doc_id", "text")).withColumn("_fold", fold), "quality-statistics")
+    labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    labels = labels.where(fold != 2).groupBy("doc_id").agg(F.avg("quality").alias("_quality"))
+    model = quality.fitted(rows, rows.where("_fold != 2").join(labels, "doc_id"), "_quality", F.col("_fold") == 3)
+    return quality.scored(rows, model, threshold=0.7).select("doc_id", (F.col("_fold") == 2).alias("held_out"), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op4_shard": op4_shard,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
+    "op10_url_filter": op10_url_filter,
+}
 ORACLE_SQL = {"op2_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL}
