@@ -52,11 +52,14 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column |
     """
     keyed = df.withColumn("_bucket", bucket.cast("bigint"))
     counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = exclusive_sums(counts, group, "_bucket", "_n", "_offset").drop("_n")
-    place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)) - 1
+    # One key of group and bucket: rows that are already dealt out by group alone would else stay in one task.
+    cell = F.struct(*group, "_bucket").alias("_cell")
+    offsets = exclusive_sums(counts, group, "_bucket", "_n", "_offset").select(cell, "_offset")
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy(*order)) - 1
     return (
-        keyed.withColumn("_place", place)
-        .join(offsets, [*group, "_bucket"])
+        keyed.withColumn("_cell", cell)
+        .withColumn("_place", place)
+        .join(offsets, "_cell")
         .withColumn(out, (F.col("_offset") + F.col("_place")).cast("bigint"))
-        .drop("_bucket", "_place", "_offset")
+        .drop("_cell", "_bucket", "_place", "_offset")
     )
