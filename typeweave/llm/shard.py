@@ -47,7 +47,7 @@ def interleaved(docs: DataFrame, shards: int, seed: int = 42, row_id: str = "doc
         "_shuffle": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "row_id", "source", "text_crc32", "size"), 11),
     })
     slim = handed_over(slim, "shard-rows")
-    totals = slim.groupBy("_source").agg(F.count(F.lit(1)).alias("_rows"))
+    totals = handed_over(slim.groupBy("_source").agg(F.count(F.lit(1)).alias("_rows")), "shard-sources")
     many = F.lit(BUCKETS * shuffle_partitions(spark))
     total = totals.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]  # one number
     if total == 0:
