@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm import bpe, chat, quality, shard, syncmer, url_filter
+from typeweave.llm import bpe, chat, html, pii, quality, shard, syncmer, url_filter
 from typeweave.sources.tables import handed_over, table
 
 URL_RULES = [
@@ -87,6 +87,22 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = handed_over(pii.candidates(docs).drop("text"), "pii-candidates")
+    spans = pii.judged(found, pii.fitted(found))
+    base = F.filter("spans", lambda s: s["strict"] & s["kind"].isin(pii.BASE_KINDS))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return spans.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return syncmer.against_next(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
@@ -128,7 +144,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op3_html_extract": op3_html_extract,
     "op4_shard": op4_shard,
+    "op6_pii": op6_pii,
     "op7_fingerprint": op7_fingerprint,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
