@@ -87,7 +87,7 @@ def _powers(n: int, _kept: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     if len(_kept[0]) < n:
         size = max(n, 2 * PIECE_BYTES)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _kept[k] = np.concatenate(([1], np.cumprod(np.full(size - 1, base, np.uint64), dtype=np.uint64))).astype(np.uint64)
+            _kept[k] = np.cumprod(np.array([1, *[base] * (size - 1)], np.uint64), dtype=np.uint64)
     return _kept[0], _kept[1]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm import bpe, chat, html, pii, quality, shard, syncmer, url_filter
+from typeweave.llm import bpe, chat, html, neardup, pii, quality, shard, syncmer, url_filter
 from typeweave.sources.tables import handed_over, table
 
 URL_RULES = [
@@ -93,6 +93,11 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on shingles of four words."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4).withColumnRenamed("row_id", "doc_id")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -146,6 +151,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_html_extract": op3_html_extract,
     "op4_shard": op4_shard,
+    "op5_neardup": op5_neardup,
     "op6_pii": op6_pii,
     "op7_fingerprint": op7_fingerprint,
     "op8_bpe": op8_bpe,
