@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm import bpe, chat, html, neardup, pii, quality, shard, syncmer, url_filter
+from typeweave.llm import bpe, chat, decontaminate, html, neardup, pii, quality, shard, syncmer, url_filter
 from typeweave.sources.tables import handed_over, table
 
 URL_RULES = [
@@ -35,6 +35,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All (document, benchmark item) pairs where the item leaks into the document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples of all conversations and one more, read back into digests by conversation."""
     text = "</s>[INST] ok [/INST]"
@@ -148,6 +155,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op3_html_extract": op3_html_extract,
     "op4_shard": op4_shard,
