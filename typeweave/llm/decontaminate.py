@@ -24,6 +24,7 @@ without items nothing leaks.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,7 @@ from typeweave.llm.arrays import Texts, Words, mapped, pieces
 
 TERMS, RANK, EXTRA, SEED = 1 << 13, 112, 16, 11
 PASSAGE, STEP = 32, 16
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.45, 0.8, 0.6, 0.6
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.32, 0.8, 0.6, 0.6
 LEAST_WORDS, BLOCK_BYTES = 8, 4 << 20
 _ROWS_A_VECTOR = 16  # rows of the term matrix that travel as one vector
 
@@ -79,7 +80,11 @@ def _document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def _singular_vectors(docs: DataFrame, text: str, idf: np.ndarray) -> np.ndarray:
-    """The leading right singular vectors over their singular values, shape (TERMS, RANK)."""
+    """The leading right singular vectors over the squares of their singular values, shape (TERMS, RANK).
+
+    Passages projected on these have the leading directions, which tell little
+    more than the language, at the weight of the others' inverse spread.
+    """
     width = RANK + EXTRA
     omega = np.random.default_rng(SEED).standard_normal((TERMS, width)).astype(np.float32)
 
@@ -119,7 +124,7 @@ def _singular_vectors(docs: DataFrame, text: str, idf: np.ndarray) -> np.ndarray
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(values)[::-1][:RANK]
     values = np.maximum(values[order], 1e-9 * max(values.max(), 1e-9))
-    return (basis @ vectors[:, order] / np.sqrt(values)).astype(np.float32)
+    return (basis @ (vectors[:, order] / values)).astype(np.float32)
 
 
 @dataclass
@@ -152,10 +157,14 @@ class Query:
     vector: np.ndarray
     width: int  # steps of its windows
     masks: dict[int, int] = field(default_factory=dict)
+    least: int = 0  # distinct words that any leak has in common with it
 
     def __post_init__(self) -> None:
         for k, w in enumerate(self.words.tolist()):
             self.masks[w] = self.masks.get(w, 0) | (1 << k)
+        # A common subsequence of so many places has at most this many repeats among them.
+        repeats = len(self.words) - len(self.masks)
+        self.least = math.ceil(min(VERBATIM, PARAPHRASE) * len(self.words)) - repeats
 
 
 def queries(rows: list[tuple], space: Space) -> list[Query]:
@@ -211,10 +220,15 @@ def _searched(words: Words, space: Space, by_width: dict[int, tuple[np.ndarray,
         at, which = np.nonzero(cosine >= COSINE)
         if len(at) and hashes is None:
             hashes = words.hashes.tolist()
+        margin = max(len(q.words) for q in asked)
+        near, near_of = frozenset(), -1
         for i, q in zip(at.tolist(), which.tolist()):
             query, text = asked[q], int(text_of[i])
-            margin = len(query.words)
             begin, stop = max(int(first[text]), int(starts[i]) - margin), min(int(last[text]), int(starts[i]) + wide * STEP + margin)
+            if near_of != i:
+                near, near_of = frozenset(hashes[begin:stop]), i
+            if len(near & query.masks.keys()) < query.least:
+                continue
             share, answer = common(query, hashes[begin:stop])
             if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
                 old = best[text].get((wide, q))

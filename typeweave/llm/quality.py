@@ -20,6 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -42,6 +43,7 @@ STATISTICS = [
     "log_bytes", "log_words", "word_bytes", *(f"part_{c}" for c in CLASSES),
     "words_ending_in_mark", "words_of_mark", "words_capital", "words_second_capital", "words_repeated", "words_distinct",
 ]
+COLUMNS = [f"_stat_{s}" for s in STATISTICS]
 
 
 def _statistics(batch: pa.RecordBatch, text: str) -> dict[str, np.ndarray]:
@@ -79,16 +81,16 @@ def _statistics(batch: pa.RecordBatch, text: str) -> dict[str, np.ndarray]:
     }
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with a column for each of STATISTICS."""
+def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with COLUMNS, one for each of STATISTICS, and without the text unless it is kept."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            return {k: pa.array(np.asarray(v, float)) for k, v in _statistics(batch, text).items()}
+            return {f"_stat_{k}": pa.array(np.asarray(v, float)) for k, v in _statistics(batch, text).items()}
 
         return run
 
-    return mapped(docs, make, ", ".join(f"{s} double" for s in STATISTICS), text, drop=(text,))
+    return mapped(docs, make, ", ".join(f"{c} double" for c in COLUMNS), text, drop=() if keep_text else (text,))
 
 
 @dataclass
@@ -133,18 +135,18 @@ def pooled(y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _matrix(pdf) -> np.ndarray:
-    return pdf[STATISTICS].to_numpy(float)
+    return pdf[COLUMNS].to_numpy(float)
 
 
 def fitted(rows: DataFrame, labelled: DataFrame, label: str, calibrates: Column) -> Model:
     """A model scaled by the statistics of all ``rows`` and fitted to ``labelled`` ones.
 
-    ``labelled`` has STATISTICS and a label from 0 to 1; rows where
+    ``labelled`` has COLUMNS and a label from 0 to 1; rows where
     ``calibrates`` is true aren't fitted but calibrate.
     """
     moments = rows.agg(
-        F.array(*(F.coalesce(F.avg(s), F.lit(0.0)) for s in STATISTICS)).alias("mean"),
-        F.array(*(F.coalesce(F.stddev_pop(s), F.lit(0.0)) for s in STATISTICS)).alias("scale"),
+        F.array(*(F.coalesce(F.avg(s), F.lit(0.0)) for s in COLUMNS)).alias("mean"),
+        F.array(*(F.coalesce(F.stddev_pop(s), F.lit(0.0)) for s in COLUMNS)).alias("scale"),
     ).first()
     scale = np.array(moments["scale"])
     model = Model(np.array(moments["mean"]), np.where(scale > 1e-12, scale, 1.0))
@@ -154,12 +156,10 @@ def fitted(rows: DataFrame, labelled: DataFrame, label: str, calibrates: Column)
         for pdf in frames:
             z = model.features(_matrix(pdf))
             total += z.T @ np.column_stack((z, pdf["_label"].to_numpy(float)))
-        import pandas as pd
-
         yield pd.DataFrame({"i": np.arange(FEATURES + 1), "row": list(total)})
 
     training = labelled.withColumns({"_label": F.col(label).cast("double"), "_calibrates": calibrates}).where("_label IS NOT NULL")
-    slim = training.select(*STATISTICS, "_label", "_calibrates")
+    slim = training.select(*COLUMNS, "_label", "_calibrates")
     parts = slim.where("NOT _calibrates").drop("_calibrates").mapInPandas(sums, "i int, row array<double>")
     summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).select("i", vector_to_array("row").alias("row"))
     found = {r["i"]: r["row"] for r in summed.collect()}  # FEATURES + 1 rows
@@ -187,18 +187,12 @@ def fitted(rows: DataFrame, labelled: DataFrame, label: str, calibrates: Column)
     return model
 
 
-def scored(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """Adds score and predicted to rows that have STATISTICS, which it drops."""
-    kept = [f for f in rows.schema if f.name not in {*STATISTICS, "score", "predicted"}]
+def scored(rows: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """Adds the score to rows that have COLUMNS, which it drops."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(frame):
-        import pandas as pd
-
+    def of(frame):
         return pd.Series(sent.value.score(_matrix(frame)))
 
-    return (
-        rows.withColumn("score", score(F.struct(*STATISTICS)))
-        .select(*(f.name for f in kept), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-    )
+    return rows.withColumn(score, of(F.struct(*COLUMNS))).drop(*COLUMNS)
