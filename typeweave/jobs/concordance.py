@@ -2,24 +2,181 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from typeweave.operators import partition
+from typeweave.operators import partition as P
 from typeweave.sources.tables import table
 
 
-def q_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.adjusted_rand(table(spark, sf_dir, "part"), "p_brand", "p_type")
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.floor(F.col("p_size") / 10).alias("p_band"))
+
+
+def q_pair_counts(spark, sf_dir):
+    cells = P.contingency(_part(spark, sf_dir), "p_brand", "p_type")
+    pairs = lambda c: c.agg(F.sum(P.pairs_in("n")).cast("bigint").alias("v"))
+    parts = {"both": pairs(cells), "in_a": pairs(cells.groupBy("a").agg(F.sum("n").alias("n"))), "in_b": pairs(cells.groupBy("b").agg(F.sum("n").alias("n"))), "n": cells.agg(F.sum("n").alias("v"))}
+    return reduce(lambda x, y: x.crossJoin(y), (df.withColumnRenamed("v", k) for k, df in parts.items()))
+
+
+def q_pair_counts_gs(spark, sf_dir):
+    return P.pair_counts(P.contingency(_part(spark, sf_dir), "p_brand", "p_type"))
+
+
+def q_simpson(spark, sf_dir):
+    return P.simpson(_part(spark, sf_dir), "p_brand")
+
+
+def _one(name):
+    return lambda spark, sf_dir: P.agreement(_part(spark, sf_dir), "p_brand", "p_type").select(name, "n")
+
+
+q_wallace, q_adj_wallace, q_ari = _one("wallace"), _one("adj_wallace"), _one("ari")
+
+
+def q_ami(spark, sf_dir):
+    return P.adjusted_mutual_information(_part(spark, sf_dir), "p_brand", "p_type")
+
+
+SCHEMES = ["p_brand", "p_type", "p_band"]
+
+
+def common_set(df: DataFrame, schemes: list[str]) -> DataFrame:
+    """Rows that have every scheme's label: all values of a panel share them."""
+    return df.dropna(subset=schemes)
+
+
+def q_panel_simpson(spark, sf_dir):
+    rows = common_set(_part(spark, sf_dir), SCHEMES).select(*(F.col(c).cast("string").alias(c) for c in SCHEMES))
+    return P.simpson(rows.unpivot([], SCHEMES, "scheme", "label"), "label", ["scheme"])
+
+
+def q_pairwise_ari(spark, sf_dir):
+    rows = common_set(_part(spark, sf_dir), SCHEMES).select(*(F.col(c).cast("string").alias(c) for c in SCHEMES))
+    two = [(x, y) for i, x in enumerate(SCHEMES) for y in SCHEMES[i + 1 :]]
+    pairs = rows.select(F.explode(F.array(*(F.struct(F.lit(f"{x}/{y}").alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for x, y in two))).alias("s")).select("s.*")
+    return P.agreement(pairs, "x", "y", ["pair"])
+
+
+def q_panel_cluster(spark, sf_dir):
+    """Each scheme against the size band as the reference clustering."""
+    rows = common_set(_part(spark, sf_dir), SCHEMES)
+    long = rows.select("p_band", *SCHEMES[:2]).unpivot(["p_band"], SCHEMES[:2], "scheme", "label")
+    return P.agreement(long, "label", "p_band", ["scheme"])
+
+
+def q_wilson(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("n_chars") >= 500).alias("k"), F.count(F.lit(1)).alias("n"))
+    lo, hi = P.wilson(F.col("k"), F.col("n"))
+    return docs.select("lang", "k", "n", lo.alias("lo"), hi.alias("hi"))
+
+
+def _labelled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+
+
+def q_confusion(spark, sf_dir):
+    return P.confusion(_labelled(spark, sf_dir), F.col("n_chars") >= 500, F.col("quality") == 1, ["lang"])
+
+
+def q_mode(spark, sf_dir):
+    """Commonest label of each source, the least of those that tie."""
+    return _labelled(spark, sf_dir).groupBy("source").agg(F.mode("lang", True).alias("mode"), F.count(F.lit(1)).alias("n"))
+
+
+def q_panel_classifier(spark, sf_dir):
+    """Predictors of good quality: the commonest language, and the source of most good rows."""
+    rows = _labelled(spark, sf_dir).select("lang", "source", (F.col("quality") == 1).alias("good"))
+    top = lambda c: rows.where("good").groupBy(c).agg(F.count(F.lit(1)).alias("k")).agg(F.min_by(c, F.struct(-F.col("k"), F.col(c))).alias(f"top_{c}"))
+    long = rows.crossJoin(F.broadcast(top("lang"))).crossJoin(F.broadcast(top("source"))).select(
+        "good", F.explode(F.array(*(F.struct(F.lit(c).alias("predictor"), (F.col(c) == F.col(f"top_{c}")).alias("hit")) for c in ("lang", "source")))).alias("s")
+    )
+    return P.confusion(long.select("good", "s.*"), F.col("hit"), F.col("good"), ["predictor"])
+
+
+def q_allele_classifier(spark, sf_dir):
+    """Types that share the first type's value at one locus, as predictor of the smallest size band."""
+    part = _part(spark, sf_dir)
+    anchor = part.agg(F.min_by("p_brand", "p_partkey").alias("value"))
+    types = part.join(F.broadcast(anchor), F.col("p_brand") == F.col("value"), "left_semi").select("p_type").distinct()
+    flagged = part.join(types.withColumn("hit", F.lit(True)), "p_type", "left")
+    return P.confusion(flagged, F.coalesce("hit", F.lit(False)) & (F.col("p_size") % 2 == 0), F.col("p_band") == 0)
+
+
+def q_boot_ci(spark, sf_dir):
+    """200 replicates of the agreement of two partitions of the vectors."""
+    from typeweave.operators.offsets import ranked
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.when(F.get("embedding", 0) > 0, 1).otherwise(0).alias("sign"), F.lit(0).alias("all"))
+    numbered = ranked(rows, ["all"], F.floor(F.col("vec_id") / 10_000), ["vec_id"], "row_no")
+    return P.bootstrap(numbered, "row_no", "label", "sign", 200)
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
+_C = "c AS (SELECT p_brand a, p_type b, count(*) n FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL GROUP BY ALL)"
+_S = f"""{_C}, s AS (SELECT (SELECT sum(n*(n-1)//2) FROM c)::bigint s11, (SELECT sum(n*(n-1)//2) FROM (SELECT sum(n)::bigint n FROM c GROUP BY a))::bigint sa,
+  (SELECT sum(n*(n-1)//2) FROM (SELECT sum(n)::bigint n FROM c GROUP BY b))::bigint sb, (SELECT sum(n) FROM c)::bigint n)"""
+_LONG_AGREE = """c AS (SELECT k, a, b, count(*) n FROM l GROUP BY ALL),
+s AS (SELECT k, s11, sa, sb, n FROM (SELECT k, sum(n*(n-1)//2)::double s11, sum(n)::bigint n FROM c GROUP BY k)
+  JOIN (SELECT k, sum(n*(n-1)//2)::double sa FROM (SELECT k, a, sum(n)::bigint n FROM c GROUP BY k, a) GROUP BY k) USING (k)
+  JOIN (SELECT k, sum(n*(n-1)//2)::double sb FROM (SELECT k, b, sum(n)::bigint n FROM c GROUP BY k, b) GROUP BY k) USING (k)),
+t AS (SELECT *, n*(n-1)/2.0::double np FROM s)"""
+_AGREE_COLS = """round(s11/sa, 8) AS wallace, round((s11/sa - sb/np)/(1 - sb/np), 8) AS adj_wallace, round((s11 - sa*sb/np)/((sa+sb)/2 - sa*sb/np), 8) AS ari, n"""
+_SIMPSON = """s AS (SELECT k, sum(c)::bigint n, count(*) types, sum(c*(c-1)//2)::double alike, sum(c::double*c) s2, sum(c::double*c*c) s3 FROM cnt GROUP BY k),
+d AS (SELECT *, 1 - alike/(n*(n-1)/2.0::double) AS d, sqrt(greatest(4.0/n*(s3/(n::double*n*n) - pow(s2/(n::double*n), 2)), 0)) AS se FROM s)"""
+_SIMPSON_COLS = "round(d, 8) AS simpson, round(greatest(0, d-1.96*se), 8) AS lo, round(least(1, d+1.96*se), 8) AS hi, types, n"
+_CONF = """w AS (SELECT *, tp::double/nullif(tp+fn,0) p1, (tp+fn)::double n1, tn::double/nullif(tn+fp,0) p2, (tn+fp)::double n2 FROM f),
+x AS (SELECT *, (p1+1.96*1.96/(2*n1))/(1+1.96*1.96/n1) m1, 1.96*sqrt(p1*(1-p1)/n1+1.96*1.96/(4*n1*n1))/(1+1.96*1.96/n1) h1,
+ (p2+1.96*1.96/(2*n2))/(1+1.96*1.96/n2) m2, 1.96*sqrt(p2*(1-p2)/n2+1.96*1.96/(4*n2*n2))/(1+1.96*1.96/n2) h2 FROM w)"""
+_CONF_COLS = """tp, fp, fn, tn, round(p1, 8) AS sens, CASE WHEN p1 IS NOT NULL THEN round(greatest(0, m1-h1), 8) END AS sens_lo, CASE WHEN p1 IS NOT NULL THEN round(least(1, m1+h1), 8) END AS sens_hi,
+ round(p2, 8) AS spec, CASE WHEN p2 IS NOT NULL THEN round(greatest(0, m2-h2), 8) END AS spec_lo, CASE WHEN p2 IS NOT NULL THEN round(least(1, m2+h2), 8) END AS spec_hi, round(tp::double/nullif(tp+fp,0), 8) AS ppv"""
+_COUNTS = "count(*) FILTER (p AND t) tp, count(*) FILTER (p AND NOT t) fp, count(*) FILTER (NOT p AND t) fn, count(*) FILTER (NOT p AND NOT t) tn"
+_LAB = "lab AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id))"
 
-QUERIES = {"q_ari": q_ari}
 ORACLE_SQL = {
-    "q_ari": """
-WITH c AS (SELECT p_brand a, p_type b, count(*) n FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL GROUP BY ALL),
-s AS (SELECT (SELECT sum(n*(n-1)//2) FROM c) s11,
-  (SELECT sum(n*(n-1)//2) FROM (SELECT sum(n) n FROM c GROUP BY a)) sa,
-  (SELECT sum(n*(n-1)//2) FROM (SELECT sum(n) n FROM c GROUP BY b)) sb,
-  (SELECT sum(n) FROM c) n)
-SELECT round((s11 - sa::double*sb/(n*(n-1)/2)) / ((sa+sb)/2 - sa::double*sb/(n*(n-1)/2)), 10) AS ari, n::bigint AS n FROM s
-"""
+    "q_pair_counts": f'WITH {_S} SELECT s11 AS "both", sa AS in_a, sb AS in_b, n FROM s',
+    "q_pair_counts_gs": f'WITH {_S} SELECT s11 AS "both", sa AS in_a, sb AS in_b, n FROM s',
+    "q_wallace": f"WITH {_S} SELECT round(s11::double/sa, 8) AS wallace, n FROM s",
+    "q_adj_wallace": f"WITH {_S}, t AS (SELECT *, n*(n-1)/2.0::double np FROM s) SELECT round((s11::double/sa - sb/np)/(1 - sb/np), 8) AS adj_wallace, n FROM t",
+    "q_ari": f"WITH {_S}, t AS (SELECT *, n*(n-1)/2.0::double np FROM s) SELECT round((s11 - sa::double*sb/np)/((sa+sb)/2.0 - sa::double*sb/np), 8) AS ari, n FROM t",
+    "q_simpson": f"WITH cnt AS (SELECT 1 k, p_brand, count(*) c FROM part WHERE p_brand IS NOT NULL GROUP BY ALL), {_SIMPSON} SELECT {_SIMPSON_COLS} FROM d",
+    "q_panel_simpson": f"""WITH r AS (SELECT p_brand, p_type, p_size//10 AS p_band FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
+cnt AS (SELECT 'p_brand' k, p_brand l, count(*) c FROM r GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM r GROUP BY ALL UNION ALL SELECT 'p_band', p_band::varchar, count(*) FROM r GROUP BY ALL),
+{_SIMPSON} SELECT k AS scheme, {_SIMPSON_COLS} FROM d""",
+    "q_pairwise_ari": f"""WITH r AS (SELECT p_brand, p_type, (p_size//10)::varchar AS p_band FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
+l AS (SELECT 'p_brand/p_type' k, p_brand a, p_type b FROM r UNION ALL SELECT 'p_brand/p_band', p_brand, p_band FROM r UNION ALL SELECT 'p_type/p_band', p_type, p_band FROM r),
+{_LONG_AGREE} SELECT k AS pair, {_AGREE_COLS} FROM t""",
+    "q_panel_cluster": f"""WITH r AS (SELECT p_brand, p_type, p_size//10 AS p_band FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
+l AS (SELECT 'p_brand' k, p_brand a, p_band b FROM r UNION ALL SELECT 'p_type', p_type, p_band FROM r),
+{_LONG_AGREE} SELECT k AS scheme, {_AGREE_COLS} FROM t""",
+    "q_ami": f"""WITH {_C}, ra AS (SELECT a, sum(n)::bigint ra FROM c GROUP BY a), cb AS (SELECT b, sum(n)::bigint cb FROM c GROUP BY b), tot AS (SELECT sum(n)::bigint N FROM c),
+mi AS (SELECT sum(n::double/N*ln(n::double*N/(ra::double*cb))) mi FROM c JOIN ra USING (a) JOIN cb USING (b), tot),
+h AS (SELECT (SELECT -sum(ra::double/N*ln(ra::double/N)) FROM ra, tot) ha, (SELECT -sum(cb::double/N*ln(cb::double/N)) FROM cb, tot) hb),
+k AS (SELECT ra, cb, N, unnest(range(greatest(1, ra+cb-N), least(ra, cb)+1)) k FROM ra, cb, tot),
+e AS (SELECT sum(k::double/N*ln(N::double*k/(ra::double*cb))*exp(lgamma(ra+1)+lgamma(cb+1)+lgamma(N-ra+1)+lgamma(N-cb+1)-lgamma(N+1)-lgamma(k+1)-lgamma(ra-k+1)-lgamma(cb-k+1)-lgamma(N-ra-cb+k+1))) emi FROM k)
+SELECT round((mi-emi)/((ha+hb)/2-emi), 6) AS ami, round(mi, 6) AS mi, round(emi, 6) AS expected, N AS n FROM mi, h, e, tot""",
+    "q_wilson": """WITH f AS (SELECT lang, count(*) FILTER (n_chars >= 500) k, count(*) n FROM documents GROUP BY lang), w AS (SELECT *, k::double/n p FROM f)
+SELECT lang, k, n, round(greatest(0, (p+1.96*1.96/(2.0*n))/(1+1.96*1.96/n) - 1.96*sqrt(p*(1-p)/n+1.96*1.96/(4.0*n*n))/(1+1.96*1.96/n)), 8) AS lo,
+round(least(1, (p+1.96*1.96/(2.0*n))/(1+1.96*1.96/n) + 1.96*sqrt(p*(1-p)/n+1.96*1.96/(4.0*n*n))/(1+1.96*1.96/n)), 8) AS hi FROM w""",
+    "q_confusion": f"WITH {_LAB}, f AS (SELECT lang, {_COUNTS} FROM (SELECT lang, n_chars >= 500 p, quality = 1 t FROM lab) WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY lang), {_CONF} SELECT lang, {_CONF_COLS} FROM x",
+    "q_mode": f"""WITH {_LAB}, c AS (SELECT source, lang, count(*) k FROM lab GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k DESC, lang) i, sum(k) OVER (PARTITION BY source) n FROM c)
+SELECT source, lang AS mode, n::bigint AS n FROM r WHERE i = 1""",
+    "q_panel_classifier": f"""WITH {_LAB}, r AS (SELECT lang, source, quality = 1 AS t FROM lab),
+tl AS (SELECT lang v FROM r WHERE t GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1), ts AS (SELECT source v FROM r WHERE t GROUP BY source ORDER BY count(*) DESC, source LIMIT 1),
+l AS (SELECT 'lang' predictor, lang = (SELECT v FROM tl) p, t FROM r UNION ALL SELECT 'source', source = (SELECT v FROM ts), t FROM r),
+f AS (SELECT predictor, {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY predictor), {_CONF} SELECT predictor, {_CONF_COLS} FROM x""",
+    "q_allele_classifier": f"""WITH ty AS (SELECT DISTINCT p_type FROM part WHERE p_brand = (SELECT p_brand FROM part ORDER BY p_partkey LIMIT 1)),
+l AS (SELECT (p_type IN (SELECT p_type FROM ty)) AND p_size % 2 = 0 AS p, p_size//10 = 0 AS t FROM part), f AS (SELECT {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL), {_CONF} SELECT {_CONF_COLS} FROM x""",
+    "q_boot_ci": """WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, label a, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END b FROM embeddings), m AS (SELECT count(*) n FROM r),
+d AS (SELECT rep, ('0x' || substr(md5(i::varchar || '|' || rep::varchar), 1, 8))::bigint % n AS j FROM r, m, range(200) t(rep)),
+c AS (SELECT rep, a, b, count(*) n FROM d JOIN r ON r.i = d.j GROUP BY ALL),
+s AS (SELECT rep, s11, sa, sb, n*(n-1)/2.0::double np FROM (SELECT rep, sum(n*(n-1)//2)::double s11, sum(n)::bigint n FROM c GROUP BY rep)
+  JOIN (SELECT rep, sum(n*(n-1)//2)::double sa FROM (SELECT rep, a, sum(n)::bigint n FROM c GROUP BY rep, a) GROUP BY rep) USING (rep)
+  JOIN (SELECT rep, sum(n*(n-1)//2)::double sb FROM (SELECT rep, b, sum(n)::bigint n FROM c GROUP BY rep, b) GROUP BY rep) USING (rep)),
+v AS (SELECT 'ari' statistic, (s11 - sa*sb/np)/((sa+sb)/2 - sa*sb/np) v FROM s UNION ALL SELECT 'adj_wallace', (s11/sa - sb/np)/(1 - sb/np) FROM s)
+SELECT statistic, round(quantile_cont(v, 0.025), 8) AS lo, round(quantile_cont(v, 0.975), 8) AS hi, count(*) AS n FROM v GROUP BY statistic""",
 }

@@ -1,25 +1,206 @@
-"""Agreement of categorical partitions, from exact integer pair counts."""
+"""Agreement of categorical partitions, from exact integer pair counts.
+
+A partition is a column of labels; rows that lack any label of a statistic are
+left out of it, and the number of rows used is returned beside each value. All
+statistics are built on the contingency table, which is aggregated once, and stay
+BIGINT until the last division. Undefined values are null.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Z = 1.96
+DIGITS = 8  # sums of doubles differ in their last bits from plan to plan
+
 
-def _pairs(n: str | Column) -> Column:
+def pairs_in(n: str | Column) -> Column:
+    """Unordered pairs among n rows."""
     n = F.col(n) if isinstance(n, str) else n
-    return F.expr("1L") * (n * (n - 1) / 2).cast("bigint")
+    return F.shiftright(n * (n - 1), 1)
 
 
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+def contingency(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Counts of each pair of classes over the rows that have both."""
+    by = by or []
     return (
-        df.select(F.col(a).alias("a"), F.col(b).alias("b"))
-        .dropna()
-        .groupBy("a", "b")
+        df.select(*by, F.col(a).alias("a"), F.col(b).alias("b"))
+        .where("a IS NOT NULL AND b IS NOT NULL")
+        .groupBy(*by, "a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    raise NotImplementedError
+def pair_counts(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (for each ``by``): rows n, and the pairs alike in both, in a, in b.
+
+    One pass over the contingency table by grouping sets.
+    """
+    by = by or []
+    margins = cells.groupingSets(
+        [[*by, "a", "b"], [*by, "a"], [*by, "b"]], *by, "a", "b"
+    ).agg(F.sum("n").alias("n"), F.grouping("a").alias("no_a"), F.grouping("b").alias("no_b"))
+    part = lambda a, b: F.coalesce(F.sum(F.when((F.col("no_a") == a) & (F.col("no_b") == b), pairs_in("n"))), F.lit(0))
+    return margins.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when((F.col("no_a") == 0) & (F.col("no_b") == 0), F.col("n"))), F.lit(0)).alias("n"),
+        part(0, 0).alias("both"), part(0, 1).alias("in_a"), part(1, 0).alias("in_b"),
+    )
+
+
+def _d(name: str) -> Column:
+    return F.col(name).cast("double")
+
+
+def _ratio(top: Column, bottom: Column) -> Column:
+    return F.when(bottom != 0, top / bottom)
+
+
+ALL_PAIRS = pairs_in(F.col("n")).cast("double")
+WALLACE = _ratio(_d("both"), _d("in_a"))
+#: Chance that a pair is alike in b.
+ALIKE_B = _ratio(_d("in_b"), ALL_PAIRS)
+ADJUSTED_WALLACE = F.when(ALIKE_B < 1, (WALLACE - ALIKE_B) / (1 - ALIKE_B))
+_EXPECTED = _ratio(_d("in_a") * _d("in_b"), ALL_PAIRS)
+_MEAN = (_d("in_a") + _d("in_b")) / 2
+#: Two partitions that are both trivial in the same way agree fully.
+ADJUSTED_RAND = F.when(_MEAN == _EXPECTED, 1.0).otherwise((_d("both") - _EXPECTED) / (_MEAN - _EXPECTED))
+
+
+def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """Wallace a to b, adjusted Wallace and adjusted Rand index of two partitions."""
+    return pair_counts(contingency(df, a, b, by), by).select(
+        *(by or []), F.round(WALLACE, DIGITS).alias("wallace"), F.round(ADJUSTED_WALLACE, DIGITS).alias("adj_wallace"),
+        F.round(ADJUSTED_RAND, DIGITS).alias("ari"), "n",
+    )
+
+
+def simpson(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Simpson's diversity with its interval, the number of types and of rows."""
+    by = by or []
+    counts = df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("c"))
+    c = _d("c")
+    sums = counts.groupBy(*by).agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("types"), F.sum(pairs_in("c")).alias("alike"),
+        F.sum(c * c).alias("s2"), F.sum(c * c * c).alias("s3"),
+    )
+    n = _d("n")
+    d = 1 - _ratio(_d("alike"), pairs_in(F.col("n")).cast("double"))
+    se = F.sqrt(F.greatest((4 / n) * (F.col("s3") / (n * n * n) - F.pow(F.col("s2") / (n * n), 2)), F.lit(0.0)))
+    return sums.select(
+        *by, F.round(d, DIGITS).alias("simpson"),
+        F.when(d.isNotNull(), F.round(F.greatest(F.lit(0.0), d - Z * se), DIGITS)).alias("lo"),
+        F.when(d.isNotNull(), F.round(F.least(F.lit(1.0), d + Z * se), DIGITS)).alias("hi"), "types", "n",
+    )
+
+
+def _log_factorial(n: Column) -> Column:
+    """Exact below 16, else Stirling's series, which is then right to 13 digits."""
+    small = F.array(*(F.lit(v) for v in _SMALL))
+    x = n.cast("double")
+    series = x * F.ln(x) - x + 0.5 * F.ln(x * 6.283185307179586) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    return F.when(n < len(_SMALL), F.get(small, n.cast("int"))).otherwise(series)
+
+
+def _small_logs() -> list[float]:
+    from math import lgamma
+
+    return [lgamma(k + 1) for k in range(16)]
+
+
+_SMALL = _small_logs()
+
+
+def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(ami, mi, expected, n) with the mean of the entropies as the bound.
+
+    The expected value sums over pairs of distinct margins, weighted by how many
+    classes have them, and over the cell counts within 14 deviations of the
+    hypergeometric mean, beyond which nothing adds to a double.
+    """
+    cells = contingency(df, a, b)
+    of_a = cells.groupBy("a").agg(F.sum("n").alias("ra"))
+    of_b = cells.groupBy("b").agg(F.sum("n").alias("cb"))
+    total = cells.agg(F.sum("n").alias("total"))  # one row
+    big = F.broadcast(total)
+    n, N, ra, cb = _d("n"), _d("total"), _d("ra"), _d("cb")
+    mi = cells.join(of_a, "a").join(of_b, "b").crossJoin(big).agg(F.sum(n / N * F.ln(n * N / (ra * cb))).alias("mi"), F.max("total").alias("total"))
+    entropy = lambda t, c: t.crossJoin(big).agg((-F.sum(c / N * F.ln(c / N))).alias("h"))
+    # Distinct margins with their multiplicities: far fewer than classes.
+    margins = of_a.groupBy("ra").agg(F.count(F.lit(1)).alias("ma")).crossJoin(F.broadcast(of_b.groupBy("cb").agg(F.count(F.lit(1)).alias("mb")))).crossJoin(big)
+    mean = ra * cb / N
+    wide = 14 * F.sqrt(mean * (1 - ra / N) * (1 - cb / N) * F.when(N > 1, N / (N - 1)).otherwise(1.0)) + 40
+    low = F.greatest(F.lit(1), F.col("ra") + F.col("cb") - F.col("total"), F.floor(mean - wide).cast("bigint"))
+    high = F.least("ra", "cb", F.ceil(mean + wide).cast("bigint"))
+    k = F.col("k")
+    logs = lambda *cols: sum((_log_factorial(c) for c in cols[1:]), _log_factorial(cols[0]))
+    chance = F.exp(
+        logs(F.col("ra"), F.col("cb"), F.col("total") - F.col("ra"), F.col("total") - F.col("cb"))
+        - logs(F.col("total"), k, F.col("ra") - k, F.col("cb") - k, F.col("total") - F.col("ra") - F.col("cb") + k)
+    )
+    term = k / N * F.ln(N * k / (ra * cb)) * chance
+    expected = (
+        margins.where(low <= high).select("ma", "mb", "ra", "cb", "total", F.explode(F.sequence(low, high)).alias("k"))
+        .agg(F.coalesce(F.sum(F.col("ma") * F.col("mb") * term), F.lit(0.0)).alias("emi"))
+    )
+    row = mi.crossJoin(entropy(of_a, ra).withColumnRenamed("h", "ha")).crossJoin(entropy(of_b, cb).withColumnRenamed("h", "hb")).crossJoin(expected)
+    bound = (F.col("ha") + F.col("hb")) / 2 - F.col("emi")
+    value = F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).otherwise(_ratio(F.col("mi") - F.col("emi"), bound))
+    return row.select(F.round(value, 6).alias("ami"), F.round("mi", 6).alias("mi"), F.round("emi", 6).alias("expected"), F.col("total").alias("n"))
+
+
+def wilson(k: Column, n: Column) -> tuple[Column, Column]:
+    """The interval of k of n, within 0 and 1; null where n is 0."""
+    n, p = n.cast("double"), k.cast("double") / F.when(n != 0, n.cast("double"))
+    den = 1 + Z * Z / n
+    mid = (p + Z * Z / (2 * n)) / den
+    half = Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n)) / den
+    some = lambda x: F.when(p.isNotNull(), F.round(x, DIGITS))
+    return some(F.greatest(F.lit(0.0), mid - half)), some(F.least(F.lit(1.0), mid + half))
+
+
+def confusion(df: DataFrame, predicted: Column, truth: Column, by: list[str] | None = None) -> DataFrame:
+    """Counts, sensitivity and specificity with intervals, and predictive value of a binary predictor.
+
+    Rows where either is null are left out.
+    """
+    by = by or []
+    rows = df.select(*by, predicted.alias("p"), truth.alias("t")).where("p IS NOT NULL AND t IS NOT NULL")
+    counts = rows.groupBy(*by).agg(*(F.count_if(c).alias(n) for n, c in {"tp": F.expr("p AND t"), "fp": F.expr("p AND NOT t"), "fn": F.expr("NOT p AND t"), "tn": F.expr("NOT p AND NOT t")}.items()))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    (sl, sh), (pl, ph) = wilson(tp, tp + fn), wilson(tn, tn + fp)
+    share = lambda x, n: F.round(_ratio(x.cast("double"), n.cast("double")), DIGITS)
+    return counts.select(
+        *by, "tp", "fp", "fn", "tn", share(tp, tp + fn).alias("sens"), sl.alias("sens_lo"), sh.alias("sens_hi"),
+        share(tn, tn + fp).alias("spec"), pl.alias("spec_lo"), ph.alias("spec_hi"), share(tp, tp + fp).alias("ppv"),
+    )
+
+
+def bootstrap(df: DataFrame, row_no: str, a: str, b: str, replicates: int) -> DataFrame:
+    """(statistic, lo, hi, n): 2.5 and 97.5 percentiles of ARI and adjusted Wallace over resampled rows.
+
+    ``row_no`` numbers the rows from 0. Draw i of replicate r is the row with the
+    number that the MD5 of "i|r" gives, so that any engine draws alike. Draws are
+    counted by row before rows are looked up, and replicates are groups of one
+    plan, not a loop.
+    """
+    labels = df.select(F.col(row_no).alias("drawn"), F.col(a).alias("a"), F.col(b).alias("b"))
+    size = labels.agg(F.count(F.lit(1)).alias("rows"))  # one row
+    hexed = F.substring(F.md5(F.concat(F.col("drawn").cast("string"), F.lit("|"), F.col("rep").cast("string"))), 1, 8)
+    draws = (
+        labels.select("drawn").crossJoin(F.broadcast(size))
+        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .select("rep", (F.conv(hexed, 16, 10).cast("bigint") % F.col("rows")).alias("drawn"))
+        .groupBy("rep", "drawn").agg(F.count(F.lit(1)).alias("times"))
+    )
+    cells = draws.join(labels, "drawn").where("a IS NOT NULL AND b IS NOT NULL").groupBy("rep", "a", "b").agg(F.sum("times").alias("n"))
+    values = (
+        pair_counts(cells, ["rep"])
+        .select(ADJUSTED_RAND.alias("ari"), ADJUSTED_WALLACE.alias("adj_wallace"))
+        .unpivot([], ["ari", "adj_wallace"], "statistic", "value")
+    )
+    both = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    return (
+        values.where("value IS NOT NULL AND NOT isnan(value)").groupBy("statistic").agg(both.alias("p"), F.count(F.lit(1)).alias("n"))
+        .select("statistic", F.round(F.get("p", 0), DIGITS).alias("lo"), F.round(F.get("p", 1), DIGITS).alias("hi"), "n")
+    )
