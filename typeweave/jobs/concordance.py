@@ -153,12 +153,12 @@ l AS (SELECT 'p_brand/p_type' k, p_brand a, p_type b FROM r UNION ALL SELECT 'p_
     "q_panel_cluster": f"""WITH r AS (SELECT p_brand, p_type, p_size//10 AS p_band FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
 l AS (SELECT 'p_brand' k, p_brand a, p_band b FROM r UNION ALL SELECT 'p_type', p_type, p_band FROM r),
 {_LONG_AGREE} SELECT k AS scheme, {_AGREE_COLS} FROM t""",
-    "q_ami": f"""WITH {_C}, ra AS (SELECT a, sum(n)::bigint ra FROM c GROUP BY a), cb AS (SELECT b, sum(n)::bigint cb FROM c GROUP BY b), tot AS (SELECT sum(n)::bigint N FROM c),
-mi AS (SELECT sum(n::double/N*ln(n::double*N/(ra::double*cb))) mi FROM c JOIN ra USING (a) JOIN cb USING (b), tot),
-h AS (SELECT (SELECT -sum(ra::double/N*ln(ra::double/N)) FROM ra, tot) ha, (SELECT -sum(cb::double/N*ln(cb::double/N)) FROM cb, tot) hb),
-k AS (SELECT ra, cb, N, unnest(range(greatest(1, ra+cb-N), least(ra, cb)+1)) k FROM ra, cb, tot),
-e AS (SELECT sum(k::double/N*ln(N::double*k/(ra::double*cb))*exp(lgamma(ra+1)+lgamma(cb+1)+lgamma(N-ra+1)+lgamma(N-cb+1)-lgamma(N+1)-lgamma(k+1)-lgamma(ra-k+1)-lgamma(cb-k+1)-lgamma(N-ra-cb+k+1))) emi FROM k)
-SELECT round((mi-emi)/((ha+hb)/2-emi), 6) AS ami, round(mi, 6) AS mi, round(emi, 6) AS expected, N AS n FROM mi, h, e, tot""",
+    "q_ami": f"""WITH {_C}, ra AS (SELECT a, sum(n)::bigint ra FROM c GROUP BY a), cb AS (SELECT b, sum(n)::bigint cb FROM c GROUP BY b), tot AS (SELECT sum(n)::bigint tt FROM c),
+mi AS (SELECT sum(n::double/tt*ln(n::double*tt/(ra::double*cb))) mi FROM c JOIN ra USING (a) JOIN cb USING (b), tot),
+h AS (SELECT (SELECT -sum(ra::double/tt*ln(ra::double/tt)) FROM ra, tot) ha, (SELECT -sum(cb::double/tt*ln(cb::double/tt)) FROM cb, tot) hb),
+k AS (SELECT ra, cb, tt, unnest(range(greatest(1, ra+cb-tt), least(ra, cb)+1)) k FROM ra, cb, tot),
+e AS (SELECT sum(k::double/tt*ln(tt::double*k/(ra::double*cb))*exp(lgamma(ra+1)+lgamma(cb+1)+lgamma(tt-ra+1)+lgamma(tt-cb+1)-lgamma(tt+1)-lgamma(k+1)-lgamma(ra-k+1)-lgamma(cb-k+1)-lgamma(tt-ra-cb+k+1))) emi FROM k)
+SELECT round((mi-emi)/((ha+hb)/2-emi), 6) AS ami, round(mi, 6) AS mi, round(emi, 6) AS expected, tt AS n FROM mi, h, e, tot""",
     "q_wilson": """WITH f AS (SELECT lang, count(*) FILTER (n_chars >= 500) k, count(*) n FROM documents GROUP BY lang), w AS (SELECT *, k::double/n p FROM f)
 SELECT lang, k, n, round(greatest(0, (p+1.96*1.96/(2.0*n))/(1+1.96*1.96/n) - 1.96*sqrt(p*(1-p)/n+1.96*1.96/(4.0*n*n))/(1+1.96*1.96/n)), 8) AS lo,
 round(least(1, (p+1.96*1.96/(2.0*n))/(1+1.96*1.96/n) + 1.96*sqrt(p*(1-p)/n+1.96*1.96/(4.0*n*n))/(1+1.96*1.96/n)), 8) AS hi FROM w""",

@@ -58,8 +58,8 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column |
     place = F.row_number().over(Window.partitionBy("_cell").orderBy(*order)) - 1
     return (
         keyed.withColumn("_cell", cell)
-        .withColumn("_place", place)
+        .withColumn("_in_cell", place)
         .join(offsets, "_cell")
-        .withColumn(out, (F.col("_offset") + F.col("_place")).cast("bigint"))
-        .drop("_cell", "_bucket", "_place", "_offset")
+        .withColumn(out, (F.col("_offset") + F.col("_in_cell")).cast("bigint"))
+        .drop("_cell", "_bucket", "_in_cell", "_offset")
     )
