@@ -13,10 +13,13 @@ dropped by the estimate with one below 1e-8. Otherwise no link is lost:
 * Documents with equal sets are one class with one representative, so groups of
   copies cost one document.
 * A bucket (the documents that share a band key) is never expanded into all its
-  pairs. All members are compared with its least one first. While a bucket holds
-  members of several components, more pivots are taken, and members are
-  compared with those of other components. A pivot has met all members and
-  leaves, so that each bucket ends with one component or without members.
+  pairs. All members are first compared with one pivot, the member whose buckets
+  are the largest in all, which is the middle of a group of near copies. Then, while
+  a bucket holds members of several components, a member stays open only as long as
+  the shingles that it shares with any member of another component could make up a
+  link; more pivots are taken, and compared with the open members of other
+  components. A pivot has met all members and leaves, so that each bucket ends with
+  one component or without members.
 
 Sets, edges and components stay tables; the driver sees one flag a round.
 
@@ -46,6 +49,7 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 WORDS64 = -(-HASHES // 64)  # 64-bit words of a bit plane
 SLACK = 0.2
+MOST_IDS_SENT = 2_000_000  # ids that may be broadcast, 8 bytes each
 _rng = np.random.default_rng(0xD0C5)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _TIMES = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -113,14 +117,8 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 - differ / (HASHES * 0.75)
 
 
-def confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, row_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
-    planes = lambda side: sketched.select(F.col("row_id").alias(side), F.col("planes").alias(f"planes_{side}"))
-    likely = handed_over(
-        pairs.join(planes("a"), "a").join(planes("b"), "b")
-        .where(estimate(F.col("planes_a"), F.col("planes_b")) >= percent / 100 - SLACK).select("a", "b").distinct(),
-        "likely-pairs",
-    )
+def set_table(docs: DataFrame, wanted: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
+    """(row_id, members) for the ids in ``wanted``: the sorted distinct shingle hashes, as bytes."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -129,9 +127,20 @@ def confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, row_id: st
 
         return run
 
-    wanted = likely.select(F.col("a").alias("row_id")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).join(wanted, "row_id", "left_semi")
-    sets = handed_over(mapped(texts, make, "members binary", "text", drop=("text",)), "shingle-sets")
+    # A few ids are sent to the texts; only beyond that are the texts dealt out to the ids.
+    ids = F.broadcast(wanted) if wanted.count() <= MOST_IDS_SENT else wanted
+    texts = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).join(ids, "row_id", "left_semi")
+    return handed_over(mapped(texts, make, "members binary", "text", drop=("text",)), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
+    planes = lambda side: sketched.select(F.col("row_id").alias(side), F.col("planes").alias(f"planes_{side}"))
+    likely = handed_over(
+        pairs.join(planes("a"), "a").join(planes("b"), "b")
+        .where(estimate(F.col("planes_a"), F.col("planes_b")) >= percent / 100 - SLACK).select("a", "b").distinct(),
+        "likely-pairs",
+    )
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -147,41 +156,74 @@ def confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, row_id: st
     return likely.join(side("b"), "b").join(side("a"), "a").where(alike("set_a", "set_b")).select("a", "b").distinct()
 
 
-def links(nodes: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the nodes with links; ``nodes`` has row_id and bands."""
+def reach(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component, n, shared): how many of a node's n shingles stand in an open node of another component."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: np.frombuffer(b, np.int64))
+
+    each = open_nodes.join(sets.withColumnRenamed("row_id", "node"), "node").select("node", "component", F.explode(hashes("members")).alias("shingle"))
+    each = handed_over(each, "open-shingles")
+    wide = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", F.lit(1).alias("wide"))
+    counted = each.join(handed_over(wide, "wide-shingles"), "shingle", "left").groupBy("node", "component")
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.count("wide").alias("shared"))
+
+
+def _may_link(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m members with at most so many in common can have the similarity."""
+    both = F.least(shared, n, m)
+    return 100 * both >= percent * (n + m - both)
+
+
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) of the nodes with links; ``nodes`` has row_id, planes and bands."""
     keyed = nodes.select(F.col("row_id").alias("node"), F.explode("bands").alias("key"))
-    pivots = handed_over(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last"), "pivots")
-    members = handed_over(keyed.join(pivots, "key").where("node <> pivot").distinct(), "bucket-members")
-    tested = handed_over(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    edges = handed_over(confirm(tested), "links")
-    active, pivots_a_bucket = members.select("key", "node"), 8
+    buckets = handed_over(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size"), "buckets")
+    sized = handed_over(keyed.join(buckets, "key").select("key", "node", "size").distinct(), "bucket-members")
+    weights = handed_over(sized.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    sets = sets_of(weights.select(F.col("node").alias("row_id")))
+    weighed = sized.select("key", "node").join(weights, "node")
+    pivots = handed_over(weighed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("pivot")), "pivots")
+    members = handed_over(sized.select("key", "node").join(pivots, "key").where("node <> pivot"), "active-members")
+    edges = handed_over(confirmed(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, sets, percent), "links")
+    active, pivots_a_bucket = members.select("key", "node"), 16
     while True:
         joined = components(edges)
-        if active is None:
-            return joined
         labelled = active.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        open_members = handed_over(labelled.join(handed_over(mixed_keys, "mixed-buckets"), "key"), "open-members")
-        if open_members.isEmpty():
+        opened = _still_open(handed_over(_mixed(labelled), "open-members"), sets, percent)
+        if opened.isEmpty():
             return joined
         salt = F.pmod(F.xxhash64("node"), F.lit(pivots_a_bucket))
-        chosen = handed_over(
-            open_members.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("pivot"), F.min_by("component", "node").alias("of")).drop("salt"), "pivots"
-        )
-        pairs = (
-            open_members.join(chosen, "key").where("component <> of")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = handed_over(pairs, "pairs")
-        edges = handed_over(edges.union(confirm(pairs)), "links")
-        tested = tested.union(pairs)
-        active = handed_over(
-            open_members.select("key", "node").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "active-members"
-        )
+        chosen = handed_over(opened.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "component", "n", "shared")).alias("p")).select("key", "p"), "pivots")
+        x, y = opened, F.col("p")
+        can = (F.col("component") != y["component"]) & _may_link(F.least("shared", y["shared"]), F.col("n"), y["n"], percent)
+        pairs = x.join(chosen, "key").where(can).select(y["node"].alias("a"), F.col("node").alias("b")).distinct()
+        edges = handed_over(edges.union(confirmed(handed_over(pairs, "pairs"), nodes, sets, percent)), "links")
+        met = chosen.select("key", y["node"].alias("node"))
+        active = handed_over(opened.select("key", "node").join(met, ["key", "node"], "left_anti"), "active-members")
         pivots_a_bucket *= 4
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Members of buckets with several components."""
+    keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return labelled.join(handed_over(keys, "mixed-buckets"), "key", "left_semi")
+
+
+def _still_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (with n and shared) that may still have a link into another component, in buckets with several of those."""
+    if members.isEmpty():
+        return members
+    known = handed_over(reach(members.select("node", "component").distinct(), sets), "reach")
+    sized = members.join(known.drop("component"), "node")
+    least = handed_over(sized.groupBy("key").agg(F.min("n").alias("least")), "least-sizes")
+    # The other set has at least the bucket's least size, and at least the needed part of this one's.
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    may = sized.join(least, "key").where(_may_link(F.col("shared"), F.col("n"), other, percent)).drop("least")
+    return handed_over(_mixed(handed_over(may, "may-link")), "open-members")
+
+
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: row_id, n_shingles, component_id (the least id reachable), kept."""
     sketched = handed_over(sketches(docs, row_id, text, shingle_words), "sketches")
@@ -192,8 +234,8 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
         "classes",
     )
     nodes = handed_over(sketched.join(classes.select(F.col("first").alias("row_id")), "row_id", "left_semi").where("n_shingles > 0"), "class-sketches")
-    confirm = lambda pairs: confirmed(pairs, nodes, docs, row_id, text, shingle_words, percent)
-    joined = links(nodes, confirm).select(F.col("node").alias("first"), "component")
+    sets_of = lambda wanted: set_table(docs, wanted, row_id, text, shingle_words)
+    joined = links(nodes, sets_of, percent).select(F.col("node").alias("first"), "component")
     named = handed_over(
         classes.join(joined, "first", "left").where("copied OR component IS NOT NULL").select(*alike, F.coalesce("component", "first").alias("component")),
         "named-classes",
