@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: The white space that separates words: space and U+0009 to U+000D.
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

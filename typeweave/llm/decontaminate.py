@@ -40,8 +40,9 @@ from typeweave.llm.arrays import Texts, Words, mapped, pieces
 
 TERMS, RANK, EXTRA, SEED = 1 << 13, 112, 16, 11
 PASSAGE, STEP = 32, 16
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.32, 0.8, 0.6, 0.6
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.6, 0.6
 LEAST_WORDS, BLOCK_BYTES = 8, 4 << 20
+RARE = 0.01  # a word is rare if no more of the passages have its term
 _ROWS_A_VECTOR = 16  # rows of the term matrix that travel as one vector
 
 
@@ -58,40 +59,58 @@ def _passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words.hashes))))
 
 
-def _document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """How many passages have each term, and how many passages there are; TERMS + 1 rows come to the driver."""
-    import pandas as pd
+def _gathered(table: np.ndarray, words: Words, starts: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the table's rows over each run of ``width`` terms; the table's last row is zeros, for runs that are shorter."""
+    terms = np.append(_terms(words), np.int32(len(table) - 1))
+    last = np.repeat(words.at[1:], -(-np.diff(words.at) // width))
+    total = np.zeros((len(starts), table.shape[1]), np.float32)
+    row = np.empty_like(total)
+    for k in range(width):
+        at = np.where(starts + k < last, starts + k, len(terms) - 1)
+        np.take(table, terms[at], axis=0, out=row)
+        total += row
+    return total
+
+
+def _scatter(total: np.ndarray, terms: np.ndarray, rows_of: np.ndarray, rows: np.ndarray) -> None:
+    """total[term] += rows[row] for each (term, row); places of one term are added in turn, those of all terms at once."""
+    order = np.argsort(terms, kind="stable")
+    terms, rows_of = terms[order], rows_of[order]
+    starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+    counts = np.diff(np.append(starts, len(terms)))
+    often = counts > 32
+    for s, c in zip(starts[often].tolist(), counts[often].tolist()):
+        total[terms[s]] += rows[rows_of[s : s + c]].sum(0)
+    by_count = np.argsort(-counts[~often], kind="stable")
+    starts, counts = starts[~often][by_count], counts[~often][by_count]
+    for k in range(int(counts[0]) if len(counts) else 0):
+        at = starts[: np.searchsorted(-counts, -k)] + k
+        total[terms[at]] += rows[rows_of[at]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(TERMS + 1, np.int64)
-        for batch in batches:
-            for piece in pieces(batch, text):
-                words = Words(Texts(piece.column(text)))
-                starts, passage = _passages(words)
-                pairs = np.unique(passage * TERMS + _terms(words))
-                counts[:TERMS] += np.bincount(pairs % TERMS, minlength=TERMS)
-                counts[TERMS] += len(starts)
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"term": np.arange(TERMS + 1, dtype=np.int32), "n": counts}))
 
-    found = docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(TERMS + 1, np.int64)
-    counts[found["term"]] = found["n"]
-    return counts[:TERMS], int(counts[TERMS])
+@dataclass
+class Space:
+    """The latent vector of an occurrence of each term (and a row of zeros), and the part of passages that have the term; its size is fixed by TERMS and RANK."""
+
+    of_term: np.ndarray
+    frequency: np.ndarray
 
 
-def _singular_vectors(docs: DataFrame, text: str, idf: np.ndarray) -> np.ndarray:
-    """The leading right singular vectors over the squares of their singular values, shape (TERMS, RANK).
+def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space:
+    """Fitted to all passages of both tables in one pass.
 
-    Passages projected on these have the leading directions, which tell little
-    more than the language, at the weight of the others' inverse spread.
+    With T the counts of terms in passages and D the weights, A is T D. Tasks
+    send T'T G for a random matrix G, and how many passages have each term. So
+    A'A Omega is known for Omega = G / D, with weights that needn't be known
+    before the pass.
     """
     width = RANK + EXTRA
-    omega = np.random.default_rng(SEED).standard_normal((TERMS, width)).astype(np.float32)
+    random = np.random.default_rng(SEED).standard_normal((TERMS, width)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = (omega * idf[:, None]).astype(np.float32)
-        total = np.zeros((width, TERMS))
-        some = False
+        padded = np.vstack((random, np.zeros((1, width), np.float32)))
+        total = np.zeros((TERMS, width + 2))
+        image, some = np.zeros((TERMS, width)), False
         for batch in batches:
             for piece in pieces(batch, text):
                 words = Words(Texts(piece.column(text)))
@@ -100,51 +119,38 @@ def _singular_vectors(docs: DataFrame, text: str, idf: np.ndarray) -> np.ndarray
                 some = True
                 terms = _terms(words)
                 starts, passage = _passages(words)
-                square = np.add.reduceat(idf[terms] ** 2, starts)
-                y = np.add.reduceat(weighted[terms], starts, axis=0) / np.maximum(square, 1e-9)[:, None]
-                for k in range(width):
-                    total[k] += np.bincount(terms, y[:, k][passage], TERMS)
+                seen = np.unique(passage * TERMS + terms)
+                total[:, width] += np.bincount(seen % TERMS, minlength=TERMS)
+                total[0, width + 1] += len(starts)
+                _scatter(image, terms, passage, _gathered(padded, words, starts, PASSAGE))
         if some:
-            rows = (total.T * idf[:, None]).reshape(TERMS // _ROWS_A_VECTOR, -1)
-            # Few rows a batch: each is a wide vector.
-            for k in range(0, len(rows), 64):
+            total[:, :width] = image
+            rows = total.reshape(TERMS // _ROWS_A_VECTOR, -1)
+            for k in range(0, len(rows), 64):  # few rows a batch: each is a wide vector
                 part = rows[k : k + 64]
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["i", "row"])
 
-    parts = docs.select(text).mapInArrow(run, "i int, row array<double>")
+    both = docs.select(text).unionByName(items.select(text))
+    parts = both.mapInArrow(run, "i int, row array<double>")
     summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).select("i", vector_to_array("row").alias("row"))
-    rows = {r["i"]: r["row"] for r in summed.toLocalIterator()}
+    rows = {r["i"]: r["row"] for r in summed.toLocalIterator()}  # TERMS / _ROWS_A_VECTOR rows
     if not rows:
-        return np.zeros((TERMS, RANK), np.float32)
-    image = np.array([rows[i] for i in range(TERMS // _ROWS_A_VECTOR)]).reshape(TERMS, width)  # A'A Omega
+        return Space(np.zeros((TERMS + 1, RANK), np.float32), np.ones(TERMS))
+    found = np.array([rows[i] for i in range(TERMS // _ROWS_A_VECTOR)]).reshape(TERMS, width + 2)
+    counts, passages = found[:, width], found[0, width + 1]
+    idf = np.log((passages + 1) / (counts + 1)) + 0.1
+    image, omega = found[:, :width] * idf[:, None], random / idf[:, None]  # A'A Omega, Omega
     basis, _ = np.linalg.qr(image)
     # A'A restricted to the basis, from the one pass: B with B (basis' Omega) = basis' A'A Omega.
     small = np.linalg.lstsq((basis.T @ omega).T, (basis.T @ image).T, rcond=None)[0]
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(values)[::-1][:RANK]
     values = np.maximum(values[order], 1e-9 * max(values.max(), 1e-9))
-    return (basis @ (vectors[:, order] / values)).astype(np.float32)
-
-
-@dataclass
-class Space:
-    """The latent vector of an occurrence of each term; its size is fixed by TERMS and RANK."""
-
-    of_term: np.ndarray
-
-    def sums(self, words: Words, starts: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros((0, self.of_term.shape[1]), np.float32)
-        return np.add.reduceat(self.of_term[_terms(words)], starts, axis=0)
-
-
-def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space:
-    """Fitted to all passages of both tables."""
-    both = docs.select(text).unionByName(items.select(text))
-    counts, passages = _document_frequencies(both, text)
-    idf = np.log((passages + 1) / (counts + 1)) + 0.1
-    return Space((_singular_vectors(both, text, idf) * idf[:, None]).astype(np.float32))
+    # Over the eigenvalues: leading directions, which tell little more than the language, get less weight.
+    of_term = (basis @ (vectors[:, order] / values)) * idf[:, None]
+    of_term /= max(float(np.abs(of_term).max()), 1e-30)
+    return Space(np.vstack((of_term, np.zeros((1, RANK)))).astype(np.float32), counts / max(passages, 1))
 
 
 @dataclass
@@ -157,14 +163,12 @@ class Query:
     vector: np.ndarray
     width: int  # steps of its windows
     masks: dict[int, int] = field(default_factory=dict)
-    least: int = 0  # distinct words that any leak has in common with it
+    rare: np.ndarray | None = None  # its rare words
+    least: int = 0  # occurrences of rare words that any leak has
 
     def __post_init__(self) -> None:
         for k, w in enumerate(self.words.tolist()):
             self.masks[w] = self.masks.get(w, 0) | (1 << k)
-        # A common subsequence of so many places has at most this many repeats among them.
-        repeats = len(self.words) - len(self.masks)
-        self.least = math.ceil(min(VERBATIM, PARAPHRASE) * len(self.words)) - repeats
 
 
 def queries(rows: list[tuple], space: Space) -> list[Query]:
@@ -174,12 +178,17 @@ def queries(rows: list[tuple], space: Space) -> list[Query]:
         n = len(words.hashes)
         if n < LEAST_WORDS:
             continue
-        vector = space.sums(words, np.zeros(1, int))[0]
+        vector = space.of_term[_terms(words)].sum(0)
         width = 2
         while n > 1.25 * width * STEP:
             width *= 2
         last = re.split(r"(?<=[.!?])\s+", (text or "").strip())[-1]
-        out.append(Query(item_id, words.hashes, min(len(last.split()), n), vector / max(float(np.linalg.norm(vector)), 1e-9), width))
+        query = Query(item_id, words.hashes, min(len(last.split()), n), vector / max(float(np.linalg.norm(vector)), 1e-30), width)
+        rare = space.frequency[_terms(words)] <= RARE
+        query.rare = np.unique(words.hashes[rare])
+        # A common subsequence of so many of n places has at least this many of rare words.
+        query.least = math.ceil(min(VERBATIM, PARAPHRASE) * n) - int((~rare).sum())
+        out.append(query)
     return out
 
 
@@ -197,44 +206,72 @@ def common(query: Query, words: list[int]) -> tuple[float, float]:
     return found.bit_count() / n, tail.bit_count() / max(query.answer, 1)
 
 
-def _searched(words: Words, space: Space, by_width: dict[int, tuple[np.ndarray, list[Query]]]) -> list[list[dict]]:
-    """The leaks of each text."""
-    first, last = words.at[:-1], words.at[1:]
-    counts = -(-(last - first) // STEP)
-    ends = np.cumsum(counts)
-    text_of = np.repeat(np.arange(len(counts)), counts)
-    starts = (np.arange(len(text_of)) - np.repeat(ends - counts, counts)) * STEP + np.repeat(first, counts)
-    blocks = space.sums(words, starts)
-    best: list[dict] = [{} for _ in counts]
-    window, width = blocks, 1
-    hashes = None
-    for wide in sorted(by_width):
-        while width < wide:  # a window of twice the width, from two that adjoin in the same text
-            wider = window.copy()
-            if len(window) > width:
-                wider[:-width] += window[width:] * (text_of[width:] == text_of[:-width])[:, None]
-            window, width = wider, 2 * width
-        matrix, asked = by_width[wide]
-        norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-        cosine = (window @ matrix) / np.maximum(norm, 1e-9)[:, None]
-        at, which = np.nonzero(cosine >= COSINE)
-        if len(at) and hashes is None:
-            hashes = words.hashes.tolist()
-        margin = max(len(q.words) for q in asked)
-        near, near_of = frozenset(), -1
-        for i, q in zip(at.tolist(), which.tolist()):
-            query, text = asked[q], int(text_of[i])
-            begin, stop = max(int(first[text]), int(starts[i]) - margin), min(int(last[text]), int(starts[i]) + wide * STEP + margin)
-            if near_of != i:
-                near, near_of = frozenset(hashes[begin:stop]), i
-            if len(near & query.masks.keys()) < query.least:
-                continue
-            share, answer = common(query, hashes[begin:stop])
-            if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
-                old = best[text].get((wide, q))
-                if old is None or share > old["common"]:
-                    best[text][wide, q] = {"item_id": query.item_id, "word": int(starts[i] - first[text]), "cosine": float(cosine[i, q]), "common": share, "answer": answer}
-    return [sorted(b.values(), key=lambda x: (x["item_id"], x["word"])) for b in best]
+class Search:
+    """The queries of a block: their vectors by window width, and the rare words that they ask for."""
+
+    def __init__(self, asked: list[Query]) -> None:
+        self.asked = sorted(asked, key=lambda q: q.width)
+        self.rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *(q.rare for q in asked)]))
+        self.has = np.zeros((len(self.rare), len(asked)), np.uint16)
+        for k, q in enumerate(self.asked):
+            self.has[np.searchsorted(self.rare, q.rare), k] = 1
+        self.least = np.array([q.least for q in self.asked])
+
+    def rare_words(self, words: Words, block_of: np.ndarray, blocks: int) -> np.ndarray:
+        """How many words before each block are rare words of each query, shape (blocks + 1, queries)."""
+        counts = np.zeros((blocks + 1, len(self.asked)), np.int32)
+        if len(self.rare):
+            at = np.minimum(np.searchsorted(self.rare, words.hashes), len(self.rare) - 1)
+            hit = np.flatnonzero(self.rare[at] == words.hashes)
+            if len(hit):
+                block = block_of[hit]  # rises
+                first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                counts[block[first] + 1] = np.add.reduceat(self.has[at[hit]], first, axis=0)
+        return np.cumsum(counts, axis=0)
+
+    def leaks(self, words: Words, space: Space) -> list[list[dict]]:
+        """The leaks of each text."""
+        first, last = words.at[:-1], words.at[1:]
+        counts = -(-(last - first) // STEP)
+        ends = np.cumsum(counts)
+        text_of = np.repeat(np.arange(len(counts)), counts)
+        starts = (np.arange(len(text_of)) - np.repeat(ends - counts, counts)) * STEP + np.repeat(first, counts)
+        best: list[dict] = [{} for _ in counts]
+        if not len(starts) or not self.asked:
+            return [[] for _ in counts]
+        window, width = _gathered(space.of_term, words, starts, STEP), 1
+        block_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words.hashes))))
+        rare = self.rare_words(words, block_of, len(starts))
+        low_block, high_block = (ends - counts)[text_of], ends[text_of]
+        hashes = None
+        for wide in sorted({q.width for q in self.asked}):
+            while width < wide:  # a window of twice the width, from two that adjoin in the same text
+                wider = window.copy()
+                if len(window) > width:
+                    wider[:-width] += window[width:] * (text_of[width:] == text_of[:-width])[:, None]
+                window, width = wider, 2 * width
+            own = [k for k, q in enumerate(self.asked) if q.width == wide]
+            matrix = np.array([self.asked[k].vector for k in own], np.float32).T
+            margin = max(len(self.asked[k].words) for k in own)
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-30)
+            cosine = (window @ matrix) / norm[:, None]
+            # Candidates whose neighbourhood, in whole blocks, lacks the rare words can't pass the check.
+            around = -(-margin // STEP)
+            places = np.arange(len(starts))
+            low, high = np.maximum(places - around, low_block), np.minimum(places + wide + around, high_block)
+            enough = (rare[high][:, own] - rare[low][:, own]) >= self.least[own]
+            at, which = np.nonzero((cosine >= COSINE) & enough)
+            if len(at) and hashes is None:
+                hashes = words.hashes.tolist()
+            for i, q in zip(at.tolist(), which.tolist()):
+                query, text = self.asked[own[q]], int(text_of[i])
+                begin, stop = max(int(first[text]), int(starts[i]) - margin), min(int(last[text]), int(starts[i]) + wide * STEP + margin)
+                share, answer = common(query, hashes[begin:stop])
+                if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
+                    old = best[text].get(own[q])
+                    if old is None or share > old["common"]:
+                        best[text][own[q]] = {"item_id": query.item_id, "word": int(starts[i] - first[text]), "cosine": float(cosine[i, q]), "common": share, "answer": answer}
+        return [sorted(b.values(), key=lambda x: (x["item_id"], x["word"])) for b in best]
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
@@ -263,14 +300,11 @@ def with_leaks(docs: DataFrame, items: DataFrame, space: Space | None = None, te
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())]))
     found, parts = docs, []
     for k, block in enumerate(_blocks(items, item_id, text)):
-        by_width: dict[int, list[Query]] = {}
-        for q in queries(block, space):
-            by_width.setdefault(q.width, []).append(q)
-        asked = send({w: (np.array([q.vector for q in qs], np.float32).T, qs) for w, qs in by_width.items()})
+        asked = send(Search(queries(block, space)))
 
         def make(asked=asked, name=f"_leaks_{k}"):
             def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-                return {name: pa.array(_searched(Words(Texts(batch.column(text))), shared.value, asked.value), arrow)}
+                return {name: pa.array(asked.value.leaks(Words(Texts(batch.column(text))), shared.value), arrow)}
 
             return run
 
