@@ -14,7 +14,7 @@ the item and the window's neighbourhood must cover ``VERBATIM`` of the item, or
 Items are the queries; they are handled in blocks of ``BLOCK_BYTES`` of text, so that
 a benchmark of any size is searched against all documents.
 
-Defined results: words are lower-cased by A-Z and split at space and U+0009 to
+Defined results: words are lower-cased and split at space and U+0009 to
 U+000D; a null or empty text has no windows and no leaks; items that are null or
 shorter than ``LEAST_WORDS`` are not searched for; repeated rows are documents of
 their own; of repeated items each is reported; columns other than those named are
@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -46,6 +47,10 @@ RARE = 0.01  # a word is rare if no more of the passages have its term
 _ROWS_A_VECTOR = 16  # rows of the term matrix that travel as one vector
 
 
+def _words(column: pa.Array) -> Words:
+    return Words(Texts(pc.utf8_lower(column)))
+
+
 def _terms(words: Words) -> np.ndarray:
     return (words.hashes >> np.uint64(51)).astype(np.int32)
 
@@ -113,7 +118,7 @@ def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space
         image, some = np.zeros((TERMS, width)), False
         for batch in batches:
             for piece in pieces(batch, text):
-                words = Words(Texts(piece.column(text)))
+                words = _words(piece.column(text))
                 if not len(words.hashes):
                     continue
                 some = True
@@ -174,7 +179,7 @@ class Query:
 def queries(rows: list[tuple], space: Space) -> list[Query]:
     out = []
     for item_id, text in rows:
-        words = Words(Texts(pa.array([text])))
+        words = _words(pa.array([text]))
         n = len(words.hashes)
         if n < LEAST_WORDS:
             continue
@@ -269,7 +274,7 @@ class Search:
                 share, answer = common(query, hashes[begin:stop])
                 if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
                     old = best[text].get(own[q])
-                    if old is None or share > old["common"]:
+                    if old is None or (share, cosine[i, q]) > (old["common"], old["cosine"]):
                         best[text][own[q]] = {"item_id": query.item_id, "word": int(starts[i] - first[text]), "cosine": float(cosine[i, q]), "common": share, "answer": answer}
         return [sorted(b.values(), key=lambda x: (x["item_id"], x["word"])) for b in best]
 
@@ -304,7 +309,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, space: Space | None = None, te
 
         def make(asked=asked, name=f"_leaks_{k}"):
             def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-                return {name: pa.array(asked.value.leaks(Words(Texts(batch.column(text))), shared.value), arrow)}
+                return {name: pa.array(asked.value.leaks(_words(batch.column(text)), shared.value), arrow)}
 
             return run
 
