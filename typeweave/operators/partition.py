@@ -56,22 +56,31 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top / bottom)
 
 
-ALL_PAIRS = pairs_in(F.col("n")).cast("double")
-WALLACE = _ratio(_d("both"), _d("in_a"))
-#: Chance that a pair is alike in b.
-ALIKE_B = _ratio(_d("in_b"), ALL_PAIRS)
-ADJUSTED_WALLACE = F.when(ALIKE_B < 1, (WALLACE - ALIKE_B) / (1 - ALIKE_B))
-_EXPECTED = _ratio(_d("in_a") * _d("in_b"), ALL_PAIRS)
-_MEAN = (_d("in_a") + _d("in_b")) / 2
-#: Two partitions that are both trivial in the same way agree fully.
-ADJUSTED_RAND = F.when(_MEAN == _EXPECTED, 1.0).otherwise((_d("both") - _EXPECTED) / (_MEAN - _EXPECTED))
+def _all_pairs() -> Column:
+    return pairs_in(F.col("n")).cast("double")
+
+
+def _wallace() -> Column:
+    return _ratio(_d("both"), _d("in_a"))
+
+
+def _adjusted_wallace() -> Column:
+    by_chance = _ratio(_d("in_b"), _all_pairs())
+    return F.when(by_chance < 1, (_wallace() - by_chance) / (1 - by_chance))
+
+
+def _adjusted_rand() -> Column:
+    """Two partitions that are both trivial in the same way agree fully."""
+    expected = _ratio(_d("in_a") * _d("in_b"), _all_pairs())
+    mean = (_d("in_a") + _d("in_b")) / 2
+    return F.when(mean == expected, 1.0).otherwise((_d("both") - expected) / (mean - expected))
 
 
 def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Wallace a to b, adjusted Wallace and adjusted Rand index of two partitions."""
     return pair_counts(contingency(df, a, b, by), by).select(
-        *(by or []), F.round(WALLACE, DIGITS).alias("wallace"), F.round(ADJUSTED_WALLACE, DIGITS).alias("adj_wallace"),
-        F.round(ADJUSTED_RAND, DIGITS).alias("ari"), "n",
+        *(by or []), F.round(_wallace(), DIGITS).alias("wallace"), F.round(_adjusted_wallace(), DIGITS).alias("adj_wallace"),
+        F.round(_adjusted_rand(), DIGITS).alias("ari"), "n",
     )
 
 
@@ -196,7 +205,7 @@ def bootstrap(df: DataFrame, row_no: str, a: str, b: str, replicates: int) -> Da
     cells = draws.join(labels, "drawn").where("a IS NOT NULL AND b IS NOT NULL").groupBy("rep", "a", "b").agg(F.sum("times").alias("n"))
     values = (
         pair_counts(cells, ["rep"])
-        .select(ADJUSTED_RAND.alias("ari"), ADJUSTED_WALLACE.alias("adj_wallace"))
+        .select(_adjusted_rand().alias("ari"), _adjusted_wallace().alias("adj_wallace"))
         .unpivot([], ["ari", "adj_wallace"], "statistic", "value")
     )
     both = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))

@@ -23,9 +23,9 @@ def n50(pieces: DataFrame, key: str, length: str) -> DataFrame:
 
     Lengths are counted first, so that the running sum sees distinct lengths only.
     """
-    counts = pieces.where(F.col(length).isNotNull()).groupBy(key, length).agg(F.count(F.lit(1)).alias("k"))
-    totals = counts.groupBy(key).agg(F.sum(F.col("k") * F.col(length)).alias("total"), F.sum("k").alias("pieces"))
-    upto = F.sum(F.col("k") * F.col(length)).over(Window.partitionBy(key).orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, 0))
+    counts = pieces.where(F.col(length).isNotNull()).groupBy(key, length).agg(F.count(F.lit(1)).alias("_k"))
+    totals = counts.groupBy(key).agg(F.sum(F.col("_k") * F.col(length)).alias("total"), F.sum("_k").alias("pieces"))
+    upto = F.sum(F.col("_k") * F.col(length)).over(Window.partitionBy(key).orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, 0))
     reached = counts.withColumn("upto", upto).join(totals, key).where(2 * F.col("upto") >= F.col("total"))
     return reached.groupBy(key).agg(F.max(length).alias("n50"), F.first("total").alias("total"), F.first("pieces").alias("pieces")).select(key, "total", "pieces", "n50")
 
