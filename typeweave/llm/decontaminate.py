@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 
 from typeweave.llm.arrays import Texts, Words, mapped, pieces
 
-TERMS, RANK, EXTRA, SEED = 1 << 13, 112, 16, 11
+TERMS, RANK, EXTRA, SEED = 1 << 13, 56, 8, 11
 PASSAGE, STEP = 32, 16
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.6, 0.6
 LEAST_WORDS, BLOCK_BYTES = 8, 4 << 20
 RARE = 0.01  # a word is rare if no more of the passages have its term
+TASKS_A_CORE = 4
 _ROWS_A_VECTOR = 16  # rows of the term matrix that travel as one vector
 
 
@@ -137,7 +138,8 @@ def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["i", "row"])
 
     both = docs.select(text).unionByName(items.select(text))
-    parts = both.mapInArrow(run, "i int, row array<double>")
+    # Each task sends a matrix of fixed size, so tasks are few: some for each core, whatever the input's files.
+    parts = both.coalesce(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "i int, row array<double>")
     summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).select("i", vector_to_array("row").alias("row"))
     rows = {r["i"]: r["row"] for r in summed.toLocalIterator()}  # TERMS / _ROWS_A_VECTOR rows
     if not rows:
