@@ -13,13 +13,13 @@ dropped by the estimate with one below 1e-8. Otherwise no link is lost:
 * Documents with equal sets are one class with one representative, so groups of
   copies cost one document.
 * A bucket (the documents that share a band key) is never expanded into all its
-  pairs. All members are first compared with one pivot, the member whose buckets
-  are the largest in all, which is the middle of a group of near copies. Then, while
-  a bucket holds members of several components, a member stays open only as long as
-  the shingles that it shares with any member of another component could make up a
-  link; more pivots are taken, and compared with the open members of other
-  components. A pivot has met all members and leaves, so that each bucket ends with
-  one component or without members.
+  pairs. All members are compared with one pivot, the member whose buckets hold most
+  members in all, which is the middle of a group of near copies; then the pivot
+  leaves. A bucket of one component is done. In others a member stays open only as
+  long as the shingles that it shares with any member of another component could
+  make up a link, and it goes on in finer buckets, by the shingles that the pivot
+  lacks (see ``_refined``). Each round has
+  a set number of pairs for each membership.
 
 Sets, edges and components stay tables; the driver sees one flag a round.
 
@@ -49,6 +49,7 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 WORDS64 = -(-HASHES // 64)  # 64-bit words of a bit plane
 SLACK = 0.2
+PIVOTS = 16  # pivots of a finer bucket in the second round; four times as many in each that follows
 MOST_IDS_SENT = 2_000_000  # ids that may be broadcast, 8 bytes each
 _rng = np.random.default_rng(0xD0C5)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -179,36 +180,38 @@ def _may_link(shared: Column, n: Column, m: Column, percent: int) -> Column:
 def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of the nodes with links; ``nodes`` has row_id, planes and bands."""
     keyed = nodes.select(F.col("row_id").alias("node"), F.explode("bands").alias("key"))
-    buckets = handed_over(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size"), "buckets")
-    sized = handed_over(keyed.join(buckets, "key").select("key", "node", "size").distinct(), "bucket-members")
-    weights = handed_over(sized.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    sets = sets_of(weights.select(F.col("node").alias("row_id")))
-    weighed = sized.select("key", "node").join(weights, "node")
-    pivots = handed_over(weighed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("pivot")), "pivots")
-    members = handed_over(sized.select("key", "node").join(pivots, "key").where("node <> pivot"), "active-members")
-    edges = handed_over(confirmed(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, sets, percent), "links")
-    active, pivots_a_bucket = members.select("key", "node"), 16
+    buckets = handed_over(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "buckets")
+    active = handed_over(keyed.join(buckets, "key").distinct(), "bucket-members")
+    sets = sets_of(active.select(F.col("node").alias("row_id")).distinct())
+    edges, pivots_a_bucket = None, 1
     while True:
+        pivots = handed_over(_pivots(active, pivots_a_bucket), "pivots")
+        pairs = active.join(pivots, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        found = confirmed(handed_over(pairs, "pairs"), nodes, sets, percent)
+        edges = handed_over(found if edges is None else edges.union(found), "links")
         joined = components(edges)
-        labelled = active.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        opened = _still_open(handed_over(_mixed(labelled), "open-members"), sets, percent)
+        rest = active.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        first = handed_over(pivots.groupBy("key").agg(F.min_by("pivot", F.struct(-F.col("weight"), F.col("pivot"))).alias("pivot")), "first-pivots")
+        labelled = rest.join(first, "key").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        opened = _still_open(_mixed(labelled), sets, percent)
         if opened.isEmpty():
             return joined
-        salt = F.pmod(F.xxhash64("node"), F.lit(pivots_a_bucket))
-        chosen = handed_over(opened.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "component", "n", "shared")).alias("p")).select("key", "p"), "pivots")
-        x, y = opened, F.col("p")
-        can = (F.col("component") != y["component"]) & _may_link(F.least("shared", y["shared"]), F.col("n"), y["n"], percent)
-        pairs = x.join(chosen, "key").where(can).select(y["node"].alias("a"), F.col("node").alias("b")).distinct()
-        edges = handed_over(edges.union(confirmed(handed_over(pairs, "pairs"), nodes, sets, percent)), "links")
-        met = chosen.select("key", y["node"].alias("node"))
-        active = handed_over(opened.select("key", "node").join(met, ["key", "node"], "left_anti"), "active-members")
-        pivots_a_bucket *= 4
+        active, pivots_a_bucket = handed_over(_refined(opened, sets, percent), "finer-members"), max(PIVOTS, 4 * pivots_a_bucket)
+
+
+def _pivots(active: DataFrame, most: int) -> DataFrame:
+    """(key, pivot, weight): up to ``most`` members of each bucket, those whose buckets hold most members in all."""
+    sizes = active.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = active.join(handed_over(sizes, "bucket-sizes"), "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = active.join(handed_over(weights, "weights"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(most)))
+    heaviest = F.min_by("node", F.struct(-F.col("weight"), F.col("node")))
+    return weighed.groupBy("key", "salt").agg(heaviest.alias("pivot"), F.max("weight").alias("weight")).drop("salt")
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """Members of buckets with several components."""
+    """Members of buckets with several components, written."""
     keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return labelled.join(handed_over(keys, "mixed-buckets"), "key", "left_semi")
+    return handed_over(labelled.join(handed_over(keys, "mixed-buckets"), "key", "left_semi"), "open-members")
 
 
 def _still_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,10 +221,38 @@ def _still_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     known = handed_over(reach(members.select("node", "component").distinct(), sets), "reach")
     sized = members.join(known.drop("component"), "node")
     least = handed_over(sized.groupBy("key").agg(F.min("n").alias("least")), "least-sizes")
-    # The other set has at least the bucket's least size, and at least the needed part of this one's.
-    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    may = sized.join(least, "key").where(_may_link(F.col("shared"), F.col("n"), other, percent)).drop("least")
-    return handed_over(_mixed(handed_over(may, "may-link")), "open-members")
+    may = sized.join(least, "key").where(_may_link(F.col("shared"), F.col("n"), _other(percent), percent)).drop("least")
+    return _mixed(may)
+
+
+def _other(percent: int) -> Column:
+    """The least size of a set that one of n members can have a link with, in a bucket of known least size."""
+    return F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+
+
+def _refined(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of finer buckets for members that have met their bucket's pivot.
+
+    What two members have in common lies within what each has in common with the
+    pivot, unless they share a shingle that the pivot lacks. So a member goes on
+    in a bucket for each shingle that the pivot lacks, and in its old one only if
+    what it has in common with the pivot could make up a link.
+    """
+
+    @F.pandas_udf("struct<both: long, rest: array<long>>")
+    def against(x: pd.Series, c: pd.Series) -> pd.DataFrame:
+        rest = [np.setdiff1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True) for p, q in zip(x, c)]
+        return pd.DataFrame({"both": [len(p) // 8 - len(r) for p, r in zip(x, rest)], "rest": rest})
+
+    side = lambda name: sets.select(F.col("row_id").alias(name), F.col("members").alias(f"set_{name}"))
+    met = opened.select("node", "pivot").distinct().join(side("node"), "node").join(side("pivot"), "pivot")
+    compared = handed_over(met.select("node", "pivot", against("set_node", "set_pivot").alias("x")).select("node", "pivot", "x.both", "x.rest"), "met-pivots")
+    least = handed_over(opened.groupBy("key").agg(F.min("n").alias("least")), "least-sizes")
+    stays = opened.join(compared.select("node", "pivot", "both"), ["node", "pivot"]).join(least, "key").where(_may_link(F.col("both"), F.col("n"), _other(percent), percent))
+    finer = compared.select("node", "pivot", F.explode("rest").alias("shingle")).select(F.xxhash64("pivot", "shingle").alias("key"), "node")
+    every = handed_over(stays.select("key", "node").union(finer).distinct(), "finer-members")
+    shared = every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    return every.join(handed_over(shared, "finer-buckets"), "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
