@@ -113,7 +113,7 @@ def test_base_spans_of_odd_texts(spark):
 def test_secrets_are_learned_and_texts_redacted(spark):
     rng = random.Random(7)
     token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
-    texts = [f'mail x{k}@mail.com now, token = "{token()}" and 10.0.{k}.1 call +1 (222) 555-{1000 + k}.' for k in range(40)] + [f"word abcdefghij1klmnopqrstuvw{k} 1234 5678 9012 345{k % 10}" for k in range(20)]
+    texts = [f'mail x{k}@mail.com now, token = "{token()}" and 10.0.{k}.1 call +1 (222) 555-{1000 + k}.' for k in range(40)] + [f"word abcdefghij1klmnopqrstuvw{k} 12 34" for k in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.candidates(df).cache()
     spans = pii.judged(found, pii.fitted(found)).withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()

@@ -225,7 +225,7 @@ def judged(found: DataFrame, model: dict[str, float], column: str = "candidates"
         odds = lambda c: F.lit(0.0)
     weighed = F.transform(F.col(column), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["strict"].alias("strict"), (1 / (1 + F.exp(-odds(c)))).alias("chance")))
     kept = F.filter(weighed, lambda c: c["strict"] & (c["kind"] != "secret") | (c["chance"] > SURE))
-    return found.withColumn("_kept", kept).drop(column).withColumnRenamed("_kept", out)
+    return found.withColumn("_kept", kept).drop(column, out).withColumnRenamed("_kept", out)
 
 
 def listed(spans: Column) -> Column:
