@@ -163,7 +163,8 @@ def resolution(nodes: DataFrame) -> DataFrame:
 
 def mantel(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """(r, pairs): Pearson's r of two distances over the same pairs; null without variance."""
-    return pairs.agg(F.round(F.nanvl(F.corr(x, y), F.lit(None).cast("double")), 8).alias("r"), F.count(F.lit(1)).alias("pairs"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return pairs.agg(F.round(F.when(spread > 0, F.covar_pop(x, y) / spread), 8).alias("r"), F.count(F.lit(1)).alias("pairs"))
 
 
 def mantel_permutations(pairs: DataFrame, x: str, y: str, permutations: int, seed: int = 42) -> DataFrame:
