@@ -125,7 +125,7 @@ def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space
                 some = True
                 terms = _terms(words)
                 starts, passage = _passages(words)
-                seen = np.unique(passage * TERMS + terms)
+                seen = np.unique((passage * TERMS + terms).astype(np.int32 if len(starts) * TERMS < 1 << 31 else np.int64))
                 total[:, width] += np.bincount(seen % TERMS, minlength=TERMS)
                 total[0, width + 1] += len(starts)
                 _scatter(image, terms, passage, _gathered(padded, words, starts, PASSAGE))
@@ -257,17 +257,17 @@ class Search:
                 if len(window) > width:
                     wider[:-width] += window[width:] * (text_of[width:] == text_of[:-width])[:, None]
                 window, width = wider, 2 * width
-            own = [k for k, q in enumerate(self.asked) if q.width == wide]
+            own = [k for k, q in enumerate(self.asked) if q.width == wide]  # adjoin, as queries are sorted by width
             matrix = np.array([self.asked[k].vector for k in own], np.float32).T
             margin = max(len(self.asked[k].words) for k in own)
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-30)
             cosine = (window @ matrix) / norm[:, None]
+            at, which = np.nonzero(cosine >= COSINE)
             # Candidates whose neighbourhood, in whole blocks, lacks the rare words can't pass the check.
-            around = -(-margin // STEP)
-            places = np.arange(len(starts))
-            low, high = np.maximum(places - around, low_block), np.minimum(places + wide + around, high_block)
-            enough = (rare[high][:, own] - rare[low][:, own]) >= self.least[own]
-            at, which = np.nonzero((cosine >= COSINE) & enough)
+            around, q = -(-margin // STEP), own[0] + which
+            low, high = np.maximum(at - around, low_block[at]), np.minimum(at + wide + around, high_block[at])
+            enough = rare[high, q] - rare[low, q] >= self.least[q]
+            at, which = at[enough], which[enough]
             if len(at) and hashes is None:
                 hashes = words.hashes.tolist()
             for i, q in zip(at.tolist(), which.tolist()):
