@@ -268,3 +268,46 @@ def test_pipeline_runs_on_the_small_tables(spark, sf):
 
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() <= spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def _dice_of_all_anchors(one, two):
+    """Dice ratio over every anchor of both texts, without a sketch and without places."""
+    x, y = (set(zip(h.tolist(), syncmer._times_before(h).tolist())) for h in (syncmer.anchors(t)[0] for t in (one, two)))
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+@pytest.mark.parametrize("insertions", [12, 20, 40, 80])
+def test_scattered_edits_keep_near_copies_alike(insertions):
+    rng = random.Random(insertions)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for _ in range(20):
+        text = "".join(rng.choice(letters) for _ in range(12_000))
+        changed = text
+        for _ in range(insertions):
+            at = rng.randrange(len(changed))
+            changed = changed[:at] + "".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) + changed[at:]
+        assert syncmer.likeness(syncmer.sketch(text), syncmer.sketch(changed)) == pytest.approx(_dice_of_all_anchors(text, changed), abs=0.15)
+
+
+def test_moved_passages_count_and_scattered_words_do_not():
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1_000)) for _ in range(12)]
+    text, moved = "".join(parts), "".join(rng.sample(parts, 12))
+    assert syncmer.likeness(syncmer.sketch(text), syncmer.sketch(moved)) > 0.8
+    found = []
+    for _ in range(20):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(900)]
+        one, two = " ".join(words), " ".join(rng.sample(words, 900))
+        assert _dice_of_all_anchors(one, two) > 0.3
+        found.append(syncmer.likeness(syncmer.sketch(one), syncmer.sketch(two)))
+    assert sum(found) / len(found) < 0.12
+
+
+def test_fingerprints_grow_with_the_text():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400_000))
+    hashes, places = syncmer.sketch(text)
+    assert len(hashes) > 1_500 and len(syncmer.sketch(text[:6_000])[0]) == syncmer.ANCHORS
+    shared = syncmer.likeness((hashes, places), syncmer.sketch(text[:20_000]))
+    assert shared == pytest.approx(_dice_of_all_anchors(text, text[:20_000]), abs=0.03)
+    assert all(np.array_equal(x, y) for x, y in zip(syncmer.read(syncmer.written((hashes, places))), (hashes, places)))

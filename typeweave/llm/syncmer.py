@@ -4,15 +4,19 @@ A closed syncmer is a run of ``K`` code points whose least inner run of ``S``
 code points, by hash, stands at its start or end. Whether a run is one depends
 on nothing around it, so the same passage has the same anchors in any document.
 A fingerprint keeps the ``ANCHORS`` anchors with the least hashes over the whole
-text (fewer if it has fewer) and their places; ``;`` joins ``HASH@PLACE`` in hex,
-by hash. It is a fixed-size sketch of all anchors, not of a prefix. An anchor's
-hash takes in how often the same run was an anchor before, so that a text of
-repeated passages has as many anchors as it has passages.
-
-Two fingerprints are compared over the least hashes of their union. A shared
-anchor counts fully if its shift between the texts is one that at least an
-eighth of the shared anchors agree on, else not: anchors must match in place as
-well. The result is the Dice ratio, 2J / (1 + J), of the estimated overlap J.
+text (fewer if it has fewer), and beyond those all with a hash up to ``ALWAYS``,
+one in ``ONE_IN``, so that it grows with the text; their places are kept with
+them; ``;`` joins ``HASH@PLACE`` in hex, by hash. It is a sketch of all anchors, not
+of a prefix. An anchor's hash takes in how often the same run was an anchor
+before, so that a text of repeated passages has as many anchors as it has passages.
+
+Two fingerprints are compared over the least hashes of their union, up to where
+both are known. Anchors must match in place as well: a shared anchor counts if
+one of the ``NEAR`` shared anchors before or after it stands in the same order in
+both texts and about as far off (within a quarter of the way, and ``DRIFT``), so that
+the shift may drift along the text and passages may move; or if its shift is one
+that at least an eighth of the shared anchors agree on. The result is the Dice
+ratio, 2J / (1 + J), of the estimated overlap J.
 
 Defined results: a null text is empty; texts shorter than ``K`` have one anchor,
 the whole text; the empty text has the empty fingerprint, like only itself;
@@ -33,6 +37,9 @@ from typeweave.llm.arrays import mixed
 from typeweave.sources.tables import shuffle_partitions
 
 K, S, ANCHORS = 8, 3, 64
+ONE_IN = 64
+ALWAYS = np.uint64((1 << 48) // ONE_IN)
+NEAR, DRIFT = 2, 16  # neighbours on each side; code points that the shift may change by whatever the way
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,15 +86,16 @@ def _times_before(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The least ANCHORS distinct hashes, at 48 bits, and the first place of each."""
+    """The least ANCHORS distinct hashes, at 48 bits, and all others up to ALWAYS, with the first place of each."""
     hashes, places = anchors(text)
     hashes = mixed(hashes + _times_before(hashes)) >> np.uint64(16)
     if len(hashes) > 4 * ANCHORS:  # the least few, and those that tie with the last of them
-        few = hashes <= np.partition(hashes, 2 * ANCHORS)[2 * ANCHORS]
+        few = hashes <= max(np.partition(hashes, 2 * ANCHORS)[2 * ANCHORS], ALWAYS)
         if len(np.unique(hashes[few])) >= ANCHORS:
             hashes, places = hashes[few], places[few]
     hashes, first = np.unique(hashes, return_index=True)
-    return hashes[:ANCHORS], places[first[:ANCHORS]]
+    kept = max(ANCHORS, int(np.searchsorted(hashes, ALWAYS, "right")))
+    return hashes[:kept], places[first[:kept]]
 
 
 def written(a: tuple[np.ndarray, np.ndarray]) -> str:
@@ -103,22 +111,33 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """Of two sketches, from 0 to 1."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    # Only where neither sketch is full are all anchors known beyond its last.
-    full = [x[0][-1] for x in (a, b) if len(x[0]) == ANCHORS]
+    # Only where neither sketch is full are all anchors known beyond its last, or beyond ALWAYS.
+    full = [max(x[0][-1], ALWAYS) for x in (a, b) if len(x[0]) >= ANCHORS]
     union = np.union1d(a[0], b[0])
     if full:
         union = union[union <= min(full)]
     both, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     seen = both <= union[-1]
-    shifts = (a[1][at_a] - b[1][at_b])[seen]
-    if not len(shifts):
-        return 0.0
-    _, which, times = np.unique(shifts, return_inverse=True, return_counts=True)
-    placed = int((times[which] * 8 >= len(shifts)).sum())
-    overlap = placed / len(union)
+    overlap = int(_placed(a[1][at_a][seen], b[1][at_b][seen]).sum()) / len(union)
     return 2 * overlap / (1 + overlap)
 
 
+def _placed(at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Which of the shared anchors match in place."""
+    if not len(at_a):
+        return np.zeros(0, bool)
+    order = np.argsort(at_a, kind="stable")
+    at_a, at_b = at_a[order], at_b[order]
+    _, which, times = np.unique(at_a - at_b, return_inverse=True, return_counts=True)
+    placed = times[which] * 8 >= len(at_a)
+    for k in range(1, NEAR + 1):
+        way_a, way_b = at_a[k:] - at_a[:-k], at_b[k:] - at_b[:-k]
+        fit = (way_b > 0) & (np.abs(way_a - way_b) <= DRIFT + np.maximum(way_a, way_b) // 4)
+        placed[k:] |= fit
+        placed[:-k] |= fit
+    return placed
+
+
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of each text."""
 
