@@ -109,6 +109,26 @@ def test_hosts_vote_for_a_container_that_one_page_would_miss(spark):
     assert got[9] == short.strip() and got[0] == long.strip()
 
 
+def test_text_beside_the_winning_container_is_kept(spark):
+    words = lambda n, w: " ".join([w] * n)
+    one = "<body><div class='wrap'><div class='title'><h2>{t}</h2></div><div class='lead'><p>{l}</p></div><div class='text'><p>{x}</p></div><div class='more'><a href=x>{m}</a></div></div></body>"
+    two = "<body><div class='first'><p>{x}</p></div>{m}<div class='second'><p>{l}</p></div></body>"
+    rows = [(n, "http://h.io/", one.format(t=f"head {n}", l=words(20, "lead"), x=words(180, "text"), m="all else")) for n in range(40)]
+    rows.append((40, "http://h.io/", two.format(x=words(60, "first"), l=words(50, "second"), m="loose")))
+    got = {r["page_id"]: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(40):
+        assert got[n]["text"] == "\n".join([f"head {n}", words(20, "lead"), words(180, "text")]) and got[n]["paths"] == [">body>div.wrap"]
+    assert got[40]["text"] == "\n".join([words(60, "first"), "loose", words(50, "second")])
+
+
+def test_region_is_the_least_one_that_holds_all_winners():
+    page = "<body><div class='page'><div class='a'><div class='a1'><p>one</p></div></div><div class='b'><p>small</p></div><div class='c'><div><p>two</p></div></div></div><div class='z'><p>junk</p></div></body>"
+    text, paths = html.extracted(page, {">body>div.page>div.a>div.a1": 5.0, ">body>div.page>div.c>div": 4.0})
+    assert text == "one\nsmall\ntwo" and paths == [">body>div.page"]
+    only = "<body><div class='page'><div class='a'><p>one</p></div></div></body>"
+    assert html.extracted(only, {">body>div.page>div.a": 5.0}) == ("one", [">body>div.page>div.a"])
+
+
 @pytest.mark.parametrize("page, text", [("<", "<"), ("<p", ""), ("a < b <b", "a < b"), ("&amp", "&"), ("</p></div>text", "text"), ("<!-- a", ""), ("<script>x", ""), ("<p title='a>b'>T</p>", "T"), ("<p>a<p>b", "a\nb"), ("x" * 300_000, "x" * 300_000)])
 def test_odd_pages(page, text):
     assert html.extracted(page, {})[0] == text

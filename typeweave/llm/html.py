@@ -6,8 +6,11 @@ ids (digits become ``#``), so that pages of one template share names. The pages
 a host vote: each gives its paths the shares they have of its score. Paths with
 at least a fifth of the host's best vote and a fiftieth of all its votes win, at
 most fifty a host. Each page is then parsed again and its text taken from the
-winning container with most votes and the winners beside it; a page that has
-none of them uses its own best container.
+winning container with most votes and the winners beside it. Votes find the place
+only: every block of the region around it is kept, unless at least half of it is
+links. The region is the least container below the body that holds blocks besides
+the best winner, or the one that also holds all other winners below the body,
+whichever is larger. A page that has no winning path keeps every such block.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers
 and the like are left out wherever they stand, by tag, role, or a word of the
@@ -180,26 +183,45 @@ def shares(page: str) -> dict[str, float]:
     return {p: s / total for p, s in score.items() if s > 0} if total else {}
 
 
+def _region(found: list[tuple[str, list[str], int]], ranked: list[str], best: str) -> str:
+    """The container around the first of the ranked paths whose blocks are kept, best or one that holds it."""
+    first = ranked[0]
+    paths = next(p for _, p, _ in found if first in p)
+    above = [p for p in paths[: paths.index(first)] if not re.match(r"body(?![\w-])", p.rpartition(">")[2])]  # outermost first
+    beside = {p for text, own, links in found if first not in own and 2 * links < len(text) for p in own}
+    wrapper = next((p for p in reversed(above) if p in beside), first)
+    others = [p for p in ranked if p != first and not p.startswith(first + ">") and not first.startswith(p + ">")]
+    shared = [next((p for p in reversed(above) if other.startswith(p + ">")), first) for other in others]
+    return min([best, wrapper, *shared], key=len)  # all hold the first, so the shortest holds the others
+
+
 def extracted(page: str, votes: dict[str, float]) -> tuple[str, list[str]]:
     """The page's text and the container paths that it was taken from."""
     found = list(blocks(page))
     present = {p for _, paths, _ in found for p in paths}
     ranked = sorted((p for p in present if p in votes), key=lambda p: (-votes[p], p))
-    if not ranked:
+    everywhere = not ranked
+    if everywhere:
         votes = shares(page)
-        ranked = sorted(votes, key=lambda p: (-votes[p], p))[:1]
+        ranked = sorted(votes, key=lambda p: (-votes[p], p))
     if not ranked:
         return "\n".join(t for t, _, _ in found), []
     best = ranked[0]
     for path in ranked[1:]:
         if best.startswith(path + ">") and path.count(">") > 1 and votes[path] >= PARENT_PART * votes[ranked[0]]:
             best = path
-    chosen = [best]
+    region = _region(found, ranked, best)
+    taken, chosen = {best}, [region]
     for path in ranked:
-        if not any(path == c or path.startswith(c + ">") or c.startswith(path + ">") for c in chosen):
-            chosen.append(path)
-    taken = set(chosen)
-    return "\n".join(t for t, paths, _ in found if taken.intersection(paths)), chosen
+        if not any(path == c or path.startswith(c + ">") or c.startswith(path + ">") for c in taken):
+            taken.add(path)
+            if not path.startswith(region + ">"):
+                chosen.append(path)
+    texts = []
+    for text, paths, links in found:
+        if taken.intersection(paths) or ((everywhere or region in paths) and 2 * links < len(text)):
+            texts.append(text)
+    return "\n".join(texts), chosen
 
 
 def winning_paths(pages: DataFrame, page: str) -> DataFrame:
