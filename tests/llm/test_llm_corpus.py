@@ -236,6 +236,26 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert decontaminate.with_leaks(df.where("false"), bench).count() == 0
 
 
+def test_questions_long_runs_short_items_and_items_without_id_leak(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdgkt" for b in "aeiou" for c in ("", "n", "r", "st", "lo", "mi")]
+    prose = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(vocabulary) for _ in range(n))
+    asked, long, edited = f"{prose(30)}. {prose(10)}.", f"{prose(150)}. {prose(50)}.", f"{prose(30)}. {prose(30)}."
+    items = [(1, asked), (2, long), (3, edited), (4, "Mitochondria are small"), (None, f"{prose(20)}. {prose(3)}."), (5, f"{prose(9)}.")]
+    changed = edited.split()[:30]
+    for k in (6, 13, 20, 27):  # leaves no run of RUN words
+        changed[k] = "other"
+    parts = {
+        10: " ".join(asked.split()[:30]), 11: " ".join(long.split()[40:100]), 12: " ".join(changed), 13: "mitochondria ARE small",
+        14: items[4][1], 15: " ".join(long.split()[60:75]),
+    }
+    docs = [(d, f"{prose(100)} {text} {prose(80)}") for d, text in parts.items()]
+    docs += [(20 + k, prose(300)) for k in range(40)] + [(70, f"{prose(9)} mitochondria are"), (71, f"small {prose(9)}"), (72, " ".join(long.split()[:9]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], x["item_id"]) for r in decontaminate.with_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect() for x in r["leaks"]}
+    assert got == {(10, 1), (11, 2), (12, 3), (13, 4), (14, None), (15, 2)}
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, sf, duck):
     import corpus_pipeline
 

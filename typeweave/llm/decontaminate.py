@@ -9,15 +9,19 @@ latent space, scaled by the singular values, every window of every document
 (steps of ``STEP`` words, about as wide as the item) is compared with every item by
 cosine. Candidates are checked word by word: the longest common subsequence of
 the item and the window's neighbourhood must cover ``VERBATIM`` of the item, or
-``PARAPHRASE`` of it and as much of its answer, the last sentence.
+``PARAPHRASE`` of it and as much of its answer, the last sentence. What comes before
+the answer is searched for as well, in windows of its own width, and leaks where
+``VERBATIM`` of it is covered. Apart from the windows, any ``RUN`` words of an item that
+follow each other in a document are a leak; all runs of all items are looked up.
 
 Items are the queries; they are handled in blocks of ``BLOCK_BYTES`` of text, so that
 a benchmark of any size is searched against all documents.
 
 Defined results: words are lower-cased and split at space and U+0009 to
 U+000D; a null or empty text has no windows and no leaks; items that are null or
-shorter than ``LEAST_WORDS`` are not searched for; repeated rows are documents of
-their own; of repeated items each is reported; columns other than those named are
+without words are not searched for, and those shorter than ``LEAST_WORDS`` leak where
+all their words follow each other; an item without an id has a null item_id in the
+leaks, after the others; repeated rows are documents of their own; of repeated items each is reported; columns other than those named are
 kept, and one named like the result is replaced; an empty table gives no rows, and
 without items nothing leaks.
 """
@@ -42,9 +46,10 @@ from typeweave.llm.arrays import Texts, Words, mapped, pieces
 TERMS, RANK, EXTRA, SEED = 1 << 13, 56, 8, 11
 PASSAGE, STEP = 32, 16
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.6, 0.6
-LEAST_WORDS, BLOCK_BYTES = 8, 4 << 20
+LEAST_WORDS, RUN, BLOCK_BYTES = 8, 13, 4 << 20
 RARE = 0.01  # a word is rare if no more of the passages have its term
 TASKS_A_CORE = 4
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 _ROWS_A_VECTOR = 16  # rows of the term matrix that travel as one vector
 
 
@@ -162,7 +167,7 @@ def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space
 
 @dataclass
 class Query:
-    """An item to search for."""
+    """An item to search for, or what comes before the answer of a whole one."""
 
     item_id: object
     words: np.ndarray
@@ -172,6 +177,7 @@ class Query:
     masks: dict[int, int] = field(default_factory=dict)
     rare: np.ndarray | None = None  # its rare words
     least: int = 0  # occurrences of rare words that any leak has
+    whole: Query | None = None
 
     def __post_init__(self) -> None:
         for k, w in enumerate(self.words.tolist()):
@@ -183,22 +189,33 @@ def queries(rows: list[tuple], space: Space) -> list[Query]:
     for item_id, text in rows:
         words = _words(pa.array([text]))
         n = len(words.hashes)
-        if n < LEAST_WORDS:
+        if not n:
             continue
-        vector = space.of_term[_terms(words)].sum(0)
-        width = 2
-        while n > 1.25 * width * STEP:
-            width *= 2
         last = re.split(r"(?<=[.!?])\s+", (text or "").strip())[-1]
-        query = Query(item_id, words.hashes, min(len(last.split()), n), vector / max(float(np.linalg.norm(vector)), 1e-30), width)
-        rare = space.frequency[_terms(words)] <= RARE
-        query.rare = np.unique(words.hashes[rare])
-        # A common subsequence of so many of n places has at least this many of rare words.
-        query.least = math.ceil(min(VERBATIM, PARAPHRASE) * n) - int((~rare).sum())
-        out.append(query)
+        item = _query(item_id, words, n, min(len(last.split()), n), min(VERBATIM, PARAPHRASE), space)
+        out.append(item)
+        if LEAST_WORDS <= n - item.answer < n:
+            question = _query(item_id, words, n - item.answer, 0, VERBATIM, space)
+            question.whole = item
+            out.append(question)
     return out
 
 
+def _query(item_id: object, words: Words, n: int, answer: int, part: float, space: Space) -> Query:
+    """Of the first n words; a leak covers at least the given part of them."""
+    terms = _terms(words)[:n]
+    vector = space.of_term[terms].sum(0)
+    width = 2
+    while n > 1.25 * width * STEP:
+        width *= 2
+    query = Query(item_id, words.hashes[:n], answer, vector / max(float(np.linalg.norm(vector)), 1e-30), width)
+    rare = space.frequency[terms] <= RARE
+    query.rare = np.unique(query.words[rare])
+    # A common subsequence of so many of n places has at least this many of rare words.
+    query.least = math.ceil(part * n) - int((~rare).sum())
+    return query
+
+
 def common(query: Query, words: list[int]) -> tuple[float, float]:
     """The parts of the item, and of its answer, in a longest common subsequence with the words; bits of one integer are the item's places."""
     n = len(query.words)
@@ -213,13 +230,38 @@ def common(query: Query, words: list[int]) -> tuple[float, float]:
     return found.bit_count() / n, tail.bit_count() / max(query.answer, 1)
 
 
+def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    total = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
+    for k in range(n):
+        total *= _TIMES
+        total += hashes[k : k + len(total)]
+    return total
+
+
 class Search:
-    """The queries of a block: their vectors by window width, and the rare words that they ask for."""
+    """The queries of a block: their vectors by window width, the rare words that they ask for, and the items' runs by length."""
 
     def __init__(self, asked: list[Query]) -> None:
-        self.asked = sorted(asked, key=lambda q: q.width)
-        self.rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *(q.rare for q in asked)]))
-        self.has = np.zeros((len(self.rare), len(asked)), np.uint16)
+        self.items = [q for q in asked if q.whole is None]
+        place = {id(q): k for k, q in enumerate(self.items)}
+        self.asked = sorted((q for q in asked if len(q.words) >= LEAST_WORDS), key=lambda q: q.width)
+        self.item_of = [place[id(q.whole or q)] for q in self.asked]
+        found: dict[int, tuple[list, list]] = {}
+        for k, q in enumerate(self.items):
+            n = RUN if len(q.words) >= LEAST_WORDS else len(q.words)
+            runs = np.unique(_runs(q.words, n))
+            if len(runs):
+                hashes, items = found.setdefault(n, ([], []))
+                hashes.append(runs)
+                items.append(np.full(len(runs), k))
+        self.runs = {}
+        for n, (hashes, items) in found.items():
+            hashes, items = np.concatenate(hashes), np.concatenate(items)
+            order = np.argsort(hashes, kind="stable")
+            self.runs[n] = hashes[order], items[order]
+        self.rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *(q.rare for q in self.asked)]))
+        self.has = np.zeros((len(self.rare), len(self.asked)), np.uint16)
         for k, q in enumerate(self.asked):
             self.has[np.searchsorted(self.rare, q.rare), k] = 1
         self.least = np.array([q.least for q in self.asked])
@@ -244,8 +286,9 @@ class Search:
         text_of = np.repeat(np.arange(len(counts)), counts)
         starts = (np.arange(len(text_of)) - np.repeat(ends - counts, counts)) * STEP + np.repeat(first, counts)
         best: list[dict] = [{} for _ in counts]
-        if not len(starts) or not self.asked:
+        if not len(starts) or not self.items:
             return [[] for _ in counts]
+        self._add_runs(best, words, space)
         window, width = _gathered(space.of_term, words, starts, STEP), 1
         block_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words.hashes))))
         rare = self.rare_words(words, block_of, len(starts))
@@ -274,16 +317,46 @@ class Search:
                 query, text = self.asked[own[q]], int(text_of[i])
                 begin, stop = max(int(first[text]), int(starts[i]) - margin), min(int(last[text]), int(starts[i]) + wide * STEP + margin)
                 share, answer = common(query, hashes[begin:stop])
-                if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
-                    old = best[text].get(own[q])
-                    if old is None or (share, cosine[i, q]) > (old["common"], old["cosine"]):
-                        best[text][own[q]] = {"item_id": query.item_id, "word": int(starts[i] - first[text]), "cosine": float(cosine[i, q]), "common": share, "answer": answer}
-        return [sorted(b.values(), key=lambda x: (x["item_id"], x["word"])) for b in best]
+                if share >= VERBATIM or (query.whole is None and share >= PARAPHRASE and answer >= ANSWER):
+                    if query.whole is not None:
+                        share, answer = common(query.whole, hashes[begin:stop])
+                    _keep(best[text], self.item_of[own[q]], query.item_id, int(starts[i] - first[text]), float(cosine[i, q]), share, answer)
+        return [sorted(b.values(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["word"])) for b in best]
+
+    def _add_runs(self, best: list[dict], words: Words, space: Space) -> None:
+        """Adds the leaks by runs: all words of a short item, RUN words of any other."""
+        terms = None
+        for n, (hashes, items) in self.runs.items():
+            runs = _runs(words.hashes, n)
+            hit = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, runs), len(hashes) - 1)] == runs)
+            text_of = np.searchsorted(words.at, hit, "right") - 1
+            inside = hit + n <= words.at[text_of + 1]
+            hit, text_of = hit[inside], text_of[inside]
+            low, high = np.searchsorted(hashes, runs[hit], "left"), np.searchsorted(hashes, runs[hit], "right")
+            beyond: dict[tuple[int, int], int] = {}  # a run is read with its neighbourhood, so the next few needn't be
+            for at, text, some, stop in zip(hit.tolist(), text_of.tolist(), low.tolist(), high.tolist()):
+                for k in items[some:stop].tolist():
+                    query, long = self.items[k], len(self.items[k].words)
+                    if at < beyond.get((text, k), 0):
+                        continue
+                    beyond[text, k] = at + long if n == RUN else int(words.at[text + 1])
+                    terms = _terms(words) if terms is None else terms
+                    begin, end = max(int(words.at[text]), at - long), min(int(words.at[text + 1]), at + 2 * long)
+                    vector = space.of_term[terms[at : min(at + long, end)]].sum(0)
+                    cosine = float(vector @ query.vector) / max(float(np.linalg.norm(vector)), 1e-30)
+                    _keep(best[text], k, query.item_id, int(at - words.at[text]), cosine, *common(query, words.hashes[begin:end].tolist()))
+
+
+def _keep(best: dict, k: int, item_id: object, word: int, cosine: float, share: float, answer: float) -> None:
+    """The best leak of each item."""
+    old = best.get(k)
+    if old is None or (share, cosine) > (old["common"], old["cosine"]):
+        best[k] = {"item_id": item_id, "word": word, "cosine": cosine, "common": share, "answer": answer}
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
     block, size = [], 0
-    for row in items.select(item_id, text).where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).orderBy(item_id, text).toLocalIterator():
+    for row in items.select(item_id, text).where(F.col(text).isNotNull()).orderBy(item_id, text).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1].encode())
         if size > BLOCK_BYTES:
