@@ -252,3 +252,10 @@ def test_newick_keeps_every_leaf(text):
     nodes = newick.parse(text + ";")
     assert sum(n["leaf"] for n in nodes) == text.count("t")
     assert all(n["path"][-1] == i for i, n in enumerate(nodes))
+
+
+def test_mantel_query_has_the_references_permutations(spark, sf):
+    from typeweave.jobs.trees import q_mantel_perm
+
+    got = q_mantel_perm(spark, sf).first()
+    assert got["permutations"] == 9_999 and 1 / 10_000 <= got["p"] <= 1

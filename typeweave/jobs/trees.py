@@ -96,7 +96,7 @@ def q_mantel(spark, sf_dir):
 
 
 def q_mantel_perm(spark, sf_dir):
-    return T.mantel_permutations(_pairs(spark, sf_dir), "distance", "gap", 199)
+    return T.mantel_permutations(_pairs(spark, sf_dir), "distance", "gap", 9_999)
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
