@@ -259,3 +259,13 @@ def test_mantel_query_has_the_references_permutations(spark, sf):
 
     got = q_mantel_perm(spark, sf).first()
     assert got["permutations"] == 9_999 and 1 / 10_000 <= got["p"] <= 1
+
+
+def test_informative_sites_are_counted_to_the_end(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("acgt"), size)) for size in rng.integers(60, 200, 12)]
+    got = {r["site"]: (r["states"], r["informative"]) for r in seq.informative_sites(rows(spark, [(t,) for t in texts], "t string"), "t").collect()}
+    for site in range(max(map(len, texts))):
+        column = [t[site].upper() for t in texts if site < len(t)]
+        assert got.pop(site) == (len(set(column)), sum(column.count(c) >= 2 for c in set(column)) >= 2)
+    assert not got

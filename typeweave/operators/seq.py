@@ -67,13 +67,14 @@ def concatenated(blocks: DataFrame, key: str, order: str, seq: str) -> DataFrame
     return blocks.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("seq"))
 
 
-def informative_sites(rows: DataFrame, seq: str, width: int) -> DataFrame:
+def informative_sites(rows: DataFrame, seq: str, width: int | None = None) -> DataFrame:
     """(site, states, informative): a site is informative if two states or more each stand in two rows or more.
 
-    Sites are 0-based. Counting is partial in each task, so only site and state
+    Sites are 0-based, and all are counted unless ``width`` gives how many. Counting is partial in each task, so only site and state
     counts are shuffled.
     """
-    site = rows.select(F.posexplode(F.split(F.substring(ascii_upper(F.col(seq)), 1, width), "")).alias("site", "state")).where("state <> ''")
+    states = ascii_upper(F.col(seq)) if width is None else F.substring(ascii_upper(F.col(seq)), 1, width)
+    site = rows.select(F.posexplode(F.split(states, "")).alias("site", "state")).where("state <> ''")
     counts = site.groupBy("site", "state").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("site").agg(F.count(F.lit(1)).alias("states"), (F.count_if(F.col("n") >= 2) >= 2).alias("informative"))
 
