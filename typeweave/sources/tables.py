@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder of this machine is taken and kept in the
-    session for later calls.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and
+    the master is local, as in tests, a temporary folder of this machine is taken
+    and kept in the session for later calls; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("typeweave.scratch.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="typeweave-")
         spark.conf.set("typeweave.scratch.dir", folder)
     return folder.rstrip("/")
@@ -42,5 +45,14 @@ def handed_over(df: DataFrame, what: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Removes the files of a table that ``handed_over`` gave and nothing reads any more; other files stay."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.startswith(shared_folder(spark)) or folder.removeprefix("file://").startswith(shared_folder(spark).removeprefix("file://")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
