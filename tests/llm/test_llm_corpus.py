@@ -61,6 +61,24 @@ def test_near_duplicates_of_graded_copies_against_all_pairs(spark):
         assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def test_a_large_group_of_near_copies_and_repeated_rows_against_all_pairs(spark):
+    """300 different near copies, a third of them below 0.8 to the middle; some rows stand twice, some ids have two texts."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = [near_copies(rng, base, k % 9) for k in range(300)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[60:80]] + [near_copies(rng, texts[8].split(), 1) for _ in range(3)]
+    middle = shingles(texts[0], 4)
+    below = sum(100 * len(middle & s) < 80 * len(middle | s) for s in (shingles(t, 4) for t in texts))
+    assert below > 90
+    rows = list(enumerate(texts))
+    rows += rows[::7] * 2 + [(rows[5][0], texts[8]), (900, texts[7]), (900, "quite another text of its own here")]
+    rng.shuffle(rows)
+    want, _ = brute_components(rows, 4)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=4).collect()
+    assert Counter(r["row_id"] for r in got) == Counter(i for i, _ in rows)
+    assert all(r["component_id"] == want[r["row_id"]] for r in got)
+
+
 def test_near_duplicates_of_null_ids_repeats_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     got = Counter((r["row_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())

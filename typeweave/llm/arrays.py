@@ -7,6 +7,7 @@ longer text makes a larger piece, as whole texts are never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,10 +70,19 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str
             for piece in pieces(batch, text):
                 made = function(piece)
                 yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + [made[n] for n in new.names], names + new.names)
+        released()
 
     return df.mapInArrow(run, T.StructType(kept + new.fields))
 
 
+def released() -> None:
+    """Gives what a task has freed back to the system: Python workers are kept for later tasks, beside which it would still count."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all others."""
     h = h ^ (h >> np.uint64(30))

@@ -10,25 +10,28 @@ deviations) below the threshold. The others are confirmed on the full sets.
 Two documents of similarity 0.8 share no band with a chance of 1.2e-7, and are
 dropped by the estimate with one below 1e-8. Otherwise no link is lost:
 
-* Documents with equal sets are one class with one representative, so groups of
-  copies cost one document.
-* A bucket (the documents that share a band key) is never expanded into all its
-  pairs. All members are first compared with one pivot, the member whose buckets
-  are the largest in all, which is the middle of a group of near copies. Then, while
-  a bucket holds members of several components, a member stays open only as long as
-  the shingles that it shares with any member of another component could make up a
-  link; more pivots are taken, and compared with the open members of other
-  components. A pivot has met all members and leaves, so that each bucket ends with
-  one component or without members.
-
-Sets, edges and components stay tables; the driver sees one flag a round.
+* Documents with equal sets are one node, so groups of copies cost one document. A
+  node is named by a 64-bit sum over its set; among 5e10 different sets some 70 pairs
+  would share a name.
+* The nodes of a band key are a bucket. In one of at most ``SMALL`` nodes all pairs are
+  candidates, a bounded number for each node.
+* Nodes of larger buckets are hot, and their buckets aren't expanded into pairs. First
+  each is a candidate with one pivot, the node of its buckets that stands in the most
+  and largest ones, which is the middle of a group of near copies. Confirmed links
+  make components. Hot nodes that share a bucket with another component are then
+  searched exactly (``between``): only shingles that stand in several components
+  count, of these a prefix of the rarest is looked up, and by the places of a shingle
+  in both sets and the sets' sizes, pairs that can't have the overlap aren't made.
+
+Sets, edges and components stay tables; the driver sees counts and flags.
 
 Defined results: words are split at space and U+0009 to U+000D after A-Z became
 a-z; a text with fewer words than a shingle has one, its whole sequence; a null
-text or one without words has none and is linked with nothing. Rows of one id are
-one document, and are linked by any of their texts. A row with a null id is
-linked with nothing, is kept, and has a null component. Other columns are left
-out; an empty table gives no rows.
+text or one without words has none and is linked with nothing. Very long texts are
+handled whole, as arrays of one task. Rows of one id are
+one document, and are linked by any of their texts; repeated rows are one. A row with a
+null id is linked with nothing, is kept, and has a null component. Other columns are
+left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,9 +39,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeweave.llm.arrays import Texts, Words, distinct_by_text, mapped, mixed
@@ -49,7 +51,8 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 WORDS64 = -(-HASHES // 64)  # 64-bit words of a bit plane
 SLACK = 0.2
-MOST_IDS_SENT = 2_000_000  # ids that may be broadcast, 8 bytes each
+SMALL = 8  # nodes of a bucket whose pairs are all candidates
+MOST_IDS_SENT = 500_000  # ids that may be broadcast, 8 bytes each
 _rng = np.random.default_rng(0xD0C5)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _TIMES = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -73,17 +76,13 @@ def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
-    """(row_id, n_shingles, set_a, set_b, planes, bands) of each document; equal sets have equal (set_a, set_b)."""
+    """(row_id, n_shingles, node, planes, bands) of each row; equal sets have one node, and a row without shingles has none."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             sets, at = shingle_sets(batch.column("text"), n)
             size = np.diff(at)
             some = size > 0
-            sums, bits = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-            if some.any():
-                sums[some] = np.add.reduceat(mixed(sets ^ np.uint64(5)), at[:-1][some])
-                bits[some] = np.bitwise_xor.reduceat(mixed(sets ^ np.uint64(6)), at[:-1][some])
             least = minima(sets, at)
             keys = mixed((least.reshape(-1, BANDS, ROWS).astype(np.uint64) * _SLOT).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
             padded = np.zeros((len(least), WORDS64 * 64), np.uint8)
@@ -94,8 +93,7 @@ def sketches(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
             packed = np.concatenate(planes, axis=1)
             return {
                 "n_shingles": pa.array(size),
-                "set_a": pa.array(sums.view(np.int64)),
-                "set_b": pa.array(bits.view(np.int64)),
+                "node": pa.array(_names(sets, at), mask=~some),
                 "planes": _lists(packed, some),
                 "bands": _lists(keys.view(np.int64), some),
             }
@@ -103,7 +101,16 @@ def sketches(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
         return run
 
     slim = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    return mapped(slim, make, "n_shingles long, set_a long, set_b long, planes array<long>, bands array<long>", "text", drop=("text",))
+    return mapped(slim, make, "n_shingles long, node long, planes array<long>, bands array<long>", "text", drop=("text",))
+
+
+def _names(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each set: a sum over its members."""
+    size = np.diff(at)
+    out = np.zeros(len(size), np.uint64)
+    if len(sets):
+        out[size > 0] = np.add.reduceat(mixed(sets ^ np.uint64(5)), at[:-1][size > 0])
+    return out.view(np.int64)
 
 
 def _lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
@@ -118,130 +125,120 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
-    """(row_id, members) for the ids in ``wanted``: the sorted distinct shingle hashes, as bytes."""
+    """(node, members) of the rows whose ids are in ``wanted``: the distinct shingle hashes."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             sets, at = shingle_sets(batch.column("text"), n)
-            return {"members": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(at * 8), pa.py_buffer(sets)]).cast(pa.binary())}
+            return {"node": pa.array(_names(sets, at)), "members": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))}
 
         return run
 
     # A few ids are sent to the texts; only beyond that are the texts dealt out to the ids.
     ids = F.broadcast(wanted) if wanted.count() <= MOST_IDS_SENT else wanted
     texts = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).join(ids, "row_id", "left_semi")
-    return handed_over(mapped(texts, make, "members binary", "text", drop=("text",)), "shingle-sets")
+    return mapped(texts, make, "node long, members array<long>", "text", drop=("text",)).select("node", "members")
 
 
-def confirmed(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
-    planes = lambda side: sketched.select(F.col("row_id").alias(side), F.col("planes").alias(f"planes_{side}"))
-    likely = handed_over(
-        pairs.join(planes("a"), "a").join(planes("b"), "b")
-        .where(estimate(F.col("planes_a"), F.col("planes_b")) >= percent / 100 - SLACK).select("a", "b").distinct(),
-        "likely-pairs",
-    )
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose estimate isn't far below the threshold."""
+    planes = lambda side: nodes.select(F.col("node").alias(side), F.col("planes").alias(f"planes_{side}"))
+    near = estimate(F.col("planes_a"), F.col("planes_b")) >= percent / 100 - SLACK
+    return handed_over(pairs.join(planes("a"), "a").join(planes("b"), "b").where(near).select("a", "b"), "likely-pairs")
+
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            out.append(100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
-
-    side = lambda name: sets.select(F.col("row_id").alias(name), F.col("members").alias(f"set_{name}"))
-    # b is the member and a the pivot, so a is the key that can be hot; both sides of its join are splittable.
-    return likely.join(side("b"), "b").join(side("a"), "a").where(alike("set_a", "set_b")).select("a", "b").distinct()
-
-
-def reach(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component, n, shared): how many of a node's n shingles stand in an open node of another component."""
-
-    @F.pandas_udf("array<long>")
-    def hashes(column: pd.Series) -> pd.Series:
-        return column.map(lambda b: np.frombuffer(b, np.int64))
-
-    each = open_nodes.join(sets.withColumnRenamed("row_id", "node"), "node").select("node", "component", F.explode(hashes("members")).alias("shingle"))
-    each = handed_over(each, "open-shingles")
-    wide = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", F.lit(1).alias("wide"))
-    counted = each.join(handed_over(wide, "wide-shingles"), "shingle", "left").groupBy("node", "component")
-    return counted.agg(F.count(F.lit(1)).alias("n"), F.count("wide").alias("shared"))
-
-
-def _may_link(shared: Column, n: Column, m: Column, percent: int) -> Column:
-    """Whether sets of n and m members with at most so many in common can have the similarity."""
-    both = F.least(shared, n, m)
-    return 100 * both >= percent * (n + m - both)
-
-
-def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, component) of the nodes with links; ``nodes`` has row_id, planes and bands."""
-    keyed = nodes.select(F.col("row_id").alias("node"), F.explode("bands").alias("key"))
-    buckets = handed_over(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size"), "buckets")
-    sized = handed_over(keyed.join(buckets, "key").select("key", "node", "size").distinct(), "bucket-members")
-    weights = handed_over(sized.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    sets = sets_of(weights.select(F.col("node").alias("row_id")))
-    weighed = sized.select("key", "node").join(weights, "node")
-    pivots = handed_over(weighed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("pivot")), "pivots")
-    members = handed_over(sized.select("key", "node").join(pivots, "key").where("node <> pivot"), "active-members")
-    edges = handed_over(confirmed(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, sets, percent), "links")
-    active, pivots_a_bucket = members.select("key", "node"), 16
-    while True:
-        joined = components(edges)
-        labelled = active.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        opened = _still_open(handed_over(_mixed(labelled), "open-members"), sets, percent)
-        if opened.isEmpty():
-            return joined
-        salt = F.pmod(F.xxhash64("node"), F.lit(pivots_a_bucket))
-        chosen = handed_over(opened.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "component", "n", "shared")).alias("p")).select("key", "p"), "pivots")
-        x, y = opened, F.col("p")
-        can = (F.col("component") != y["component"]) & _may_link(F.least("shared", y["shared"]), F.col("n"), y["n"], percent)
-        pairs = x.join(chosen, "key").where(can).select(y["node"].alias("a"), F.col("node").alias("b")).distinct()
-        edges = handed_over(edges.union(confirmed(handed_over(pairs, "pairs"), nodes, sets, percent)), "links")
-        met = chosen.select("key", y["node"].alias("node"))
-        active = handed_over(opened.select("key", "node").join(met, ["key", "node"], "left_anti"), "active-members")
-        pivots_a_bucket *= 4
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"set_{name}"))
+    both, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    # b is the node and a the pivot, so a is the key that can be hot; both sides of its join are splittable.
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(100 * both >= percent * (total - both)).select("a", "b")
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """Members of buckets with several components."""
+    """(node, component) of those that share a bucket with another component."""
     keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return labelled.join(handed_over(keys, "mixed-buckets"), "key", "left_semi")
-
-
-def _still_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members (with n and shared) that may still have a link into another component, in buckets with several of those."""
-    if members.isEmpty():
-        return members
-    known = handed_over(reach(members.select("node", "component").distinct(), sets), "reach")
-    sized = members.join(known.drop("component"), "node")
-    least = handed_over(sized.groupBy("key").agg(F.min("n").alias("least")), "least-sizes")
-    # The other set has at least the bucket's least size, and at least the needed part of this one's.
-    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    may = sized.join(least, "key").where(_may_link(F.col("shared"), F.col("n"), other, percent)).drop("least")
-    return handed_over(_mixed(handed_over(may, "may-link")), "open-members")
+    return labelled.join(handed_over(keys, "mixed-buckets"), "key", "left_semi").select("node", "component").distinct()
+
+
+def between(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) among (node, component) rows that hold all links between different components.
+
+    A link needs ``need`` common shingles, and these stand in both components. So a
+    node's shingles that stand in one component alone are left out, the others are
+    ordered from the rarest, and ``rest`` is how many there are from one on. At the
+    first shingle that two linked nodes have in common, both rests are ``need`` at
+    least, which also leaves only a prefix of each node's shingles to look up. Sizes
+    that are out of reach are ruled out before nodes are met. The component with the
+    most nodes of a shingle isn't compared with itself.
+    """
+    need = lambda n, m: F.ceil(percent * (n + m) / F.lit(100.0 + percent))
+    members = sets.select("node", F.size("members").cast("bigint").alias("n"), F.explode("members").alias("shingle"))
+    each = handed_over(open_nodes.join(members, "node"), "open-shingles")
+    wide = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("often")).where("low < high")
+    held = each.join(handed_over(wide.select("shingle", "often"), "wide-shingles"), "shingle")
+    own = Window.partitionBy("node")  # rows of one set
+    rest = F.count(F.lit(1)).over(own) + 1 - F.row_number().over(own.orderBy("often", "shingle"))
+    prefix = handed_over(held.withColumn("rest", rest).where(100 * F.col("rest") >= percent * F.col("n")).drop("often"), "prefixes")
+    most = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
+    most = most.agg(F.max(F.struct("k", "component")).alias("most"), F.count(F.lit(1)).alias("components")).where("components > 1").select("shingle", F.col("most.component").alias("most"))
+    sizes = handed_over(prefix.groupBy("shingle", F.col("n").alias("m")).agg(F.max("rest").alias("reach")), "prefix-sizes")
+    asked = prefix.join(handed_over(most, "prefix-components"), "shingle").where("component <> most")
+    asked = handed_over(asked.join(sizes, "shingle").where(F.least("rest", "reach") >= need(F.col("n"), F.col("m"))).drop("reach"), "asked")
+    others = prefix.select("shingle", F.col("n").alias("m"), F.col("node").alias("other"), F.col("component").alias("its"), F.col("rest").alias("its_rest"))
+    enough = F.least("rest", "its_rest") >= need(F.col("n"), F.col("m"))
+    once = (F.col("its") == F.col("most")) | (F.col("node") < F.col("other"))
+    found = asked.join(others, ["shingle", "m"]).where((F.col("its") != F.col("component")) & enough & once)
+    return found.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, given: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes with links; ``nodes`` has node, planes and bands, ``given`` edges that hold anyway."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    sized = handed_over(keyed.join(handed_over(buckets.select("key", "size"), "buckets"), "key"), "bucket-members")
+    weights = handed_over(sized.groupBy("node").agg(F.sum("size").alias("weight"), (F.max("size") > SMALL).alias("hot")), "weights")
+    members = handed_over(sized.join(weights, "node"), "weighed-members")
+    large = members.where(F.col("size") > SMALL)
+    pivots = handed_over(large.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("pivot")), "pivots")
+    stars = large.join(pivots, "key").where("node <> pivot.node").groupBy(F.col("node").alias("b")).agg(F.max("pivot").alias("pivot")).select(F.col("pivot.node").alias("a"), "b")
+    small = members.where(F.col("size") <= SMALL).select("key", "node", "hot")
+    other = small.select("key", F.col("node").alias("a"), F.col("hot").alias("hot_a"))
+    pairs = small.join(other, "key").where("a < node AND NOT (hot AND hot_a)").select("a", F.col("node").alias("b")).distinct()
+    near = likely(stars.unionByName(pairs), nodes, percent)
+    wanted = weights.where("hot").select("node").union(near.select("a")).union(near.select("b")).distinct()
+    sets = handed_over(sets_of(handed_over(wanted, "wanted")), "shingle-sets")
+    edges = confirmed(near, sets, percent)
+    edges = handed_over(edges if given is None else edges.unionByName(given), "links")
+    joined = components(edges)
+    labelled = members.where("hot").select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    opened = handed_over(_mixed(labelled), "open-nodes")
+    if opened.isEmpty():
+        return joined
+    more = handed_over(confirmed(likely(between(opened, sets, percent), nodes, percent), sets, percent), "links")
+    return joined if more.isEmpty() else components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: row_id, n_shingles, component_id (the least id reachable), kept."""
     sketched = handed_over(sketches(docs, row_id, text, shingle_words), "sketches")
-    alike = ["n_shingles", "set_a", "set_b"]
-    classes = handed_over(
-        sketched.where("n_shingles > 0 AND row_id IS NOT NULL").groupBy(*alike)
-        .agg(F.min("row_id").alias("first"), (F.count(F.lit(1)) > 1).alias("copied")),
-        "classes",
-    )
-    nodes = handed_over(sketched.join(classes.select(F.col("first").alias("row_id")), "row_id", "left_semi").where("n_shingles > 0"), "class-sketches")
-    sets_of = lambda wanted: set_table(docs, wanted, row_id, text, shingle_words)
-    joined = links(nodes, sets_of, percent).select(F.col("node").alias("first"), "component")
-    named = handed_over(
-        classes.join(joined, "first", "left").where("copied OR component IS NOT NULL").select(*alike, F.coalesce("component", "first").alias("component")),
-        "named-classes",
-    )
+    named = sketched.where("node IS NOT NULL AND row_id IS NOT NULL").groupBy("row_id", "node").agg(F.count(F.lit(1)).alias("times"))
+    named = handed_over(named, "named-sets")
+    classes = handed_over(named.groupBy("node").agg(F.min("row_id").alias("row_id"), (F.sum("times") > 1).alias("copied")), "classes")
+    texts = named.groupBy("row_id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("times").alias("times"))
+    odd = handed_over(texts.where("low < high OR times > 1"), "repeated-ids")
+    repeated = not odd.isEmpty()
+    given = named.join(odd, "row_id").where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct() if repeated else None
+    one = lambda df: df.dropDuplicates(["node"]) if repeated else df
+    firsts = classes.select("row_id", "node")
+    nodes = handed_over(one(sketched.select("row_id", "node", "planes", "bands").join(firsts, ["row_id", "node"], "left_semi").drop("row_id")), "nodes")
+    sets_of = lambda wanted: one(set_table(docs, handed_over(firsts.join(wanted, "node").select("row_id").distinct(), "wanted-ids"), row_id, text, shingle_words))
+    joined = links(nodes, sets_of, percent, given)
+    grouped = handed_over(classes.join(joined, "node", "left").where("copied OR component IS NOT NULL").select("node", "row_id", F.coalesce("component", "node").alias("component")), "linked-classes")
+    least = handed_over(grouped.groupBy("component").agg(F.min("row_id").alias("least")), "least-ids")
+    least = handed_over(grouped.join(least, "component").select("node", "least"), "components")
     return (
-        sketched.select("row_id", *alike).join(named, alike, "left")
-        .select("row_id", "n_shingles", F.when(F.col("row_id").isNotNull(), F.coalesce("component", "row_id")).alias("component_id"))
+        sketched.select("row_id", "n_shingles", "node").join(least, "node", "left")
+        .select("row_id", "n_shingles", F.when(F.col("row_id").isNotNull(), F.coalesce("least", "row_id")).alias("component_id"))
         .withColumn("kept", F.col("row_id").isNull() | (F.col("row_id") == F.col("component_id")))
     )
