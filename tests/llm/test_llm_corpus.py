@@ -124,6 +124,9 @@ def test_base_spans_of_odd_texts(spark):
     base = F.filter("spans", lambda s: s["strict"] & (s["kind"] != "secret"))
     for r in found.select("doc_id", pii.listed(base).alias("base")).collect():
         assert r["base"] == ",".join(base_spans(texts[r["doc_id"]] or "")), texts[r["doc_id"]][:80]
+    clash = pii.candidates(df.withColumnsRenamed({"spans": "hits_email"}).withColumns({"parts": F.lit(1), "found": F.lit(2), "kept": F.lit(3)}))
+    clash = pii.judged(clash, {})
+    assert set(clash.columns) == {"doc_id", "text", "hits_email", "parts", "found", "kept", "spans"} and clash.where("parts = 1 AND found = 2 AND kept = 3").count() == len(texts)
     assert pii.candidates(df.where("false")).count() == 0
     assert pii.fitted(pii.candidates(df.where("false"))) == {}
 
@@ -140,6 +143,22 @@ def test_secrets_are_learned_and_texts_redacted(spark):
     assert all(r["clean"] == r["text"] for r in spans[40:])
 
 
+def test_texts_with_many_spans_are_redacted_like_plain_python(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a.b@c.de", "+1 (222) 555-1000", "10.1.2.3", "4111111111111111", "\U0001f600é", "plain " * rng.randrange(400)])
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 5, 300, 600, 6_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.judged(pii.candidates(df), {}).withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).collect():
+        spans = base_spans(r["text"])
+        assert ",".join(spans) == ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"])
+        at, out = 0, []
+        for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans)):
+            if start >= at:
+                out += [r["text"][at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        assert r["clean"] == "".join(out) + r["text"][at:]
+
+
 def test_fingerprints_against_neighbours(spark):
     rng = random.Random(8)
     texts = ["", None, "short", "é" * 30, "".join(rng.choice("abcdef ") for _ in range(3000)), "\U0001f600x" * 50] + ["".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(400))) for _ in range(60)]

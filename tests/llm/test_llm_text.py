@@ -39,6 +39,10 @@ def test_control_strings_nulls_ties_and_odd_roles_come_back(spark):
     for conv, part in ((k, [r for r in rows if r[0] == k]) for k in range(4)):
         last = max(made(spark, part).collect(), key=lambda r: r["example"])
         assert [(t["role"], t["text"]) for t in last["turns"]] == [(r[2] or "", r[3] or "") for r in part], conv
+    tied = [(9, 0, "user", "<s>", ""), (9, 0, "user", "<a>", ""), (9, None, "user", "first", "")]
+    assert [t["text"] for t in made(spark, tied).first()["turns"]] == ["first", "<a>", "<s>"]
+    long = "<s> é " * 200_000
+    assert made(spark, [(9, 0, "assistant", long, "")]).first()["loss"] == long
     again = [(9, 0, "user", "x", ""), (9, 0, "user", "x", "")]
     assert len(made(spark, again).first()["turns"]) == 2
     assert made(spark, []).count() == 0
@@ -59,15 +63,16 @@ def brute_rule(url, rules):
     path = re.match(r"[^?#]*", rest[len(host):], re.S)[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
     fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    return host, path, max(fit, key=lambda r: (r.host.count("."), len(r.path), r.verdict == "block"), default=None)
+    return host, path, max(fit, key=lambda r: (len(r.host + r.path), len(r.host), r.verdict == "block"), default=None)
 
 
 def test_trie_and_join_agree_with_all_rules_in_turn(spark, monkeypatch):
     rng = random.Random(2)
     hosts, paths = ["com", "a.com", "b.a.com", "org", "example.org"], ["/", "/x", "/x/", "/x/y", "/x/yz/", "/es/", "/en/1"]
-    rules = registry.URL_RULES + [url_filter.Rule(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(paths)) for _ in range(12)]
+    rules = registry.URL_RULES + [url_filter.Rule("allow", "org", "/aaaaaaaaaaaa"), url_filter.Rule("block", "example.org", "/a"), url_filter.Rule("block", "org", "/")] + [url_filter.Rule(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(paths)) for _ in range(12)]
     urls = URLS + [f"http://{rng.choice(['', 'w.', 'z.w.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/x', '/x/y/z', '/x/yz/1', '/en/12', '/xx'])}" for _ in range(60)]
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "id long, url string, host string")
+    urls += ["http://example.org/aaaaaaaaaaaaa", "http://example.org/aaa", "http://example.org/" + "a/" * 20_000]
+    df = spark.createDataFrame([(i, u, "clash", "x", "y") for i, u in enumerate(urls)], "id long, url string, host string, found string, best string")
     want = {i: brute_rule(u, rules) for i, u in enumerate(urls)}
     for limit in (1 << 20, 0):
         monkeypatch.setattr(url_filter, "TRIE_BYTES", limit)
@@ -75,6 +80,7 @@ def test_trie_and_join_agree_with_all_rules_in_turn(spark, monkeypatch):
         assert len(got) == len(urls)
         for r in got:
             host, path, rule = want[r["id"]]
+            assert (r["found"], r["best"]) == ("x", "y")
             assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule and rule.name, rule.verdict if rule else "allow"), urls[r["id"]]
     assert url_filter.judged(df.where("false"), "url", rules, "allow").count() == 0
     with pytest.raises(ValueError):

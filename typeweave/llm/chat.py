@@ -11,10 +11,15 @@ text or role get a backslash behind their first character, and those that had
 backslashes there already get one more; so all texts can be read back, and texts
 without control strings stay as they are.
 
-Defined results: rows are ordered by turn (nulls first), then role and text;
-repeated rows are turns of their own; a null text or role is an empty one; rows
-with a null conversation form one conversation; columns other than those named
-are left out; an empty table gives no examples.
+Defined results: rows are ordered by turn (nulls first), then role and text as they
+were before escaping; repeated rows are turns of their own; a null text or role is an empty one; rows
+with a null conversation form one conversation; very long texts are formatted whole;
+columns other than those named
+are left out, whatever their names; an empty table gives no examples.
+
+The last example of a conversation is one value that holds all of its turns, and what
+all of its examples hold together grows with the square of its turns. A conversation is
+therefore the unit of work and has to fit into a task.
 """
 
 from __future__ import annotations
@@ -47,14 +52,13 @@ def examples(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
     loss_start is the 0-based code point of ``formatted`` where the trainable
     text begins; it has loss_chars code points (null and 0 without a target).
-    A conversation is the unit of work and is held as one value; examples are
-    cut from it one by one.
+    Examples are cut from a conversation one by one.
     """
     role_text = F.coalesce(F.col(role), F.lit(""))
     body = escaped(F.coalesce(F.col(text), F.lit("")))
     head = F.concat(F.lit(OPEN), _role_out(role_text), F.lit("\n"))
     one = F.struct(
-        F.col(turn).alias("turn"), role_text.alias("role"), body.alias("body"),
+        F.col(turn).alias("turn"), role_text.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), body.alias("body"),
         F.concat(head, body, F.lit(CLOSE)).alias("whole"), F.length(head).alias("head"),
     )
     conversations = rows.groupBy(F.col(conv).alias("conv")).agg(F.array_sort(F.collect_list(one)).alias("turns"))

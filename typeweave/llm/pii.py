@@ -13,7 +13,8 @@ pattern and its checks always stay.
 Offsets count code points from 0, ends exclusive. Spans of one kind never
 overlap; spans of different kinds may.
 
-Defined results: a null text is an empty one and has no spans; repeated rows are
+Defined results: a null text is an empty one and has no spans; very long texts are
+searched whole, in time that grows with their length and spans; repeated rows are
 searched one by one; without any candidate there is no model, and none is
 needed; input columns named like results are replaced; an empty table gives no
 rows.
@@ -26,6 +27,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typeweave.operators.names import unused
 from typeweave.sources.tables import handed_over
 
 #: In the order in which spans are listed.
@@ -57,7 +59,7 @@ _CUES = {
 }
 _KEY_WORD = r"(?i)\b(token|secret|key|api|password|passwd|pwd|auth|bearer|credential)\b"
 _LEFT = 32  # code points before a span that count as its context
-_CHUNK = 256
+_CHUNK, _PART = 256, 1024
 
 
 def _let(value: Column, use) -> Column:
@@ -65,17 +67,28 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _before(lengths: Column) -> Column:
-    """For each element, the sum of those before it; chunked, so that long arrays aren't summed quadratically."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+def _running(values: Column, add, zero: int = 0) -> Column:
+    """For each element, ``add`` folded over those before it; chunked, so that long arrays aren't folded quadratically."""
+    total = lambda a: F.aggregate(a, F.lit(zero), add)
     chunk = lambda i: F.floor(i / _CHUNK).cast("int")
 
     def places(n: Column) -> Column:
         sums = F.transform(F.sequence(F.lit(0), chunk(F.size(n) - 1)), lambda c: total(F.slice(n, c * _CHUNK + 1, _CHUNK)))
         offsets = _let(sums, lambda s: F.transform(s, lambda _, c: total(F.slice(s, F.lit(1), c))))
-        return _let(offsets, lambda o: F.transform(n, lambda _, i: F.get(o, chunk(i)) + total(F.slice(n, chunk(i) * _CHUNK + 1, i % _CHUNK))))
+        return _let(offsets, lambda o: F.transform(n, lambda _, i: add(F.get(o, chunk(i)), total(F.slice(n, chunk(i) * _CHUNK + 1, i % _CHUNK)))))
 
-    return F.when(F.size(lengths) > 0, _let(lengths, places)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(values) > 0, _let(values, places)).otherwise(F.array().cast("array<int>"))
+
+
+def _cut(body: Column) -> Column:
+    """The text in parts of _PART code points, so that a place in a long text is reached without counting from its start."""
+    return F.regexp_extract_all(body, F.lit(rf"(?s).{{1,{_PART}}}"), F.lit(0))
+
+
+def _piece(parts: Column, start: Column, length: Column) -> Column:
+    """So many code points of a text in parts."""
+    first, last = F.floor(start / _PART).cast("int"), F.floor((start + length) / _PART).cast("int")
+    return F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), start - first * _PART + 1, length)
 
 
 def _digits(text: Column) -> Column:
@@ -141,21 +154,26 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") ->
     """Adds the array of candidate spans: kind, start, end, strict, votes, features."""
     body = F.coalesce(F.col(text), F.lit(""))
     digits = body.rlike("[0-9]")
+    inner = unused(docs.columns, *(f"{x}_{kind}" for kind in KINDS for x in ("hits", "gaps")), "parts", "found")
+    hits_of, gaps_of, (parts_of, found_of) = dict(zip(KINDS, inner[:-2:2])), dict(zip(KINDS, inner[1:-2:2])), inner[-2:]
     added = docs
     for kind in KINDS:
         may = digits if _NEEDS[kind] is None else F.contains(body, F.lit(_NEEDS[kind]))
         none = F.array().cast("array<string>")
         hits = F.when(may, F.regexp_extract_all(body, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none)
         gaps = F.when(may, F.split(body, PATTERNS[kind], -1)).otherwise(none)
-        added = added.withColumns({f"_hits_{kind}": hits, f"_gaps_{kind}": gaps})
+        added = added.withColumns({hits_of[kind]: hits, gaps_of[kind]: gaps})
+    some = F.greatest(*(F.size(hits_of[kind]) for kind in KINDS)) > 0
+    added = added.withColumn(parts_of, F.when(some, _cut(body)).otherwise(F.array().cast("array<string>")))
+    pieces = F.col(parts_of)
 
     def spans(kind: str) -> Column:
-        hits, gaps = F.col(f"_hits_{kind}"), F.col(f"_gaps_{kind}")
+        hits, gaps = F.col(hits_of[kind]), F.col(gaps_of[kind])
         widths = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
 
         def span(hit: Column, start: Column) -> Column:
-            left = F.substring(body, F.greatest(start - _LEFT, F.lit(0)) + 1, F.least(start, F.lit(_LEFT)))
-            right = F.substring(body, start + F.length(hit) + 1, F.lit(1))
+            left = _piece(pieces, F.greatest(start - _LEFT, F.lit(0)), F.least(start, F.lit(_LEFT)))
+            right = _piece(pieces, start + F.length(hit), F.lit(1))
             return _let(F.struct(left.alias("left"), right.alias("right")), lambda c: _let(
                 F.array(*_votes(kind, hit, c["left"], c["right"])),
                 lambda v: F.struct(
@@ -165,11 +183,9 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") ->
             ))
 
         starts = lambda upto: F.transform(hits, lambda hit, i: _let(F.get(upto, i) + F.length(F.get(gaps, i)), lambda s: span(hit, s)))
-        return _let(_before(widths), starts)
+        return _let(_running(widths, lambda x, y: x + y), starts)
 
-    parts = [spans(kind) for kind in KINDS]
-    inner = [f"_{x}_{kind}" for kind in KINDS for x in ("hits", "gaps")]
-    return added.withColumn(out, F.concat(*parts)).drop(*inner)
+    return added.withColumn(found_of, F.concat(*(spans(kind) for kind in KINDS))).drop(*inner[:-1], out).withColumnRenamed(found_of, out)
 
 
 def fitted(found: DataFrame, column: str = "candidates") -> dict[str, float]:
@@ -225,7 +241,8 @@ def judged(found: DataFrame, model: dict[str, float], column: str = "candidates"
         odds = lambda c: F.lit(0.0)
     weighed = F.transform(F.col(column), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["strict"].alias("strict"), (1 / (1 + F.exp(-odds(c)))).alias("chance")))
     kept = F.filter(weighed, lambda c: c["strict"] & (c["kind"] != "secret") | (c["chance"] > SURE))
-    return found.withColumn("_kept", kept).drop(column, out).withColumnRenamed("_kept", out)
+    new, = unused(found.columns, "kept")
+    return found.withColumn(new, kept).drop(column, out).withColumnRenamed(new, out)
 
 
 def listed(spans: Column) -> Column:
@@ -236,16 +253,18 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with ``[KIND]`` for each span; of spans that overlap, one mark for the first stands for all."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        more = F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.concat(done["parts"], F.when(fresh, more).otherwise(F.array().cast("array<string>"))).alias("parts"),
-        )
-
-    rest = lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, start, step, rest))
+
+    def marked(parts: Column, o: Column) -> Column:
+        reached = _running(F.transform(o, lambda s: s["end"].cast("int")), lambda x, y: F.greatest(x, y))
+
+        def joined(upto: Column) -> Column:
+            gap = lambda s, i: _piece(parts, F.get(upto, i), s["start"] - F.get(upto, i))
+            mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            marks = F.transform(o, lambda s, i: F.when(s["start"] >= F.get(upto, i), F.concat(gap(s, i), mark(s))).otherwise(""))
+            last = F.size(o) - 1
+            end = F.greatest(F.get(upto, last), F.get(o, last)["end"])
+            return F.concat(F.array_join(marks, ""), _piece(parts, end, F.length(text) - end))
+
+        return _let(reached, joined)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.struct(_cut(text).alias("parts"), order.alias("order")), lambda c: marked(c["parts"], c["order"])))

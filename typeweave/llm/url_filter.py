@@ -4,16 +4,19 @@ A rule is a host and a path prefix. It fits its host and all subdomains when
 the URL's path starts with the rule's path. The trie's first edges are host
 labels from the right (``org``, then ``example``), the next are whole path
 segments, and a node holds the rules that end there by the part of a segment
-that they still ask for. Of the rules that fit, the one with most host labels
-and then the longest path decides; of an allow and a block entry that are the
-same, the block entry does.
+that they still ask for. Of the rules that fit, the longest one decides, by the
+characters of host and path together; of two as long, the one with the longer
+host; of an allow and a block entry that are the same, the block entry.
 
 The trie is broadcast only while the rules are at most ``TRIE_BYTES`` long in
-all. A longer list is joined by host suffix instead, with the same results.
+all. A longer list is joined by host suffix and path prefix instead, with the
+same results: a URL asks for the prefixes of those lengths that the suffix has
+rules of, so each key of the join has one rule.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
 path and fits no rule (also none with an empty host, which can't be given);
-repeated rows are judged one by one; an input column named like a result column
+repeated rows are judged one by one; very long URLs are judged whole; other
+columns are kept, and an input column named like a result column
 is replaced; an empty table gives no rows; without rules, all get the default.
 """
 
@@ -26,6 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typeweave.operators.names import unused
+from typeweave.sources.tables import handed_over
+
 TRIE_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,8 +51,13 @@ class Rule:
         return self.host + self.path
 
 
+    @property
+    def rank(self) -> tuple[int, int, bool]:
+        return len(self.name), len(self.host), self.verdict == "block"
+
+
 class Trie:
-    """Nodes are dicts; under None a node has its endings, longest first."""
+    """Nodes are dicts; under None a node has its endings by length, longest first."""
 
     def __init__(self, rules: Iterable[Rule]) -> None:
         self.root: dict = {}
@@ -58,7 +69,16 @@ class Trie:
             node = node.setdefault("/", {})
             for segment in whole:
                 node = node.setdefault(segment, {})
-            node.setdefault(None, {})[part] = rule
+            node.setdefault(None, {}).setdefault(len(part), {})[part] = rule
+        self._sort(self.root)
+
+    def _sort(self, root: dict) -> None:
+        waiting = [root]
+        while waiting:
+            node = waiting.pop()
+            if None in node:
+                node[None] = dict(sorted(node[None].items(), reverse=True))
+            waiting += [n for key, n in node.items() if key is not None]
 
     def match(self, host: str, path: str) -> Rule | None:
         node, best = self.root, None
@@ -66,18 +86,20 @@ class Trie:
             node = node.get(label)
             if node is None:
                 break
-            best = self._by_path(node.get("/"), path) or best
+            found = self._by_path(node.get("/"), path)
+            if found and (best is None or found.rank > best.rank):
+                best = found
         return best
 
     @staticmethod
     def _by_path(node: dict | None, path: str) -> Rule | None:
         best, at = None, 0
         while node is not None:
-            endings = node.get(None, {})
-            fits = [part for part in endings if path.startswith(part, at)]
-            if fits:
-                best = endings[max(fits, key=len)]
             end = path.find("/", at)
+            for n, endings in node.get(None, {}).items():
+                if (rule := endings.get(path[at : at + n])) is not None:
+                    best = rule
+                    break
             if end < 0:
                 break
             node, at = node.get(path[at:end]), end + 1
@@ -106,39 +128,36 @@ def judged(df: DataFrame, url: str, rules: list[Rule], default: str) -> DataFram
             hits = [match(h, p) for h, p in zip(hosts, paths)]
             yield pd.DataFrame({"rule": [r and r.name for r in hits], "verdict": [r and r.verdict for r in hits]})
 
+    hit, = unused(parts.columns, "found")
     return (
-        parts.withColumn("_found", found("host", "path"))
-        .withColumns({"rule": F.col("_found.rule"), "verdict": F.coalesce("_found.verdict", F.lit(default))})
-        .drop("_found")
+        parts.withColumn(hit, found("host", "path"))
+        .withColumns({"rule": F.col(hit)["rule"], "verdict": F.coalesce(F.col(hit)["verdict"], F.lit(default))})
+        .drop(hit)
     )
 
 
 def _judged_by_join(parts: DataFrame, rules: list[Rule], default: str) -> DataFrame:
-    """The same for a rule list of any length: distinct (host, path) pairs meet rules by host suffix."""
+    """The same for a rule list of any length: distinct (host, path) pairs meet rules by host suffix and path prefix."""
     spark = parts.sparkSession
-    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "suffix string, rule_path string, _verdict string")
+    one = {(r.host, r.path): r for r in sorted(rules, key=lambda r: r.verdict == "block")}
+    table = handed_over(spark.createDataFrame([(r.host, r.path, r.verdict) for r in one.values()], "suffix string, prefix string, said string"), "url-rules")
+    lengths = handed_over(table.groupBy("suffix").agg(F.collect_set(F.length("prefix")).alias("lengths")), "url-rule-lengths")
     labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     rank: Column = F.struct(
-        F.size(F.split("suffix", r"\.")).alias("labels"),
-        F.length("rule_path").alias("chars"),
-        (F.col("_verdict") == "block").alias("blocks"),
-        F.concat("suffix", "rule_path").alias("rule"),
-        F.col("_verdict").alias("verdict"),
-    )
+        (F.length("suffix") + F.length("prefix")).alias("chars"), F.length("suffix").alias("host_chars"),
+        F.concat("suffix", "prefix").alias("rule"), F.col("said").alias("verdict"),
+    )
+    asked = handed_over(parts.select("host", "path").distinct(), "urls").withColumn("suffix", F.explode(suffixes)).join(lengths, "suffix")
+    fits = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     best = (
-        parts.select("host", "path").distinct()
-        .withColumn("suffix", F.explode(suffixes))
-        .join(table, "suffix")
-        .where(F.expr("startswith(path, rule_path)"))
-        .groupBy("host", "path")
-        .agg(F.max(rank).alias("_best"))
-    )
+        asked.select("host", "path", "suffix", F.explode(fits).alias("prefix")).join(table, ["suffix", "prefix"])
+        .groupBy("host", "path").agg(F.max(rank).alias("best"))
+    )
+    best_of, = unused(parts.columns, "best")
+    best = best.withColumnRenamed("best", best_of)
     return (
         parts.join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))})
-        .drop("_best")
+        .withColumns({"rule": F.col(best_of)["rule"], "verdict": F.coalesce(F.col(best_of)["verdict"], F.lit(default))})
+        .drop(best_of)
     )
