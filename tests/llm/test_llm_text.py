@@ -96,7 +96,9 @@ def test_main_text_and_broken_markup(spark):
     rows = [(n, f"http://h.net/{n}", PAGE.format(n=n), "clash", "kept") for n in range(6)] + [(10, None, None, "", ""), (11, "x", "", "", ""), (12, "http://h.net/z", "plain &lt;b&gt; text", "", "")]
     rows.append(rows[0])
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, path string")
+    df = df.withColumns({c: F.lit(c) for c in ("_path", "votes", "_votes", "host", "paths")})
     got = html.main_text(df).collect()
+    assert all((r["_path"], r["votes"], r["_votes"]) == ("_path", "votes", "_votes") for r in got)
     assert len(got) == 10
     for r in got:
         if r["page_id"] < 10:
@@ -135,6 +137,72 @@ def test_region_is_the_least_one_that_holds_all_winners():
     assert html.extracted(only, {">body>div.page>div.a": 5.0}) == ("one", [">body>div.page>div.a"])
 
 
+def test_words_that_articles_bear_have_a_vote(spark):
+    page = "<body><div class='search-article'><p>{}</p></div><div class='footer'>f</div></body>"
+    other = "<body><div class='a'><p>{}</p></div><div class='notice'>n</div></body>"
+    rows = [(n, "http://s.org/", page.format(f"text {n}")) for n in range(4)] + [(n, "http://t.org/", other.format(f"text {n}")) for n in range(4, 8)] + [(8, "http://t.org/", page.format("x"))]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{n: f"text {n}" for n in range(8)}, 8: ""}
+
+
+def test_deep_and_unclosed_pages_are_read_whole_in_linear_time():
+    n = 30_000
+    page = "<div class=a><p>x y" * n
+    text, _ = html.extracted(page, html.shares(page))
+    assert text == "\n".join(["x y"] * n)
+    assert html.extracted("<b>x</i>" * n, {})[0] == "x" * n
+    nested = "<div>" * n + "<p>deep</p>" + "</div>" * n
+    assert html.extracted(nested, html.shares(nested))[0] == "deep"
+
+
+def brute_votes(pages):
+    """Shares of container paths from a plain walk over page trees (tag, class, text, children), as the module's text defines them."""
+    votes = {}
+    for host, tree in pages:
+        score = {}
+
+        def walk(node, above, path):
+            name, text, below = node
+            path = f"{path}>{name}"
+            above = [*above, path]
+            if text:
+                score[above[-1]] = score.get(above[-1], 0) + len(text)
+                if len(above) > 1:
+                    score[above[-2]] = score.get(above[-2], 0) + len(text) / 2
+            for child in below:
+                walk(child, above, path)
+
+        walk(tree, [], "")
+        for p, s in score.items():
+            votes.setdefault(host, {}).setdefault(p, []).append(s / sum(score.values()))
+    out = {}
+    for host, found in votes.items():
+        sums = {p: sum(v) for p, v in found.items()}
+        out[host] = {p: v for p, v in sums.items() if v >= 0.2 * max(sums.values()) and v >= 0.02 * sum(sums.values())}
+    return out
+
+
+def test_votes_of_random_templates_against_a_plain_walk(spark):
+    rng = random.Random(13)
+
+    def grown(depth):
+        children = [grown(depth + 1) for _ in range(rng.randrange(3))] if depth < 5 else []
+        return (f"div.c{rng.choice('abc')}", "w" * rng.randrange(60), children)
+
+    def written(node):
+        name, text, below = node
+        tag, _, kind = name.partition(".")
+        return f"<{tag} class={kind}>{text}{''.join(map(written, below))}</{tag}>"
+
+    pages = [(f"h{k % 3}", ("body.b", "", [grown(0) for _ in range(3)])) for k in range(60)]
+    df = spark.createDataFrame([(h, written(t)) for h, t in pages], "host string, html string")
+    got = {r["host"]: r["votes"] for r in html.winning_paths(df, "html").collect()}
+    want = brute_votes(pages)
+    assert got.keys() == want.keys()
+    for host, votes in want.items():
+        assert got[host] == pytest.approx(votes)
+
+
 @pytest.mark.parametrize("page, text", [("<", "<"), ("<p", ""), ("a < b <b", "a < b"), ("&amp", "&"), ("</p></div>text", "text"), ("<!-- a", ""), ("<script>x", ""), ("<p title='a>b'>T</p>", "T"), ("<p>a<p>b", "a\nb"), ("x" * 300_000, "x" * 300_000)])
 def test_odd_pages(page, text):
     assert html.extracted(page, {})[0] == text

@@ -14,20 +14,26 @@ whichever is larger. A page that has no winning path keeps every such block.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers
 and the like are left out wherever they stand, by tag, role, or a word of the
-class or id. Character references are decoded, white space inside a block
+class or id. Words that articles bear as well (``search``, ``notice``) have a vote:
+where at least half of a host's pages would have no text for them, the host's pages
+are read without them. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by a line break.
 
 Defined results: a null or empty page has an empty text; a null URL, or one
 without ``://``, belongs to the host with the empty name; markup that isn't
-closed ends with its parent or the page; repeated rows are pages of their own
+closed ends with its parent or the page; long and deeply nested pages are read whole,
+in time that grows with their length (a path of over ``LONG`` characters is written as a hash of
+its beginning and the rest); repeated rows are pages of their own
 (and vote each); columns other than those named are kept, and one named like a
 result is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,10 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.llm.arrays import mapped
-from typeweave.llm.url_filter import with_host_and_path
+from typeweave.llm.url_filter import host_and_path
+from typeweave.operators.names import unused
 from typeweave.sources.tables import handed_over
 
-BEST_PART, ALL_PART, PARENT_PART = 0.2, 0.02, 0.6
+BEST_PART, ALL_PART, PARENT_PART, LONG = 0.2, 0.02, 0.6, 512
+#: The vote for reading a host's pages without the words of _MILD.
+MILD = "?"
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S
@@ -65,21 +74,69 @@ _OUT_WORDS = frozenset(
     " related recommended recommendations newsletter subscribe subscription signup login form search pager pagination"
     " copyright disclaimer toolbar skip".split()
 )
-
+#: Of these, those that name articles too.
+_MILD = frozenset("notice notices alert share sharing social related search subscription disclaimer copyright promotion signup login widget".split())
 
 #: These are never left out for a word, as they hold the whole page; nor is what only says that it has a sidebar.
 _WHOLE = frozenset("html body main".split())
 _SAYS_WHAT_IT_HAS = ("has-", "no-", "with-", "without-", "js-")
 
 
+class _Container:
+    """An element that may hold an article; ``up`` is the container around it, ``semantic`` the nearest article or main part from it on up."""
+
+    __slots__ = ("path", "up", "semantic")
+
+    def __init__(self, path: str, up: _Container | None, semantic: bool) -> None:
+        self.path, self.up = path, up
+        self.semantic: _Container | None = self if semantic else up and up.semantic
+
+
 class _Element:
     __slots__ = ("tag", "path", "out", "container", "link")
 
-    def __init__(self, tag: str, path: str, out: bool, container: str | None, link: bool) -> None:
+    def __init__(self, tag: str, path: str, out: bool, container: _Container | None, link: bool) -> None:
         self.tag, self.path, self.out, self.container, self.link = tag, path, out, container, link
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
+class _Open:
+    """The open elements, and for each tag the places of those that have it."""
+
+    def __init__(self) -> None:
+        self.stack = [_Element("", "", False, None, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, element: _Element) -> None:
+        self.places[element.tag].append(len(self.stack))
+        if element.tag in _BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, tags) -> int:
+        """The place of the innermost element with one of the tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in _BLOCKS:
+                self.blocks.pop()
+
+    def end(self, tags, within) -> None:
+        """Ends the innermost element with one of the tags, unless one of ``within`` stands inside it."""
+        depth = self.last(tags)
+        if depth > self.last(within):
+            self.cut(depth)
+
+
+def _below(path: str, name: str) -> str:
+    longer = f"{path}>{name}"
+    return longer if len(longer) <= LONG else f"~{hashlib.blake2b(longer.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}>{name[:LONG // 2]}"
+
+
+def _named(tag: str, attributes: str, mild: bool) -> tuple[str, bool]:
     """The element's part of a path, and whether it is left out."""
     name, out = tag, tag in _OUT_TAGS
     if "=" in attributes:
@@ -93,13 +150,15 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
                 name += "".join(mark + re.sub(r"\d+", "#", v) for v in sorted(value.split()))
                 if tag not in _WHOLE:
                     own = [v for v in value.split() if not v.lower().startswith(_SAYS_WHAT_IT_HAS)]
-                    out = out or any(w.lower() in _OUT_WORDS for v in own for w in _WORD.findall(v))
+                    words = {w.lower() for v in own for w in _WORD.findall(v)} & _OUT_WORDS
+                    out = out or bool(words - _MILD if mild else words)
     return name, out
 
 
-def blocks(page: str) -> Iterator[tuple[str, list[str], int]]:
-    """(text, paths of the containers that hold it, innermost last; characters in links) of each block kept."""
-    stack: list[_Element] = [_Element("", "", False, None, False)]
+def blocks(page: str, mild: bool = False) -> Iterator[tuple[str, _Container | None, int]]:
+    """(text, the innermost container that holds it, characters in links) of each block kept."""
+    opened = _Open()
+    stack = opened.stack
     run: list[str] = []
     linked, at, end, find = 0, 0, len(page), _TOKEN.search
 
@@ -109,7 +168,7 @@ def blocks(page: str) -> Iterator[tuple[str, list[str], int]]:
         run.clear()
         links, linked = linked, 0
         if text:
-            yield text, [e.container for e in stack if e.container], links
+            yield text, stack[-1].container, links
 
     while at < end:
         found = find(page, at)
@@ -130,9 +189,9 @@ def blocks(page: str) -> Iterator[tuple[str, list[str], int]]:
         if found[1]:
             if tag in _BLOCKS:
                 yield from flush()
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth and (tag in _BLOCKS or all(e.tag not in _BLOCKS for e in stack[depth + 1 :])):
-                del stack[depth:]
+            depth = opened.last((tag,))
+            if depth and (tag in _BLOCKS or not opened.blocks or opened.blocks[-1] < depth):
+                opened.cut(depth)
             continue
         if tag in _BLOCKS:
             yield from flush()
@@ -145,81 +204,133 @@ def blocks(page: str) -> Iterator[tuple[str, list[str], int]]:
             at = close.end() if close else end
             continue
         if tag in _ENDS_P:
-            _end(stack, ("p",), _CONTAINERS | {"li", "blockquote", "th"})
+            opened.end(("p",), _CONTAINERS | {"li", "blockquote", "th"})
         if tag in _SIBLINGS:
             ends, within = _SIBLINGS[tag]
-            _end(stack, ends.split(), within.split())
-        name, out = _named(tag, found[3])
+            opened.end(ends.split(), within.split())
+        name, out = _named(tag, found[3], mild)
         top = stack[-1]
-        path = f"{top.path}>{name}" if tag in _BLOCKS and tag != "html" else top.path
-        stack.append(_Element(tag, path, out or top.out, path if tag in _CONTAINERS else None, tag == "a" or top.link))
+        path = _below(top.path, name) if tag in _BLOCKS and tag != "html" else top.path
+        container = _Container(path, top.container, tag in ("article", "main") or "[main]" in name) if tag in _CONTAINERS else top.container
+        opened.push(_Element(tag, path, out or top.out, container, tag == "a" or top.link))
     yield from flush()
 
 
-def _end(stack: list[_Element], tags, within) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in within:
-            return
-
-
 def shares(page: str) -> dict[str, float]:
-    """The part of the page's score that each container path has."""
+    """The part of the page's score that each container path has; MILD if it has none but for mild words."""
+    found = list(blocks(page))
+    mild = not found and page.strip() != ""
     score: dict[str, float] = defaultdict(float)
-    for text, paths, links in blocks(page):
-        if not paths:
+    for text, held, links in blocks(page, mild=True) if mild else found:
+        if held is None:
             continue
         weight = max(len(text) - 2 * links, 0)
-        semantic = [p for p in paths if re.match(r"(article|main)\b|.*\[main\]", p.rpartition(">")[2])]
-        if semantic:
-            score[semantic[-1]] += weight
+        if held.semantic:
+            score[held.semantic.path] += weight
         else:
-            score[paths[-1]] += weight
-            if len(paths) > 1:
-                score[paths[-2]] += weight / 2
+            score[held.path] += weight
+            if held.up:
+                score[held.up.path] += weight / 2
     total = sum(score.values())
-    return {p: s / total for p, s in score.items() if s > 0} if total else {}
-
-
-def _region(found: list[tuple[str, list[str], int]], ranked: list[str], best: str) -> str:
+    return {p: s / total for p, s in score.items() if s > 0} | ({MILD: 1.0} if mild else {}) if total else {}
+
+
+class _Paths:
+    """The container paths of a page as a tree; whether one holds another is told from places in a walk."""
+
+    def __init__(self, found: list[tuple[str, _Container | None, int]]) -> None:
+        self.up: dict[str, str | None] = {}
+        for _, held, _ in found:
+            while held is not None and held.path not in self.up:
+                self.up[held.path] = held.up and held.up.path
+                held = held.up
+        below: dict[str | None, list[str]] = defaultdict(list)
+        for path, up in self.up.items():
+            below[up].append(path)
+        self.enter: dict[str, int] = {}
+        self.leave: dict[str, int] = {}
+        self.depth: dict[str | None, int] = {None: 0}
+        waiting = [(p, False) for p in below[None]]
+        while waiting:
+            path, done = waiting.pop()
+            if done:
+                self.leave[path] = len(self.enter)
+                continue
+            self.enter[path] = len(self.enter)
+            self.depth[path] = self.depth[self.up[path]] + 1
+            waiting.append((path, True))
+            waiting += [(p, False) for p in below[path]]
+
+    def holds(self, path: str, other: str) -> bool:
+        return self.enter[path] <= self.enter[other] < self.leave[path]
+
+    def around(self, path: str | None) -> Iterator[str]:
+        while path is not None:
+            yield path
+            path = self.up[path]
+
+
+def _region(found: list[tuple[str, _Container | None, int]], tree: _Paths, ranked: list[str], best: str) -> str:
     """The container around the first of the ranked paths whose blocks are kept, best or one that holds it."""
     first = ranked[0]
-    paths = next(p for _, p, _ in found if first in p)
-    above = [p for p in paths[: paths.index(first)] if not re.match(r"body(?![\w-])", p.rpartition(">")[2])]  # outermost first
-    beside = {p for text, own, links in found if first not in own and 2 * links < len(text) for p in own}
-    wrapper = next((p for p in reversed(above) if p in beside), first)
-    others = [p for p in ranked if p != first and not p.startswith(first + ">") and not first.startswith(p + ">")]
-    shared = [next((p for p in reversed(above) if other.startswith(p + ">")), first) for other in others]
-    return min([best, wrapper, *shared], key=len)  # all hold the first, so the shortest holds the others
+    above = [p for p in tree.around(tree.up[first]) if not re.match(r"body(?![\w-])", p.rpartition(">")[2])]  # innermost first
+    beside: set[str] = set()
+    for text, held, links in found:
+        if held is not None and 2 * links < len(text) and not tree.holds(first, held.path):
+            for path in tree.around(held.path):
+                if path in beside:
+                    break
+                beside.add(path)
+    found_in, line, seen = [best, next((p for p in above if p in beside), first)], set(above), set()
+    for other in ranked[1:]:
+        if not tree.holds(first, other) and not tree.holds(other, first):
+            for path in tree.around(other):
+                if path in seen:
+                    break
+                seen.add(path)
+                if path in line:
+                    found_in.append(path)
+                    break
+    return min(found_in, key=tree.depth.get)  # all hold the first, so the outermost holds the others
 
 
 def extracted(page: str, votes: dict[str, float]) -> tuple[str, list[str]]:
     """The page's text and the container paths that it was taken from."""
-    found = list(blocks(page))
-    present = {p for _, paths, _ in found for p in paths}
-    ranked = sorted((p for p in present if p in votes), key=lambda p: (-votes[p], p))
+    found = list(blocks(page, mild=MILD in votes))
+    tree = _Paths(found)
+    ranked = sorted((p for p in tree.up if p in votes), key=lambda p: (-votes[p], p))
     everywhere = not ranked
     if everywhere:
         votes = shares(page)
-        ranked = sorted(votes, key=lambda p: (-votes[p], p))
+        ranked = sorted((p for p in tree.up if p in votes), key=lambda p: (-votes[p], p))
     if not ranked:
         return "\n".join(t for t, _, _ in found), []
     best = ranked[0]
     for path in ranked[1:]:
-        if best.startswith(path + ">") and path.count(">") > 1 and votes[path] >= PARENT_PART * votes[ranked[0]]:
+        if path != best and tree.holds(path, best) and not re.fullmatch(">[^>]*", path) and votes[path] >= PARENT_PART * votes[ranked[0]]:
             best = path
-    region = _region(found, ranked, best)
-    taken, chosen = {best}, [region]
+    region = _region(found, tree, ranked, best)
+    taken, chosen = [(tree.enter[best], tree.leave[best])], [region]  # taken containers don't hold one another
+
+    def in_taken(at: int) -> bool:
+        k = bisect_right(taken, (at, len(tree.up) + 1))
+        return k > 0 and at < taken[k - 1][1]
+
     for path in ranked:
-        if not any(path == c or path.startswith(c + ">") or c.startswith(path + ">") for c in taken):
-            taken.add(path)
-            if not path.startswith(region + ">"):
+        low, high = tree.enter[path], tree.leave[path]
+        k = bisect_right(taken, (low, len(tree.up) + 1))
+        if not in_taken(low) and (k == len(taken) or taken[k][0] >= high):
+            insort(taken, (low, high))
+            if path == region or not tree.holds(region, path):
                 chosen.append(path)
     texts = []
-    for text, paths, links in found:
-        if taken.intersection(paths) or ((everywhere or region in paths) and 2 * links < len(text)):
+    for text, held, links in found:
+        plain = 2 * links < len(text)
+        if held is None:
+            keep = everywhere and plain
+        else:
+            keep = in_taken(tree.enter[held.path]) or ((everywhere or tree.holds(region, held.path)) and plain)
+        if keep:
             texts.append(text)
     return "\n".join(texts), chosen
 
@@ -237,10 +348,12 @@ def winning_paths(pages: DataFrame, page: str) -> DataFrame:
     voted = mapped(pages.select("host", page), make, "_shares map<string,double>", page, drop=(page,))
     votes = voted.select("host", F.explode("_shares").alias("path", "share")).groupBy("host", "path").agg(F.sum("share").alias("votes"))
     votes = handed_over(votes, "host-votes")
-    most = votes.groupBy("host").agg(F.max("votes").alias("best"), F.sum("votes").alias("all"))
+    path = F.col("path") != MILD
+    most = votes.groupBy("host").agg(F.max(F.when(path, F.col("votes"))).alias("best"), F.sum(F.when(path, F.col("votes"))).alias("all"))
+    wins = (F.col("votes") >= BEST_PART * F.col("best")) & (F.col("votes") >= ALL_PART * F.col("all"))
     return (
         votes.join(most, "host")
-        .where((F.col("votes") >= BEST_PART * F.col("best")) & (F.col("votes") >= ALL_PART * F.col("all")))
+        .where(F.when(path, wins).otherwise(2 * F.col("votes") >= F.col("all")))
         .groupBy("host")
         .agg(F.map_from_entries(F.collect_list(F.struct("path", "votes"))).alias("votes"))
     )
@@ -248,20 +361,18 @@ def winning_paths(pages: DataFrame, page: str) -> DataFrame:
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", keep_html: bool = False) -> DataFrame:
     """Adds host, text, n_chars and paths to each page."""
-    hosted = pages.drop("host").withColumn("_host_url", F.col(url))
-    hosted = with_host_and_path(hosted.withColumnsRenamed({"path": "_path"}) if "path" in pages.columns else hosted, "_host_url").drop("path", "_host_url")
-    if "path" in pages.columns:
-        hosted = hosted.withColumnRenamed("_path", "path")
+    hosted = pages.withColumn("host", host_and_path(F.col(url))[0])
+    votes_of, = unused(hosted.columns, "votes")
     winners = handed_over(winning_paths(hosted, page), "host-paths")
     # The written table's size decides whether it is broadcast or both sides are dealt out by host.
-    joined = hosted.join(winners.withColumnRenamed("votes", "_votes"), "host", "left")
+    joined = hosted.join(winners.withColumnRenamed("votes", votes_of), "host", "left")
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            done = [extracted(p or "", dict(v or ())) for p, v in zip(batch.column(page).to_pylist(), batch.column("_votes").to_pylist())]
+            done = [extracted(p or "", dict(v or ())) for p, v in zip(batch.column(page).to_pylist(), batch.column(votes_of).to_pylist())]
             texts = [t for t, _ in done]
             return {"text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()), "paths": pa.array([p for _, p in done], pa.list_(pa.string()))}
 
         return run
 
-    return mapped(joined, make, "text string, n_chars long, paths array<string>", page, drop=("_votes",) if keep_html else ("_votes", page))
+    return mapped(joined, make, "text string, n_chars long, paths array<string>", page, drop=(votes_of,) if keep_html else (votes_of, page))

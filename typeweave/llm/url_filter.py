@@ -106,17 +106,15 @@ class Trie:
         return best
 
 
-def with_host_and_path(df: DataFrame, url: str) -> DataFrame:
-    """Adds ``host`` and ``path``, as the module's text defines them."""
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """As the module's text defines them."""
     rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
-    path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)", 1)
-    return df.withColumns({"host": host, "path": path})
+    return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)", 1)
 
 
 def judged(df: DataFrame, url: str, rules: list[Rule], default: str) -> DataFrame:
     """Adds host, path, rule (null where none fits) and verdict to each row."""
-    parts = with_host_and_path(df, url)
+    parts = df.withColumns(dict(zip(("host", "path"), host_and_path(F.col(url)))))
     if sum(len(r.name.encode()) for r in rules) > TRIE_BYTES:
         return _judged_by_join(parts, rules, default)
     trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
