@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,30 @@ def test_fingerprints_of_null_and_repeated_ids_and_nothing(spark):
     assert one["near_next"] == 1.0
 
 
+def test_hot_and_null_ids_are_dealt_out_by_their_texts(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice([7, 7, None, rng.randrange(20)]), "".join(rng.choice("abcd ") for _ in range(rng.randrange(8, 60)))) for _ in range(300)]
+    rows += [(3, "long " * 50_000), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.lit("clash"))
+    ties = {r["text"]: r["t"] for r in df.select("text", F.xxhash64("text").alias("t")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]), reverse=True)
+    want = Counter()
+    for k, (i, text) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        want[i, hashlib.sha256(syncmer.edited(text, following).encode()).hexdigest()] += 1
+    got = syncmer.against_next(df, "doc_id", "text", parts=9).collect()
+    assert Counter((r["row_id"], r["edited_sha256"]) for r in got) == want
+
+
+def test_columns_of_fingerprints_and_their_likeness(spark):
+    texts = ["", None, "short", "abcdefgh " * 50, "abcdefgh " * 49 + "other words here"]
+    df = syncmer.fingerprints(spark.createDataFrame([(a, b) for a in texts for b in texts], "text string, other string"))
+    df = syncmer.fingerprints(df, "other", "of_other").withColumn("alike", syncmer.likeness_of("fingerprint", "of_other"))
+    for r in df.collect():
+        one, two = syncmer.sketch(r["text"] or ""), syncmer.sketch(r["other"] or "")
+        assert (r["fingerprint"], r["of_other"]) == (syncmer.written(one), syncmer.written(two)) and r["alike"] == pytest.approx(syncmer.likeness(one, two))
+
+
 def brute_anchors(text):
     codes, k, s = text, syncmer.K, syncmer.S
     inner = dict(zip(range(len(codes)), syncmer._runs(np.array([ord(c) for c in codes], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), s, 2).tolist()))
@@ -217,6 +242,35 @@ def test_quality_accuracy_on_rows_held_out(spark, sf, duck):
     assert sum(p == t for p, t in held) >= 0.8 * len(held)
 
 
+def test_quality_model_against_plain_numpy(spark, sf):
+    """Normal equations, isotonic calibration and the query's threshold, with all rows in one matrix."""
+    model = registry.quality_model(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    rows = model[0].toPandas()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL").toPandas().groupby("doc_id")["quality"].mean()
+    x = rows[quality.COLUMNS].to_numpy(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 for i in rows["doc_id"]])
+    known = rows["doc_id"].isin(labels.index).to_numpy()
+    y = rows["doc_id"].map(labels).to_numpy(float)
+    plain = quality.Model(x.mean(0), np.where(x.std(0) > 1e-12, x.std(0), 1.0))
+    fit, calibrate = known & (fold < 2), known & (fold == 3)
+    z = plain.features(x[fit])
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * fit.sum() * np.eye(z.shape[1]), z.T @ y[fit])
+    assert plain.features(x) @ weights == pytest.approx(model[1].raw(x), abs=1e-5)
+    raw = plain.features(x[calibrate]) @ model[1].weights
+    bins = np.clip(np.floor((raw + 0.5) * quality.BINS / 2), 0, quality.BINS - 1)
+    chances = model[1].chances
+    assert len(chances) == len(set(bins)) and (np.diff(chances) >= -1e-12).all()
+    counts = np.array([(bins == b).sum() for b in sorted(set(bins))])
+    assert chances @ counts == pytest.approx(y[calibrate].sum())
+    # No other non-decreasing curve is nearer to the bins' means: the largest of the least means over all runs.
+    means = np.array([y[calibrate][bins == b].mean() for b in sorted(set(bins))])
+    best = [max(min(means[a : b + 1] @ counts[a : b + 1] / counts[a : b + 1].sum() for b in range(k, len(means))) for a in range(k + 1)) for k in range(len(means))]
+    assert chances == pytest.approx(best)
+    got = {r["doc_id"]: r for r in registry.op9_quality(spark, sf).collect()}
+    for i, score in zip(rows["doc_id"], model[1].score(x)):
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+
+
 def test_quality_without_labels_rows_or_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x y"), (3, "x y")], "doc_id long, text string")
     rows = quality.statistics(df).withColumn("_y", F.lit(None).cast("double"))
@@ -242,12 +296,65 @@ def test_common_subsequence_is_the_longest():
         item = " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(8, 90)))
         other = [rng.choice("abcdefgh") for _ in range(rng.randrange(120))]
         q = decontaminate.queries([(1, item)], space)[0]
-        import pyarrow as pa
-
         words = decontaminate._words(pa.array([" ".join(other)])).hashes.tolist()
         assert decontaminate.common(q, words)[0] == pytest.approx(lcs(item.split(), other) / len(item.split()))
 
 
+def test_wide_items_are_compared_alike(monkeypatch):
+    rng = random.Random(14)
+    space = decontaminate.Space(np.ones((decontaminate.TERMS + 1, 2), np.float32), np.zeros(decontaminate.TERMS))
+    for _ in range(20):
+        item = " ".join(rng.choice("abcdefg") for _ in range(60)) + ". " + " ".join(rng.choice("abcdefg") for _ in range(12))
+        other = decontaminate._words(pa.array([" ".join(rng.choice("abcdefgh") for _ in range(90))])).hashes.tolist()
+        narrow = decontaminate.common(decontaminate.queries([(1, item)], space)[0], other)
+        monkeypatch.setattr(decontaminate, "WIDE", 10)
+        assert decontaminate.common(decontaminate.queries([(1, item)], space)[0], other) == narrow
+        monkeypatch.undo()
+
+
+def brute_leaks(docs, items, space):
+    """All windows of all documents against all items: the checks that come after the retrieval, for every pair."""
+    asked = decontaminate.queries(items, space)
+    found = set()
+    for d, text in docs:
+        words = decontaminate._words(pa.array([text])).hashes
+        listed = words.tolist()
+        runs = {tuple(listed[i : i + decontaminate.RUN]) for i in range(len(listed) - decontaminate.RUN + 1)}
+        for q in asked:
+            own = q.words.tolist()
+            if q.whole is None and any(tuple(own[i : i + decontaminate.RUN]) in runs for i in range(len(own) - decontaminate.RUN + 1)):
+                found.add((d, q.item_id))
+                continue
+            for start in range(0, len(listed), decontaminate.STEP):
+                share, answer = decontaminate.common(q, listed[max(0, start - len(own)) : start + q.width * decontaminate.STEP + len(own)])
+                if share >= decontaminate.VERBATIM or (q.whole is None and share >= decontaminate.PARAPHRASE and answer >= decontaminate.ANSWER):
+                    found.add((d, q.item_id))
+                    break
+    return found
+
+
+def test_paraphrases_against_all_windows(spark, monkeypatch):
+    """The cosine search finds at least 0.98 of what all windows would give, at 0.1 to 0.4 words replaced, and nothing else; blocks change nothing."""
+    rng = random.Random(15)
+    vocabulary = [f"{a}{b}{c}" for a in "bdgkt" for b in "aeiou" for c in ("", "n", "r", "st", "lo", "mi")]
+    word = lambda: rng.choice(vocabulary) + rng.choice(vocabulary) if rng.random() < 0.6 else rng.choice(["the", "of", "and", "in", "a"])
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, f"{prose(rng.randrange(12, 60))}. {prose(rng.randrange(3, 12))}.") for i in range(60)]
+    docs = [(i, prose(rng.randrange(0, 250))) for i in range(60)]
+    for k, (i, text) in enumerate(items * 4):
+        part = (0.1, 0.2, 0.3, 0.4)[k % 4]
+        docs.append((100 + k, f"{prose(rng.randrange(90))} {' '.join(word() if rng.random() < part else w for w in text.split())} {prose(60)}"))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    space = decontaminate.latent_space(df, bench)
+    leaks = lambda: {(r["doc_id"], x["item_id"]) for r in decontaminate.with_leaks(df, bench, space).collect() for x in r["leaks"]}
+    got, want = leaks(), brute_leaks(docs, items, space)
+    assert got <= want and len(want) > 150
+    assert len(got) >= 0.98 * len(want)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1_000)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 9_000)
+    assert leaks() == got
+
+
 def test_leaks_are_found_and_clean_documents_left_alone(spark):
     rng = random.Random(11)
     vocabulary = [f"{a}{b}{c}" for a in "bdgkt" for b in "aeiou" for c in ("", "n", "r", "st", "lo", "mi")]
@@ -265,10 +372,12 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
         docs.append((d, f"{prose(100)} {' '.join(words)} {prose(80)}"))
         planted[d] = i
     docs += [(None, items[0][1]), (999, None), (998, ""), (997, "word " * 3000), (200, docs[200][1])]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, item_id string")
+    df = spark.createDataFrame([(i, t, "clash", "x", "y") for i, t in docs], "doc_id long, text string, item_id string, _leaks string, leaks_0 string")
     bench = spark.createDataFrame([*items, (77, None), (78, "too short")], "item_id long, text string")
     got = {(r["doc_id"], x["item_id"]) for r in decontaminate.with_leaks(df, bench).collect() for x in r["leaks"]}
     assert got == {*planted.items(), (None, 0)}
+    assert decontaminate.with_leaks(df, bench).columns == [*df.columns, "leaks"]
+    assert decontaminate.with_leaks(df.withColumn("leaks", F.lit(1)), bench, out="found").where("leaks = 1 AND _leaks = 'x'").count() == len(docs)
     assert decontaminate.with_leaks(df, bench.where("false")).where(F.size("leaks") > 0).count() == 0
     assert decontaminate.with_leaks(df.where("false"), bench).count() == 0
 

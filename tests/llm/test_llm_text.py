@@ -226,6 +226,12 @@ def test_bpe_is_the_librarys(spark):
     got = bpe.decoded(bpe.encoded(df, "text", shared), "token_ids", shared, "back").collect()
     assert [(r["doc_id"], r["back"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(1, "a b"), (1, "a b"), (2, ""), (3, "")]
     assert bpe.encoded(df.where("false"), "text", shared).count() == 0
+    long = "né " * 100_000 + "x" * 50_000
+    for text in (long, "ab" * 3_000):
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+    for bad in ([-1], [1 << 30], [5, None]):
+        with pytest.raises(ValueError):
+            codec.decode(bad)
 
 
 def test_shards_match_brute_force(spark):

@@ -6,12 +6,13 @@ merges that its neighbours allow, by rank and then place; an entry whose symbols
 have changed since is stale and skipped. Decoding concatenates the vocabulary's
 strings and turns their characters back into bytes.
 
-Each task fills a cache of encoded words of bounded size, as texts repeat most of
-theirs. The vocabulary is read from the tokenizer's JSON on the driver and sent
+Each task fills a cache of encoded words, of at most twice ``CACHED_WORDS`` words and
+none longer than ``CACHED_CHARS``, as texts repeat most of theirs. The vocabulary is read from the tokenizer's JSON on the driver and sent
 to the executors; its size is checked, as it must not grow with the data.
 
-Defined results: a null text is an empty one and has no ids; null ids decode to
-null; ids that the vocabulary lacks raise an error; repeated rows are encoded one
+Defined results: a null text is an empty one and has no ids; very long texts and words
+are encoded whole; a null list of ids decodes to null; ids that the vocabulary lacks,
+negative ones and nulls among ids raise an error; repeated rows are encoded one
 by one; a column with the name of the result is replaced; an empty table gives
 no rows.
 """
@@ -35,7 +36,7 @@ MOST_IDS = 1 << 20
 #: The byte-level pattern of public tokenizers, with white space as Unicode has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_CHARS = 100_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -107,6 +108,8 @@ class Codec:
 
         def missing(word: str) -> tuple[int, ...]:
             nonlocal young, old
+            if len(word) > CACHED_CHARS:
+                return self.word(word)
             if len(young) >= CACHED_WORDS:
                 young, old = {}, young
             young[word] = ids = old.get(word) or self.word(word)
@@ -126,6 +129,8 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         found = self.bytes_of
+        if ids and not (None not in ids and 0 <= min(ids) and max(ids) < len(found)):
+            raise ValueError(f"not ids of the vocabulary, which has {len(found)}")
         return b"".join([found[i] for i in ids]).decode("utf-8", "replace")
 
 
@@ -157,6 +162,6 @@ def decoded(df: DataFrame, ids: str, codec: Broadcast, out: str) -> DataFrame:
     @F.pandas_udf("string")
     def run(column):
         decode = codec.value.decode
-        return column.map(lambda x: None if x is None else decode(x.tolist()))
+        return column.map(lambda x: None if x is None else decode([None if i is None or i != i else int(i) for i in x] if x.dtype.kind != "i" else x.tolist()))
 
     return df.withColumn(out, run(ids))

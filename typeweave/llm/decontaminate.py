@@ -14,15 +14,16 @@ the answer is searched for as well, in windows of its own width, and leaks where
 ``VERBATIM`` of it is covered. Apart from the windows, any ``RUN`` words of an item that
 follow each other in a document are a leak; all runs of all items are looked up.
 
-Items are the queries; they are handled in blocks of ``BLOCK_BYTES`` of text, so that
-a benchmark of any size is searched against all documents.
+Items are the queries, of any number and length. Blocks of ``BLOCK_BYTES`` of their text
+bound the matrices of a task. ``GROUP_BYTES`` of them are sent to the tasks at once; a
+longer benchmark is searched for group by group, and what was found is written in between.
 
 Defined results: words are lower-cased and split at space and U+0009 to
-U+000D; a null or empty text has no windows and no leaks; items that are null or
+U+000D; a null or empty text has no windows and no leaks; very long texts are searched whole; items that are null or
 without words are not searched for, and those shorter than ``LEAST_WORDS`` leak where
 all their words follow each other; an item without an id has a null item_id in the
 leaks, after the others; repeated rows are documents of their own; of repeated items each is reported; columns other than those named are
-kept, and one named like the result is replaced; an empty table gives no rows, and
+kept, and only one named like the result is replaced; an empty table gives no rows, and
 without items nothing leaks.
 """
 
@@ -41,14 +42,18 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.llm.arrays import Texts, Words, mapped, pieces
+from typeweave.llm.arrays import Texts, Words, mapped, pieces, released
+from typeweave.operators.names import unused
+from typeweave.sources.tables import handed_over
 
 TERMS, RANK, EXTRA, SEED = 1 << 13, 56, 8, 11
 PASSAGE, STEP = 32, 16
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.6, 0.6
-LEAST_WORDS, RUN, BLOCK_BYTES = 8, 13, 4 << 20
-RARE = 0.01  # a word is rare if no more of the passages have its term
-TASKS_A_CORE = 4
+LEAST_WORDS, RUN = 8, 13  # items with fewer words are searched for as runs of all their words
+BLOCK_BYTES, GROUP_BYTES = 256 << 10, 8 << 20
+RARE = 0.05  # a word is rare if no more of the passages have its term
+TASKS_A_CORE, SPLITS_A_TASK = 4, 16
+WIDE = 4096  # words of an item from which on masks are made when they are asked for
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 _ROWS_A_VECTOR = 16  # rows of the term matrix that travel as one vector
 
@@ -141,10 +146,13 @@ def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space
                 part = rows[k : k + 64]
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["i", "row"])
+        del total, image
+        released()
 
     both = docs.select(text).unionByName(items.select(text))
-    # Each task sends a matrix of fixed size, so tasks are few: some for each core, whatever the input's files.
-    parts = both.coalesce(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "i int, row array<double>")
+    # Each task sends a matrix of fixed size, so tasks are few, but none reads more than SPLITS_A_TASK splits of a large table.
+    tasks = max(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, -(-both.rdd.getNumPartitions() // SPLITS_A_TASK))
+    parts = both.coalesce(tasks).mapInArrow(run, "i int, row array<double>")
     summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).select("i", vector_to_array("row").alias("row"))
     rows = {r["i"]: r["row"] for r in summed.toLocalIterator()}  # TERMS / _ROWS_A_VECTOR rows
     if not rows:
@@ -180,9 +188,24 @@ class Query:
     whole: Query | None = None
 
     def __post_init__(self) -> None:
+        if len(self.words) > WIDE:
+            self.order = np.argsort(self.words, kind="stable")
+            self.ordered = self.words[self.order]
+            return
         for k, w in enumerate(self.words.tolist()):
             self.masks[w] = self.masks.get(w, 0) | (1 << k)
 
+    def mask(self, word: int) -> int:
+        """The word's places in the item, as bits. Those of a wide item would fill its square, so they are made anew."""
+        if len(self.words) <= WIDE:
+            return self.masks.get(word, 0)
+        low, high = np.searchsorted(self.ordered, np.uint64(word), "left"), np.searchsorted(self.ordered, np.uint64(word), "right")
+        if low == high:
+            return 0
+        bits = np.zeros(len(self.words), np.uint8)
+        bits[self.order[low:high]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
 
 def queries(rows: list[tuple], space: Space) -> list[Query]:
     out = []
@@ -220,9 +243,9 @@ def common(query: Query, words: list[int]) -> tuple[float, float]:
     """The parts of the item, and of its answer, in a longest common subsequence with the words; bits of one integer are the item's places."""
     n = len(query.words)
     full = (1 << n) - 1
-    state, masks = full, query.masks
+    state, mask = full, query.masks.get if n <= WIDE else query.mask
     for w in words:
-        hit = state & masks.get(w, 0)
+        hit = state & (mask(w) or 0)
         if hit:
             state = ((state + hit) | (state - hit)) & full
     found = ~state & full
@@ -260,23 +283,23 @@ class Search:
             hashes, items = np.concatenate(hashes), np.concatenate(items)
             order = np.argsort(hashes, kind="stable")
             self.runs[n] = hashes[order], items[order]
-        self.rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *(q.rare for q in self.asked)]))
-        self.has = np.zeros((len(self.rare), len(self.asked)), np.uint16)
-        for k, q in enumerate(self.asked):
-            self.has[np.searchsorted(self.rare, q.rare), k] = 1
+        rare = np.concatenate([np.zeros(0, np.uint64), *(q.rare for q in self.asked)])
+        asks = np.repeat(np.arange(len(self.asked)), [len(q.rare) for q in self.asked])
+        order = np.argsort(rare, kind="stable")
+        self.asks = asks[order]  # the queries that ask for each rare word, one word's after another's
+        self.rare, first = np.unique(rare[order], return_index=True)
+        self.asks_at = np.append(first, len(rare))
         self.least = np.array([q.least for q in self.asked])
 
     def rare_words(self, words: Words, block_of: np.ndarray, blocks: int) -> np.ndarray:
-        """How many words before each block are rare words of each query, shape (blocks + 1, queries)."""
-        counts = np.zeros((blocks + 1, len(self.asked)), np.int32)
-        if len(self.rare):
-            at = np.minimum(np.searchsorted(self.rare, words.hashes), len(self.rare) - 1)
-            hit = np.flatnonzero(self.rare[at] == words.hashes)
-            if len(hit):
-                block = block_of[hit]  # rises
-                first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-                counts[block[first] + 1] = np.add.reduceat(self.has[at[hit]], first, axis=0)
-        return np.cumsum(counts, axis=0)
+        """A sorted key, query * (blocks + 1) + block, for each word of a block that is one of a query's rare words."""
+        if not len(self.rare):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.rare, words.hashes), len(self.rare) - 1)
+        hit = np.flatnonzero(self.rare[at] == words.hashes)
+        first, counts = self.asks_at[at[hit]], np.diff(self.asks_at)[at[hit]]
+        each = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+        return np.sort(self.asks[each] * (blocks + 1) + np.repeat(block_of[hit], counts))
 
     def leaks(self, words: Words, space: Space) -> list[list[dict]]:
         """The leaks of each text."""
@@ -302,19 +325,21 @@ class Search:
                 window, width = wider, 2 * width
             own = [k for k, q in enumerate(self.asked) if q.width == wide]  # adjoin, as queries are sorted by width
             matrix = np.array([self.asked[k].vector for k in own], np.float32).T
-            margin = max(len(self.asked[k].words) for k in own)
+            margins = np.array([len(self.asked[k].words) for k in own])
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-30)
             cosine = (window @ matrix) / norm[:, None]
             at, which = np.nonzero(cosine >= COSINE)
             # Candidates whose neighbourhood, in whole blocks, lacks the rare words can't pass the check.
-            around, q = -(-margin // STEP), own[0] + which
+            around, q = -(-margins[which] // STEP), own[0] + which
             low, high = np.maximum(at - around, low_block[at]), np.minimum(at + wide + around, high_block[at])
-            enough = rare[high, q] - rare[low, q] >= self.least[q]
+            key = q * (len(starts) + 1)
+            enough = np.searchsorted(rare, key + high) - np.searchsorted(rare, key + low) >= self.least[q]
             at, which = at[enough], which[enough]
             if len(at) and hashes is None:
                 hashes = words.hashes.tolist()
             for i, q in zip(at.tolist(), which.tolist()):
                 query, text = self.asked[own[q]], int(text_of[i])
+                margin = len(query.words)
                 begin, stop = max(int(first[text]), int(starts[i]) - margin), min(int(last[text]), int(starts[i]) + wide * STEP + margin)
                 share, answer = common(query, hashes[begin:stop])
                 if share >= VERBATIM or (query.whole is None and share >= PARAPHRASE and answer >= ANSWER):
@@ -354,16 +379,21 @@ def _keep(best: dict, k: int, item_id: object, word: int, cosine: float, share:
         best[k] = {"item_id": item_id, "word": word, "cosine": cosine, "common": share, "answer": answer}
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
-    block, size = [], 0
+def _groups(items: DataFrame, item_id: str, text: str) -> Iterator[list[list[tuple]]]:
+    """Blocks of items, in groups that are sent to the tasks at once."""
+    group, block, in_group, in_block = [], [], 0, 0
     for row in items.select(item_id, text).where(F.col(text).isNotNull()).orderBy(item_id, text).toLocalIterator():
         block.append((row[0], row[1]))
-        size += len(row[1].encode())
-        if size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        size = len(row[1].encode())
+        in_group, in_block = in_group + size, in_block + size
+        if in_block > BLOCK_BYTES or in_group > GROUP_BYTES:
+            group.append(block)
+            block, in_block = [], 0
+        if in_group > GROUP_BYTES:
+            yield group
+            group, in_group = [], 0
+    if block or group:
+        yield [*group, block] if block else group
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, space: Space | None = None, text: str = "text", item_id: str = "item_id", keep_text: bool = True, out: str = "leaks") -> DataFrame:
@@ -379,17 +409,21 @@ def with_leaks(docs: DataFrame, items: DataFrame, space: Space | None = None, te
     kind = "array<struct<item_id: long, word: long, cosine: double, common: double, answer: double>>"
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())]))
     found, parts = docs, []
-    for k, block in enumerate(_blocks(items, item_id, text)):
-        asked = send(Search(queries(block, space)))
+    for group in _groups(items, item_id, text):
+        asked = send([Search(queries(block, space)) for block in group])
+        name, = unused([*found.columns, out], "leaks")
 
-        def make(asked=asked, name=f"_leaks_{k}"):
+        def make(asked=asked, name=name):
             def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-                return {name: pa.array(asked.value.leaks(_words(batch.column(text)), shared.value), arrow)}
+                words = _words(batch.column(text))
+                each = [search.leaks(words, shared.value) for search in asked.value]
+                return {name: pa.array([[leak for leaks in of_text for leak in leaks] for of_text in zip(*each)], arrow)}
 
             return run
 
-        found = mapped(found, make, f"_leaks_{k} {kind}", text)
-        parts.append(f"_leaks_{k}")
+        found = mapped(handed_over(found, "leaks") if parts else found, make, f"`{name}` {kind}", text)
+        parts.append(name)
+    new, = unused([*found.columns, out], "all_leaks")
     leaks = F.flatten(F.array(*parts)) if parts else F.array().cast(kind)
-    done = found.withColumn("_leaks", leaks).drop(*parts, *(c for c in (out,) if c in docs.columns)).withColumnRenamed("_leaks", out)
+    done = found.withColumn(new, leaks).drop(*parts, out).withColumnRenamed(new, out)
     return done if keep_text else done.drop(text)

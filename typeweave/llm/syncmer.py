@@ -20,7 +20,9 @@ ratio, 2J / (1 + J), of the estimated overlap J.
 
 Defined results: a null text is empty; texts shorter than ``K`` have one anchor,
 the whole text; the empty text has the empty fingerprint, like only itself;
-repeated rows are documents of their own; an empty table gives no rows.
+repeated rows are documents of their own, and rows that are alike in all stay together;
+very long texts are read whole; other columns are left out, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,24 +173,29 @@ def against_next(docs: DataFrame, row_id: str, text: str, parts: int | None = No
     lowest. Rows are dealt out by ranges of the id, each range with one more
     row: the first of the range below. Within a range the next document is the
     row after, so that every text is shuffled once and no window sees all rows.
-    Null ids come last; equal ids are in the order of their texts' hashes.
+    Null ids come last; equal ids are in the order of their texts' hashes, and where
+    one id fills several ranges, or is null, these are ranges of the hash.
     """
     spark = docs.sparkSession
     parts = parts or 4 * shuffle_partitions(spark)
     slim = docs.select(F.col(row_id).cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     quantiles = F.percentile_approx("row_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))
-    cuts = np.array(sorted({*(slim.agg(quantiles).first()[0] or [])}), np.int64)  # fewer than parts
+    cuts = np.array(sorted(slim.agg(quantiles).first()[0] or []), np.int64)  # fewer than parts; an id with many rows is several
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
+    def range_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
         known = ids.notna().to_numpy()
-        at = np.full(len(ids), len(cuts) + 1)
-        at[known] = len(cuts) - np.searchsorted(cuts, ids[known].to_numpy(np.int64), "right")
+        part = ties.to_numpy(np.int64) / 2.0**64 + 0.5  # rises with the hash, from 0 to 1
+        at = len(cuts) + parts - np.minimum(part * parts, parts - 1).astype(np.int64)
+        value = ids[known].to_numpy(np.int64)
+        low, high = np.searchsorted(cuts, value, "left"), np.searchsorted(cuts, value, "right")
+        several = np.maximum(high - low, 1)
+        at[known] = len(cuts) - high + several - 1 - np.minimum(part[known] * several, several - 1).astype(np.int64)
         return pd.Series(at)
 
-    keyed = slim.withColumns({"range": range_of("row_id"), "tie": F.xxhash64("text")})
+    keyed = slim.withColumn("tie", F.xxhash64("text")).withColumn("range", range_of("row_id", "tie"))
     order = F.struct(F.col("row_id").isNotNull().alias("known"), "row_id", "tie")
-    heads = keyed.groupBy("range").agg(F.max(order).alias("head")).orderBy("range").collect()  # at most parts + 1 rows
+    heads = keyed.groupBy("range").agg(F.max(order).alias("head")).orderBy("range").collect()  # at most 2 * parts rows
     # The first row of each range also ends the range before it, the first of all the last range.
     also = spark.createDataFrame(
         [(h["range"], h["head"]["row_id"], h["head"]["tie"], heads[k - 1]["range"]) for k, h in enumerate(heads)],
