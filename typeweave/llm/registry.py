@@ -139,19 +139,23 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, quality.Model]:
-    """The written statistics of all rows of ``docs``, and a model learned from labels whose rows aren't held out."""
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: bool = False) -> tuple[DataFrame, quality.Model]:
+    """The written statistics of all rows of ``docs``, and a model learned from labels whose rows aren't held out.
+
+    The statistics stand beside doc_id, or beside all columns of ``docs`` if these are kept.
+    """
+    rows = handed_over(quality.statistics(docs if keep else docs.select("doc_id", "text"), keep_text=keep), "quality-statistics")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
-    rows = handed_over(quality.statistics(docs.select("doc_id", "text")).withColumn("_fold", fold), "quality-statistics")
     labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL AND quality IS NOT NULL")
-    labels = labels.where(fold != 2).groupBy("doc_id").agg(F.avg("quality").alias("_quality"))
-    return rows, quality.fitted(rows, rows.where("_fold != 2").join(labels, "doc_id"), "_quality", F.col("_fold") == 3)
+    labels = labels.where(fold != 2).groupBy("doc_id").agg(F.avg("quality").alias("label"))
+    labelled = rows.select("doc_id", *quality.COLUMNS).join(labels, "doc_id")
+    return rows, quality.fitted(rows, labelled, "label", fold == 3)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     rows, model = quality_model(spark, table(spark, sf_dir, "documents"), sf_dir)
-    return quality.scored(rows, model).select("doc_id", (F.col("_fold") == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return quality.scored(rows, model).select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {
