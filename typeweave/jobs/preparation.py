@@ -25,7 +25,7 @@ def q_id_class(spark, sf_dir):
 def q_normalize(spark, sf_dir):
     clean = seq.ascii_upper(seq.trimmed(F.col("text")))
     return _docs(spark, sf_dir, "lang", "text").groupBy("lang").agg(
-        F.count_distinct(F.md5(clean)).alias("texts"), F.count_distinct(F.substring(clean, 1, 8)).alias("starts"), F.sum(F.length(clean)).alias("chars")
+        F.count_distinct(F.md5(clean)).alias("texts"), F.count_distinct(F.length(clean)).alias("lengths"), F.sum(F.length(clean)).alias("chars")
     )
 
 
@@ -80,7 +80,31 @@ def q_concat_partition(spark, sf_dir):
 
 
 def q_pis(spark, sf_dir):
-    return seq.informative_sites(_docs(spark, sf_dir, "text"), "text", 50)
+    """Sites of all texts, over their whole lengths."""
+    return seq.informative_sites(_docs(spark, sf_dir, "text"), "text")
+
+
+def q_pad(spark, sf_dir):
+    """Each source's blocks by language, joined; a language that a source lacks is filled with N."""
+    digest = F.md5(F.min(F.concat_ws("|", "doc_id", "text")))
+    rows = _docs(spark, sf_dir, "source", "lang", "text")
+    blocks = rows.groupBy("source", "lang").agg(digest.alias("block"), F.count(F.lit(1)).alias("n")).where("n % 3 <> 0").select("source", "lang", "block")
+    lengths = rows.select("lang").distinct().select("lang", F.lit(32).alias("length"))
+    return seq.concatenated(blocks, "source", "lang", "block", lengths)
+
+
+def q_last_match(spark, sf_dir):
+    """The last turn of each conversation with a question."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return seq.last_matching(turns, "conv_id", "turn", "text", r"\?").select("conv_id", F.md5("text").alias("digest"))
+
+
+def q_profile_labels(spark, sf_dir):
+    """Suppliers joined to their nation's label; for each label the first balance by key that isn't negative."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").join(nation, "s_nationkey")
+    known = F.when(F.col("s_acctbal") >= 0, F.col("s_suppkey"))
+    return rows.groupBy("n_name").agg(F.round(F.min_by("s_acctbal", known), 2).alias("first_balance"), F.count(F.lit(1)).alias("n"))
 
 
 def q_inner_labels(spark, sf_dir):
@@ -151,7 +175,7 @@ ORACLE_SQL = {
     "q_id_class": r"""WITH h AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) h, regexp_extract(regexp_extract(regexp_extract(url, '^[^?#]*'), '([^/]*)$', 1), '^([^.]*)', 1) s FROM pages)
 SELECT CASE WHEN regexp_matches(h, '^(www|m)\.') THEN 'site' WHEN regexp_matches(h, '^blog\.') THEN 'blog' WHEN starts_with(h, 'spam') THEN 'junk' ELSE 'other' END AS kind, s <> '' AS named, count(*) AS n FROM h GROUP BY ALL""",
     "q_normalize": f"""WITH c AS (SELECT lang, {_UP.format("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")} t FROM documents)
-SELECT lang, count(DISTINCT md5(t)) AS texts, count(DISTINCT substr(t, 1, 8)) AS starts, sum(length(t))::bigint AS chars FROM c GROUP BY lang""",
+SELECT lang, count(DISTINCT md5(t)) AS texts, count(DISTINCT length(t)) AS lengths, sum(length(t))::bigint AS chars FROM c GROUP BY lang""",
     "q_na_literal": """WITH j AS (SELECT CASE WHEN l.doc_id IS NULL THEN NULL WHEN quality = 1 THEN 'good' ELSE 'NA' END label FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT count(*) FILTER (label = 'NA') AS literal_na, count(*) FILTER (label IS NULL) AS missing, count(*) FILTER (label <> 'NA') AS kept FROM j""",
     "q_try_cast": "SELECT event_type, count(try_cast(json_extract_string(props, '$.k') AS int)) AS numbers, sum(try_cast(json_extract_string(props, '$.k') AS int))::bigint AS total, count(try_cast(substr(event_type, 1, 3) AS int)) AS coerced FROM events GROUP BY event_type",
@@ -166,8 +190,13 @@ SELECT doc_id, CASE WHEN a <= b THEN substr(t, a, b-a+1) ELSE translate(reverse(
     "q_concat_partition": """WITH b AS (SELECT lang, max(n_chars) len FROM documents GROUP BY lang)
 SELECT lang AS name, (sum(len) OVER (ORDER BY lang) - len + 1)::bigint AS a, (sum(len) OVER (ORDER BY lang))::bigint AS b, '' AS digest FROM b
 UNION ALL SELECT conv_id::varchar, 1, length(s), md5(s) FROM (SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) s FROM conversations GROUP BY conv_id)""",
-    "q_pis": f"""WITH c AS (SELECT unnest(range(50))::int site, unnest(list_transform(range(1, 51), lambda i: substr({_UP.format('text')}, i, 1))) state FROM documents WHERE text IS NOT NULL),
+    "q_pis": f"""WITH t AS (SELECT {_UP.format('text')} t FROM documents WHERE text IS NOT NULL), c AS (SELECT unnest(range(length(t)))::int site, unnest(string_split(t, '')) state FROM t),
 n AS (SELECT site, state, count(*) n FROM c WHERE state <> '' GROUP BY ALL) SELECT site, count(*) AS states, count(*) FILTER (n >= 2) >= 2 AS informative FROM n GROUP BY site""",
+    "q_pad": """WITH b AS (SELECT source, lang, md5(min(doc_id::varchar || '|' || text)) b, count(*) n FROM documents GROUP BY ALL),
+h AS (SELECT source, lang, b FROM b WHERE n % 3 <> 0), g AS (SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM h) s, (SELECT DISTINCT lang FROM documents) l)
+SELECT source, string_agg(coalesce(b, repeat('N', 32)), '' ORDER BY lang) AS seq FROM g LEFT JOIN h USING (source, lang) GROUP BY source""",
+    "q_last_match": "SELECT conv_id, md5(max_by(text, turn)) AS digest FROM conversations WHERE contains(text, '?') GROUP BY conv_id",
+    "q_profile_labels": "SELECT n_name, round(min_by(s_acctbal, s_suppkey) FILTER (s_acctbal >= 0), 2) AS first_balance, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name",
     "q_inner_labels": "SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
     "q_left_master": "SELECT c_custkey, n_name, count(o_orderkey) AS orders FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "q_semi_flag": "SELECT source, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM documents GROUP BY source",

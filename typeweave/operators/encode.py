@@ -2,9 +2,7 @@
 
 Input is a long table (entity, locus, value). A missing value has no row, or a
 null or empty value; it never becomes a value of its own, and an entity without
-some locus has no type. Windows run over dictionaries of distinct values or
-profiles, which are aggregated first, and numbers over all profiles are exact
-distributed ranks.
+some locus has no type. Numbers are exact distributed ranks, of one locus as of all profiles.
 """
 
 from __future__ import annotations
@@ -12,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeweave.operators.offsets import ranked
-from typeweave.sources.tables import shuffle_partitions
+from typeweave.operators.names import unused
+from typeweave.operators.offsets import placed
 
 
 def present(long: DataFrame) -> DataFrame:
@@ -21,31 +19,22 @@ def present(long: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Numbers rows from 1 by an integer key that is unique; null keys have no place and are left out.
-
-    The key's range is cut evenly into buckets, each numbered on its own.
-    """
-    rows = df.where(F.col(key).isNotNull())
-    bounds = rows.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))  # one row
-    cut = F.least(
-        F.floor((F.col(key) - F.col("_low")) / ((F.col("_high") - F.col("_low") + 1) / F.lit(8.0 * shuffle_partitions(df.sparkSession)))),
-        F.lit(8 * shuffle_partitions(df.sparkSession) - 1),
-    )
-    placed = ranked(rows.crossJoin(F.broadcast(bounds)).withColumn("_all", F.lit(0)), ["_all"], cut, [key], "_place")
-    return placed.withColumn(out, F.col("_place") + 1).drop("_place", "_all", "_low", "_high")
+    """Numbers rows from 1 by a key of any ordered type that is unique; null keys have no place and are left out."""
+    return placed(df.where(F.col(key).isNotNull()), [], [key], "_place").withColumn(out, F.col("_place") + 1).drop("_place")
 
 
 def frequency_dictionary(long: DataFrame, first: str) -> DataFrame:
     """(locus, value, n, code): codes from 1 by falling frequency, ties by first appearance, then value."""
     counts = present(long).groupBy("locus", "value").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
-    code = F.row_number().over(Window.partitionBy("locus").orderBy(F.desc("n"), "first", "value"))
-    return counts.select("locus", "value", "n", code.alias("code"))
+    ranks = placed(counts, ["locus"], [F.desc("n"), F.col("first"), F.col("value")], "place")
+    return ranks.select("locus", "value", "n", (F.col("place") + 1).cast("int").alias("code"))
 
 
 def first_seen_dictionary(long: DataFrame, first: str) -> DataFrame:
     """(locus, value, code): codes from 1 by first appearance, then value."""
     seen = present(long).groupBy("locus", "value").agg(F.min(first).alias("first"))
-    return seen.select("locus", "value", F.row_number().over(Window.partitionBy("locus").orderBy("first", "value")).alias("code"))
+    ranks = placed(seen, ["locus"], [F.col("first"), F.col("value")], "place")
+    return ranks.select("locus", "value", (F.col("place") + 1).cast("int").alias("code"))
 
 
 def profiles(long: DataFrame, loci: list[str], coded: str = "value") -> DataFrame:
@@ -55,29 +44,36 @@ def profiles(long: DataFrame, loci: list[str], coded: str = "value") -> DataFram
     return rows.groupBy("entity").agg(F.array(*cells).alias("profile")).where(F.forall("profile", lambda x: x.isNotNull()))
 
 
-def missing_loci(entities: DataFrame, long: DataFrame, loci: DataFrame) -> DataFrame:
-    """(entity, missing): the loci, in order, that an entity has no value for; ``loci`` is a small dimension table."""
-    grid = entities.select("entity").distinct().crossJoin(F.broadcast(loci.select("locus")))
-    absent = grid.join(present(long).select("entity", "locus").distinct(), ["entity", "locus"], "left_anti")
-    return absent.groupBy("entity").agg(F.sort_array(F.collect_list("locus")).alias("missing"))
+def complete_dictionary(long: DataFrame, loci: list[str]) -> DataFrame:
+    """(locus, value, code): the first-seen dictionary over the entities that have all loci; what others alone have is no value."""
+    whole = profiles(long, loci).select("entity")
+    return first_seen_dictionary(long.where(F.col("locus").isin(loci)).join(whole, "entity", "left_semi"), "entity")
+
+
+def missing_loci(entities: DataFrame, long: DataFrame, loci: list[str]) -> DataFrame:
+    """(entity, missing): the loci that an entity has no value for, in the order in which they are given; entities that lack none have no row."""
+    have = present(long).where(F.col("locus").isin(loci)).groupBy("entity").agg(F.collect_set("locus").alias("have"))  # at most all loci
+    known = entities.select("entity").distinct().join(have, "entity", "left")
+    every = F.array(*map(F.lit, loci)).cast("array<string>")
+    lacking = F.filter(every, lambda l: F.col("have").isNull() | ~F.array_contains("have", l))
+    return known.select("entity", lacking.alias("missing")).where(F.size("missing") > 0)
 
 
 def sequence_types(entities: DataFrame, long: DataFrame, loci: list[str]) -> DataFrame:
-    """(entity, st, is_novel, has_missing_data, missing_loci) of every entity.
+    """(entity, st, is_novel, has_missing_data, missing_loci) of every entity; ids are of any ordered type.
 
     Types are numbered from 1 by the first entity, in order, that has the
     profile. A type is novel where one entity alone has it. Entities without
-    some locus have null types; entities without any locus stay too.
+    some locus have null types and the names of those loci in the scheme's order;
+    entities without any locus stay too.
     """
-    spark = entities.sparkSession
     of = profiles(long, loci)
     types = of.groupBy("profile").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("members"))
     types = numbered(types, "first", "st").select("profile", F.col("st").cast("bigint").alias("st"), "members")
-    lacking = missing_loci(entities, long, spark.createDataFrame([(l,) for l in loci], "locus string"))
     return (
         entities.select("entity").distinct()
         .join(of.join(types, "profile").select("entity", "st", "members"), "entity", "left")
-        .join(lacking, "entity", "left")
+        .join(missing_loci(entities, long, loci), "entity", "left")
         .select(
             "entity", "st", F.when(F.col("st").isNotNull(), F.col("members") == 1).alias("is_novel"),
             F.col("missing").isNotNull().alias("has_missing_data"), F.coalesce(F.array_join("missing", ";"), F.lit("")).alias("missing_loci"),
@@ -101,11 +97,11 @@ def catalogue(members: DataFrame, top: int = 5) -> DataFrame:
     votes = members.where("cluster IS NOT NULL").groupBy("profile", "cluster").agg(F.count(F.lit(1)).alias("k"))
     majority = votes.groupBy("profile").agg(F.min_by("cluster", F.struct(-F.col("k"), F.col("cluster"))).alias("cluster"))
     listed = smallest(members, "profile", "entity", top).withColumnRenamed("least", "reps")
-    order = Window.orderBy(F.desc("n_a"), F.desc("n_l"), F.desc("n_total"), "first")  # over distinct profiles only
+    order = [F.desc("n_a"), F.desc("n_l"), F.desc("n_total"), F.col("first")]
     lineage = F.when((F.col("n_overlap") > 0) & (F.col("n_a") == F.col("n_overlap")), "A").when(F.col("n_l") > 0, "L").otherwise("")
     return (
-        sizes.join(majority, "profile", "left").join(listed, "profile")
-        .select(F.row_number().over(order).alias("pst"), "profile", "n_total", "n_overlap", "cluster", lineage.alias("lineage"), "reps")
+        placed(sizes, [], order, "place").join(majority, "profile", "left").join(listed, "profile")
+        .select((F.col("place") + 1).cast("int").alias("pst"), "profile", "n_total", "n_overlap", "cluster", lineage.alias("lineage"), "reps")
     )
 
 
@@ -117,15 +113,27 @@ def smallest(df: DataFrame, key: str, value: str, top: int) -> DataFrame:
     return few.withColumn("_r", rank([key])).where(F.col("_r") <= top).groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("least"))
 
 
-def remapped(local: DataFrame, catalogue_rows: DataFrame, checked: bool = True) -> DataFrame:
+def prefixed(prefix: str, number: str) -> Column:
+    """A label such as ``ST7`` from a number; null stays null."""
+    return F.concat(F.lit(prefix), F.col(number).cast("string"))
+
+
+def relabelled(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the column's values replaced by those of ``mapping`` (local_label, label); what it lacks becomes null."""
+    old, new = unused(rows.columns, "local_label", "label")
+    found = rows.join(mapping.select(F.col("local_label").alias(old), F.col("label").alias(new)), F.col(column) == F.col(old), "left")
+    return found.select(*(F.col(new).alias(c) if c == column else F.col(c) for c in rows.columns))
+
+
+def remapped(local: DataFrame, catalogue_rows: DataFrame, checked: bool = True, separator: str = ";") -> DataFrame:
     """(local_label, label, conflict): local labels by the catalogue's through shared representatives.
 
     ``local`` is (entity, local_label), ``catalogue_rows`` (label, order_no, reps):
-    reps is a list joined by ``;``. A catalogue row whose representatives have
+    reps is a list joined by the separator, in which empty entries and ``nan`` of any case count for nothing. A catalogue row whose representatives have
     exactly one local label maps it; with none it is skipped; with more it is a
     conflict, which raises an error if ``checked``. Later rows win over earlier.
     """
-    names = F.filter(F.transform(F.split("reps", ";"), lambda r: F.trim(r)), lambda r: (r != "") & (r != "nan"))
+    names = F.filter(F.transform(F.split("reps", separator), lambda r: F.trim(r)), lambda r: (r != "") & (F.lower(r) != "nan"))
     found = (
         catalogue_rows.select("label", "order_no", F.explode(names).alias("entity"))
         .join(local.select(F.col("entity").cast("string").alias("entity"), "local_label"), "entity")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from typeweave.sources.tables import handed_over, shuffle_partitions
+
 
 def exclusive_sums(counts: DataFrame, group: list[str], order: str, value: str, out: str, fan: int = 256) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group before this one.
@@ -63,3 +65,18 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column |
         .withColumn(out, (F.col("_offset") + F.col("_in_cell")).cast("bigint"))
         .drop("_cell", "_bucket", "_in_cell", "_offset")
     )
+
+
+def placed(df: DataFrame, group: list[str], order: list[Column | str], out: str) -> DataFrame:
+    """Adds ``out``: the 0-based place of the row in its group, for an order of any types.
+
+    Spark samples the order and deals the rows out by ranges of group and order, so
+    that a hot group fills many ranges; the ranges are written, as a sample drawn
+    again could differ, and are the buckets of ``ranked``. Columns of ``group``
+    have no nulls, and the order is total within a group.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    ranges = handed_over(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    if not group:
+        return ranked(ranges.withColumn("_all", F.lit(0)), ["_all"], F.col("_range"), order, out).drop("_all", "_range")
+    return ranked(ranges, group, F.col("_range"), order, out).drop("_range")

@@ -61,20 +61,36 @@ def partitions(blocks: DataFrame, order: str, length: str) -> DataFrame:
     return blocks.withColumn("last", upto).withColumn("first", F.col("last") - F.col(length) + 1)
 
 
-def concatenated(blocks: DataFrame, key: str, order: str, seq: str) -> DataFrame:
-    """(key, seq): each key's blocks joined in order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(seq), F.lit("")).alias("s"))))
-    return blocks.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("seq"))
+def concatenated(blocks: DataFrame, key: str, order: str, seq: str, lengths: DataFrame | None = None) -> DataFrame:
+    """(key, seq): each key's blocks joined in order.
+
+    Where ``lengths`` (order, length) is given, every key has a block of each
+    order it names, and one that a key lacks is filled with N.
+    """
+    if lengths is None:
+        whole = blocks.select(key, F.col(order).alias("o"), F.coalesce(F.col(seq), F.lit("")).alias("s"))
+    else:
+        # One row a key, then each wanted order is looked up in it: loci are few.
+        own = blocks.where(F.col(seq).isNotNull()).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(order), F.col(seq)))).alias("own"))
+        wanted = lengths.agg(F.collect_list(F.struct(F.col(order).alias("o"), F.col("length"))).alias("wanted"))
+        each = blocks.select(key).distinct().join(own, key, "left").crossJoin(wanted).select(key, "own", F.explode("wanted").alias("w"))
+        whole = each.select(key, F.col("w.o").alias("o"), F.coalesce(F.try_element_at("own", F.col("w.o")), F.repeat(F.lit("N"), F.col("w.length").cast("int"))).alias("s"))
+    parts = F.array_sort(F.collect_list(F.struct("o", "s")))
+    return whole.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("seq"))
+
+
+def last_matching(lines: DataFrame, key: str, position: str, line: str, pattern: str) -> DataFrame:
+    """(key, line): of each key's lines that match the pattern, the last by position."""
+    return lines.where(F.col(line).rlike(pattern)).groupBy(key).agg(F.max_by(line, position).alias(line))
 
 
-def informative_sites(rows: DataFrame, seq: str, width: int | None = None) -> DataFrame:
+def informative_sites(rows: DataFrame, seq: str) -> DataFrame:
     """(site, states, informative): a site is informative if two states or more each stand in two rows or more.
 
-    Sites are 0-based, and all are counted unless ``width`` gives how many. Counting is partial in each task, so only site and state
+    Sites are 0-based, and all are counted. Counting is partial in each task, so only site and state
     counts are shuffled.
     """
-    states = ascii_upper(F.col(seq)) if width is None else F.substring(ascii_upper(F.col(seq)), 1, width)
-    site = rows.select(F.posexplode(F.split(states, "")).alias("site", "state")).where("state <> ''")
+    site = rows.select(F.posexplode(F.split(ascii_upper(F.col(seq)), "")).alias("site", "state")).where("state <> ''")
     counts = site.groupBy("site", "state").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("site").agg(F.count(F.lit(1)).alias("states"), (F.count_if(F.col("n") >= 2) >= 2).alias("informative"))
 
