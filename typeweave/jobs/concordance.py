@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeweave.operators import distance as D
 from typeweave.operators import partition as P
+from typeweave.operators.encode import prefixed
 from typeweave.sources.tables import table
 
 
@@ -61,11 +63,26 @@ def q_pairwise_ari(spark, sf_dir):
     return P.agreement(pairs, "x", "y", ["pair"])
 
 
-def q_panel_cluster(spark, sf_dir):
-    """Each scheme against the size band as the reference clustering."""
+def q_panel_pairwise(spark, sf_dir):
+    """Each pair of schemes with intervals and mutual information, and the finest scheme to the others."""
     rows = common_set(_part(spark, sf_dir), SCHEMES)
-    long = rows.select("p_band", *SCHEMES[:2]).unpivot(["p_band"], SCHEMES[:2], "scheme", "label")
-    return P.agreement(long, "label", "p_band", ["scheme"])
+    return P.agreement_panel(rows, [("p_brand", "p_type"), ("p_brand", "p_band"), ("p_type", "p_band")], 200)
+
+
+def _with_complexes(spark, sf_dir):
+    """Rows with their type under two schemes, and the complex of linked types under each."""
+    part = _part(spark, sf_dir).withColumns({"maker": F.substring("p_brand", 7, 1), "model": F.substring("p_brand", 8, 1), "type_a": F.concat_ws("|", "p_brand", "p_type"), "type_b": F.concat_ws("|", "p_type", F.col("p_size").cast("string"))})
+    for scheme, loci in (("a", ["maker", "model", "p_type"]), ("b", ["p_type", "p_size"])):
+        types = part.groupBy(f"type_{scheme}").agg(*(F.min(c).alias(c) for c in loci))
+        found = D.complexes(types, f"type_{scheme}", loci).withColumn(f"complex_{scheme}", prefixed("CC", "complex")).drop("complex")
+        part = part.join(found, f"type_{scheme}", "left")
+    return part
+
+
+def q_panel_cluster(spark, sf_dir):
+    """Types and complexes of two schemes against the size band as the reference clustering, with intervals."""
+    rows = _with_complexes(spark, sf_dir).dropna(subset=["p_band"])
+    return P.agreement_panel(rows, [(c, "p_band") for c in ("type_a", "complex_a", "p_type")], 100)
 
 
 def q_wilson(spark, sf_dir):
@@ -88,31 +105,30 @@ def q_mode(spark, sf_dir):
 
 
 def q_panel_classifier(spark, sf_dir):
-    """Predictors of good quality: the commonest language, and the source of most good rows."""
-    rows = _labelled(spark, sf_dir).select("lang", "source", (F.col("quality") == 1).alias("good"))
-    top = lambda c: rows.where("good").groupBy(c).agg(F.count(F.lit(1)).alias("k")).agg(F.min_by(c, F.struct(-F.col("k"), F.col(c))).alias(f"top_{c}"))
-    long = rows.crossJoin(F.broadcast(top("lang"))).crossJoin(F.broadcast(top("source"))).select(
-        "good", F.explode(F.array(*(F.struct(F.lit(c).alias("predictor"), (F.col(c) == F.col(f"top_{c}")).alias("hit")) for c in ("lang", "source")))).alias("s")
-    )
-    return P.confusion(long.select("good", "s.*"), F.col("hit"), F.col("good"), ["predictor"])
+    """One type and its complex, under two schemes, as predictors of the largest size band."""
+    rows = _with_complexes(spark, sf_dir)
+    top = lambda c: P.modal(rows, F.col("p_band") == 4, c).withColumnRenamed(c, f"top_{c}")
+    typed = rows.crossJoin(F.broadcast(top("type_a"))).crossJoin(F.broadcast(top("type_b")))  # one row each
+    for scheme in "ab":
+        own = P.modal(typed, F.col(f"type_{scheme}") == F.col(f"top_type_{scheme}"), f"complex_{scheme}").withColumnRenamed(f"complex_{scheme}", f"top_complex_{scheme}")
+        typed = typed.crossJoin(F.broadcast(own))
+    names = ["type_a", "complex_a", "type_b", "complex_b"]
+    return P.classifier_panel(typed, {n: F.col(n) == F.col(f"top_{n}") for n in names}, F.col("p_band") == 4)
 
 
 def q_allele_classifier(spark, sf_dir):
     """Types that share the first type's value at one locus, as predictor of the smallest size band."""
     part = _part(spark, sf_dir)
-    anchor = part.agg(F.min_by("p_brand", "p_partkey").alias("value"))
-    types = part.join(F.broadcast(anchor), F.col("p_brand") == F.col("value"), "left_semi").select("p_type").distinct()
-    flagged = part.join(types.withColumn("hit", F.lit(True)), "p_type", "left")
-    return P.confusion(flagged, F.coalesce("hit", F.lit(False)) & (F.col("p_size") % 2 == 0), F.col("p_band") == 0)
+    types = part.groupBy("p_type", "p_band").agg(F.min("p_partkey").alias("first"), F.min("p_size").alias("allele"))
+    anchor = types.agg(F.min_by("allele", "first").alias("value"))
+    alike = types.join(F.broadcast(anchor), F.col("allele") == F.col("value"), "left_semi").select("p_type", "p_band", F.lit(True).alias("hit"))
+    return P.confusion(part.join(alike, ["p_type", "p_band"], "left"), F.coalesce("hit", F.lit(False)), F.col("p_band") == 0)
 
 
 def q_boot_ci(spark, sf_dir):
-    """200 replicates of the agreement of two partitions of the vectors."""
-    from typeweave.operators.offsets import ranked
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.when(F.get("embedding", 0) > 0, 1).otherwise(0).alias("sign"), F.lit(0).alias("all"))
-    numbered = ranked(rows, ["all"], F.floor(F.col("vec_id") / 10_000), ["vec_id"], "row_no")
-    return P.bootstrap(numbered, "row_no", "label", "sign", 200)
+    """1,000 replicates of the agreement of two partitions of the vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.when(F.get("embedding", 0) > 0, 1).otherwise(0).alias("sign"))
+    return P.bootstrap(rows, "label", "sign", 1000)
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -134,6 +150,33 @@ x AS (SELECT *, (p1+1.96*1.96/(2*n1))/(1+1.96*1.96/n1) m1, 1.96*sqrt(p1*(1-p1)/n
  (p2+1.96*1.96/(2*n2))/(1+1.96*1.96/n2) m2, 1.96*sqrt(p2*(1-p2)/n2+1.96*1.96/(4*n2*n2))/(1+1.96*1.96/n2) h2 FROM w)"""
 _CONF_COLS = """tp, fp, fn, tn, round(p1, 8) AS sens, CASE WHEN p1 IS NOT NULL THEN round(greatest(0, m1-h1), 8) END AS sens_lo, CASE WHEN p1 IS NOT NULL THEN round(least(1, m1+h1), 8) END AS sens_hi,
  round(p2, 8) AS spec, CASE WHEN p2 IS NOT NULL THEN round(greatest(0, m2-h2), 8) END AS spec_lo, CASE WHEN p2 IS NOT NULL THEN round(least(1, m2+h2), 8) END AS spec_hi, round(tp::double/nullif(tp+fp,0), 8) AS ppv"""
+#: l has one, two, a, b; rows are numbered in the order of their cells.
+_BOOT = """lr AS (SELECT one, two, a, b, row_number() OVER (PARTITION BY one, two ORDER BY a, b) - 1 AS i, count(*) OVER (PARTITION BY one, two) AS m FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+bd AS (SELECT one, two, rep, ('0x' || substr(md5(i::varchar || '|' || rep::varchar), 1, 8))::bigint % m AS j FROM lr, range({}) t(rep)),
+bc AS (SELECT one, two, rep, a, b, count(*) n FROM bd JOIN lr USING (one, two) WHERE lr.i = bd.j GROUP BY ALL),
+bs AS (SELECT one, two, rep, s11, sa, sb, n*(n-1)/2.0::double np FROM (SELECT one, two, rep, sum(n*(n-1)//2)::double s11, sum(n)::bigint n FROM bc GROUP BY ALL)
+  JOIN (SELECT one, two, rep, sum(n*(n-1)//2)::double sa FROM (SELECT one, two, rep, a, sum(n)::bigint n FROM bc GROUP BY ALL) GROUP BY ALL) USING (one, two, rep)
+  JOIN (SELECT one, two, rep, sum(n*(n-1)//2)::double sb FROM (SELECT one, two, rep, b, sum(n)::bigint n FROM bc GROUP BY ALL) GROUP BY ALL) USING (one, two, rep)),
+bv AS (SELECT one, two, (s11 - sa*sb/np)/((sa+sb)/2 - sa*sb/np) ari, CASE WHEN sa > 0 AND sb < np THEN (s11/sa - sb/np)/(1 - sb/np) END aw FROM bs),
+ci AS (SELECT one, two, round(quantile_cont(ari, 0.025), 8) AS ari_lo, round(quantile_cont(ari, 0.975), 8) AS ari_hi, round(quantile_cont(aw, 0.025), 8) AS aw_lo, round(quantile_cont(aw, 0.975), 8) AS aw_hi,
+  count(ari) AS n_ari, count(aw) AS n_aw FROM bv GROUP BY ALL)"""
+_PANEL = _BOOT.replace("{}", "{0}") + """,
+c AS (SELECT one, two, a, b, count(*) n FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), ra AS (SELECT one, two, a, sum(n)::bigint ra FROM c GROUP BY ALL), cb AS (SELECT one, two, b, sum(n)::bigint cb FROM c GROUP BY ALL),
+tot AS (SELECT one, two, sum(n)::bigint tt, sum(n*(n-1)//2)::double s11 FROM c GROUP BY ALL),
+sa AS (SELECT one, two, sum(ra*(ra-1)//2)::double sa, count(*) levels_one FROM ra GROUP BY ALL), sb AS (SELECT one, two, sum(cb*(cb-1)//2)::double sb, count(*) levels_two FROM cb GROUP BY ALL),
+mi AS (SELECT one, two, sum(n::double/tt*ln(n::double*tt/(ra::double*cb))) mi FROM c JOIN ra USING (one, two, a) JOIN cb USING (one, two, b) JOIN tot USING (one, two) GROUP BY ALL),
+ha AS (SELECT one, two, -sum(ra::double/tt*ln(ra::double/tt)) ha FROM ra JOIN tot USING (one, two) GROUP BY ALL), hb AS (SELECT one, two, -sum(cb::double/tt*ln(cb::double/tt)) hb FROM cb JOIN tot USING (one, two) GROUP BY ALL),
+k AS (SELECT one, two, ra, cb, tt, unnest(range(greatest(1, ra+cb-tt), least(ra, cb)+1)) k FROM ra JOIN cb USING (one, two) JOIN tot USING (one, two)),
+em AS (SELECT one, two, sum(k::double/tt*ln(tt::double*k/(ra::double*cb))*exp(lgamma(ra+1)+lgamma(cb+1)+lgamma(tt-ra+1)+lgamma(tt-cb+1)-lgamma(tt+1)-lgamma(k+1)-lgamma(ra-k+1)-lgamma(cb-k+1)-lgamma(tt-ra-cb+k+1))) emi FROM k GROUP BY ALL)
+SELECT one, two, levels_one, levels_two, round((s11 - sa*sb/(tt*(tt-1)/2.0::double))/((sa+sb)/2 - sa*sb/(tt*(tt-1)/2.0::double)), 8) AS ari, ari_lo, ari_hi,
+ round((s11/sa - sb/(tt*(tt-1)/2.0::double))/(1 - sb/(tt*(tt-1)/2.0::double)), 8) AS adj_wallace, aw_lo, aw_hi, round((mi-emi)/((ha+hb)/2-emi), 6) AS ami, tt AS n
+FROM tot JOIN sa USING (one, two) JOIN sb USING (one, two) JOIN mi USING (one, two) JOIN ha USING (one, two) JOIN hb USING (one, two) JOIN em USING (one, two) JOIN ci USING (one, two)"""
+_COMPLEXES = """RECURSIVE pa AS (SELECT p_partkey, p_type, p_size, p_size//10 AS p_band, p_brand || '|' || p_type AS type_a, p_type || '|' || p_size::varchar AS type_b, substr(p_brand, 7, 1) x, substr(p_brand, 8, 1) y FROM part),
+na AS (SELECT DISTINCT type_a t, x, y, p_type z FROM pa), nb AS (SELECT DISTINCT type_b t, p_type x, p_size y FROM pa),
+ea AS (SELECT p.t s, q.t FROM na p, na q WHERE p.t <> q.t AND (p.x = q.x)::int + (p.y = q.y)::int + (p.z = q.z)::int >= 2), eb AS (SELECT p.t s, q.t FROM nb p, nb q WHERE p.t <> q.t AND (p.x = q.x)::int + (p.y = q.y)::int >= 1),
+wa AS (SELECT t s, t FROM na UNION SELECT wa.s, ea.t FROM wa JOIN ea ON ea.s = wa.t), wb AS (SELECT t s, t FROM nb UNION SELECT wb.s, eb.t FROM wb JOIN eb ON eb.s = wb.t),
+ga AS (SELECT s type_a, 'CC' || dense_rank() OVER (ORDER BY c) AS complex_a FROM (SELECT s, min(t) c FROM wa GROUP BY s)), gb AS (SELECT s type_b, 'CC' || dense_rank() OVER (ORDER BY c) AS complex_b FROM (SELECT s, min(t) c FROM wb GROUP BY s)),
+m AS (SELECT * FROM pa JOIN ga USING (type_a) JOIN gb USING (type_b))"""
 _COUNTS = "count(*) FILTER (p AND t) tp, count(*) FILTER (p AND NOT t) fp, count(*) FILTER (NOT p AND t) fn, count(*) FILTER (NOT p AND NOT t) tn"
 _LAB = "lab AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id))"
 
@@ -150,9 +193,10 @@ cnt AS (SELECT 'p_brand' k, p_brand l, count(*) c FROM r GROUP BY ALL UNION ALL
     "q_pairwise_ari": f"""WITH r AS (SELECT p_brand, p_type, (p_size//10)::varchar AS p_band FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
 l AS (SELECT 'p_brand/p_type' k, p_brand a, p_type b FROM r UNION ALL SELECT 'p_brand/p_band', p_brand, p_band FROM r UNION ALL SELECT 'p_type/p_band', p_type, p_band FROM r),
 {_LONG_AGREE} SELECT k AS pair, {_AGREE_COLS} FROM t""",
-    "q_panel_cluster": f"""WITH r AS (SELECT p_brand, p_type, p_size//10 AS p_band FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
-l AS (SELECT 'p_brand' k, p_brand a, p_band b FROM r UNION ALL SELECT 'p_type', p_type, p_band FROM r),
-{_LONG_AGREE} SELECT k AS scheme, {_AGREE_COLS} FROM t""",
+    "q_panel_pairwise": f"""WITH l AS (SELECT 'p_brand' one, 'p_type' two, p_brand a, p_type b FROM part UNION ALL SELECT 'p_brand', 'p_band', p_brand, (p_size//10)::bigint::varchar FROM part
+ UNION ALL SELECT 'p_type', 'p_band', p_type, (p_size//10)::bigint::varchar FROM part), {_PANEL.format(200)}""",
+    "q_panel_cluster": f"""WITH {_COMPLEXES}, l AS (SELECT 'type_a' one, 'p_band' two, type_a a, p_band b FROM m UNION ALL SELECT 'complex_a', 'p_band', complex_a, p_band FROM m UNION ALL SELECT 'p_type', 'p_band', p_type, p_band FROM m),
+{_PANEL.format(100)}""",
     "q_ami": f"""WITH {_C}, ra AS (SELECT a, sum(n)::bigint ra FROM c GROUP BY a), cb AS (SELECT b, sum(n)::bigint cb FROM c GROUP BY b), tot AS (SELECT sum(n)::bigint tt FROM c),
 mi AS (SELECT sum(n::double/tt*ln(n::double*tt/(ra::double*cb))) mi FROM c JOIN ra USING (a) JOIN cb USING (b), tot),
 h AS (SELECT (SELECT -sum(ra::double/tt*ln(ra::double/tt)) FROM ra, tot) ha, (SELECT -sum(cb::double/tt*ln(cb::double/tt)) FROM cb, tot) hb),
@@ -165,18 +209,13 @@ round(least(1, (p+1.96*1.96/(2.0*n))/(1+1.96*1.96/n) + 1.96*sqrt(p*(1-p)/n+1.96*
     "q_confusion": f"WITH {_LAB}, f AS (SELECT lang, {_COUNTS} FROM (SELECT lang, n_chars >= 500 p, quality = 1 t FROM lab) WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY lang), {_CONF} SELECT lang, {_CONF_COLS} FROM x",
     "q_mode": f"""WITH {_LAB}, c AS (SELECT source, lang, count(*) k FROM lab GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k DESC, lang) i, sum(k) OVER (PARTITION BY source) n FROM c)
 SELECT source, lang AS mode, n::bigint AS n FROM r WHERE i = 1""",
-    "q_panel_classifier": f"""WITH {_LAB}, r AS (SELECT lang, source, quality = 1 AS t FROM lab),
-tl AS (SELECT lang v FROM r WHERE t GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1), ts AS (SELECT source v FROM r WHERE t GROUP BY source ORDER BY count(*) DESC, source LIMIT 1),
-l AS (SELECT 'lang' predictor, lang = (SELECT v FROM tl) p, t FROM r UNION ALL SELECT 'source', source = (SELECT v FROM ts), t FROM r),
+    "q_panel_classifier": f"""WITH {_COMPLEXES}, ta AS (SELECT type_a v FROM m WHERE p_band = 4 GROUP BY type_a ORDER BY count(*) DESC, type_a LIMIT 1), tb AS (SELECT type_b v FROM m WHERE p_band = 4 GROUP BY type_b ORDER BY count(*) DESC, type_b LIMIT 1),
+ca AS (SELECT complex_a v FROM m WHERE type_a = (SELECT v FROM ta) GROUP BY complex_a ORDER BY count(*) DESC, complex_a LIMIT 1), cb AS (SELECT complex_b v FROM m WHERE type_b = (SELECT v FROM tb) GROUP BY complex_b ORDER BY count(*) DESC, complex_b LIMIT 1),
+l AS (SELECT 'type_a' predictor, type_a = (SELECT v FROM ta) p, p_band = 4 t FROM m UNION ALL SELECT 'complex_a', complex_a = (SELECT v FROM ca), p_band = 4 FROM m
+ UNION ALL SELECT 'type_b', type_b = (SELECT v FROM tb), p_band = 4 FROM m UNION ALL SELECT 'complex_b', complex_b = (SELECT v FROM cb), p_band = 4 FROM m),
 f AS (SELECT predictor, {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY predictor), {_CONF} SELECT predictor, {_CONF_COLS} FROM x""",
-    "q_allele_classifier": f"""WITH ty AS (SELECT DISTINCT p_type FROM part WHERE p_brand = (SELECT p_brand FROM part ORDER BY p_partkey LIMIT 1)),
-l AS (SELECT (p_type IN (SELECT p_type FROM ty)) AND p_size % 2 = 0 AS p, p_size//10 = 0 AS t FROM part), f AS (SELECT {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL), {_CONF} SELECT {_CONF_COLS} FROM x""",
-    "q_boot_ci": """WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, label a, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END b FROM embeddings), m AS (SELECT count(*) n FROM r),
-d AS (SELECT rep, ('0x' || substr(md5(i::varchar || '|' || rep::varchar), 1, 8))::bigint % n AS j FROM r, m, range(200) t(rep)),
-c AS (SELECT rep, a, b, count(*) n FROM d JOIN r ON r.i = d.j GROUP BY ALL),
-s AS (SELECT rep, s11, sa, sb, n*(n-1)/2.0::double np FROM (SELECT rep, sum(n*(n-1)//2)::double s11, sum(n)::bigint n FROM c GROUP BY rep)
-  JOIN (SELECT rep, sum(n*(n-1)//2)::double sa FROM (SELECT rep, a, sum(n)::bigint n FROM c GROUP BY rep, a) GROUP BY rep) USING (rep)
-  JOIN (SELECT rep, sum(n*(n-1)//2)::double sb FROM (SELECT rep, b, sum(n)::bigint n FROM c GROUP BY rep, b) GROUP BY rep) USING (rep)),
-v AS (SELECT 'ari' statistic, (s11 - sa*sb/np)/((sa+sb)/2 - sa*sb/np) v FROM s UNION ALL SELECT 'adj_wallace', (s11/sa - sb/np)/(1 - sb/np) FROM s)
-SELECT statistic, round(quantile_cont(v, 0.025), 8) AS lo, round(quantile_cont(v, 0.975), 8) AS hi, count(*) AS n FROM v GROUP BY statistic""",
+    "q_allele_classifier": f"""WITH ty AS (SELECT p_type, p_size//10 band, min(p_partkey) f, min(p_size) allele FROM part GROUP BY ALL), h AS (SELECT p_type, band FROM ty WHERE allele = (SELECT allele FROM ty ORDER BY f LIMIT 1)),
+l AS (SELECT ((p_type, p_size//10) IN (SELECT (p_type, band) FROM h)) AS p, p_size//10 = 0 AS t FROM part), f AS (SELECT {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL), {_CONF} SELECT {_CONF_COLS} FROM x""",
+    "q_boot_ci": f"""WITH l AS (SELECT 'x' one, 'x' two, label a, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END b FROM embeddings), {_BOOT.format(1000)}
+SELECT 'ari' AS statistic, ari_lo AS lo, ari_hi AS hi, n_ari AS n FROM ci UNION ALL SELECT 'adj_wallace', aw_lo, aw_hi, n_aw FROM ci""",
 }

@@ -8,10 +8,18 @@ BIGINT until the last division. Undefined values are null.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typeweave.operators.offsets import exclusive_sums, placed
+from typeweave.sources.tables import handed_over
+
 Z = 1.96
+MOST_SENT = 100_000  # rows of a table of counts that may be broadcast
 DIGITS = 8  # sums of doubles differ in their last bits from plan to plan
 
 
@@ -120,6 +128,17 @@ def _small_logs() -> list[float]:
 _SMALL = _small_logs()
 
 
+def _every_pair(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each row of ``a`` with each of ``b``: b is sent if it is small, else both are dealt out in blocks that meet by key."""
+    b = handed_over(b, "margins")
+    rows = b.count()
+    if rows <= MOST_SENT:
+        return a.crossJoin(F.broadcast(b))
+    blocks = -(-rows // MOST_SENT)
+    dealt = b.withColumn("_block", F.pmod(F.xxhash64(*b.columns), F.lit(blocks)))
+    return a.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")).join(dealt.withColumn("_block", F.col("_block").cast("bigint")), "_block").drop("_block")
+
+
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """(ami, mi, expected, n) with the mean of the entropies as the bound.
 
@@ -136,7 +155,7 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     mi = cells.join(of_a, "a").join(of_b, "b").crossJoin(big).agg(F.sum(n / N * F.ln(n * N / (ra * cb))).alias("mi"), F.max("total").alias("total"))
     entropy = lambda t, c: t.crossJoin(big).agg((-F.sum(c / N * F.ln(c / N))).alias("h"))
     # Distinct margins with their multiplicities: far fewer than classes.
-    margins = of_a.groupBy("ra").agg(F.count(F.lit(1)).alias("ma")).crossJoin(F.broadcast(of_b.groupBy("cb").agg(F.count(F.lit(1)).alias("mb")))).crossJoin(big)
+    margins = _every_pair(of_a.groupBy("ra").agg(F.count(F.lit(1)).alias("ma")), of_b.groupBy("cb").agg(F.count(F.lit(1)).alias("mb"))).crossJoin(big)
     mean = ra * cb / N
     wide = 14 * F.sqrt(mean * (1 - ra / N) * (1 - cb / N) * F.when(N > 1, N / (N - 1)).otherwise(1.0)) + 40
     low = F.greatest(F.lit(1), F.col("ra") + F.col("cb") - F.col("total"), F.floor(mean - wide).cast("bigint"))
@@ -185,26 +204,36 @@ def confusion(df: DataFrame, predicted: Column, truth: Column, by: list[str] | N
     )
 
 
-def bootstrap(df: DataFrame, row_no: str, a: str, b: str, replicates: int) -> DataFrame:
+def bootstrap(df: DataFrame, a: str, b: str, replicates: int = 1000) -> DataFrame:
     """(statistic, lo, hi, n): 2.5 and 97.5 percentiles of ARI and adjusted Wallace over resampled rows.
 
-    ``row_no`` numbers the rows from 0. Draw i of replicate r is the row with the
-    number that the MD5 of "i|r" gives, so that any engine draws alike. Draws are
-    counted by row before rows are looked up, and replicates are groups of one
-    plan, not a loop.
+    Only rows that have both labels are drawn, and they are numbered in the order of their
+    cells of the contingency table, so a drawn number is known by the cell it falls in and no row
+    is looked up. Draw i of replicate r is the number that the MD5 of "i|r" gives, so that any
+    engine draws alike. Draws are counted by replicate and cell in the tasks before
+    anything is shuffled; replicates are groups of one plan, not a loop.
     """
-    labels = df.select(F.col(row_no).alias("drawn"), F.col(a).alias("a"), F.col(b).alias("b"))
-    size = labels.agg(F.count(F.lit(1)).alias("rows"))  # one row
-    hexed = F.substring(F.md5(F.concat(F.col("drawn").cast("string"), F.lit("|"), F.col("rep").cast("string"))), 1, 8)
-    draws = (
-        labels.select("drawn").crossJoin(F.broadcast(size))
-        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .select("rep", (F.conv(hexed, 16, 10).cast("bigint") % F.col("rows")).alias("drawn"))
-        .groupBy("rep", "drawn").agg(F.count(F.lit(1)).alias("times"))
-    )
-    cells = draws.join(labels, "drawn").where("a IS NOT NULL AND b IS NOT NULL").groupBy("rep", "a", "b").agg(F.sum("times").alias("n"))
+    spark = df.sparkSession
+    cells = handed_over(placed(contingency(df, a, b), [], ["a", "b"], "cell"), "cells")
+    upto = handed_over(exclusive_sums(cells.select("cell", "n").withColumn("_all", F.lit(0)), ["_all"], "cell", "n", "before").select("cell", "before"), "cells-before")
+    size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]  # one number
+    hexed = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("|"), F.col("rep").cast("string"))), 1, 8)
+    draws = spark.range(size).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("rep", (F.conv(hexed, 16, 10).cast("bigint") % size).alias("drawn"))
+    if upto.count() <= MOST_SENT:
+        starts = spark.sparkContext.broadcast(np.array([r["before"] for r in upto.orderBy("before").collect()], np.int64))  # at most MOST_SENT numbers
+
+        @F.pandas_udf("bigint")
+        def cell_of(drawn: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(starts.value, drawn.to_numpy(), "right") - 1)
+
+        counted = draws.groupBy("rep", cell_of("drawn").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        # Draws are counted by number, and each number is known by the cell that it falls in.
+        each = cells.join(upto, "cell").select("cell", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("drawn"))
+        counted = draws.groupBy("rep", "drawn").agg(F.count(F.lit(1)).alias("times")).join(each, "drawn").groupBy("rep", "cell").agg(F.sum("times").alias("n"))
+    drawn = counted.join(cells.select("cell", "a", "b"), "cell").select("rep", "a", "b", "n")
     values = (
-        pair_counts(cells, ["rep"])
+        pair_counts(drawn, ["rep"])
         .select(_adjusted_rand().alias("ari"), _adjusted_wallace().alias("adj_wallace"))
         .unpivot([], ["ari", "adj_wallace"], "statistic", "value")
     )
@@ -213,3 +242,34 @@ def bootstrap(df: DataFrame, row_no: str, a: str, b: str, replicates: int) -> Da
         values.where("value IS NOT NULL AND NOT isnan(value)").groupBy("statistic").agg(both.alias("p"), F.count(F.lit(1)).alias("n"))
         .select("statistic", F.round(F.get("p", 0), DIGITS).alias("lo"), F.round(F.get("p", 1), DIGITS).alias("hi"), "n")
     )
+
+
+def agreement_panel(df: DataFrame, pairs: list[tuple[str, str]], replicates: int = 1000) -> DataFrame:
+    """(one, two, levels_one, levels_two, ari, ari_lo, ari_hi, adj_wallace, aw_lo, aw_hi, ami, n) of each pair of partitions.
+
+    adj_wallace is from the first to the second. Pairs are few and named by the caller; every
+    statistic of a pair is over the rows that have both labels.
+    """
+    out = []
+    for a, b in pairs:
+        row = agreement(df, a, b)
+        limits = bootstrap(df, a, b, replicates)
+        of = lambda name, lo, hi, limits=limits: limits.where(F.col("statistic") == name).agg(F.first("lo").alias(lo), F.first("hi").alias(hi))
+        levels = contingency(df, a, b).agg(F.count_distinct("a").alias("levels_one"), F.count_distinct("b").alias("levels_two"))
+        ami = adjusted_mutual_information(df, a, b).select("ami")
+        whole = row.crossJoin(of("ari", "ari_lo", "ari_hi")).crossJoin(of("adj_wallace", "aw_lo", "aw_hi")).crossJoin(levels).crossJoin(ami)  # one row each
+        out.append(whole.select(F.lit(a).alias("one"), F.lit(b).alias("two"), "levels_one", "levels_two", "ari", "ari_lo", "ari_hi", "adj_wallace", "aw_lo", "aw_hi", "ami", "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def modal(df: DataFrame, within: Column, label: str) -> DataFrame:
+    """One row, one column named ``label``: the commonest label of the rows within, the least of those that tie."""
+    counts = df.where(within & F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_k"))
+    return counts.agg(F.min_by(label, F.struct(-F.col("_k"), F.col(label))).alias(label))
+
+
+def classifier_panel(df: DataFrame, predictors: dict[str, Column], truth: Column) -> DataFrame:
+    """One row of confusion counts and rates for each named predictor, from one pass over the rows."""
+    each = F.array(*(F.struct(F.lit(name).alias("predictor"), hit.alias("hit")) for name, hit in predictors.items()))
+    long = df.select(truth.alias("truth"), F.explode(each).alias("p")).select("truth", "p.*")
+    return confusion(long, F.col("hit"), F.col("truth"), ["predictor"])
