@@ -246,6 +246,109 @@ def test_mantel_of_itself_and_without_variance(spark):
     assert p["r"] == 1.0 and p["p"] <= 0.05 and p["permutations"] == 99
 
 
+def test_permutations_by_matrix_and_by_join_against_plain_sums(spark, monkeypatch):
+    from typeweave.operators.tree import _order_hash
+
+    rng = np.random.default_rng(4)
+    n, m = 7, 20
+    x, y = (np.triu(rng.integers(0, 9, (n, n)), 1).astype(float) for _ in range(2))
+    data = [(f"n{i}", f"n{j}", float(x[i, j]), float(y[i, j])) for i in range(n) for j in range(i + 1, n)]
+    df = rows(spark, data, "a string, b string, x double, y double")
+    hashes = {(r["k"], r["i"]): r["h"] for r in spark.range(m + 1).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("k", "i", _order_hash(42, F.col("k"), F.col("i")).alias("h")).collect()}
+    at = np.triu_indices(n, 1)
+
+    def r_of(k):
+        order = sorted(range(n), key=lambda i: hashes[k, i]) if k else list(range(n))
+        return np.corrcoef((x + x.T)[np.ix_(order, order)][at], y[at])[0, 1]
+
+    seen = r_of(0)
+    as_large = sum(r_of(k) >= seen - 1e-12 for k in range(1, m + 1))
+    for most in (1_000, 3):
+        monkeypatch.setattr(tree, "MOST_MATRIX", most)
+        got = tree.mantel_permutations(df, "x", "y", m).first()
+        assert got["r"] == pytest.approx(seen, abs=1e-8) and got["p"] == pytest.approx((as_large + 1) / (m + 1)) and got["permutations"] == m
+    monkeypatch.undo()
+    got = tree.mantel_permutations(df.withColumn("y", F.lit(1.0)), "x", "y", 5).first()
+    assert got["r"] is None and got["p"] is None
+    assert tree.mantel_permutations(df.where("false"), "x", "y", 5).count() == 0
+
+
+def test_distances_of_a_large_tree_in_blocks(spark, monkeypatch):
+    nodes = node_tables(spark, a=TREE_A, b=TREE_B)
+    whole = tree.patristic(nodes, tree.leaves(nodes)).collect()
+    monkeypatch.setattr(tree, "BLOCK_LEAVES", 2)
+    assert sorted(map(tuple, tree.patristic(nodes, tree.leaves(nodes)).collect())) == sorted(map(tuple, whole)) and len(whole) == 30
+
+
+def test_bootstrap_and_mutual_information_beyond_a_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    df = rows(spark, [(rng.choice(["x", "y", None]), rng.choice("uvw")) for _ in range(60)], "a string, b string")
+    sent = [tuple(map(tuple, f.collect())) for f in (partition.bootstrap(df, "a", "b", 20).orderBy("statistic"), partition.adjusted_mutual_information(df, "a", "b"))]
+    monkeypatch.setattr(partition, "MOST_SENT", 1)
+    dealt = [tuple(map(tuple, f.collect())) for f in (partition.bootstrap(df, "a", "b", 20).orderBy("statistic"), partition.adjusted_mutual_information(df, "a", "b"))]
+    assert sent == dealt and len(sent[0]) == 2
+
+
+def test_bootstrap_draws_rows_numbered_by_cells(spark):
+    import hashlib
+
+    rng = random.Random(10)
+    data = sorted((rng.choice("xy"), rng.choice("uvw")) for _ in range(30))
+    values = []
+    for rep in range(15):
+        drawn = [data[int(hashlib.md5(f"{i}|{rep}".encode()).hexdigest()[:8], 16) % len(data)] for i in range(len(data))]
+        values.append(brute_ari([a for a, _ in drawn], [b for _, b in drawn]))
+    shuffled = rng.sample(data, len(data)) + [(None, "u")]
+    got = partition.bootstrap(rows(spark, shuffled, "a string, b string"), "a", "b", 15).where("statistic = 'ari'").first()
+    assert (got["lo"], got["hi"]) == (pytest.approx(np.quantile(values, 0.025), abs=1e-7), pytest.approx(np.quantile(values, 0.975), abs=1e-7))
+
+
+def test_types_complexes_and_numbers_of_accessions(spark):
+    long = [(e, l, v) for e, p in {"SRR9": "aab", "ERR2": "aab", "GCA_7.1": "aac", "SRR10": "zzz", "DRR1": "q b"}.items() for l, v in zip(["m", "k", "c"], p) if v != " "]
+    df = rows(spark, long, "entity string, locus string, value string")
+    entities = rows(spark, [(e,) for e in ("SRR9", "ERR2", "GCA_7.1", "SRR10", "DRR1", "none")], "entity string")
+    got = {r["entity"]: (r["st"], r["is_novel"], r["missing_loci"]) for r in encode.sequence_types(entities, df, ["m", "k", "c"]).collect()}
+    assert got == {"ERR2": (1, False, ""), "SRR9": (1, False, ""), "GCA_7.1": (2, True, ""), "SRR10": (3, True, ""), "DRR1": (None, None, "k"), "none": (None, None, "m;k;c")}
+    codes = {(r["locus"], r["value"]): r["code"] for r in encode.complete_dictionary(df, ["m", "k", "c"]).collect()}
+    assert codes == {("m", "a"): 1, ("m", "z"): 2, ("k", "a"): 1, ("k", "z"): 2, ("c", "b"): 1, ("c", "c"): 2, ("c", "z"): 3}
+    wide = rows(spark, [("SRR9", "a", "a", "b"), ("GCA_7.1", "a", "a", "c"), ("SRR10", "z", "z", "z")], "id string, m string, k string, c string")
+    found = {r["id"]: r["complex"] for r in distance.complexes(wide, "id", ["m", "k", "c"]).collect()}
+    assert found == {"GCA_7.1": 1, "SRR9": 1, "SRR10": 2}
+    mapping = rows(spark, [("x", "T1"), ("y", "T2")], "local_label string, label string")
+    named = encode.relabelled(rows(spark, [("x", 1), ("w", 2), (None, 3)], "label string, n int"), mapping, "label")
+    assert sorted(map(tuple, named.collect()), key=lambda r: r[1]) == [("T1", 1), (None, 2), (None, 3)] and named.columns == ["label", "n"]
+
+
+def test_ranks_of_a_hot_group(spark):
+    from typeweave.operators.offsets import placed
+
+    rng = random.Random(2)
+    data = [("hot" if rng.random() < 0.7 else rng.choice("ab"), rng.random(), str(k)) for k in range(400)]
+    got = placed(rows(spark, data, "g string, v double, k string"), ["g"], [F.desc("v"), F.col("k")], "place").collect()
+    want = {}
+    for g, v, k in sorted(data, key=lambda r: (-r[1], r[2])):
+        want[k] = sum(1 for h, w, j in data if h == g and (-w, j) < (-v, k))
+    assert {r["k"]: r["place"] for r in got} == want
+
+
+def test_components_of_a_long_path(spark):
+    edges = rows(spark, [(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long")
+    assert {r["node"]: r["component"] for r in components(edges).collect()} == {**{k: 0 for k in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_no_local_folder_on_a_cluster():
+    from typeweave.sources.tables import shared_folder
+
+    class Session:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.recursive(st.integers(0, 99).map(lambda i: f"t{i}:1"), lambda x: st.lists(x, min_size=2, max_size=3).map(lambda v: "(" + ",".join(v) + "):1"), max_leaves=12))
 def test_newick_keeps_every_leaf(text):

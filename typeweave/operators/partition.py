@@ -135,8 +135,9 @@ def _every_pair(a: DataFrame, b: DataFrame) -> DataFrame:
     if rows <= MOST_SENT:
         return a.crossJoin(F.broadcast(b))
     blocks = -(-rows // MOST_SENT)
-    dealt = b.withColumn("_block", F.pmod(F.xxhash64(*b.columns), F.lit(blocks)))
-    return a.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")).join(dealt.withColumn("_block", F.col("_block").cast("bigint")), "_block").drop("_block")
+    dealt = b.withColumn("_block", F.pmod(F.xxhash64(*b.columns), F.lit(blocks).cast("bigint")))
+    every = a.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return every.join(dealt, "_block").drop("_block")
 
 
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,13 +11,19 @@ leaf hashes and a count, so that sides of any size are compared as three numbers
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_MATRIX = 20_000  # rows of a distance matrix that permutations may hold in memory
+from typeweave.operators.offsets import placed
+from typeweave.sources.tables import handed_over
+
+BLOCK_LEAVES = 1_000
+MOST_MATRIX = 1_000  # rows of a distance matrix that is sent to the tasks
+MOST_TOGETHER = 16  # permutations of longer matrices that are joined at once
 
 
 def node_table(edges: DataFrame, levels: int) -> DataFrame:
@@ -72,9 +78,17 @@ def pruned(nodes: DataFrame, only: DataFrame) -> DataFrame:
 
 
 def patristic(nodes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
-    """(tree, a, b, distance) of all pairs of leaves a < b: the matrix itself, so as many rows as it has cells."""
-    side = lambda s: leaf_rows.select("tree", F.col("name").alias(s), F.col("path").alias(f"p{s}"), F.col("root_dist").alias(f"d{s}"))
-    pairs = side("a").join(side("b"), "tree").where("a < b")
+    """(tree, a, b, distance) of all pairs of leaves a < b: the matrix itself, so as many rows as it has cells.
+
+    A tree's leaves are dealt out into blocks of about ``BLOCK_LEAVES``, and each pair of
+    blocks is a key of its own, so that a large tree is many tasks.
+    """
+    leaf_rows = handed_over(leaf_rows, "leaves")
+    largest = leaf_rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]  # one number
+    blocks = max(1, -(-largest // BLOCK_LEAVES))
+    own, others = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    side = lambda s, other: leaf_rows.select("tree", own.alias(f"block_{s}"), F.explode(others).alias(f"block_{other}"), F.col("name").alias(s), F.col("path").alias(f"p{s}"), F.col("root_dist").alias(f"d{s}"))
+    pairs = side("a", "b").join(side("b", "a"), ["tree", "block_a", "block_b"]).where("a < b")
     common = F.filter(F.arrays_zip(F.col("pa").alias("x"), F.col("pb").alias("y")), lambda z: z["x"] == z["y"])
     meet = pairs.select("tree", "a", "b", (F.col("da") + F.col("db")).alias("d"), F.element_at(common, -1)["x"].alias("node"))
     return meet.join(nodes.select("tree", "node", "root_dist"), ["tree", "node"]).select("tree", "a", "b", (F.col("d") - 2 * F.col("root_dist")).alias("distance"))
@@ -90,7 +104,7 @@ def total_distances(nodes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
     length = nodes.select("tree", "node", F.coalesce("length", F.lit(0.0)).alias("length"))
     below = above.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("k")).join(length, ["tree", "node"])
     whole = leaf_rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).join(below.groupBy("tree").agg(F.sum(F.col("length") * F.col("k")).alias("everything")), "tree")
-    own = above.join(below, ["tree", "node"]).join(F.broadcast(whole), "tree")
+    own = above.join(below, ["tree", "node"]).join(whole, "tree")
     return own.groupBy("tree", "name").agg((F.max("everything") + F.sum(F.col("length") * (F.col("n") - 2 * F.col("k")))).alias("total"))
 
 
@@ -105,7 +119,7 @@ def splits(nodes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
     above = ancestors(leaf_rows).crossJoin(F.broadcast(least))
     below = above.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("k"), F.sum(h(1)).alias("a"), F.sum(h(2)).alias("b"), F.bool_or(F.col("name") == F.col("reference")).alias("has"))
     whole = leaf_rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum(h(1)).alias("all_a"), F.sum(h(2)).alias("all_b"))
-    inner = below.join(nodes.where("NOT is_leaf").select("tree", "node"), ["tree", "node"]).join(F.broadcast(whole), "tree").where("k > 1 AND n - k > 1")
+    inner = below.join(nodes.where("NOT is_leaf").select("tree", "node"), ["tree", "node"]).join(whole, "tree").where("k > 1 AND n - k > 1")
     other = lambda own, total: F.when(F.col("has"), F.col(total) - F.col(own)).otherwise(F.col(own))
     return inner.select("tree", "node", other("k", "n").alias("size"), other("a", "all_a").alias("key_a"), other("b", "all_b").alias("key_b"), (F.col("k") / F.col("n")).alias("p"))
 
@@ -170,39 +184,67 @@ def mantel(pairs: DataFrame, x: str, y: str) -> DataFrame:
 def mantel_permutations(pairs: DataFrame, x: str, y: str, permutations: int, seed: int = 42) -> DataFrame:
     """(r, p, permutations): rows and columns of x permuted together; p counts permutations with at least the observed r.
 
-    Two n by n matrices are broadcast, so n is checked; permutations are spread
-    over the tasks and each has a seed of its own.
+    A permutation orders the names by a hash of the seed, its number and the name.
+    Matrices of at most ``MOST_MATRIX`` rows are sent to the tasks, which deal out the permutations;
+    for longer ones each permutation is a join of the pairs with themselves, in batches, so that
+    neither pairs nor matrices pass through the driver. Without variance r and p are null.
     """
     spark = pairs.sparkSession
+    pairs = handed_over(pairs.select("a", "b", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "mantel-pairs")
     names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    n = names.count()
-    if n > MOST_MATRIX:
-        raise ValueError(f"{n} rows are too many for matrices in memory; at most {MOST_MATRIX}")
+    ids = handed_over(placed(names, [], ["name"], "i"), "mantel-names")
+    n = ids.count()
     if n < 3:
         return spark.createDataFrame([], "r double, p double, permutations long")
-    ids = F.broadcast(names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("i")))
-    cells = pairs.join(ids.withColumnsRenamed({"name": "a", "i": "i"}), "a").join(ids.withColumnsRenamed({"name": "b", "i": "j"}), "b").select("i", "j", x, y).toPandas()
+    first, second = (ids.select(F.col("name").alias(c), F.col("i").alias(k)) for c, k in (("a", "i"), ("b", "j")))
+    cells = handed_over(pairs.join(first, "a").join(second, "b").select("i", "j", "x", "y"), "mantel-cells")
+    drawn = _sums_by_matrix(cells, n, permutations, seed) if n <= MOST_MATRIX else _sums_by_join(cells, ids.select("i"), permutations, seed)
+    m = cells.agg(F.count(F.lit(1)).alias("m"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))  # one row
+    observed = drawn.where("id = 0").select(F.col("xy").alias("seen"))
+    spread = F.col("sx") * F.col("sy")
+    r = F.when(spread > 0, (F.col("seen") / F.col("m") - F.col("mx") * F.col("my")) / spread)
+    # Only the sum of products differs between permutations; a hair of slack keeps equal ones equal in doubles.
+    as_large = F.count_if((F.col("id") > 0) & (F.col("xy") >= F.col("seen") - F.abs("seen") * 1e-12))
+    counted = drawn.crossJoin(F.broadcast(observed)).agg(F.max("seen").alias("seen"), as_large.alias("as_large"), (F.count(F.lit(1)) - 1).alias("permutations"))
+    return counted.crossJoin(F.broadcast(m)).select(F.round(r, 8).alias("r"), F.when(spread > 0, (F.col("as_large") + 1) / (permutations + 1)).alias("p"), "permutations")
+
+
+def _order_hash(seed: int, k: Column, i: Column) -> Column:
+    return F.xxhash64(F.lit(seed), k.cast("bigint"), i.cast("bigint"))
+
+
+def _sums_by_matrix(cells: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """(id, xy) of each permutation, 0 the identity, from two matrices of bounded size."""
+    spark = cells.sparkSession
+    got = cells.toPandas()  # at most MOST_MATRIX squared halves
     left, right = np.zeros((n, n)), np.zeros((n, n))
-    for m, c in ((left, x), (right, y)):
-        m[cells["i"], cells["j"]] = m[cells["j"], cells["i"]] = cells[c]
-    sent = spark.sparkContext.broadcast((left, right))
+    for m, c in ((left, "x"), (right, "y")):
+        m[got["i"], got["j"]] = m[got["j"], got["i"]] = got[c]
+    sent = spark.sparkContext.broadcast((left, np.triu(right) if len(got) else right))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m1, m2 = sent.value
-        at = np.triu_indices(n, 1)
-        v = m2[at]
-        v = (v - v.mean()) / (v.std() or 1)
         for frame in frames:
             out = []
-            for k in frame["id"]:
-                order = np.random.default_rng([seed, k]).permutation(n) if k else np.arange(n)
-                u = m1[np.ix_(order, order)][at]
-                out.append(float((u - u.mean()) @ v / ((u.std() or 1) * len(u))))
-            yield pd.DataFrame({"id": frame["id"], "r": out})
-
-    drawn = spark.range(permutations + 1).mapInPandas(run, "id long, r double")
-    seen = F.max(F.when(F.col("id") == 0, F.col("r")))
-    observed = drawn.where("id = 0").select(F.col("r").alias("seen"))
-    return drawn.crossJoin(F.broadcast(observed)).agg(
-        F.round(seen, 8).alias("r"), ((F.count_if((F.col("id") > 0) & (F.col("r") >= F.col("seen"))) + 1) / (permutations + 1)).alias("p"), (F.count(F.lit(1)) - 1).alias("permutations")
-    )
+            for k, hashes in zip(frame["id"], frame["hashes"]):
+                order = np.argsort(hashes, kind="stable") if k else np.arange(n)
+                out.append(float((m1[np.ix_(order, order)] * m2).sum()))
+            yield pd.DataFrame({"id": frame["id"], "xy": out})
+
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _order_hash(seed, F.col("id"), i))
+    return spark.range(permutations + 1).select("id", hashes.alias("hashes")).mapInPandas(run, "id long, xy double")
+
+
+def _sums_by_join(cells: DataFrame, ids: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """The same, for matrices of any size: each batch of permutations is written before the next."""
+    out = []
+    for low in range(0, permutations + 1, MOST_TOGETHER):
+        ks = F.explode(F.sequence(F.lit(low), F.lit(min(low + MOST_TOGETHER, permutations + 1) - 1)))
+        drawn = ids.select(ks.alias("id"), "i")
+        # The name at place i of the order stands in for name i.
+        moved = placed(drawn.withColumn("h", F.when(F.col("id") == 0, F.col("i")).otherwise(_order_hash(seed, F.col("id"), F.col("i")))), ["id"], ["h", "i"], "place")
+        moved = moved.select("id", F.col("place").alias("i"), F.col("i").alias("to"))
+        one, two = moved.select("id", "i", F.col("to").alias("p")), moved.select("id", F.col("i").alias("j"), F.col("to").alias("q"))
+        each = cells.select("i", "j", "y").join(one, "i").join(two, ["id", "j"]).select("id", "y", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+        out.append(handed_over(each.join(cells.select("i", "j", "x"), ["i", "j"]).groupBy("id").agg(F.sum(F.col("x") * F.col("y")).alias("xy")), "mantel-sums"))
+    return reduce(DataFrame.unionByName, out)
