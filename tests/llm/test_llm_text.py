@@ -257,6 +257,14 @@ def test_shards_match_brute_force(spark):
     assert sorted(r["shard"] for r in shard.interleaved(df.limit(2), 7).collect()) == [0, 3]
 
 
+def test_rows_alike_in_all_are_sharded_like_others(spark):
+    df = spark.createDataFrame([(1, "hot", "x")] * 200 + [(2, None, None)] * 30 + [(k, "b", "y") for k in range(40)], "doc_id long, source string, text string")
+    got = shard.interleaved(df, 8).toPandas()
+    assert sorted(got["position"]) == list(range(270)) and got.groupby("shard").size().between(33, 34).all()
+    mixture = got.assign(source=got["source"].fillna("-")).groupby(["source", "shard"]).size().unstack(fill_value=0)
+    assert (mixture.max(axis=1) - mixture.min(axis=1)).max() <= 2
+
+
 def test_words_and_shingles_against_plain_python():
     import pyarrow as pa
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 18
+BATCH_BYTES = 4 << 20
 #: The white space that separates words: space and U+0009 to U+000D.
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,6 +29,12 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _SLOT = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; Arrow batches of its session hold about BATCH_BYTES from here on (or one longer row), as they are else bounded by rows of any length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 class Texts:
     """The UTF-8 bytes of some texts, one after another; nulls are empty."""
 
@@ -72,7 +79,7 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str
                 yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + [made[n] for n in new.names], names + new.names)
         released()
 
-    return df.mapInArrow(run, T.StructType(kept + new.fields))
+    return bounded(df).mapInArrow(run, T.StructType(kept + new.fields))
 
 
 def released() -> None:

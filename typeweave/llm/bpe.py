@@ -30,7 +30,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from typeweave.llm.arrays import mapped
+from typeweave.llm.arrays import bounded, mapped
 
 MOST_IDS = 1 << 20
 #: The byte-level pattern of public tokenizers, with white space as Unicode has it.
@@ -164,4 +164,4 @@ def decoded(df: DataFrame, ids: str, codec: Broadcast, out: str) -> DataFrame:
         decode = codec.value.decode
         return column.map(lambda x: None if x is None else decode([None if i is None or i != i else int(i) for i in x] if x.dtype.kind != "i" else x.tolist()))
 
-    return df.withColumn(out, run(ids))
+    return bounded(df).withColumn(out, run(ids))

@@ -112,7 +112,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.judged(found, pii.fitted(found))
     base = F.filter("spans", lambda s: s["strict"] & s["kind"].isin(pii.BASE_KINDS))
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return spans.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.llm.arrays import mixed
+from typeweave.llm.arrays import bounded, mixed
 from typeweave.sources.tables import shuffle_partitions
 
 K, S, ANCHORS = 8, 3, 64
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: written(sketch(t or "")))
 
-    return docs.withColumn(out, run(text))
+    return bounded(docs).withColumn(out, run(text))
 
 
 def likeness_of(a: str, b: str) -> Column:
@@ -225,7 +225,7 @@ def against_next(docs: DataFrame, row_id: str, text: str, parts: int | None = No
                 waiting = None if is_extra else (row_id, text, own)
             yield pd.DataFrame(out, columns=_COMPARED).astype({"row_id": "Int64"})
 
-    return dealt.mapInPandas(follow, "row_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return bounded(dealt).mapInPandas(follow, "row_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 _COMPARED = ["row_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typeweave.llm.arrays import bounded
 from typeweave.operators.names import unused
 from typeweave.sources.tables import handed_over
 
@@ -128,7 +129,7 @@ def judged(df: DataFrame, url: str, rules: list[Rule], default: str) -> DataFram
 
     hit, = unused(parts.columns, "found")
     return (
-        parts.withColumn(hit, found("host", "path"))
+        bounded(parts).withColumn(hit, found("host", "path"))
         .withColumns({"rule": F.col(hit)["rule"], "verdict": F.coalesce(F.col(hit)["verdict"], F.lit(default))})
         .drop(hit)
     )
