@@ -326,7 +326,7 @@ def brute_leaks(docs, items, space):
                 found.add((d, q.item_id))
                 continue
             for start in range(0, len(listed), decontaminate.STEP):
-                share, answer = decontaminate.common(q, listed[max(0, start - len(own)) : start + q.width * decontaminate.STEP + len(own)])
+                share, answer = decontaminate.common(q, listed[max(0, start - q.margin) : start + q.width * decontaminate.STEP + q.margin])
                 if share >= decontaminate.VERBATIM or (q.whole is None and share >= decontaminate.PARAPHRASE and answer >= decontaminate.ANSWER):
                     found.add((d, q.item_id))
                     break

@@ -88,12 +88,18 @@ def _gathered(table: np.ndarray, words: Words, starts: np.ndarray, width: int) -
     return total
 
 
-def _scatter(total: np.ndarray, terms: np.ndarray, rows_of: np.ndarray, rows: np.ndarray) -> None:
-    """total[term] += rows[row] for each (term, row); places of one term are added in turn, those of all terms at once."""
+def _scatter(total: np.ndarray, terms: np.ndarray, rows_of: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """total[term] += rows[row] for each (term, row), where rows rise; places of one term are added in turn, those of all terms at once.
+
+    Returns in how many rows each term is.
+    """
     order = np.argsort(terms, kind="stable")
     terms, rows_of = terms[order], rows_of[order]
-    starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+    other = np.append(True, terms[1:] != terms[:-1])
+    starts = np.flatnonzero(other)
     counts = np.diff(np.append(starts, len(terms)))
+    other[1:] |= rows_of[1:] != rows_of[:-1]
+    distinct = np.bincount(terms[other], minlength=len(total))
     often = counts > 32
     for s, c in zip(starts[often].tolist(), counts[often].tolist()):
         total[terms[s]] += rows[rows_of[s : s + c]].sum(0)
@@ -102,6 +108,7 @@ def _scatter(total: np.ndarray, terms: np.ndarray, rows_of: np.ndarray, rows: np
     for k in range(int(counts[0]) if len(counts) else 0):
         at = starts[: np.searchsorted(-counts, -k)] + k
         total[terms[at]] += rows[rows_of[at]]
+    return distinct
 
 
 @dataclass
@@ -135,10 +142,8 @@ def latent_space(docs: DataFrame, items: DataFrame, text: str = "text") -> Space
                 some = True
                 terms = _terms(words)
                 starts, passage = _passages(words)
-                seen = np.unique((passage * TERMS + terms).astype(np.int32 if len(starts) * TERMS < 1 << 31 else np.int64))
-                total[:, width] += np.bincount(seen % TERMS, minlength=TERMS)
                 total[0, width + 1] += len(starts)
-                _scatter(image, terms, passage, _gathered(padded, words, starts, PASSAGE))
+                total[:, width] += _scatter(image, terms, passage, _gathered(padded, words, starts, PASSAGE))
         if some:
             total[:, :width] = image
             rows = total.reshape(TERMS // _ROWS_A_VECTOR, -1)
@@ -195,6 +200,11 @@ class Query:
         for k, w in enumerate(self.words.tolist()):
             self.masks[w] = self.masks.get(w, 0) | (1 << k)
 
+    @property
+    def margin(self) -> int:
+        """Words around a window that are read with it: as many as the longest item of this width has."""
+        return max(len(self.words), self.width * STEP * 5 // 4)
+
     def mask(self, word: int) -> int:
         """The word's places in the item, as bits. Those of a wide item would fill its square, so they are made anew."""
         if len(self.words) <= WIDE:
@@ -262,6 +272,25 @@ def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+class _Keys:
+    """Sorted distinct hashes; a table of flags by their last bits turns most others away."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.sorted = hashes
+        self.last = np.uint64((1 << max(16, int(16 * len(hashes)).bit_length())) - 1)
+        self.flags = np.zeros(int(self.last) + 1, bool)
+        self.flags[hashes & self.last] = True
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the values are among the hashes, and where."""
+        if not len(self.sorted):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        may = np.flatnonzero(self.flags[values & self.last])
+        at = np.minimum(np.searchsorted(self.sorted, values[may]), len(self.sorted) - 1)
+        hit = self.sorted[at] == values[may]
+        return may[hit], at[hit]
+
+
 class Search:
     """The queries of a block: their vectors by window width, the rare words that they ask for, and the items' runs by length."""
 
@@ -282,22 +311,21 @@ class Search:
         for n, (hashes, items) in found.items():
             hashes, items = np.concatenate(hashes), np.concatenate(items)
             order = np.argsort(hashes, kind="stable")
-            self.runs[n] = hashes[order], items[order]
+            distinct, first = np.unique(hashes[order], return_index=True)
+            self.runs[n] = _Keys(distinct), np.append(first, len(order)), items[order]
         rare = np.concatenate([np.zeros(0, np.uint64), *(q.rare for q in self.asked)])
         asks = np.repeat(np.arange(len(self.asked)), [len(q.rare) for q in self.asked])
         order = np.argsort(rare, kind="stable")
         self.asks = asks[order]  # the queries that ask for each rare word, one word's after another's
-        self.rare, first = np.unique(rare[order], return_index=True)
+        distinct, first = np.unique(rare[order], return_index=True)
+        self.rare = _Keys(distinct)
         self.asks_at = np.append(first, len(rare))
         self.least = np.array([q.least for q in self.asked])
 
     def rare_words(self, words: Words, block_of: np.ndarray, blocks: int) -> np.ndarray:
         """A sorted key, query * (blocks + 1) + block, for each word of a block that is one of a query's rare words."""
-        if not len(self.rare):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.rare, words.hashes), len(self.rare) - 1)
-        hit = np.flatnonzero(self.rare[at] == words.hashes)
-        first, counts = self.asks_at[at[hit]], np.diff(self.asks_at)[at[hit]]
+        hit, at = self.rare.find(words.hashes)
+        first, counts = self.asks_at[at], np.diff(self.asks_at)[at]
         each = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
         return np.sort(self.asks[each] * (blocks + 1) + np.repeat(block_of[hit], counts))
 
@@ -315,6 +343,9 @@ class Search:
         window, width = _gathered(space.of_term, words, starts, STEP), 1
         block_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words.hashes))))
         rare = self.rare_words(words, block_of, len(starts))
+        # A query with too few rare words among all of these words has no leak here.
+        spread = np.searchsorted(rare, np.arange(len(self.asked) + 1) * (len(starts) + 1))
+        may = np.diff(spread) >= self.least
         low_block, high_block = (ends - counts)[text_of], ends[text_of]
         hashes = None
         for wide in sorted({q.width for q in self.asked}):
@@ -323,14 +354,16 @@ class Search:
                 if len(window) > width:
                     wider[:-width] += window[width:] * (text_of[width:] == text_of[:-width])[:, None]
                 window, width = wider, 2 * width
-            own = [k for k, q in enumerate(self.asked) if q.width == wide]  # adjoin, as queries are sorted by width
-            matrix = np.array([self.asked[k].vector for k in own], np.float32).T
-            margins = np.array([len(self.asked[k].words) for k in own])
+            own = np.array([k for k, q in enumerate(self.asked) if q.width == wide and may[k]], np.int64)  # rise
+            if not len(own):
+                continue
+            matrix = np.array([self.asked[k].vector for k in own], np.float32)
+            margins = np.array([self.asked[k].margin for k in own])
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-30)
-            cosine = (window @ matrix) / norm[:, None]
-            at, which = np.nonzero(cosine >= COSINE)
+            cosine = (matrix @ window.T) / norm
+            which, at = np.nonzero(cosine >= COSINE)  # by query, so that keys rise
             # Candidates whose neighbourhood, in whole blocks, lacks the rare words can't pass the check.
-            around, q = -(-margins[which] // STEP), own[0] + which
+            around, q = -(-margins[which] // STEP), own[which]
             low, high = np.maximum(at - around, low_block[at]), np.minimum(at + wide + around, high_block[at])
             key = q * (len(starts) + 1)
             enough = np.searchsorted(rare, key + high) - np.searchsorted(rare, key + low) >= self.least[q]
@@ -339,25 +372,23 @@ class Search:
                 hashes = words.hashes.tolist()
             for i, q in zip(at.tolist(), which.tolist()):
                 query, text = self.asked[own[q]], int(text_of[i])
-                margin = len(query.words)
+                margin = query.margin
                 begin, stop = max(int(first[text]), int(starts[i]) - margin), min(int(last[text]), int(starts[i]) + wide * STEP + margin)
                 share, answer = common(query, hashes[begin:stop])
                 if share >= VERBATIM or (query.whole is None and share >= PARAPHRASE and answer >= ANSWER):
                     if query.whole is not None:
                         share, answer = common(query.whole, hashes[begin:stop])
-                    _keep(best[text], self.item_of[own[q]], query.item_id, int(starts[i] - first[text]), float(cosine[i, q]), share, answer)
+                    _keep(best[text], self.item_of[own[q]], query.item_id, int(starts[i] - first[text]), float(cosine[q, i]), share, answer)
         return [sorted(b.values(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["word"])) for b in best]
 
     def _add_runs(self, best: list[dict], words: Words, space: Space) -> None:
         """Adds the leaks by runs: all words of a short item, RUN words of any other."""
         terms = None
-        for n, (hashes, items) in self.runs.items():
-            runs = _runs(words.hashes, n)
-            hit = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, runs), len(hashes) - 1)] == runs)
+        for n, (keys, ends, items) in self.runs.items():
+            hit, at = keys.find(_runs(words.hashes, n))
             text_of = np.searchsorted(words.at, hit, "right") - 1
             inside = hit + n <= words.at[text_of + 1]
-            hit, text_of = hit[inside], text_of[inside]
-            low, high = np.searchsorted(hashes, runs[hit], "left"), np.searchsorted(hashes, runs[hit], "right")
+            hit, text_of, low, high = hit[inside], text_of[inside], ends[at[inside]], ends[at[inside] + 1]
             beyond: dict[tuple[int, int], int] = {}  # a run is read with its neighbourhood, so the next few needn't be
             for at, text, some, stop in zip(hit.tolist(), text_of.tolist(), low.tolist(), high.tolist()):
                 for k in items[some:stop].tolist():
