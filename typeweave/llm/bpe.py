@@ -36,7 +36,7 @@ MOST_IDS = 1 << 20
 #: The byte-level pattern of public tokenizers, with white space as Unicode has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-CACHED_WORDS, CACHED_CHARS = 100_000, 64
+CACHED_WORDS, CACHED_CHARS = 200_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -127,11 +127,11 @@ class Codec:
 
         return encode
 
-    def decode(self, ids: list[int]) -> str:
-        found = self.bytes_of
-        if ids and not (None not in ids and 0 <= min(ids) and max(ids) < len(found)):
-            raise ValueError(f"not ids of the vocabulary, which has {len(found)}")
-        return b"".join([found[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        known = np.asarray(ids)
+        if len(known) and (known.dtype.kind not in "iu" or known.min() < 0 or known.max() >= len(self.bytes_of)):
+            raise ValueError(f"not ids of the vocabulary, which has {len(self.bytes_of)}")
+        return b"".join(map(self.bytes_of.__getitem__, known.tolist())).decode("utf-8", "replace")
 
 
 def shared(df: DataFrame, path: str) -> Broadcast:
@@ -162,6 +162,6 @@ def decoded(df: DataFrame, ids: str, codec: Broadcast, out: str) -> DataFrame:
     @F.pandas_udf("string")
     def run(column):
         decode = codec.value.decode
-        return column.map(lambda x: None if x is None else decode([None if i is None or i != i else int(i) for i in x] if x.dtype.kind != "i" else x.tolist()))
+        return column.map(lambda x: None if x is None else decode(x))
 
     return bounded(df).withColumn(out, run(ids))
