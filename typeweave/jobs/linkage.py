@@ -34,10 +34,20 @@ def q_next_closest(spark, sf_dir):
 
 
 def q_panel_anchor(spark, sf_dir):
-    """Labels of the anchor's members as predictors of membership."""
-    d = _distances(spark, sf_dir).join(_calls(spark, sf_dir).select("vec_id", "label"), "vec_id")
-    anchor_label = _calls(spark, sf_dir).agg(F.min_by("label", "vec_id").alias("anchor_label"))
-    return P.confusion(d.crossJoin(F.broadcast(anchor_label)), F.col("label") == F.col("anchor_label"), F.col("member"))
+    """Predictors of membership in the anchor's neighbourhood: its label, and its value at one locus; whether the label names the same set, and the gap beyond it."""
+    calls = _calls(spark, sf_dir)
+    d = _distances(spark, sf_dir).join(calls, "vec_id")
+    anchor = calls.agg(F.min_by("label", "vec_id").alias("anchor_label"), F.min_by(F.get("profile", 0), "vec_id").alias("anchor_call"))  # one row
+    rows = d.crossJoin(F.broadcast(anchor)).withColumns({
+        "same_label": F.col("label") == F.col("anchor_label"), "same_call": F.coalesce(F.get("profile", 0) == F.col("anchor_call"), F.lit(False)),
+    })
+    panel = P.classifier_panel(rows, {"label": F.col("same_label"), "locus": F.col("same_call")}, F.col("member"))
+    sets = rows.agg(
+        F.min(F.when(~F.col("member"), F.col("distance"))).alias("next_closest"), F.count_if("same_label").alias("published"),
+        F.count_if("member").alias("operational"), F.count_if(F.col("same_label") & F.col("member")).alias("shared"),
+    )
+    same = (F.col("published") == F.col("shared")) & (F.col("operational") == F.col("shared"))
+    return panel.crossJoin(F.broadcast(sets)).withColumn("identical", same)
 
 
 def _profiles(spark, sf_dir):
@@ -65,7 +75,10 @@ from typeweave.jobs.concordance import _CONF, _CONF_COLS, _COUNTS  # noqa: E402
 ORACLE_SQL = {
     "q_hamming_anchor": f"WITH {_D} SELECT vec_id, distance, compared, distance <= {MOST} AS member FROM d",
     "q_next_closest": f"WITH {_D} SELECT min(distance) FILTER (distance > {MOST}) AS next_closest, max(distance) FILTER (distance <= {MOST}) AS farthest_member, count(*) FILTER (distance <= {MOST}) AS members FROM d",
-    "q_panel_anchor": f"WITH {_D}, l AS (SELECT label = al p, distance <= {MOST} t FROM d), f AS (SELECT {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL), {_CONF} SELECT {_CONF_COLS} FROM x",
+    "q_panel_anchor": f"""WITH {_D}, l AS (SELECT 'label' predictor, label = al p, distance <= {MOST} t FROM d UNION ALL SELECT 'locus', coalesce(e.p[1] = a.ap[1], false), distance <= {MOST} FROM d JOIN e USING (vec_id), a),
+f AS (SELECT predictor, {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY predictor), {_CONF},
+g AS (SELECT min(distance) FILTER (distance > {MOST}) next_closest, count(*) FILTER (label = al) published, count(*) FILTER (distance <= {MOST}) operational, count(*) FILTER (label = al AND distance <= {MOST}) shared FROM d)
+SELECT predictor, {_CONF_COLS}, next_closest, published, operational, shared, published = shared AND operational = shared AS identical FROM x, g""",
     "q_slv_edges": f"WITH {_PR} SELECT x.id AS profile_id, count(y.id) AS links FROM p x LEFT JOIN p y ON x.id <> y.id AND {_EDGE} GROUP BY x.id",
     "q_slv_components": f"""WITH RECURSIVE {_PR}, e AS (SELECT x.id s, y.id t FROM p x, p y WHERE x.id <> y.id AND {_EDGE}),
 r AS (SELECT id s, id t FROM p UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t),
