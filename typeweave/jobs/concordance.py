@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from typeweave.operators import distance as D
 from typeweave.operators import partition as P
 from typeweave.operators.encode import prefixed
-from typeweave.sources.tables import table
+from typeweave.sources.tables import handed_over, table
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def _with_complexes(spark, sf_dir):
         types = part.groupBy(f"type_{scheme}").agg(*(F.min(c).alias(c) for c in loci))
         found = D.complexes(types, f"type_{scheme}", loci).withColumn(f"complex_{scheme}", prefixed("CC", "complex")).drop("complex")
         part = part.join(found, f"type_{scheme}", "left")
-    return part
+    return handed_over(part, "typed-rows")  # the panels read it several times
 
 
 def q_panel_cluster(spark, sf_dir):

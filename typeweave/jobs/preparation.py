@@ -94,9 +94,9 @@ def q_pad(spark, sf_dir):
 
 
 def q_last_match(spark, sf_dir):
-    """The last turn of each conversation with a question."""
+    """The last turn of each conversation whose text has a comma."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return seq.last_matching(turns, "conv_id", "turn", "text", r"\?").select("conv_id", F.md5("text").alias("digest"))
+    return seq.last_matching(turns, "conv_id", "turn", "text", ",").select("conv_id", F.md5("text").alias("digest"))
 
 
 def q_profile_labels(spark, sf_dir):
@@ -195,7 +195,7 @@ n AS (SELECT site, state, count(*) n FROM c WHERE state <> '' GROUP BY ALL) SELE
     "q_pad": """WITH b AS (SELECT source, lang, md5(min(doc_id::varchar || '|' || text)) b, count(*) n FROM documents GROUP BY ALL),
 h AS (SELECT source, lang, b FROM b WHERE n % 3 <> 0), g AS (SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM h) s, (SELECT DISTINCT lang FROM documents) l)
 SELECT source, string_agg(coalesce(b, repeat('N', 32)), '' ORDER BY lang) AS seq FROM g LEFT JOIN h USING (source, lang) GROUP BY source""",
-    "q_last_match": "SELECT conv_id, md5(max_by(text, turn)) AS digest FROM conversations WHERE contains(text, '?') GROUP BY conv_id",
+    "q_last_match": "SELECT conv_id, md5(max_by(text, turn)) AS digest FROM conversations WHERE contains(text, ',') GROUP BY conv_id",
     "q_profile_labels": "SELECT n_name, round(min_by(s_acctbal, s_suppkey) FILTER (s_acctbal >= 0), 2) AS first_balance, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name",
     "q_inner_labels": "SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
     "q_left_master": "SELECT c_custkey, n_name, count(o_orderkey) AS orders FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",

@@ -86,7 +86,12 @@ def _adjusted_rand() -> Column:
 
 def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Wallace a to b, adjusted Wallace and adjusted Rand index of two partitions."""
-    return pair_counts(contingency(df, a, b, by), by).select(
+    return agreement_of(contingency(df, a, b, by), by)
+
+
+def agreement_of(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``agreement`` of a contingency table."""
+    return pair_counts(cells, by).select(
         *(by or []), F.round(_wallace(), DIGITS).alias("wallace"), F.round(_adjusted_wallace(), DIGITS).alias("adj_wallace"),
         F.round(_adjusted_rand(), DIGITS).alias("ari"), "n",
     )
@@ -147,7 +152,11 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     classes have them, and over the cell counts within 14 deviations of the
     hypergeometric mean, beyond which nothing adds to a double.
     """
-    cells = contingency(df, a, b)
+    return mutual_information_of(handed_over(contingency(df, a, b), "cells"))
+
+
+def mutual_information_of(cells: DataFrame) -> DataFrame:
+    """``adjusted_mutual_information`` of a contingency table, which is read several times."""
     of_a = cells.groupBy("a").agg(F.sum("n").alias("ra"))
     of_b = cells.groupBy("b").agg(F.sum("n").alias("cb"))
     total = cells.agg(F.sum("n").alias("total"))  # one row
@@ -214,8 +223,13 @@ def bootstrap(df: DataFrame, a: str, b: str, replicates: int = 1000) -> DataFram
     engine draws alike. Draws are counted by replicate and cell in the tasks before
     anything is shuffled; replicates are groups of one plan, not a loop.
     """
-    spark = df.sparkSession
-    cells = handed_over(placed(contingency(df, a, b), [], ["a", "b"], "cell"), "cells")
+    return bootstrap_of(contingency(df, a, b), replicates)
+
+
+def bootstrap_of(cells: DataFrame, replicates: int = 1000) -> DataFrame:
+    """``bootstrap`` of a contingency table."""
+    spark = cells.sparkSession
+    cells = handed_over(placed(cells, [], ["a", "b"], "cell"), "cells")
     upto = handed_over(exclusive_sums(cells.select("cell", "n").withColumn("_all", F.lit(0)), ["_all"], "cell", "n", "before").select("cell", "before"), "cells-before")
     size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]  # one number
     hexed = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("|"), F.col("rep").cast("string"))), 1, 8)
@@ -253,12 +267,13 @@ def agreement_panel(df: DataFrame, pairs: list[tuple[str, str]], replicates: int
     """
     out = []
     for a, b in pairs:
-        row = agreement(df, a, b)
-        limits = bootstrap(df, a, b, replicates)
-        of = lambda name, lo, hi, limits=limits: limits.where(F.col("statistic") == name).agg(F.first("lo").alias(lo), F.first("hi").alias(hi))
-        levels = contingency(df, a, b).agg(F.count_distinct("a").alias("levels_one"), F.count_distinct("b").alias("levels_two"))
-        ami = adjusted_mutual_information(df, a, b).select("ami")
-        whole = row.crossJoin(of("ari", "ari_lo", "ari_hi")).crossJoin(of("adj_wallace", "aw_lo", "aw_hi")).crossJoin(levels).crossJoin(ami)  # one row each
+        cells = handed_over(contingency(df, a, b), "cells")  # the rows are read once for each pair
+        limit = lambda name, side: F.max(F.when(F.col("statistic") == name, F.col(side)))
+        limits = bootstrap_of(cells, replicates).agg(
+            limit("ari", "lo").alias("ari_lo"), limit("ari", "hi").alias("ari_hi"), limit("adj_wallace", "lo").alias("aw_lo"), limit("adj_wallace", "hi").alias("aw_hi")
+        )
+        levels = cells.agg(F.count_distinct("a").alias("levels_one"), F.count_distinct("b").alias("levels_two"))
+        whole = agreement_of(cells).crossJoin(limits).crossJoin(levels).crossJoin(mutual_information_of(cells).select("ami"))  # one row each
         out.append(whole.select(F.lit(a).alias("one"), F.lit(b).alias("two"), "levels_one", "levels_two", "ari", "ari_lo", "ari_hi", "adj_wallace", "aw_lo", "aw_hi", "ami", "n"))
     return reduce(DataFrame.unionByName, out)
 
