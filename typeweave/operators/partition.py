@@ -230,12 +230,13 @@ def bootstrap_of(cells: DataFrame, replicates: int = 1000) -> DataFrame:
     """``bootstrap`` of a contingency table."""
     spark = cells.sparkSession
     cells = handed_over(placed(cells, [], ["a", "b"], "cell"), "cells")
-    upto = handed_over(exclusive_sums(cells.select("cell", "n").withColumn("_all", F.lit(0)), ["_all"], "cell", "n", "before").select("cell", "before"), "cells-before")
-    size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]  # one number
+    known = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("cells")).first()  # two numbers
+    size = known["rows"]
     hexed = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("|"), F.col("rep").cast("string"))), 1, 8)
     draws = spark.range(size).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("rep", (F.conv(hexed, 16, 10).cast("bigint") % size).alias("drawn"))
-    if upto.count() <= MOST_SENT:
-        starts = spark.sparkContext.broadcast(np.array([r["before"] for r in upto.orderBy("before").collect()], np.int64))  # at most MOST_SENT numbers
+    if known["cells"] <= MOST_SENT:
+        counts = np.array([r["n"] for r in cells.select("cell", "n").orderBy("cell").collect()], np.int64)  # at most MOST_SENT numbers
+        starts = spark.sparkContext.broadcast(np.cumsum(counts) - counts)
 
         @F.pandas_udf("bigint")
         def cell_of(drawn: pd.Series) -> pd.Series:
@@ -244,6 +245,7 @@ def bootstrap_of(cells: DataFrame, replicates: int = 1000) -> DataFrame:
         counted = draws.groupBy("rep", cell_of("drawn").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     else:
         # Draws are counted by number, and each number is known by the cell that it falls in.
+        upto = exclusive_sums(cells.select("cell", "n").withColumn("_all", F.lit(0)), ["_all"], "cell", "n", "before").select("cell", "before")
         each = cells.join(upto, "cell").select("cell", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("drawn"))
         counted = draws.groupBy("rep", "drawn").agg(F.count(F.lit(1)).alias("times")).join(each, "drawn").groupBy("rep", "cell").agg(F.sum("times").alias("n"))
     drawn = counted.join(cells.select("cell", "a", "b"), "cell").select("rep", "a", "b", "n")
