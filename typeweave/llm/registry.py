@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm import bpe, chat, decontaminate, html, neardup, pii, quality, shard, syncmer, url_filter
+from typeweave.llm import bpe, chat, decontaminate, html, neardup, phrases, pii, quality, repair, shard, syncmer, toxicity, url_filter
 from typeweave.sources.tables import handed_over, table
 
 URL_RULES = [
@@ -158,6 +158,57 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(rows, model).select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases of two to five words in all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+PHRASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+tot AS (SELECT lang, sum(len(ws))::bigint AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+inner_ AS (SELECT DISTINCT lang, k - 1 AS k, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:k], ' ')]) AS phrase, a FROM c WHERE k > 2),
+kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = c.lang AND x.phrase = c.phrase AND x.a >= c.a)),
+cut AS (SELECT lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') AS h, array_to_string(ws[j + 1:k], ' ') AS t FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r, n, j, ((1000::hugeint * cut.a * n) // (x.a::hugeint * y.a))::bigint AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = cut.h JOIN f y ON y.lang = cut.lang AND y.phrase = cut.t JOIN tot ON tot.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.scored(docs, model, keep_text=False)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").cast("bigint").alias("n_passages"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with a fifth of the rows dropped, emptied, cut, repeated or given to the user, by the checksum of conversation and turn."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(name("text"), ".!?", "")).otherwise(name("text"))
+    role = F.when(kind == 4, "user").otherwise(name("role"))
+    times = F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of all conversations after damage."""
+    original = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = repair.ordered(damaged(original))
+    found = handed_over(repair.edits(rows), "repair-edits")
+    return repair.audited(original.select("conv_id"), "conv_id", rows, found)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -169,5 +220,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_phrases": op11_phrases,
+    "op12_toxicity": op12_toxicity,
+    "op13_repair": op13_repair,
 }
-ORACLE_SQL = {"op2_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL}
+ORACLE_SQL = {"op2_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL, "op11_phrases": PHRASE_SQL}
