@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from typeweave.operators import distance, encode, partition, seq, tree
+from typeweave.operators import distance, encode, partition, resample, seq, tree
 from typeweave.operators.components import components
 from typeweave.operators.offsets import ranked
 from typeweave.sources import newick
@@ -186,7 +186,7 @@ def node_tables(spark, **trees):
 def test_newick_names_supports_and_lengths():
     nodes = newick.parse("('a b':1.5,(c,d)77:2)root;")
     assert [n["label"] for n in nodes] == ["root", "a b", "77", "c", "d"]
-    assert nodes[4]["root_dist"] == 2.0 and nodes[4]["path"] == [0, 2, 4]
+    assert nodes[4]["root_dist"] == 2.0 and [(n["last"], n["depth"]) for n in nodes] == [(4, 0), (1, 1), (4, 1), (3, 2), (4, 2)]
     with pytest.raises(ValueError):
         newick.parse("((a,b);")
 
@@ -225,8 +225,11 @@ def test_four_points_and_symmetry():
     leaf = [n for n in nodes if n["leaf"]]
     depth = {i: n["root_dist"] for i, n in enumerate(nodes)}
 
+    at = {id(n): i for i, n in enumerate(nodes)}
+
     def d(x, y):
-        return x["root_dist"] + y["root_dist"] - 2 * depth[[p for p in x["path"] if p in y["path"]][-1]]
+        common = [i for i, n in enumerate(nodes) if all(i <= at[id(z)] <= n["last"] for z in (x, y))]
+        return x["root_dist"] + y["root_dist"] - 2 * depth[common[-1]]
 
     for a in leaf:
         for b in leaf:
@@ -246,33 +249,94 @@ def test_mantel_of_itself_and_without_variance(spark):
     assert p["r"] == 1.0 and p["p"] <= 0.05 and p["permutations"] == 99
 
 
-def test_permutations_by_matrix_and_by_join_against_plain_sums(spark, monkeypatch):
-    from typeweave.operators.tree import _order_hash
-
+def test_permutations_in_strips_against_plain_sums(spark, monkeypatch):
     rng = np.random.default_rng(4)
     n, m = 7, 20
     x, y = (np.triu(rng.integers(0, 9, (n, n)), 1).astype(float) for _ in range(2))
     data = [(f"n{i}", f"n{j}", float(x[i, j]), float(y[i, j])) for i in range(n) for j in range(i + 1, n)]
     df = rows(spark, data, "a string, b string, x double, y double")
-    hashes = {(r["k"], r["i"]): r["h"] for r in spark.range(m + 1).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("k", "i", _order_hash(42, F.col("k"), F.col("i")).alias("h")).collect()}
     at = np.triu_indices(n, 1)
 
     def r_of(k):
-        order = sorted(range(n), key=lambda i: hashes[k, i]) if k else list(range(n))
+        order = tree.permutation(k, n, 42)
+        assert sorted(order) == list(range(n))
         return np.corrcoef((x + x.T)[np.ix_(order, order)][at], y[at])[0, 1]
 
     seen = r_of(0)
     as_large = sum(r_of(k) >= seen - 1e-12 for k in range(1, m + 1))
-    for most in (1_000, 3):
-        monkeypatch.setattr(tree, "MOST_MATRIX", most)
+    for cells, together in ((2_000_000, 500), (2 * n, 6)):  # one strip, and strips of two names
+        monkeypatch.setattr(tree, "STRIP_CELLS", cells)
+        monkeypatch.setattr(tree, "PERMUTATIONS_TOGETHER", together)
         got = tree.mantel_permutations(df, "x", "y", m).first()
         assert got["r"] == pytest.approx(seen, abs=1e-8) and got["p"] == pytest.approx((as_large + 1) / (m + 1)) and got["permutations"] == m
-    monkeypatch.undo()
     got = tree.mantel_permutations(df.withColumn("y", F.lit(1.0)), "x", "y", 5).first()
     assert got["r"] is None and got["p"] is None
     assert tree.mantel_permutations(df.where("false"), "x", "y", 5).count() == 0
 
 
+def random_newick(rng, names):
+    """A tree with inner nodes of one to four children."""
+    if len(names) == 1:
+        text = f"{names[0]}:{rng.randrange(1, 9)}"
+        return f"({text}):{rng.randrange(1, 5)}" if rng.random() < 0.2 else text
+    cuts = sorted(rng.sample(range(1, len(names)), min(len(names) - 1, rng.randrange(1, 4))))
+    parts = [names[a:b] for a, b in zip([0, *cuts], [*cuts, len(names)])]
+    return f"({','.join(random_newick(rng, p) for p in parts)}){rng.randrange(100)}:{rng.randrange(1, 9)}"
+
+
+def test_random_trees_against_plain_walks(spark, monkeypatch):
+    """Distances, splits and pruning of whole trees and of some of their leaves, in blocks of three leaves."""
+    monkeypatch.setattr(tree, "BLOCK_LEAVES", 3)
+    rng = random.Random(6)
+    texts = {}
+    for t in range(6):
+        names = [f"n{k:02d}" for k in range(rng.randrange(2, 22))]
+        rng.shuffle(names)
+        texts[f"t{t}"] = random_newick(rng, names) + ";"
+    texts["deep"] = "(" * 400 + "n00:1" + "".join(f",m{k}:1):1" for k in range(400)) + ";"
+    nodes = node_tables(spark, **texts)
+    only = rows(spark, [(f"n{k:02d}",) for k in range(0, 22, 3)] + [(f"m{k}",) for k in range(0, 400, 37)], "name string")
+    wanted = {r["name"] for r in only.collect()}
+    whole, some = tree.leaves(nodes), tree.leaves(nodes, only)
+    got = [{(r["tree"], r["a"], r["b"]): r["distance"] for r in tree.patristic(nodes, x).collect()} for x in (whole, some)]
+    totals = [{(r["tree"], r["name"]): r["total"] for r in tree.total_distances(nodes, x).collect()} for x in (whole, some)]
+    small = tree.pruned(nodes, only).cache()
+    kept = {(r["tree"], r["node"]): r for r in small.collect()}
+    found = {(r["tree"], r["node"]): (r["size"], r["p"]) for r in tree.splits(nodes, whole).collect()}
+    again = {(r["tree"], r["a"], r["b"]): r["distance"] for r in tree.patristic(small, tree.leaves(small)).collect()}
+    assert again == pytest.approx(got[1])
+    for t, text in texts.items():
+        plain = newick.parse(text)
+        up = lambda i: [] if i is None else [*up(plain[i]["parent"]), i]  # noqa: B023, E731
+        paths = {i: up(i) for i in range(len(plain))} if t != "deep" else {i: [j for j in range(i + 1) if plain[j]["last"] >= i] for i in range(len(plain))}
+        leaf = {n["label"]: i for i, n in enumerate(plain) if n["leaf"]}
+        for want, total, chosen in zip(got, totals, (leaf, {k: v for k, v in leaf.items() if k in wanted})):
+            sums = dict.fromkeys(chosen, 0.0)
+            for a, i in chosen.items():
+                for b, j in chosen.items():
+                    if a < b:
+                        meet = [p for p, q in zip(paths[i], paths[j]) if p == q][-1]
+                        d = plain[i]["root_dist"] + plain[j]["root_dist"] - 2 * plain[meet]["root_dist"]
+                        assert want[t, a, b] == d
+                        sums[a] += d
+                        sums[b] += d
+            assert {x: total[t, x] for x in sums} == pytest.approx(sums)
+        under = {i: {a for a, j in leaf.items() if i in paths[j]} for i in range(len(plain))}
+        least = min(x["name"] for x in whole.collect())
+        splits = {(t, i): (len(leaf) - len(x) if least in x else len(x), len(x) / len(leaf)) for i, x in under.items() if not plain[i]["leaf"] and 1 < len(x) < len(leaf) - 1}
+        assert {k: v for k, v in found.items() if k[0] == t} == splits
+        below = {i: x & wanted for i, x in under.items()}
+        children = {i: [j for j in range(len(plain)) if plain[j]["parent"] == i and below[j]] for i in under}
+        stays = {i for i in under if below[i] and (plain[i]["leaf"] or len(children[i]) > 1)}
+        assert {i for u, i in kept if u == t} == stays
+        order = sorted(stays)
+        for i in stays:
+            r, above = kept[t, i], [p for p in paths[i][:-1] if p in stays]
+            assert r["parent"] == (above[-1] if above else None) and r["depth"] == len(above)
+            assert r["first"] == order.index(i) and r["last"] == order.index(i) + sum(plain[i]["last"] >= j > i for j in stays)
+            assert r["length"] == (plain[i]["root_dist"] - plain[above[-1]]["root_dist"] if above else None)
+
+
 def test_distances_of_a_large_tree_in_blocks(spark, monkeypatch):
     nodes = node_tables(spark, a=TREE_A, b=TREE_B)
     whole = tree.patristic(nodes, tree.leaves(nodes)).collect()
@@ -280,27 +344,84 @@ def test_distances_of_a_large_tree_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, tree.patristic(nodes, tree.leaves(nodes)).collect())) == sorted(map(tuple, whole)) and len(whole) == 30
 
 
-def test_bootstrap_and_mutual_information_beyond_a_broadcast(spark, monkeypatch):
-    rng = random.Random(9)
-    df = rows(spark, [(rng.choice(["x", "y", None]), rng.choice("uvw")) for _ in range(60)], "a string, b string")
-    sent = [tuple(map(tuple, f.collect())) for f in (partition.bootstrap(df, "a", "b", 20).orderBy("statistic"), partition.adjusted_mutual_information(df, "a", "b"))]
-    monkeypatch.setattr(partition, "MOST_SENT", 1)
-    dealt = [tuple(map(tuple, f.collect())) for f in (partition.bootstrap(df, "a", "b", 20).orderBy("statistic"), partition.adjusted_mutual_information(df, "a", "b"))]
-    assert sent == dealt and len(sent[0]) == 2
-
-
-def test_bootstrap_draws_rows_numbered_by_cells(spark):
-    import hashlib
-
+def plain_draws(cells, replicates):
+    """Draws of each replicate by recursive halving of the cells, with the uniform number's quantile found by exact fractions' sums."""
+    depth = max(len(cells) - 1, 0).bit_length()
+
+    def quantile(t, p, u):
+        upto = 0.0
+        for k in range(t + 1):
+            upto += math.comb(t, k) * p**k * (1 - p) ** (t - k)
+            if upto >= u:
+                return k
+        return t
+
+    def split(rep, node, level, held, t):
+        if level == depth:
+            return [(held[0][0], t)] if held and t else []
+        half = 1 << (depth - level - 1)
+        base = (node << (depth - level)) - (1 << depth)
+        left, right = [h for h in held if h[0] < base + half], [h for h in held if h[0] >= base + half]
+        a, b = sum(n for _, n in left), sum(n for _, n in right)
+        k = 0 if t == 0 or a == 0 else t if b == 0 else quantile(t, a / (a + b), float(resample.uniform(np.array([rep]), np.array([node]))[0]))
+        return split(rep, 2 * node, level + 1, left, k) + split(rep, 2 * node + 1, level + 1, right, t - k)
+
+    held = list(enumerate(cells))
+    return [split(rep, 1, 0, held, sum(cells)) for rep in range(replicates)]
+
+
+@pytest.mark.parametrize("bits, together", [(12, 125), (2, 4)])
+def test_resampling_by_cells_against_plain_halving(bits, together, spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK_BITS", bits)
+    monkeypatch.setattr(resample, "TOGETHER", together)
     rng = random.Random(10)
-    data = sorted((rng.choice("xy"), rng.choice("uvw")) for _ in range(30))
-    values = []
-    for rep in range(15):
-        drawn = [data[int(hashlib.md5(f"{i}|{rep}".encode()).hexdigest()[:8], 16) % len(data)] for i in range(len(data))]
-        values.append(brute_ari([a for a, _ in drawn], [b for _, b in drawn]))
-    shuffled = rng.sample(data, len(data)) + [(None, "u")]
-    got = partition.bootstrap(rows(spark, shuffled, "a string, b string"), "a", "b", 15).where("statistic = 'ari'").first()
-    assert (got["lo"], got["hi"]) == (pytest.approx(np.quantile(values, 0.025), abs=1e-7), pytest.approx(np.quantile(values, 0.975), abs=1e-7))
+    data = {g: sorted((rng.choice("vwxyz"), rng.choice("abcdef")) for _ in range(n)) for g, n in (("one", 70), ("two", 5), ("three", 1))}
+    df = rows(spark, [(g, a, b) for g, x in data.items() for a, b in x], "g string, a string, b string")
+    cells = partition.contingency(df, "a", "b", ["g"])
+    got = {}
+    for r in resample.resampled(cells, ["g"], 9).collect():
+        got.setdefault((r["g"], r["rep"]), []).append((r["a"], r["b"], r["n"]))
+    aris = []
+    for g, x in data.items():
+        names = sorted(set(x))
+        first = {c: min(k for k, cell in enumerate(names) if cell[s] == c) for s in (0, 1) for c in {cell[s] for cell in names}}
+        for rep, drawn in enumerate(plain_draws([x.count(c) for c in names], 9)):
+            assert sorted(got[g, rep]) == sorted((first[names[k][0]], first[names[k][1]], n) for k, n in drawn)
+            assert sum(n for _, n in drawn) == len(x)
+            if g == "one":
+                pairs = [names[k] for k, n in drawn for _ in range(n)]
+                aris.append(brute_ari([a for a, _ in pairs], [b for _, b in pairs]))
+    limits = {r["g"]: r for r in resample.intervals(cells, ["g"], partition.statistics_of, 9).where("statistic = 'ari'").collect()}
+    assert (limits["one"]["lo"], limits["one"]["hi"]) == (pytest.approx(np.quantile(aris, 0.025), abs=1e-7), pytest.approx(np.quantile(aris, 0.975), abs=1e-7))
+
+
+def test_draws_have_a_binomials_mean_and_spread():
+    for trials, part in ((9, 0.3), (3_000, 0.01), (10**9, 0.25)):
+        got = resample.binomial(np.full(4_000, trials), np.full(4_000, part), resample.uniform(np.arange(4_000), np.full(4_000, 7)))
+        sd = math.sqrt(trials * part * (1 - part))
+        assert abs(got.mean() - trials * part) < 4 * sd / math.sqrt(4_000) and abs(got.std() / sd - 1) < 0.05
+
+
+def test_statistics_of_cells_agree_with_those_of_rows(spark):
+    rng = random.Random(11)
+    df = rows(spark, [(rng.choice("xyz"), rng.choice("uvw")) for _ in range(80)] + [(None, "u")], "a string, b string")
+    got = partition.statistics_of(partition.contingency(df, "a", "b")).first()
+    want = partition.agreement(df, "a", "b").first()
+    assert (got["ari"], got["adj_wallace"]) == (pytest.approx(want["ari"], abs=1e-8), pytest.approx(want["adj_wallace"], abs=1e-8))
+    assert got["ami"] == pytest.approx(partition.adjusted_mutual_information(df, "a", "b").first()["ami"], abs=1e-6)
+    assert got["simpson_one"] == pytest.approx(partition.simpson(df.where("a IS NOT NULL"), "a").first()["simpson"], abs=1e-8)
+
+
+def test_pairs_of_more_than_64_bits(spark):
+    """Cells of up to 4e9 rows: all statistics of pairs stay exact."""
+    n = [4 * 10**9, 4 * 10**9 + 1, 7]
+    cells = rows(spark, [("a", "x", n[0]), ("a", "y", n[1]), ("b", "x", n[2])], "a string, b string, n long")
+    two = lambda k: k * (k - 1) // 2
+    got = partition.pair_counts(cells).first()
+    assert (int(got["both"]), int(got["in_a"]), int(got["in_b"]), got["n"]) == (sum(map(two, n)), two(n[0] + n[1]) + two(n[2]), two(n[0] + n[2]) + two(n[1]), sum(n))
+    value = partition.agreement_of(cells).first()
+    assert value["wallace"] == pytest.approx(sum(map(two, n)) / (two(n[0] + n[1]) + two(n[2])))
+    assert all(v is not None for v in partition.statistics_of(cells).first())
 
 
 def test_types_complexes_and_numbers_of_accessions(spark):
@@ -354,7 +475,7 @@ def test_no_local_folder_on_a_cluster():
 def test_newick_keeps_every_leaf(text):
     nodes = newick.parse(text + ";")
     assert sum(n["leaf"] for n in nodes) == text.count("t")
-    assert all(n["path"][-1] == i for i, n in enumerate(nodes))
+    assert all(n["parent"] is None or n["parent"] < i <= nodes[n["parent"]]["last"] for i, n in enumerate(nodes))
 
 
 def test_mantel_query_has_the_references_permutations(spark, sf):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +17,15 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_pair_counts(spark, sf_dir):
     cells = P.contingency(_part(spark, sf_dir), "p_brand", "p_type")
-    pairs = lambda c: c.agg(F.sum(P.pairs_in("n")).cast("bigint").alias("v"))
-    parts = {"both": pairs(cells), "in_a": pairs(cells.groupBy("a").agg(F.sum("n").alias("n"))), "in_b": pairs(cells.groupBy("b").agg(F.sum("n").alias("n"))), "n": cells.agg(F.sum("n").alias("v"))}
-    return reduce(lambda x, y: x.crossJoin(y), (df.withColumnRenamed("v", k) for k, df in parts.items()))
+    return P.pair_counts(cells).select("n", *(F.col(c).cast("bigint").alias(c) for c in ("both", "in_a", "in_b")))
 
 
 def q_pair_counts_gs(spark, sf_dir):
-    return P.pair_counts(P.contingency(_part(spark, sf_dir), "p_brand", "p_type"))
+    """Pair counts of three pairs of schemes in one pass."""
+    part = _part(spark, sf_dir)
+    each = F.array(*(F.struct(F.lit(f"{x}/{y}").alias("pair"), F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")) for x, y in PAIRS))
+    cells = P.contingency(part.select(F.explode(each).alias("s")).select("s.*"), "x", "y", ["pair"])
+    return P.pair_counts(cells, ["pair"]).select("pair", "n", *(F.col(c).cast("bigint").alias(c) for c in ("both", "in_a", "in_b")))
 
 
 def q_simpson(spark, sf_dir):
@@ -44,6 +44,7 @@ def q_ami(spark, sf_dir):
 
 
 SCHEMES = ["p_brand", "p_type", "p_band"]
+PAIRS = [("p_brand", "p_type"), ("p_brand", "p_band"), ("p_type", "p_band")]
 
 
 def common_set(df: DataFrame, schemes: list[str]) -> DataFrame:
@@ -66,7 +67,7 @@ def q_pairwise_ari(spark, sf_dir):
 def q_panel_pairwise(spark, sf_dir):
     """Each pair of schemes with intervals and mutual information, and the finest scheme to the others."""
     rows = common_set(_part(spark, sf_dir), SCHEMES)
-    return P.agreement_panel(rows, [("p_brand", "p_type"), ("p_brand", "p_band"), ("p_type", "p_band")], 200)
+    return P.agreement_panel(rows, PAIRS)
 
 
 def _with_complexes(spark, sf_dir):
@@ -82,7 +83,7 @@ def _with_complexes(spark, sf_dir):
 def q_panel_cluster(spark, sf_dir):
     """Types and complexes of two schemes against the size band as the reference clustering, with intervals."""
     rows = _with_complexes(spark, sf_dir).dropna(subset=["p_band"])
-    return P.agreement_panel(rows, [(c, "p_band") for c in ("type_a", "complex_a", "p_type")], 100)
+    return P.agreement_panel(rows, [(c, "p_band") for c in ("type_a", "type_b", "complex_a", "complex_b")])
 
 
 def q_wilson(spark, sf_dir):
@@ -150,27 +151,59 @@ x AS (SELECT *, (p1+1.96*1.96/(2*n1))/(1+1.96*1.96/n1) m1, 1.96*sqrt(p1*(1-p1)/n
  (p2+1.96*1.96/(2*n2))/(1+1.96*1.96/n2) m2, 1.96*sqrt(p2*(1-p2)/n2+1.96*1.96/(4*n2*n2))/(1+1.96*1.96/n2) h2 FROM w)"""
 _CONF_COLS = """tp, fp, fn, tn, round(p1, 8) AS sens, CASE WHEN p1 IS NOT NULL THEN round(greatest(0, m1-h1), 8) END AS sens_lo, CASE WHEN p1 IS NOT NULL THEN round(least(1, m1+h1), 8) END AS sens_hi,
  round(p2, 8) AS spec, CASE WHEN p2 IS NOT NULL THEN round(greatest(0, m2-h2), 8) END AS spec_lo, CASE WHEN p2 IS NOT NULL THEN round(least(1, m2+h2), 8) END AS spec_hi, round(tp::double/nullif(tp+fp,0), 8) AS ppv"""
-#: l has one, two, a, b; rows are numbered in the order of their cells.
-_BOOT = """lr AS (SELECT one, two, a, b, row_number() OVER (PARTITION BY one, two ORDER BY a, b) - 1 AS i, count(*) OVER (PARTITION BY one, two) AS m FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
-bd AS (SELECT one, two, rep, ('0x' || substr(md5(i::varchar || '|' || rep::varchar), 1, 8))::bigint % m AS j FROM lr, range({}) t(rep)),
-bc AS (SELECT one, two, rep, a, b, count(*) n FROM bd JOIN lr USING (one, two) WHERE lr.i = bd.j GROUP BY ALL),
-bs AS (SELECT one, two, rep, s11, sa, sb, n*(n-1)/2.0::double np FROM (SELECT one, two, rep, sum(n*(n-1)//2)::double s11, sum(n)::bigint n FROM bc GROUP BY ALL)
-  JOIN (SELECT one, two, rep, sum(n*(n-1)//2)::double sa FROM (SELECT one, two, rep, a, sum(n)::bigint n FROM bc GROUP BY ALL) GROUP BY ALL) USING (one, two, rep)
-  JOIN (SELECT one, two, rep, sum(n*(n-1)//2)::double sb FROM (SELECT one, two, rep, b, sum(n)::bigint n FROM bc GROUP BY ALL) GROUP BY ALL) USING (one, two, rep)),
-bv AS (SELECT one, two, (s11 - sa*sb/np)/((sa+sb)/2 - sa*sb/np) ari, CASE WHEN sa > 0 AND sb < np THEN (s11/sa - sb/np)/(1 - sb/np) END aw FROM bs),
-ci AS (SELECT one, two, round(quantile_cont(ari, 0.025), 8) AS ari_lo, round(quantile_cont(ari, 0.975), 8) AS ari_hi, round(quantile_cont(aw, 0.025), 8) AS aw_lo, round(quantile_cont(aw, 0.975), 8) AS aw_hi,
-  count(ari) AS n_ari, count(aw) AS n_aw FROM bv GROUP BY ALL)"""
-_PANEL = _BOOT.replace("{}", "{0}") + """,
-c AS (SELECT one, two, a, b, count(*) n FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), ra AS (SELECT one, two, a, sum(n)::bigint ra FROM c GROUP BY ALL), cb AS (SELECT one, two, b, sum(n)::bigint cb FROM c GROUP BY ALL),
-tot AS (SELECT one, two, sum(n)::bigint tt, sum(n*(n-1)//2)::double s11 FROM c GROUP BY ALL),
-sa AS (SELECT one, two, sum(ra*(ra-1)//2)::double sa, count(*) levels_one FROM ra GROUP BY ALL), sb AS (SELECT one, two, sum(cb*(cb-1)//2)::double sb, count(*) levels_two FROM cb GROUP BY ALL),
-mi AS (SELECT one, two, sum(n::double/tt*ln(n::double*tt/(ra::double*cb))) mi FROM c JOIN ra USING (one, two, a) JOIN cb USING (one, two, b) JOIN tot USING (one, two) GROUP BY ALL),
-ha AS (SELECT one, two, -sum(ra::double/tt*ln(ra::double/tt)) ha FROM ra JOIN tot USING (one, two) GROUP BY ALL), hb AS (SELECT one, two, -sum(cb::double/tt*ln(cb::double/tt)) hb FROM cb JOIN tot USING (one, two) GROUP BY ALL),
-k AS (SELECT one, two, ra, cb, tt, unnest(range(greatest(1, ra+cb-tt), least(ra, cb)+1)) k FROM ra JOIN cb USING (one, two) JOIN tot USING (one, two)),
-em AS (SELECT one, two, sum(k::double/tt*ln(tt::double*k/(ra::double*cb))*exp(lgamma(ra+1)+lgamma(cb+1)+lgamma(tt-ra+1)+lgamma(tt-cb+1)-lgamma(tt+1)-lgamma(k+1)-lgamma(ra-k+1)-lgamma(cb-k+1)-lgamma(tt-ra-cb+k+1))) emi FROM k GROUP BY ALL)
-SELECT one, two, levels_one, levels_two, round((s11 - sa*sb/(tt*(tt-1)/2.0::double))/((sa+sb)/2 - sa*sb/(tt*(tt-1)/2.0::double)), 8) AS ari, ari_lo, ari_hi,
- round((s11/sa - sb/(tt*(tt-1)/2.0::double))/(1 - sb/(tt*(tt-1)/2.0::double)), 8) AS adj_wallace, aw_lo, aw_hi, round((mi-emi)/((ha+hb)/2-emi), 6) AS ami, tt AS n
-FROM tot JOIN sa USING (one, two) JOIN sb USING (one, two) JOIN mi USING (one, two) JOIN ha USING (one, two) JOIN hb USING (one, two) JOIN em USING (one, two) JOIN ci USING (one, two)"""
+_LEVELS = 11  # of the tree over cells; 2,048 cells of a pair at most in this SQL
+
+
+def _mixed(rows: str, out: str, of: str) -> str:
+    """``rows`` with a column that mixes the 32-bit integer ``of``, a step in each subquery."""
+    step = lambda x, shift, by: f"((xor({x}, {x} >> {shift})) * {by}) & 4294967295"
+    return f"SELECT * EXCLUDE (y), xor(y, y >> 15) AS {out} FROM (SELECT * REPLACE ({step('y', 15, 1935289751)} AS y) FROM (SELECT *, {step(f'({of})', 16, 569420461)} AS y FROM ({rows})))"
+
+
+def uniform_sql(rows: str, seed: int = 0) -> str:
+    """Rows (rep, v) with the number u in (0, 1) that mixes both, and a seed."""
+    mixed = _mixed(_mixed(_mixed(_mixed(f"SELECT *, rep + 1 AS x FROM ({rows})", "e", "x"), "f", "xor(e, v & 4294967295)"), "hi", f"xor(f, {seed})"), "lo", f"xor(xor(f, {seed}), 1542469173)")
+    return f"SELECT rep, v, (hi * 2097152.0::double + (lo >> 11) + 0.5::double) / 9007199254740992.0::double AS u FROM ({mixed})"
+
+
+def _level(d: int) -> str:
+    """Level d + 1 of the draws from level d: each node's draws are dealt to its halves by a binomial quantile."""
+    return f"""s{d} AS MATERIALIZED (SELECT one, two, rep, v, d.t, depth, coalesce(lt.t, 0)::double / nt.t AS p, u
+  FROM d{d} d JOIN nt USING (one, two, v) JOIN u USING (rep, v) LEFT JOIN nt lt ON lt.one = d.one AND lt.two = d.two AND lt.v = 2 * d.v WHERE d.v < (1::bigint << depth)),
+j{d} AS (SELECT one, two, rep, v, t, p, u, low, unnest(range(low, high + 1)) AS j FROM (SELECT *, greatest(floor(t * p - 10 * sqrt(t * p * (1 - p)) - 10), 0)::bigint AS low, least(t, ceil(t * p + 10 * sqrt(t * p * (1 - p)) + 10))::bigint AS high FROM s{d} WHERE p > 0 AND p < 1)),
+q{d} AS (SELECT one, two, rep, v, least(low + count(*) FILTER (upto < u), t) AS k FROM (SELECT *, sum(exp(lgamma(t + 1) - lgamma(j + 1) - lgamma(t - j + 1) + j * ln(p) + (t - j) * ln(1 - p))) OVER (PARTITION BY one, two, rep, v ORDER BY j) AS upto FROM j{d}) GROUP BY one, two, rep, v, low, t),
+k{d} AS MATERIALIZED (SELECT s.*, CASE WHEN p >= 1 THEN s.t WHEN p <= 0 THEN 0 ELSE q.k END AS k FROM s{d} s LEFT JOIN q{d} q USING (one, two, rep, v)),
+d{d + 1} AS MATERIALIZED (SELECT one, two, rep, 2 * v AS v, k AS t, depth FROM k{d} WHERE k > 0 UNION ALL SELECT one, two, rep, 2 * v + 1, t - k, depth FROM k{d} WHERE t > k UNION ALL SELECT * FROM d{d} WHERE v >= (1::bigint << depth)),
+"""
+
+
+def _statistics(cells: str, by: str, out: str) -> str:
+    """{out} has the statistics of each group of a table of cells (by, a, b, n)."""
+    return f"""{out}_a AS (SELECT {by}, a, sum(n)::bigint AS m FROM {cells} GROUP BY ALL), {out}_b AS (SELECT {by}, b, sum(n)::bigint AS m FROM {cells} GROUP BY ALL),
+{out}_c AS (SELECT {by}, sum(n)::double AS n, sum(n::double * (n - 1) / 2) AS s11, sum(n * ln(n)) AS h0 FROM {cells} GROUP BY ALL),
+{out}_am AS (SELECT {by}, m, count(*) AS k FROM {out}_a GROUP BY ALL), {out}_bm AS (SELECT {by}, m, count(*) AS k FROM {out}_b GROUP BY ALL),
+{out}_as AS (SELECT {by}, sum(k * m::double * (m - 1) / 2) AS sa, sum(k * m * ln(m)) AS h1, sum(k) AS la FROM {out}_am GROUP BY ALL), {out}_bs AS (SELECT {by}, sum(k * m::double * (m - 1) / 2) AS sb, sum(k * m * ln(m)) AS h2, sum(k) AS lb FROM {out}_bm GROUP BY ALL),
+{out}_k AS (SELECT {by}, x.m AS ra, y.m AS cb, x.k * y.k AS w, n::bigint AS tt, unnest(range(greatest(1, ra + cb - tt, floor(ra * cb / tt - 9 * sqrt(ra * cb / n * (1 - ra / n) * (1 - cb / n)) - 12)::bigint), least(ra, cb, ceil(ra * cb / n + 9 * sqrt(ra * cb / n * (1 - ra / n) * (1 - cb / n)) + 12)::bigint) + 1)) AS k
+  FROM {out}_am x JOIN {out}_bm y USING ({by}) JOIN {out}_c USING ({by})),
+{out}_e AS (SELECT {by}, sum(w * (k::double / tt) * ln(tt::double * k / (ra::double * cb)) * exp(lgamma(ra + 1) + lgamma(cb + 1) + lgamma(tt - ra + 1) + lgamma(tt - cb + 1) - lgamma(tt + 1) - lgamma(k + 1) - lgamma(ra - k + 1) - lgamma(cb - k + 1) - lgamma(tt - ra - cb + k + 1))) AS emi FROM {out}_k GROUP BY ALL),
+{out}_t AS (SELECT *, n * (n - 1) / 2 AS np, sa * sb / (n * (n - 1) / 2) AS ex, ln(n) + (h0 - h1 - h2) / n AS mi, (2 * ln(n) - h1 / n - h2 / n) / 2 AS bound FROM {out}_c JOIN {out}_as USING ({by}) JOIN {out}_bs USING ({by}) JOIN {out}_e USING ({by})),
+{out} AS (SELECT {by}, n::bigint AS n, CASE WHEN (sa + sb) / 2 = ex THEN 1 ELSE (s11 - ex) / ((sa + sb) / 2 - ex) END AS ari, CASE WHEN sa > 0 AND sb < np THEN (s11 / sa - sb / np) / (1 - sb / np) END AS adj_wallace,
+  CASE WHEN la = 1 AND lb = 1 THEN 1 ELSE (mi - emi) / nullif(bound - emi, 0) END AS ami, 1 - sa / np AS simpson_one, 1 - sb / np AS simpson_two, la::bigint AS levels_one, lb::bigint AS levels_two FROM {out}_t)"""
+
+
+_NAMES = ["ari", "adj_wallace", "ami", "simpson_one", "simpson_two"]
+#: l has one, two, a, b: cells in the order of their labels, nodes of the tree above them, draws by level, statistics of each replicate.
+_BOOT = f"""c AS (SELECT one, two, a, b, count(*) AS n FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY a, b) - 1 AS cell FROM c), z AS (SELECT one, two, sum(n)::bigint AS t, CASE WHEN max(cell) > 0 THEN floor(log2(max(cell)))::bigint + 1 ELSE 0 END AS depth FROM o GROUP BY ALL),
+nt AS MATERIALIZED (SELECT one, two, (1::bigint << d) + (cell >> (depth - d)) AS v, sum(n)::bigint AS t FROM o JOIN z USING (one, two), range({_LEVELS} + 1) r(d) WHERE d <= depth GROUP BY ALL),
+u AS MATERIALIZED ({uniform_sql(f'SELECT rep::bigint AS rep, v::bigint AS v FROM range(1000) r(rep), range(1, {1 << _LEVELS}) n(v)')}),
+d0 AS (SELECT one, two, rep, 1::bigint AS v, t, depth FROM z, range(1000) r(rep)),
+{"".join(_level(d) for d in range(_LEVELS))}
+x AS MATERIALIZED (SELECT d.one, d.two, rep, a, b, d.t AS n FROM d{_LEVELS} d JOIN o ON o.one = d.one AND o.two = d.two AND d.v = (1::bigint << depth) + cell),
+{_statistics("x", "one, two, rep", "bs")},
+ci AS (SELECT one, two, {", ".join(f"round(quantile_cont({c}, 0.025), 8) AS {c}_lo, round(quantile_cont({c}, 0.975), 8) AS {c}_hi, count({c}) AS n_{c}" for c in _NAMES)} FROM bs GROUP BY ALL)"""
+_PANEL = f"""{_BOOT}, {_statistics("c", "one, two", "whole")}
+SELECT one, two, levels_one, levels_two, {", ".join(f"round({c}, {6 if c == 'ami' else 8}) AS {c}, round({c}_lo, {6 if c == 'ami' else 8}) AS {c}_lo, round({c}_hi, {6 if c == 'ami' else 8}) AS {c}_hi" for c in _NAMES)}, n FROM whole JOIN ci USING (one, two)"""
 _COMPLEXES = """RECURSIVE pa AS (SELECT p_partkey, p_type, p_size, p_size//10 AS p_band, p_brand || '|' || p_type AS type_a, p_type || '|' || p_size::varchar AS type_b, substr(p_brand, 7, 1) x, substr(p_brand, 8, 1) y FROM part),
 na AS (SELECT DISTINCT type_a t, x, y, p_type z FROM pa), nb AS (SELECT DISTINCT type_b t, p_type x, p_size y FROM pa),
 ea AS (SELECT p.t s, q.t FROM na p, na q WHERE p.t <> q.t AND (p.x = q.x)::int + (p.y = q.y)::int + (p.z = q.z)::int >= 2), eb AS (SELECT p.t s, q.t FROM nb p, nb q WHERE p.t <> q.t AND (p.x = q.x)::int + (p.y = q.y)::int >= 1),
@@ -182,7 +215,9 @@ _LAB = "lab AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM docume
 
 ORACLE_SQL = {
     "q_pair_counts": f'WITH {_S} SELECT s11 AS "both", sa AS in_a, sb AS in_b, n FROM s',
-    "q_pair_counts_gs": f'WITH {_S} SELECT s11 AS "both", sa AS in_a, sb AS in_b, n FROM s',
+    "q_pair_counts_gs": f"""WITH r AS (SELECT p_brand, p_type, (p_size//10)::varchar AS p_band FROM part),
+l AS (SELECT 'p_brand/p_type' k, p_brand a, p_type b FROM r UNION ALL SELECT 'p_brand/p_band', p_brand, p_band FROM r UNION ALL SELECT 'p_type/p_band', p_type, p_band FROM r),
+{_LONG_AGREE} SELECT k AS pair, s11::bigint AS "both", sa::bigint AS in_a, sb::bigint AS in_b, n FROM t""",
     "q_wallace": f"WITH {_S} SELECT round(s11::double/sa, 8) AS wallace, n FROM s",
     "q_adj_wallace": f"WITH {_S}, t AS (SELECT *, n*(n-1)/2.0::double np FROM s) SELECT round((s11::double/sa - sb/np)/(1 - sb/np), 8) AS adj_wallace, n FROM t",
     "q_ari": f"WITH {_S}, t AS (SELECT *, n*(n-1)/2.0::double np FROM s) SELECT round((s11 - sa::double*sb/np)/((sa+sb)/2.0 - sa::double*sb/np), 8) AS ari, n FROM t",
@@ -194,9 +229,8 @@ cnt AS (SELECT 'p_brand' k, p_brand l, count(*) c FROM r GROUP BY ALL UNION ALL
 l AS (SELECT 'p_brand/p_type' k, p_brand a, p_type b FROM r UNION ALL SELECT 'p_brand/p_band', p_brand, p_band FROM r UNION ALL SELECT 'p_type/p_band', p_type, p_band FROM r),
 {_LONG_AGREE} SELECT k AS pair, {_AGREE_COLS} FROM t""",
     "q_panel_pairwise": f"""WITH l AS (SELECT 'p_brand' one, 'p_type' two, p_brand a, p_type b FROM part UNION ALL SELECT 'p_brand', 'p_band', p_brand, (p_size//10)::bigint::varchar FROM part
- UNION ALL SELECT 'p_type', 'p_band', p_type, (p_size//10)::bigint::varchar FROM part), {_PANEL.format(200)}""",
-    "q_panel_cluster": f"""WITH {_COMPLEXES}, l AS (SELECT 'type_a' one, 'p_band' two, type_a a, p_band b FROM m UNION ALL SELECT 'complex_a', 'p_band', complex_a, p_band FROM m UNION ALL SELECT 'p_type', 'p_band', p_type, p_band FROM m),
-{_PANEL.format(100)}""",
+ UNION ALL SELECT 'p_type', 'p_band', p_type, (p_size//10)::bigint::varchar FROM part), {_PANEL}""",
+    "q_panel_cluster": f"""WITH {_COMPLEXES}, l AS ({" UNION ALL ".join(f"SELECT '{c}' one, 'p_band' two, {c} a, p_band::bigint::varchar b FROM m" for c in ("type_a", "type_b", "complex_a", "complex_b"))}), {_PANEL}""",
     "q_ami": f"""WITH {_C}, ra AS (SELECT a, sum(n)::bigint ra FROM c GROUP BY a), cb AS (SELECT b, sum(n)::bigint cb FROM c GROUP BY b), tot AS (SELECT sum(n)::bigint tt FROM c),
 mi AS (SELECT sum(n::double/tt*ln(n::double*tt/(ra::double*cb))) mi FROM c JOIN ra USING (a) JOIN cb USING (b), tot),
 h AS (SELECT (SELECT -sum(ra::double/tt*ln(ra::double/tt)) FROM ra, tot) ha, (SELECT -sum(cb::double/tt*ln(cb::double/tt)) FROM cb, tot) hb),
@@ -216,6 +250,6 @@ l AS (SELECT 'type_a' predictor, type_a = (SELECT v FROM ta) p, p_band = 4 t FRO
 f AS (SELECT predictor, {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY predictor), {_CONF} SELECT predictor, {_CONF_COLS} FROM x""",
     "q_allele_classifier": f"""WITH ty AS (SELECT p_type, p_size//10 band, min(p_partkey) f, min(p_size) allele FROM part GROUP BY ALL), h AS (SELECT p_type, band FROM ty WHERE allele = (SELECT allele FROM ty ORDER BY f LIMIT 1)),
 l AS (SELECT ((p_type, p_size//10) IN (SELECT (p_type, band) FROM h)) AS p, p_size//10 = 0 AS t FROM part), f AS (SELECT {_COUNTS} FROM l WHERE p IS NOT NULL AND t IS NOT NULL), {_CONF} SELECT {_CONF_COLS} FROM x""",
-    "q_boot_ci": f"""WITH l AS (SELECT 'x' one, 'x' two, label a, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END b FROM embeddings), {_BOOT.format(1000)}
-SELECT 'ari' AS statistic, ari_lo AS lo, ari_hi AS hi, n_ari AS n FROM ci UNION ALL SELECT 'adj_wallace', aw_lo, aw_hi, n_aw FROM ci""",
+    "q_boot_ci": f"""WITH l AS (SELECT 'x' one, 'x' two, label a, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END b FROM embeddings), {_BOOT}
+{" UNION ALL ".join(f"SELECT '{c}' AS statistic, {c}_lo AS lo, {c}_hi AS hi, n_{c} AS n FROM ci" for c in _NAMES)}""",
 }

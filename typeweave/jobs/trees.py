@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from typeweave.jobs.concordance import uniform_sql
 from typeweave.operators import tree as T
 from typeweave.sources.tables import handed_over, table
 
@@ -130,6 +131,14 @@ SELECT tree, count(c) AS n, round(median(c), 8) AS median, round(100.0*avg((c >=
     "q_tree_resolution": f"""WITH {_U}, {_PRUNE}, c AS (SELECT tree, (SELECT count(*) FROM ms WHERE ms.tree = w.tree) + (SELECT count(*) FROM ts WHERE ts.tree = w.tree) + (SELECT (k >= 2)::int FROM rt WHERE rt.tree = w.tree) AS i, count(*) - 1 most FROM w GROUP BY tree)
 SELECT tree, i::bigint AS internal, most, round(100.0::double*i/most, 8) AS index FROM c""",
     "q_mantel": f"WITH {_U}, {_PAIRS} SELECT round(corr(dist, gap), 8) AS r, count(*) AS pairs FROM d WHERE tree = 'geo' AND a < b",
+    # The name at place i of a permutation's order stands in for name i; 0 is the identity.
+    "q_mantel_perm": f"""WITH {_U}, {_PAIRS}, ids AS (SELECT nm, row_number() OVER (ORDER BY nm) - 1 AS i FROM u WHERE tree = 'geo'), n AS (SELECT count(*) AS n FROM ids),
+e AS (SELECT x.i, y.i AS j, dist AS x, gap AS y FROM d JOIN ids x ON x.nm = d.a JOIN ids y ON y.nm = d.b WHERE d.tree = 'geo'),
+h AS MATERIALIZED ({uniform_sql('SELECT rep::bigint AS rep, v::bigint AS v FROM range(1, 10000) r(rep), (SELECT i AS v FROM ids)', 42)}),
+w AS MATERIALIZED (SELECT 0 AS rep, i, i AS p FROM ids UNION ALL SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY u, v) - 1, v FROM h),
+s AS (SELECT a.rep, sum(f.x * e.y) AS xy FROM e JOIN w a ON a.i = e.i JOIN w b ON b.rep = a.rep AND b.i = e.j JOIN e f ON f.i = a.p AND f.j = b.p WHERE e.i < e.j GROUP BY a.rep),
+o AS (SELECT xy AS seen FROM s WHERE rep = 0), m AS (SELECT corr(x, y) AS r FROM e WHERE i < j)
+SELECT round(any_value(r), 8) AS r, (count(*) FILTER (rep > 0 AND xy >= seen - abs(seen) * 1e-12) + 1) / 10000.0::double AS p, count(*) - 1 AS permutations FROM s, o, m""",
     "q_tree_prune": f"""WITH {_U}, {_PRUNE}, f AS (SELECT tree, k >= 2 rooted FROM rt), tt AS (SELECT tree, t, d FROM ts),
 un AS (SELECT tree, 0 node, NULL::int parent, 0.0::double root_dist, false is_leaf, 0 AS "depth" FROM f WHERE rooted
  UNION ALL SELECT tree, t, 0, d, false, 1 FROM tt

@@ -14,31 +14,21 @@ from pyspark.sql import functions as F
 from typeweave.sources.tables import handed_over, shuffle_partitions
 
 
-def exclusive_sums(counts: DataFrame, group: list[str], order: str, value: str, out: str, fan: int = 256) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows of the group before this one.
+def exclusive_sums(counts: DataFrame, group: list[str], order: str, value: str | dict[str, str], out: str | None = None, fan: int = 256, kind: str = "bigint") -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the group before this one; or several, {out: value}.
 
     ``order`` is a non-negative integer, unique within a group, and no column
     of ``group`` or ``order`` is null. No window sees more than ``fan`` rows of
-    adjoining ``order``, or one row for each ``fan`` of them.
+    adjoining ``order``, or one row for each ``fan`` of them. Sums of ``kind`` start from 0.
     """
+    outs = value if isinstance(value, dict) else {out: value}
+    none = F.lit(0).cast(kind)
     blocked = counts.withColumn("_block", F.floor(F.col(order) / fan).cast("bigint"))
-    before_block = (
-        blocked.groupBy(*group, "_block")
-        .agg(F.sum(value).alias("_in_block"))
-        .withColumn(
-            "_before_block",
-            F.coalesce(F.sum("_in_block").over(_w(group, "_block")), F.lit(0)),
-        )
-        .drop("_in_block")
-    )
-    inside = blocked.withColumn(
-        "_before_row", F.coalesce(F.sum(value).over(_w([*group, "_block"], order)), F.lit(0))
-    )
-    return (
-        inside.join(before_block, [*group, "_block"])
-        .withColumn(out, (F.col("_before_block") + F.col("_before_row")).cast("bigint"))
-        .drop("_block", "_before_block", "_before_row")
-    )
+    in_block = blocked.groupBy(*group, "_block").agg(*(F.sum(v).alias(f"_in_{o}") for o, v in outs.items()))
+    before_block = in_block.select(*group, "_block", *(F.coalesce(F.sum(f"_in_{o}").over(_w(group, "_block")), none).alias(f"_before_block_{o}") for o in outs))
+    inside = blocked.withColumns({f"_before_row_{o}": F.coalesce(F.sum(v).over(_w([*group, "_block"], order)), none) for o, v in outs.items()})
+    sums = inside.join(before_block, [*group, "_block"]).withColumns({o: (F.col(f"_before_block_{o}") + F.col(f"_before_row_{o}")).cast(kind) for o in outs})
+    return sums.drop("_block", *(f"_before_{part}_{o}" for part in ("block", "row") for o in outs))
 
 
 def _w(group: list[str], order: str):

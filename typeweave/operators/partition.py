@@ -2,31 +2,46 @@
 
 A partition is a column of labels; rows that lack any label of a statistic are
 left out of it, and the number of rows used is returned beside each value. All
-statistics are built on the contingency table, which is aggregated once, and stay
-BIGINT until the last division. Undefined values are null.
+statistics are built on the contingency table, which is aggregated once, and pair
+counts stay exact (DECIMAL) until the last division. Undefined values are null.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.operators.offsets import exclusive_sums, placed
+from typeweave.operators.resample import intervals
 from typeweave.sources.tables import handed_over
 
 Z = 1.96
 MOST_SENT = 100_000  # rows of a table of counts that may be broadcast
+PAIRS_TOGETHER = 1 << 14  # pairs of class sizes whose terms are held at once
 DIGITS = 8  # sums of doubles differ in their last bits from plan to plan
 
 
 def pairs_in(n: str | Column) -> Column:
-    """Unordered pairs among n rows."""
+    """Unordered pairs among n rows, as DECIMAL(38, 0): the even factor is halved first, and products of 64 bits fit."""
     n = F.col(n) if isinstance(n, str) else n
-    return F.shiftright(n * (n - 1), 1)
+    half = lambda k: F.shiftright(k, 1).cast("decimal(19,0)")
+    return F.when(n % 2 == 0, half(n) * (n - 1).cast("decimal(19,0)")).otherwise(half(n - 1) * n.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def spectrum(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., kind, size, times): how many cells (kind 0), classes of a (1) and classes of b (2) have each size.
+
+    One pass over the contingency table by grouping sets. Every statistic of this module is a
+    function of these sizes, of which there are at most about the root of twice the rows.
+    """
+    by = by or []
+    kind = (F.when(F.grouping("b") == 1, 1).when(F.grouping("a") == 1, 2).otherwise(0)).alias("kind")
+    sizes = cells.groupingSets([[*by, "a", "b"], [*by, "a"], [*by, "b"]], *by, "a", "b").agg(F.sum("n").alias("size"), kind)
+    return sizes.groupBy(*by, "kind", "size").agg(F.count(F.lit(1)).alias("times"))
 
 
 def contingency(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -41,18 +56,13 @@ def contingency(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> D
 
 
 def pair_counts(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row (for each ``by``): rows n, and the pairs alike in both, in a, in b.
-
-    One pass over the contingency table by grouping sets.
-    """
+    """One row (for each ``by``): rows n, and the pairs alike in both, in a, in b as DECIMAL(38, 0)."""
     by = by or []
-    margins = cells.groupingSets(
-        [[*by, "a", "b"], [*by, "a"], [*by, "b"]], *by, "a", "b"
-    ).agg(F.sum("n").alias("n"), F.grouping("a").alias("no_a"), F.grouping("b").alias("no_b"))
-    part = lambda a, b: F.coalesce(F.sum(F.when((F.col("no_a") == a) & (F.col("no_b") == b), pairs_in("n"))), F.lit(0))
-    return margins.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when((F.col("no_a") == 0) & (F.col("no_b") == 0), F.col("n"))), F.lit(0)).alias("n"),
-        part(0, 0).alias("both"), part(0, 1).alias("in_a"), part(1, 0).alias("in_b"),
+    none = F.lit(0).cast("decimal(38,0)")
+    part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("times") * pairs_in("size"))), none).cast("decimal(38,0)")
+    return spectrum(cells, by).groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("times") * F.col("size"))), F.lit(0)).alias("n"),
+        part(0).alias("both"), part(1).alias("in_a"), part(2).alias("in_b"),
     )
 
 
@@ -214,70 +224,101 @@ def confusion(df: DataFrame, predicted: Column, truth: Column, by: list[str] | N
     )
 
 
-def bootstrap(df: DataFrame, a: str, b: str, replicates: int = 1000) -> DataFrame:
-    """(statistic, lo, hi, n): 2.5 and 97.5 percentiles of ARI and adjusted Wallace over resampled rows.
+def _expected_information(ones: np.ndarray, times: np.ndarray, others: np.ndarray, others_times: np.ndarray, total: int) -> float:
+    """Expected mutual information of classes of sizes ``ones`` and ``others``, over the cell counts within 9 deviations of the mean.
 
-    Only rows that have both labels are drawn, and they are numbered in the order of their
-    cells of the contingency table, so a drawn number is known by the cell it falls in and no row
-    is looked up. Draw i of replicate r is the number that the MD5 of "i|r" gives, so that any
-    engine draws alike. Draws are counted by replicate and cell in the tasks before
-    anything is shuffled; replicates are groups of one plan, not a loop.
+    Pairs of sizes are taken in runs of about ``PAIRS_TOGETHER``.
     """
-    return bootstrap_of(contingency(df, a, b), replicates)
-
-
-def bootstrap_of(cells: DataFrame, replicates: int = 1000) -> DataFrame:
-    """``bootstrap`` of a contingency table."""
-    spark = cells.sparkSession
-    cells = handed_over(placed(cells, [], ["a", "b"], "cell"), "cells")
-    known = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("cells")).first()  # two numbers
-    size = known["rows"]
-    hexed = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("|"), F.col("rep").cast("string"))), 1, 8)
-    draws = spark.range(size).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("rep", (F.conv(hexed, 16, 10).cast("bigint") % size).alias("drawn"))
-    if known["cells"] <= MOST_SENT:
-        counts = np.array([r["n"] for r in cells.select("cell", "n").orderBy("cell").collect()], np.int64)  # at most MOST_SENT numbers
-        starts = spark.sparkContext.broadcast(np.cumsum(counts) - counts)
-
-        @F.pandas_udf("bigint")
-        def cell_of(drawn: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(starts.value, drawn.to_numpy(), "right") - 1)
-
-        counted = draws.groupBy("rep", cell_of("drawn").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    else:
-        # Draws are counted by number, and each number is known by the cell that it falls in.
-        upto = exclusive_sums(cells.select("cell", "n").withColumn("_all", F.lit(0)), ["_all"], "cell", "n", "before").select("cell", "before")
-        each = cells.join(upto, "cell").select("cell", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("drawn"))
-        counted = draws.groupBy("rep", "drawn").agg(F.count(F.lit(1)).alias("times")).join(each, "drawn").groupBy("rep", "cell").agg(F.sum("times").alias("n"))
-    drawn = counted.join(cells.select("cell", "a", "b"), "cell").select("rep", "a", "b", "n")
-    values = (
-        pair_counts(drawn, ["rep"])
-        .select(_adjusted_rand().alias("ari"), _adjusted_wallace().alias("adj_wallace"))
-        .unpivot([], ["ari", "adj_wallace"], "statistic", "value")
-    )
-    both = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    return (
-        values.where("value IS NOT NULL AND NOT isnan(value)").groupBy("statistic").agg(both.alias("p"), F.count(F.lit(1)).alias("n"))
-        .select("statistic", F.round(F.get("p", 0), DIGITS).alias("lo"), F.round(F.get("p", 1), DIGITS).alias("hi"), "n")
-    )
+    logs, found, run = _log_factorials(total), 0.0, max(PAIRS_TOGETHER // len(others), 1)
+    for start in range(0, len(ones), run):
+        a, b = np.repeat(ones[start : start + run], len(others)), np.tile(others, len(ones[start : start + run]))
+        weight = np.repeat(times[start : start + run], len(others)) * np.tile(others_times, len(ones[start : start + run]))
+        mean = a * (b / total)
+        wide = 9 * np.sqrt(mean * (1 - a / total) * (1 - b / total) * (total / max(total - 1, 1))) + 12
+        low = np.maximum(np.maximum(1, a + b - total), np.floor(mean - wide)).astype(np.int64)
+        high = np.minimum(np.minimum(a, b), np.ceil(mean + wide)).astype(np.int64)
+        each = np.maximum(high - low + 1, 0)
+        known = logs(a) + logs(b) + logs(total - a) + logs(total - b) - logs(np.int64(total))
+        i = np.repeat(np.arange(len(a)), each)
+        k = np.arange(len(i)) - (np.cumsum(each) - each - low)[i]
+        chance = np.exp(known[i] - logs(k) - logs(a[i] - k) - logs(b[i] - k) - logs((total - a - b)[i] + k))
+        found += float(np.sum(weight[i] * (k / total) * np.log(total / a[i] * (k / b[i])) * chance))
+    return found
+
+
+@lru_cache(16)
+def _log_factorials(total: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Logarithms of factorials up to ``total``: a table where it is short, else as ``_log_factorial``."""
+    if total <= 1 << 20:
+        table = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, total + 1)))))
+        return lambda n: table[n]
+
+    def series(n: np.ndarray) -> np.ndarray:
+        x = np.maximum(n.astype(float), 16)
+        large = x * np.log(x) - x + 0.5 * np.log(x * 2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+        return np.where(n < 16, np.array(_SMALL)[np.minimum(n, 15)], large)
+
+    return series
+
+
+def statistics_of(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., ari, adj_wallace, ami, simpson_one, simpson_two) of each group of a contingency table, for ``resample.intervals``.
+
+    The mutual information of a group is worked out from its distinct class sizes.
+    """
+    by = by or []
+    size, times = _d("size"), _d("times")
+    kind = lambda k, value: F.coalesce(F.sum(F.when(F.col("kind") == k, value)), F.lit(0.0))
+    listed = lambda k: F.collect_list(F.when(F.col("kind") == k, F.struct("size", "times")))
+    # Sums of doubles are exact below 2**53 pairs and right to 15 digits beyond.
+    sums = spectrum(cells, by).groupBy(*by).agg(
+        kind(0, size * times).alias("n"), *(kind(k, size * (size - 1) / 2 * times).alias(name) for k, name in enumerate(("both", "in_a", "in_b"))),
+        *(kind(k, size * F.ln(size) * times).alias(f"_h{k}") for k in range(3)), listed(1).alias("_ones"), listed(2).alias("_others"),
+    )
+
+    @F.pandas_udf("double")
+    def expected(ones: pd.Series, others: pd.Series, total: pd.Series) -> pd.Series:
+        sides = lambda held: (np.array([x["size"] for x in held], np.int64), np.array([x["times"] for x in held], np.int64))
+        return pd.Series([_expected_information(*sides(a), *sides(b), int(n)) for a, b, n in zip(ones, others, total)], dtype=float)
+
+    n, pairs = F.col("n"), F.col("n") * (F.col("n") - 1) / 2
+    entropy = lambda k: F.ln(n) - F.col(f"_h{k}") / n
+    mi = F.ln(n) + (F.col("_h0") - F.col("_h1") - F.col("_h2")) / n
+    bound = (entropy(1) + entropy(2)) / 2
+    chance = F.col("in_a") * F.col("in_b") / F.when(pairs > 0, pairs)
+    by_chance = F.col("in_b") / F.when(pairs > 0, pairs)
+    mean = (F.col("in_a") + F.col("in_b")) / 2
+    full = sums.withColumn("_emi", expected("_ones", "_others", "n"))
+    one_class = (F.size("_ones") == 1) & (F.size("_others") == 1) & (F.get("_ones", 0)["times"] == 1) & (F.get("_others", 0)["times"] == 1)
+    return full.select(
+        *by, F.when(mean == chance, 1.0).otherwise((F.col("both") - chance) / (mean - chance)).alias("ari"),
+        F.when((by_chance < 1) & (F.col("in_a") > 0), (F.col("both") / F.col("in_a") - by_chance) / (1 - by_chance)).alias("adj_wallace"),
+        F.when(one_class, 1.0).otherwise(_ratio(mi - F.col("_emi"), bound - F.col("_emi"))).alias("ami"),
+        *((1 - F.col(c) / F.when(pairs > 0, pairs)).alias(name) for c, name in (("in_a", "simpson_one"), ("in_b", "simpson_two"))),
+    )
+
+
+def bootstrap(df: DataFrame, a: str, b: str, replicates: int = 1000) -> DataFrame:
+    """(statistic, lo, hi, n): 2.5 and 97.5 percentiles of each of ``statistics_of`` over resampled rows that have both labels."""
+    return intervals(contingency(df, a, b), [], statistics_of, replicates)
 
 
 def agreement_panel(df: DataFrame, pairs: list[tuple[str, str]], replicates: int = 1000) -> DataFrame:
-    """(one, two, levels_one, levels_two, ari, ari_lo, ari_hi, adj_wallace, aw_lo, aw_hi, ami, n) of each pair of partitions.
+    """(one, two, levels_one, levels_two, and each of ``statistics_of`` with its interval, n) of each pair of partitions.
 
-    adj_wallace is from the first to the second. Pairs are few and named by the caller; every
-    statistic of a pair is over the rows that have both labels.
+    adj_wallace is from the first to the second; every statistic of a pair is over the rows that have
+    both labels. All pairs are one plan: their cells are counted in one pass over the rows and keyed by pair.
     """
-    out = []
-    for a, b in pairs:
-        cells = handed_over(contingency(df, a, b), "cells")  # the rows are read once for each pair
-        limit = lambda name, side: F.max(F.when(F.col("statistic") == name, F.col(side)))
-        limits = bootstrap_of(cells, replicates).agg(
-            limit("ari", "lo").alias("ari_lo"), limit("ari", "hi").alias("ari_hi"), limit("adj_wallace", "lo").alias("aw_lo"), limit("adj_wallace", "hi").alias("aw_hi")
-        )
-        levels = cells.agg(F.count_distinct("a").alias("levels_one"), F.count_distinct("b").alias("levels_two"))
-        whole = agreement_of(cells).crossJoin(limits).crossJoin(levels).crossJoin(mutual_information_of(cells).select("ami"))  # one row each
-        out.append(whole.select(F.lit(a).alias("one"), F.lit(b).alias("two"), "levels_one", "levels_two", "ari", "ari_lo", "ari_hi", "adj_wallace", "aw_lo", "aw_hi", "ami", "n"))
-    return reduce(DataFrame.unionByName, out)
+    each = F.array(*(F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for a, b in pairs))
+    by = ["one", "two"]
+    cells = handed_over(contingency(df.select(F.explode(each).alias("p")).select("p.*"), "a", "b", by), "cells")
+    names = ["ari", "adj_wallace", "ami", "simpson_one", "simpson_two"]
+    side = lambda name, end: F.max(F.when(F.col("statistic") == name, F.col(end))).alias(f"{name}_{end}")
+    limits = intervals(cells, by, statistics_of, replicates).groupBy(*by).agg(*(side(name, end) for name in names for end in ("lo", "hi")))
+    levels = cells.groupBy(*by).agg(F.count_distinct("a").alias("levels_one"), F.count_distinct("b").alias("levels_two"), F.sum("n").alias("n"))
+    values = statistics_of(cells, by).join(limits, by).join(levels, by)
+    rounded = lambda name: F.round(name, 6 if name.startswith("ami") else DIGITS).alias(name)
+    return values.select(*by, "levels_one", "levels_two", *(rounded(f"{name}{end}") for name in names for end in ("", "_lo", "_hi")), "n")
 
 
 def modal(df: DataFrame, within: Column, label: str) -> DataFrame:

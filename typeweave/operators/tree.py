@@ -1,35 +1,42 @@
 """Trees as node tables: distances, splits, support and comparison.
 
 A node table has tree, node, parent (null at the root), name (of a leaf), length
-(null counts as 0), confidence, is_leaf, path (nodes from the root to this one),
-root_dist and depth. Paths make every ancestor known without recursion. Names are
+(null counts as 0), confidence, is_leaf, first, last, root_dist and depth. ``first`` is a
+node's place in preorder, from 0 and without gaps, and ``last`` the greatest place in its subtree; so a subtree
+is an interval, sums over subtrees are differences of running sums over places, and sums over
+the way from the root are running sums of what begins and ends. No row is made for a
+leaf and an ancestor of it, so depth costs nothing. Names are
 unique within a tree. A split is named by the leaves of its side without the
 reference leaf (the least name common to the trees), as a pair of 64-bit sums of
 leaf hashes and a count, so that sides of any size are compared as three numbers.
+
+Where two leaves meet is the shallowest of the places at which neighbours between them
+meet: the least of a range. Distances come in tiles of two blocks of leaves, each
+from the least of what is left of a block, of the blocks between, and of the start of the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.operators.offsets import placed
+from typeweave.operators.offsets import exclusive_sums, placed
+from typeweave.operators.resample import uniform
 from typeweave.sources.tables import handed_over
 
 BLOCK_LEAVES = 1_000
-MOST_MATRIX = 1_000  # rows of a distance matrix that is sent to the tasks
-MOST_TOGETHER = 16  # permutations of longer matrices that are joined at once
+STRIP_CELLS = 2_000_000  # cells of a distance matrix that a task holds of each side
+PERMUTATIONS_TOGETHER = 500
 
 
 def node_table(edges: DataFrame, levels: int) -> DataFrame:
     """A node table from (tree, node, parent, name, length, confidence) with at most ``levels`` edges from the root.
 
-    Paths are built level by level, one join for each.
+    Paths are built level by level, one join for each, and give the preorder; deeper trees come with their places, as from Newick.
     """
     known = edges.where("parent IS NULL").select("*", F.array("node").alias("path"), F.lit(0.0).alias("root_dist"), F.lit(0).alias("depth"))
     done = known
@@ -39,73 +46,144 @@ def node_table(edges: DataFrame, levels: int) -> DataFrame:
             *edges.columns, F.concat("_path", F.array("node")).alias("path"), (F.col("_dist") + F.coalesce("length", F.lit(0.0))).alias("root_dist"), (F.col("_depth") + 1).alias("depth")
         )
         done = done.unionByName(known)
-    return done.withColumn("is_leaf", F.col("name").isNotNull())
+    ordered = handed_over(placed(done, ["tree"], ["path"], "first"), "nodes")
+    sizes = ordered.select("tree", F.explode("path").alias("node")).groupBy("tree", "node").agg(F.count(F.lit(1)).alias("_size"))
+    found = ordered.join(sizes, ["tree", "node"]).withColumn("last", F.col("first") + F.col("_size") - 1)
+    return found.select(*edges.columns, F.col("name").isNotNull().alias("is_leaf"), "first", "last", "root_dist", "depth")
 
 
 def leaves(nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(tree, name, path, root_dist) of the leaves, of those named in ``only`` if given: pruning, as far as distances and splits go."""
-    found = nodes.where("is_leaf").select("tree", "name", "path", "root_dist")
-    return found if only is None else found.join(only.select("name").distinct(), "name", "left_semi").select("tree", "name", "path", "root_dist")
+    """(tree, name, first, root_dist) of the leaves, of those named in ``only`` if given: pruning, as far as distances and splits go."""
+    found = nodes.where("is_leaf").select("tree", "name", "first", "root_dist")
+    return found if only is None else found.join(only.select("name").distinct(), "name", "left_semi").select("tree", "name", "first", "root_dist")
+
+
+def _below(nodes: DataFrame, leaf_rows: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``nodes`` with before and k (the given leaves before its place, and in its subtree), and the sum in its subtree of each of ``sums`` over leaf rows."""
+    sums = sums or {}
+    marked = leaf_rows.select("tree", "first", F.lit(1).alias("_kept"), *(c.alias(f"_own_{name}") for name, c in sums.items()))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)").alias(c)
+    own = nodes.join(marked, ["tree", "first"], "left").select(*nodes.columns, *map(zero, ["_kept", *(f"_own_{name}" for name in sums)]))
+    named = {"before": "_kept", **{f"_upto_{name}": f"_own_{name}" for name in sums}}
+    run = handed_over(exclusive_sums(own, ["tree"], "first", named, kind="decimal(38,0)"), "tree-sums")
+    ends = run.select("tree", F.col("first").alias("last"), (F.col("before") + F.col("_kept")).alias("_end"), *((F.col(f"_upto_{n}") + F.col(f"_own_{n}")).alias(f"_end_{n}") for n in sums))
+    both = run.join(ends, ["tree", "last"])
+    return both.select(
+        *nodes.columns, F.col("before").cast("bigint").alias("before"), (F.col("_end") - F.col("before")).cast("bigint").alias("k"), F.col("_kept").cast("int").alias("_kept"),
+        *((F.col(f"_end_{n}") - F.col(f"_upto_{n}")).alias(n) for n in sums),
+    )
 
 
-def ancestors(leaf_rows: DataFrame) -> DataFrame:
-    """(tree, name, node) for each leaf and each node on its path."""
-    return leaf_rows.select("tree", "name", F.explode("path").alias("node"))
+def _meets(counted: DataFrame) -> DataFrame:
+    """(tree, i, meet): where the i-th of the given leaves meets the next, as (depth, node, dist from the root).
+
+    It is the parent of one of the nodes between them in preorder, the shallowest of these parents.
+    """
+    up = F.struct((F.col("depth") - 1).alias("depth"), F.col("parent").alias("node"), (F.col("root_dist") - F.coalesce("length", F.lit(0.0))).alias("dist"))
+    met = counted.where("before > 0").groupBy("tree", (F.col("before") - 1).alias("i")).agg(F.min(up).alias("meet"))
+    total = counted.where("parent IS NULL").select("tree", F.col("k").alias("_n"))
+    return met.join(total, "tree").where(F.col("i") < F.col("_n") - 1).drop("_n")
 
 
 def pruned(nodes: DataFrame, only: DataFrame) -> DataFrame:
-    """The node table of the subtree of the named leaves: no unary nodes, whose lengths are added up; supports stay with their node."""
-    kept = leaves(nodes, only)
-    children = ancestors(kept).join(nodes.select("tree", "node", "parent"), ["tree", "node"]).select("tree", "parent", "node").distinct()
-    arity = children.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("k"))
-    stays = nodes.join(arity, ["tree", "node"], "left").join(kept.select("tree", "name"), ["tree", "name"], "left_semi").select("tree", "node").unionByName(
-        arity.where("k >= 2").select("tree", "node")
-    )
-    lasting = nodes.join(stays, ["tree", "node"])
-    steps = lasting.select("tree", "node", F.explode("path").alias("up")).join(stays.withColumnRenamed("node", "up"), ["tree", "up"])
-    on_path = steps.join(nodes.select("tree", F.col("node").alias("up"), F.col("root_dist").alias("_d")), ["tree", "up"])
-    path = on_path.groupBy("tree", "node").agg(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), F.col("up").alias("up")))).alias("_p"))
-    ids = lasting.join(path, ["tree", "node"]).join(nodes.select("tree", "node", F.col("path").alias("_full")), ["tree", "node"])
-    own = F.transform("_p", lambda x: x["up"])
-    ordered = F.filter("_full", lambda n: F.array_contains(own, n))
-    root = F.array_min(F.transform("_p", lambda x: x["d"]))
-    above = F.get(ordered, F.size(ordered) - 2)
-    from_up = F.col("root_dist") - F.get(F.filter("_p", lambda x: x["up"] == above), 0)["d"]
-    return ids.select(
-        "tree", "node", F.when(F.size(ordered) > 1, above).alias("parent"), "name", F.when(F.size(ordered) > 1, from_up).alias("length"), "confidence", "is_leaf",
-        ordered.alias("path"), (F.col("root_dist") - root).alias("root_dist"), (F.size(ordered) - 1).alias("depth"),
+    """The node table of the subtree of the named leaves: no unary nodes, whose lengths are added up; supports stay with their node.
+
+    The inner nodes that stay are those where neighbours among the leaves meet; a node's parent is
+    the deeper of the places where its leaves meet what stands left and right of them.
+    """
+    counted = handed_over(_below(nodes, leaves(nodes, only)), "tree-counts")
+    meets = handed_over(_meets(counted), "tree-meets")
+    inner = meets.select("tree", "meet.node").distinct()
+    stays = counted.join(inner.withColumn("_inner", F.lit(True)), ["tree", "node"], "left").where("_kept = 1 OR _inner")
+    beside = lambda name: meets.select("tree", F.col("i").alias(f"_{name}"), F.col("meet").alias(name))
+    up = stays.withColumns({"_left": F.col("before") - 1, "_right": F.col("before") + F.col("k") - 1}).join(beside("left"), ["tree", "_left"], "left").join(beside("right"), ["tree", "_right"], "left")
+    above = F.greatest("left", "right")  # the deeper one; nulls are skipped
+    found = handed_over(up.select(*nodes.columns, above.alias("_up")), "tree-stays")
+    top = found.where("_up IS NULL").select("tree", F.col("root_dist").alias("_top"))  # one node a tree
+    opened = found.select("tree", F.col("first").alias("place"), F.lit(1).alias("d"), F.lit(1).alias("s"))
+    closed = found.select("tree", (F.col("last") + 1).alias("place"), F.lit(-1).alias("d"), F.lit(0).alias("s"))
+    events = opened.unionByName(closed).groupBy("tree", "place").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+    run = exclusive_sums(events, ["tree"], "place", {"_d": "d", "_s": "s"})
+    at = run.select("tree", F.col("place").alias("first"), F.col("_s").alias("_first"), (F.col("_d") + F.col("d") - 1).cast("int").alias("_depth"))
+    end = run.select("tree", (F.col("place") - 1).alias("last"), (F.col("_s") - 1).alias("_last"))
+    return found.join(at, ["tree", "first"]).join(end, ["tree", "last"]).join(top, "tree").select(
+        "tree", "node", F.col("_up.node").alias("parent"), "name", (F.col("root_dist") - F.col("_up.dist")).alias("length"), "confidence", "is_leaf",
+        F.col("_first").alias("first"), F.col("_last").alias("last"), (F.col("root_dist") - F.col("_top")).alias("root_dist"), F.col("_depth").alias("depth"),
     )
 
 
+def _least_by_depth(depth: np.ndarray, axis: int = 0) -> np.ndarray:
+    """For each place, the place up to it with the least depth."""
+    code = depth * depth.shape[axis] + np.arange(depth.shape[axis])
+    return np.minimum.accumulate(code, axis=axis) % depth.shape[axis]
+
+
+def _tile(one: dict, two: dict, between: tuple[int, float] | None, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and distances of the pairs of two blocks of leaves, or within one."""
+    depth, dist = one["depth"], one["dist"]
+    n = len(depth)
+    if same:
+        far = np.iinfo(np.int64).max // (4 * max(n, 1))
+        grid = np.where(np.arange(n)[None, :] >= np.arange(n)[:, None], depth[None, :], far)
+        met = dist[_least_by_depth(grid, 1)]
+        i, j = np.triu_indices(n, 1)
+        return i, j, one["root_dist"][i] + one["root_dist"][j] - 2 * met[i, j - 1]
+    rest = n - 1 - _least_by_depth(depth[::-1])[::-1]
+    start = _least_by_depth(two["depth"])
+    deep, far = [depth[rest][:, None], np.concatenate(([np.iinfo(np.int64).max], two["depth"][start]))[None, : len(two["depth"])]], None
+    met = np.where(deep[0] <= deep[1], dist[rest][:, None], np.concatenate(([0.0], two["dist"][start]))[None, : len(two["depth"])])
+    if between is not None:
+        met = np.where(between[0] < np.minimum(*deep), between[1], met)
+    i, j = np.divmod(np.arange(met.size), met.shape[1])
+    return i, j, (one["root_dist"][:, None] + two["root_dist"][None, :] - 2 * met).reshape(-1)
+
+
 def patristic(nodes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
     """(tree, a, b, distance) of all pairs of leaves a < b: the matrix itself, so as many rows as it has cells.
 
-    A tree's leaves are dealt out into blocks of about ``BLOCK_LEAVES``, and each pair of
-    blocks is a key of its own, so that a large tree is many tasks.
+    A tree's leaves in preorder are cut into blocks of ``BLOCK_LEAVES``, and each pair of
+    blocks is made once, as a tile in a task of its own.
     """
-    leaf_rows = handed_over(leaf_rows, "leaves")
-    largest = leaf_rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]  # one number
-    blocks = max(1, -(-largest // BLOCK_LEAVES))
-    own, others = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
-    side = lambda s, other: leaf_rows.select("tree", own.alias(f"block_{s}"), F.explode(others).alias(f"block_{other}"), F.col("name").alias(s), F.col("path").alias(f"p{s}"), F.col("root_dist").alias(f"d{s}"))
-    pairs = side("a", "b").join(side("b", "a"), ["tree", "block_a", "block_b"]).where("a < b")
-    common = F.filter(F.arrays_zip(F.col("pa").alias("x"), F.col("pb").alias("y")), lambda z: z["x"] == z["y"])
-    meet = pairs.select("tree", "a", "b", (F.col("da") + F.col("db")).alias("d"), F.element_at(common, -1)["x"].alias("node"))
-    return meet.join(nodes.select("tree", "node", "root_dist"), ["tree", "node"]).select("tree", "a", "b", (F.col("d") - 2 * F.col("root_dist")).alias("distance"))
+    counted = handed_over(_below(nodes, leaf_rows), "tree-counts")
+    meets = _meets(counted).select("tree", "i", "meet.depth", "meet.dist")
+    rows = counted.where("_kept = 1").select("tree", F.col("before").alias("i"), "name", "root_dist").join(meets, ["tree", "i"], "left")
+    held = F.struct("i", "name", "root_dist", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
+    blocks = rows.groupBy("tree", F.expr(f"i div {BLOCK_LEAVES}").alias("block")).agg(F.array_sort(F.collect_list(held)).alias("held"))
+    blocks = handed_over(blocks.withColumn("least", F.array_min(F.transform("held", lambda x: F.struct(x["depth"].alias("depth"), x["dist"].alias("dist"))))), "leaf-blocks")
+    every = blocks.groupBy("tree").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "least"))), lambda x: x["least"]).alias("leasts"))  # one entry a block
+    pairs = blocks.join(every, "tree").select("tree", "block", F.col("held").alias("one"), "leasts", F.explode(F.sequence(F.col("block"), F.size("leasts") - 1)).alias("other"))
+    between = F.array_min(F.slice("leasts", (F.col("block") + 2).cast("int"), F.greatest(F.col("other") - F.col("block") - 1, F.lit(0)).cast("int")))
+    work = pairs.select("tree", "block", "other", "one", between.alias("between")).join(blocks.select("tree", F.col("block").alias("other"), F.col("held").alias("two")), ["tree", "other"])
+    work = work.repartition(F.xxhash64("tree", "block", "other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two = ({c: batch.column(side)[k].values.field(c).to_numpy(zero_copy_only=False) for c in ("name", "root_dist", "depth", "dist")} for side in ("one", "two"))
+                gap = batch.column("between")[k].as_py()
+                i, j, distance = _tile(one, two, (gap["depth"], gap["dist"]) if gap else None, batch.column("block")[k] == batch.column("other")[k])
+                a, b = one["name"][i], two["name"][j]
+                turned = a > b
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("tree")[k].as_py()] * len(i), pa.string()), pa.array(np.where(turned, b, a), pa.string()), pa.array(np.where(turned, a, b), pa.string()), pa.array(distance, pa.float64())],
+                    ["tree", "a", "b", "distance"],
+                )
+
+    return work.mapInArrow(run, "tree string, a string, b string, distance double")
 
 
 def total_distances(nodes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
     """(tree, name, total): the sum of a leaf's distances to all others, without any pair.
 
     With n leaves, an edge above a node with k leaves lies on the way to n - k
-    others from inside and to k from outside; sums over a leaf's path do.
+    others from inside and to k from outside; running sums of what begins and ends give each leaf's way.
     """
-    above = ancestors(leaf_rows)
-    length = nodes.select("tree", "node", F.coalesce("length", F.lit(0.0)).alias("length"))
-    below = above.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("k")).join(length, ["tree", "node"])
-    whole = leaf_rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).join(below.groupBy("tree").agg(F.sum(F.col("length") * F.col("k")).alias("everything")), "tree")
-    own = above.join(below, ["tree", "node"]).join(whole, "tree")
-    return own.groupBy("tree", "name").agg((F.max("everything") + F.sum(F.col("length") * (F.col("n") - 2 * F.col("k")))).alias("total"))
+    counted = handed_over(_below(nodes, leaf_rows).withColumn("length", F.coalesce("length", F.lit(0.0))), "tree-counts")
+    whole = counted.groupBy("tree").agg(F.max("k").alias("n"), F.sum(F.col("length") * F.col("k")).alias("everything"))
+    weight = counted.join(whole, "tree").select("tree", "first", "last", (F.col("length") * (F.col("n") - 2 * F.col("k"))).alias("w"))
+    events = weight.select("tree", F.col("first").alias("place"), "w").unionByName(weight.select("tree", (F.col("last") + 1).alias("place"), (-F.col("w")).alias("w"))).groupBy("tree", "place").agg(F.sum("w").alias("w"))
+    run = exclusive_sums(events, ["tree"], "place", "w", "upto", kind="double").select("tree", F.col("place").alias("first"), (F.col("upto") + F.col("w")).alias("way"))
+    return leaf_rows.join(run, ["tree", "first"]).join(whole, "tree").select("tree", "name", (F.col("everything") + F.col("way")).alias("total"))
 
 
 def splits(nodes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
@@ -115,11 +193,11 @@ def splits(nodes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
     below the node, and differs between the two children of a binary root.
     """
     h = lambda seed: F.xxhash64(F.lit(seed), "name").cast("decimal(38,0)")
-    least = leaf_rows.agg(F.min("name").alias("reference"))  # one row
-    above = ancestors(leaf_rows).crossJoin(F.broadcast(least))
-    below = above.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("k"), F.sum(h(1)).alias("a"), F.sum(h(2)).alias("b"), F.bool_or(F.col("name") == F.col("reference")).alias("has"))
+    least = leaf_rows.agg(F.min("name").alias("name"))  # one row
+    place = leaf_rows.join(F.broadcast(least), "name").select("tree", F.col("first").alias("_reference"))
+    below = _below(nodes, leaf_rows, {"a": h(1), "b": h(2)}).join(place, "tree", "left").withColumn("has", F.coalesce(F.col("_reference").between(F.col("first"), F.col("last")), F.lit(False)))
     whole = leaf_rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum(h(1)).alias("all_a"), F.sum(h(2)).alias("all_b"))
-    inner = below.join(nodes.where("NOT is_leaf").select("tree", "node"), ["tree", "node"]).join(whole, "tree").where("k > 1 AND n - k > 1")
+    inner = below.where("NOT is_leaf").join(whole, "tree").where("k > 1 AND n - k > 1")
     other = lambda own, total: F.when(F.col("has"), F.col(total) - F.col(own)).otherwise(F.col(own))
     return inner.select("tree", "node", other("k", "n").alias("size"), other("a", "all_a").alias("key_a"), other("b", "all_b").alias("key_b"), (F.col("k") / F.col("n")).alias("p"))
 
@@ -184,10 +262,10 @@ def mantel(pairs: DataFrame, x: str, y: str) -> DataFrame:
 def mantel_permutations(pairs: DataFrame, x: str, y: str, permutations: int, seed: int = 42) -> DataFrame:
     """(r, p, permutations): rows and columns of x permuted together; p counts permutations with at least the observed r.
 
-    A permutation orders the names by a hash of the seed, its number and the name.
-    Matrices of at most ``MOST_MATRIX`` rows are sent to the tasks, which deal out the permutations;
-    for longer ones each permutation is a join of the pairs with themselves, in batches, so that
-    neither pairs nor matrices pass through the driver. Without variance r and p are null.
+    A permutation orders the names by a number that mixes its own number and the name's place, as any engine
+    can. The matrices are cut into strips of about ``STRIP_CELLS`` cells; a task holds a strip of x and
+    one of y and gathers, for each of its permutations, the products of the rows that fall on each other. Neither pairs
+    nor matrices pass through the driver, and one plan serves any number of names. Without variance r and p are null.
     """
     spark = pairs.sparkSession
     pairs = handed_over(pairs.select("a", "b", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "mantel-pairs")
@@ -197,9 +275,9 @@ def mantel_permutations(pairs: DataFrame, x: str, y: str, permutations: int, see
     if n < 3:
         return spark.createDataFrame([], "r double, p double, permutations long")
     first, second = (ids.select(F.col("name").alias(c), F.col("i").alias(k)) for c, k in (("a", "i"), ("b", "j")))
-    cells = handed_over(pairs.join(first, "a").join(second, "b").select("i", "j", "x", "y"), "mantel-cells")
-    drawn = _sums_by_matrix(cells, n, permutations, seed) if n <= MOST_MATRIX else _sums_by_join(cells, ids.select("i"), permutations, seed)
-    m = cells.agg(F.count(F.lit(1)).alias("m"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))  # one row
+    cells = pairs.join(first, "a").join(second, "b").select("i", "j", "x", "y")
+    drawn = _permuted_sums(cells, n, permutations, seed)
+    m = pairs.agg(F.count(F.lit(1)).alias("m"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))  # one row
     observed = drawn.where("id = 0").select(F.col("xy").alias("seen"))
     spread = F.col("sx") * F.col("sy")
     r = F.when(spread > 0, (F.col("seen") / F.col("m") - F.col("mx") * F.col("my")) / spread)
@@ -209,42 +287,39 @@ def mantel_permutations(pairs: DataFrame, x: str, y: str, permutations: int, see
     return counted.crossJoin(F.broadcast(m)).select(F.round(r, 8).alias("r"), F.when(spread > 0, (F.col("as_large") + 1) / (permutations + 1)).alias("p"), "permutations")
 
 
-def _order_hash(seed: int, k: Column, i: Column) -> Column:
-    return F.xxhash64(F.lit(seed), k.cast("bigint"), i.cast("bigint"))
-
-
-def _sums_by_matrix(cells: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
-    """(id, xy) of each permutation, 0 the identity, from two matrices of bounded size."""
-    spark = cells.sparkSession
-    got = cells.toPandas()  # at most MOST_MATRIX squared halves
-    left, right = np.zeros((n, n)), np.zeros((n, n))
-    for m, c in ((left, "x"), (right, "y")):
-        m[got["i"], got["j"]] = m[got["j"], got["i"]] = got[c]
-    sent = spark.sparkContext.broadcast((left, np.triu(right) if len(got) else right))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m1, m2 = sent.value
-        for frame in frames:
-            out = []
-            for k, hashes in zip(frame["id"], frame["hashes"]):
-                order = np.argsort(hashes, kind="stable") if k else np.arange(n)
-                out.append(float((m1[np.ix_(order, order)] * m2).sum()))
-            yield pd.DataFrame({"id": frame["id"], "xy": out})
-
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _order_hash(seed, F.col("id"), i))
-    return spark.range(permutations + 1).select("id", hashes.alias("hashes")).mapInPandas(run, "id long, xy double")
-
-
-def _sums_by_join(cells: DataFrame, ids: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """The same, for matrices of any size: each batch of permutations is written before the next."""
-    out = []
-    for low in range(0, permutations + 1, MOST_TOGETHER):
-        ks = F.explode(F.sequence(F.lit(low), F.lit(min(low + MOST_TOGETHER, permutations + 1) - 1)))
-        drawn = ids.select(ks.alias("id"), "i")
-        # The name at place i of the order stands in for name i.
-        moved = placed(drawn.withColumn("h", F.when(F.col("id") == 0, F.col("i")).otherwise(_order_hash(seed, F.col("id"), F.col("i")))), ["id"], ["h", "i"], "place")
-        moved = moved.select("id", F.col("place").alias("i"), F.col("i").alias("to"))
-        one, two = moved.select("id", "i", F.col("to").alias("p")), moved.select("id", F.col("i").alias("j"), F.col("to").alias("q"))
-        each = cells.select("i", "j", "y").join(one, "i").join(two, ["id", "j"]).select("id", "y", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
-        out.append(handed_over(each.join(cells.select("i", "j", "x"), ["i", "j"]).groupBy("id").agg(F.sum(F.col("x") * F.col("y")).alias("xy")), "mantel-sums"))
-    return reduce(DataFrame.unionByName, out)
+def permutation(k: int, n: int, seed: int) -> np.ndarray:
+    """The name that stands in for each place; 0 leaves all where they are."""
+    return np.argsort(uniform(np.full(n, k), np.arange(n) + (seed << 32)), kind="stable") if k else np.arange(n)
+
+
+def _permuted_sums(cells: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """(id, xy): the sum of products of each permutation, 0 the identity."""
+    width = max(1, STRIP_CELLS // n)
+    strips = -(-n // width)
+    both = cells.unionByName(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "x", "y"))
+    rows = handed_over(both.groupBy(F.expr(f"i div {width}").alias("strip")).agg(*(F.collect_list(c).alias(c) for c in ("i", "j", "x", "y"))), "mantel-strips")
+    one = rows.select(F.col("strip").alias("p"), F.col("i").alias("xi"), F.col("j").alias("xj"), "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(strips - 1).cast("bigint"))).alias("q"))
+    two = rows.select(F.col("strip").alias("q"), F.col("i").alias("yi"), F.col("j").alias("yj"), "y")
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(permutations // PERMUTATIONS_TOGETHER))).alias("chunk")
+    work = one.join(two, "q").select("*", chunk).repartition(F.xxhash64("p", "q", "chunk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dense = {}
+                for side, strip in (("x", "p"), ("y", "q")):
+                    low = batch.column(strip)[k].as_py() * width
+                    m = np.zeros((min(width, n - low), n))
+                    m[batch.column(f"{side}i")[k].values.to_numpy() - low, batch.column(f"{side}j")[k].values.to_numpy()] = batch.column(side)[k].values.to_numpy()
+                    dense[side] = low, m
+                (a, left), (b, right) = dense["x"], dense["y"]
+                numbers = range(batch.column("chunk")[k].as_py() * PERMUTATIONS_TOGETHER, min((batch.column("chunk")[k].as_py() + 1) * PERMUTATIONS_TOGETHER, permutations + 1))
+                sums = []
+                for number in numbers:
+                    order = permutation(number, n, seed)
+                    stands = order[b : b + len(right)]
+                    here = np.flatnonzero((stands >= a) & (stands < a + len(left)))
+                    sums.append(float(np.vdot(left[np.ix_(stands[here] - a, order)], right[here])) / 2)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sums, pa.float64())], ["id", "xy"])
+
+    return work.mapInArrow(run, "id bigint, xy double").groupBy("id").agg(F.sum("xy").alias("xy"))

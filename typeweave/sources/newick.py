@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-NODES = "tree string, node int, parent int, name string, length double, confidence double, is_leaf boolean, path array<int>, root_dist double, depth int"
+ROWS = 20_000  # nodes handed on at once
+NODES = "tree string, node int, parent int, name string, length double, confidence double, is_leaf boolean, first bigint, last bigint, root_dist double, depth int"
 
 
 def parse(text: str) -> list[dict]:
-    """Nodes in order of appearance, numbered from 0 at the root; quoted names keep their characters."""
+    """Nodes in order of appearance, numbered in preorder from 0 at the root; quoted names keep their characters."""
     nodes: list[dict] = []
     stack: list[int] = []
     last: int | None = None
@@ -68,8 +69,12 @@ def parse(text: str) -> list[dict]:
         raise ValueError("a bracket isn't closed")
     for i, n in enumerate(nodes):
         up = nodes[n["parent"]] if n["parent"] is not None else None
-        n["path"] = (up["path"] if up else []) + [i]
+        n["last"] = i
+        n["depth"] = up["depth"] + 1 if up else 0
         n["root_dist"] = (up["root_dist"] + (n["length"] or 0.0)) if up else 0.0
+    for n in reversed(nodes):  # children stand behind their parent
+        if n["parent"] is not None:
+            nodes[n["parent"]]["last"] = max(nodes[n["parent"]]["last"], n["last"])
     return nodes
 
 
@@ -85,12 +90,14 @@ def nodes_of(trees: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for tree, text in zip(frame["tree"], frame["newick"]):
-                for i, n in enumerate(parse(text) if text else []):
-                    leaf = n["leaf"]
-                    rows.append((tree, i, n["parent"], n["label"] if leaf else None, n["length"], None if leaf else _number(n["label"]), leaf, n["path"], n["root_dist"], len(n["path"]) - 1))
-            out = pd.DataFrame(rows, columns=["tree", "node", "parent", "name", "length", "confidence", "is_leaf", "path", "root_dist", "depth"])
-            yield out.astype({"parent": "Int32", "length": "Float64", "confidence": "Float64"})
+                nodes = parse(text) if text else []
+                for start in range(0, len(nodes), ROWS):
+                    rows = [
+                        (tree, i, n["parent"], n["label"] if n["leaf"] else None, n["length"], None if n["leaf"] else _number(n["label"]), n["leaf"], i, n["last"], n["root_dist"], n["depth"])
+                        for i, n in enumerate(nodes[start : start + ROWS], start)
+                    ]
+                    out = pd.DataFrame(rows, columns=["tree", "node", "parent", "name", "length", "confidence", "is_leaf", "first", "last", "root_dist", "depth"])
+                    yield out.astype({"parent": "Int32", "length": "Float64", "confidence": "Float64"})
 
     return trees.select("tree", "newick").mapInPandas(run, NODES)
