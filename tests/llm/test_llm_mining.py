@@ -12,7 +12,7 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from typeweave.llm import phrases, registry, repair, toxicity
+from typeweave.llm import phrases, registry, repair, syncmer, toxicity
 
 # ---- phrases
 
@@ -228,3 +228,23 @@ def test_repair_query_against_a_plain_search(spark, sf, duck):
     want = plain_repair(rows)
     got = {r["conv_id"]: tuple(r)[1:] for r in registry.op13_repair(spark, sf).collect()}
     assert got == {c: want[c] for c in got} and set(got) == {r[0] for r in rows}
+
+
+# ---- fingerprints of all anchors, and ids of other types
+
+
+def test_fingerprints_of_all_anchors_and_of_string_ids(spark):
+    rng = random.Random(4)
+    texts = {f"d{k:03d}": "".join(rng.choices("abcdefgh ", k=rng.randrange(0, 900))) for k in range(30)}
+    texts["d005"] = texts["d006"][:-40] + "xyz" * 9
+    df = spark.createDataFrame([*texts.items(), (None, "lost")], "doc_id string, text string")
+    for least in (None, syncmer.ANCHORS):
+        got = {r["row_id"]: r for r in syncmer.against_next(df, "doc_id", "text", least=least).collect()}
+        assert len(got) == 31
+        order = sorted(texts, reverse=True)
+        for a, b in zip(order, order[1:]):
+            one, two = syncmer.sketch(texts[a], least), syncmer.sketch(texts[b], least)
+            assert got[a]["fingerprint"] == syncmer.written(one) and got[a]["near_next"] == pytest.approx(syncmer.likeness(one, two, least))
+            assert got[a]["edited_sha256"] == hashlib.sha256(syncmer.edited(texts[a], texts[b]).encode()).hexdigest()
+    hashes, places = syncmer.sketch(texts["d000"] * 20, None)
+    assert sorted(places.tolist()) == syncmer.anchors(texts["d000"] * 20)[1].tolist() and len(hashes) > 1_000

@@ -5,7 +5,7 @@ code points, by hash, stands at its start or end. Whether a run is one depends
 on nothing around it, so the same passage has the same anchors in any document.
 A fingerprint keeps the ``ANCHORS`` anchors with the least hashes over the whole
 text (fewer if it has fewer), and beyond those all with a hash up to ``ALWAYS``,
-one in ``ONE_IN``, so that it grows with the text; their places are kept with
+one in ``ONE_IN``, so that it grows with the text (or all anchors, where ``least`` is None); their places are kept with
 them; ``;`` joins ``HASH@PLACE`` in hex, by hash. It is a sketch of all anchors, not
 of a prefix. An anchor's hash takes in how often the same run was an anchor
 before, so that a text of repeated passages has as many anchors as it has passages.
@@ -21,7 +21,8 @@ ratio, 2J / (1 + J), of the estimated overlap J.
 Defined results: a null text is empty; texts shorter than ``K`` have one anchor,
 the whole text; the empty text has the empty fingerprint, like only itself;
 repeated rows are documents of their own, and rows that are alike in all stay together;
-very long texts are read whole; other columns are left out, whatever their names;
+very long texts are read whole; ids may be of any ordered type (integers are dealt out as
+they are, others by their rank); other columns are left out, whatever their names;
 an empty table gives no rows.
 """
 
@@ -34,9 +35,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from typeweave.llm.arrays import bounded, mixed
-from typeweave.sources.tables import shuffle_partitions
+from typeweave.operators.offsets import placed
+from typeweave.sources.tables import handed_over, shuffle_partitions
 
 K, S, ANCHORS = 8, 3, 64
 ONE_IN = 64
@@ -87,16 +90,19 @@ def _times_before(hashes: np.ndarray) -> np.ndarray:
     return times
 
 
-def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The least ANCHORS distinct hashes, at 48 bits, and all others up to ALWAYS, with the first place of each."""
+def sketch(text: str, least: int | None = ANCHORS) -> tuple[np.ndarray, np.ndarray]:
+    """The ``least`` distinct hashes that are the smallest, at 48 bits, and all others up to ALWAYS, with the first place of each; with None all anchors."""
     hashes, places = anchors(text)
     hashes = mixed(hashes + _times_before(hashes)) >> np.uint64(16)
-    if len(hashes) > 4 * ANCHORS:  # the least few, and those that tie with the last of them
-        few = hashes <= max(np.partition(hashes, 2 * ANCHORS)[2 * ANCHORS], ALWAYS)
-        if len(np.unique(hashes[few])) >= ANCHORS:
+    if least is None:
+        hashes, first = np.unique(hashes, return_index=True)
+        return hashes, places[first]
+    if len(hashes) > 4 * least:  # the least few, and those that tie with the last of them
+        few = hashes <= max(np.partition(hashes, 2 * least)[2 * least], ALWAYS)
+        if len(np.unique(hashes[few])) >= least:
             hashes, places = hashes[few], places[few]
     hashes, first = np.unique(hashes, return_index=True)
-    kept = max(ANCHORS, int(np.searchsorted(hashes, ALWAYS, "right")))
+    kept = max(least, int(np.searchsorted(hashes, ALWAYS, "right")))
     return hashes[:kept], places[first[:kept]]
 
 
@@ -109,12 +115,12 @@ def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(h, 16) for h, _ in pairs], np.uint64), np.array([int(p, 16) for _, p in pairs], np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two sketches, from 0 to 1."""
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: int | None = ANCHORS) -> float:
+    """Of two sketches, from 0 to 1; ``least`` as they were made with."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
     # Only where neither sketch is full are all anchors known beyond its last, or beyond ALWAYS.
-    full = [max(x[0][-1], ALWAYS) for x in (a, b) if len(x[0]) >= ANCHORS]
+    full = [max(x[0][-1], ALWAYS) for x in (a, b) if least is not None and len(x[0]) >= least]
     union = np.union1d(a[0], b[0])
     if full:
         union = union[union <= min(full)]
@@ -140,22 +146,22 @@ def _placed(at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
     return placed
 
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint of each text."""
+def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", least: int | None = ANCHORS) -> DataFrame:
+    """Adds the fingerprint of each text; of all its anchors where ``least`` is None."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: written(sketch(t or "")))
+        return texts.map(lambda t: written(sketch(t or "", least)))
 
     return bounded(docs).withColumn(out, run(text))
 
 
-def likeness_of(a: str, b: str) -> Column:
-    """Of two columns of fingerprints."""
+def likeness_of(a: str, b: str, least: int | None = ANCHORS) -> Column:
+    """Of two columns of fingerprints, made with ``least``."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([likeness(read(f), read(g)) for f, g in zip(x, y)], dtype=float)
+        return pd.Series([likeness(read(f), read(g), least) for f, g in zip(x, y)], dtype=float)
 
     return run(a, b)
 
@@ -166,7 +172,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def against_next(docs: DataFrame, row_id: str, text: str, parts: int | None = None) -> DataFrame:
+def against_next(docs: DataFrame, row_id: str, text: str, parts: int | None = None, least: int | None = ANCHORS) -> DataFrame:
     """One row per document, compared with the next one and with a text edited by it.
 
     The next document has the next lower id, and the highest comes after the
@@ -178,6 +184,11 @@ def against_next(docs: DataFrame, row_id: str, text: str, parts: int | None = No
     """
     spark = docs.sparkSession
     parts = parts or 4 * shuffle_partitions(spark)
+    if not isinstance(docs.schema[row_id].dataType, T.IntegralType):
+        ids = docs.select(F.col(row_id).alias("id")).where("id IS NOT NULL").distinct()
+        ids = handed_over(placed(ids, [], ["id"], "number"), "fingerprint-ids")
+        texts = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left").select("number", "text")
+        return against_next(texts, "number", "text", parts, least).join(ids, F.col("row_id") == F.col("number"), "left").select(F.col("id").alias("row_id"), *_COMPARED[1:])
     slim = docs.select(F.col(row_id).cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     quantiles = F.percentile_approx("row_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))
     cuts = np.array(sorted(slim.agg(quantiles).first()[0] or []), np.int64)  # fewer than parts; an id with many rows is several
@@ -219,9 +230,9 @@ def against_next(docs: DataFrame, row_id: str, text: str, parts: int | None = No
             for row_id, text, at, is_extra in frame.itertuples(index=False, name=None):
                 if waiting is None and is_extra:
                     continue  # a repeated row was the head
-                own = sketch(text)
+                own = sketch(text, least)
                 if waiting is not None:
-                    out.append(_compared(*waiting, text, own))
+                    out.append(_compared(*waiting, text, own, least))
                 waiting = None if is_extra else (row_id, text, own)
             yield pd.DataFrame(out, columns=_COMPARED).astype({"row_id": "Int64"})
 
@@ -231,8 +242,8 @@ def against_next(docs: DataFrame, row_id: str, text: str, parts: int | None = No
 _COMPARED = ["row_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def _compared(row_id, text: str, own, following: str, its) -> tuple:
+def _compared(row_id, text: str, own, following: str, its, least: int | None) -> tuple:
     other = edited(text, following)
     sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-    its_edited = sketch(other)
-    return (row_id if pd.notna(row_id) else None, len(text), sha, written(own), written(its_edited), likeness(own, its_edited), likeness(own, its))
+    its_edited = sketch(other, least)
+    return (row_id if pd.notna(row_id) else None, len(text), sha, written(own), written(its_edited), likeness(own, its_edited, least), likeness(own, its, least))
