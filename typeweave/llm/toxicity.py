@@ -43,7 +43,7 @@ from typeweave.llm.arrays import Texts, bounded, mapped, mixed, pieces, released
 from typeweave.operators.names import unused
 from typeweave.sources.tables import handed_over
 
-BUCKETS = 1 << 21
+BUCKETS = 1 << 20
 STEMS = (3, 4, 5, 6)  # bytes of the beginnings that lend a token its prior
 PRIOR, CAUTION, DRIFT = 3.0, 1.0, 0.4
 #: The fit reads about so many labelled rows, taken by a hash of their id, or all if there are fewer.
@@ -219,10 +219,12 @@ def fitted(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str
     slim = docs.select(F.col(row_id).alias("_id"), F.col(text).alias("text"))
     labelled = slim.join(F.broadcast(labels), "_id")  # about FIT_ROWS ids at most
     labelled = handed_over(labelled.select("text", "_toxic", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int").alias("_half")), "labelled-texts")
-    counted = _counts(labelled, "text").toPandas()  # at most 4 * (BUCKETS + 1) pairs of integers
-    table = np.zeros((4, BUCKETS + 1), np.int64)
-    table.reshape(-1)[counted["key"].to_numpy()] = counted["n"].to_numpy()
-    make = lambda clean, toxic: Odds(toxic[1:].astype(np.int32), clean[1:].astype(np.int32), (int(toxic[0]), int(clean[0])))
+    counted = _counts(labelled, "text").select(F.col("key").cast("int"), F.col("n").cast("double")).toArrow()  # at most 4 * (BUCKETS + 1) pairs
+    table = np.zeros(4 * (BUCKETS + 1), np.float32)
+    table[counted["key"].to_numpy()] = counted["n"].to_numpy()
+    del counted
+    table = table.reshape(4, -1)
+    make = lambda clean, toxic: Odds(toxic[1:], clean[1:], (int(toxic[0]), int(clean[0])))
     halves, whole = [make(table[0], table[1]), make(table[2], table[3])], make(table[0] + table[2], table[1] + table[3])
     if not all(whole.tokens):
         share = labels.agg(F.avg("_toxic")).first()[0]
