@@ -1,12 +1,14 @@
 """File sources and sinks against plain Python on small files."""
 
 import csv as plain_csv
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from typeweave.operators import encode, seq
-from typeweave.sources import delimited, fasta, sinks
+from typeweave.sources import delimited, fasta, sequences, sinks
 
 
 def listed(spark, path):
@@ -80,7 +82,7 @@ def test_sinks(spark, tmp_path):
     assert {p.name for p in (tmp_path / "loci").iterdir() if p.is_dir()} == {"locus=l1", "locus=l2"}
     whole = seq.concatenated(df, "strain", "locus", "seq", spark.createDataFrame([("l1", 2), ("l2", 2), ("l3", 1)], "locus string, length int"))
     path = sinks.concatenated_fasta(whole, "strain", "seq", str(tmp_path), "six")
-    assert path.endswith("concat_six_2.fasta") and listed(spark, path) == [">a", "GGTTN", ">b", "CCNNN"]
+    assert Path(path).is_file() and path.endswith("concat_six_2.fasta") and listed(spark, path) == [">a", "GGTTN", ">b", "CCNNN"]
     blocks = seq.partitions(spark.createDataFrame([("l1", 2), ("l2", 3)], "locus string, length long"), "locus", "length")
     sinks.partition_file(blocks, "locus", str(tmp_path / "parts.txt"))
     assert listed(spark, tmp_path / "parts.txt") == ["DNA, l1 = 1-2", "DNA, l2 = 3-5"]
@@ -103,3 +105,45 @@ def test_empty_folders_of_files_are_an_error_and_empty_files_are_not(spark, tmp_
     with pytest.raises(Exception):
         delimited.lines(spark, str(tmp_path / "absent")).count()
     assert delimited.packed(spark.range(1).withColumn("x", F.lit("7")), ["x"]) is not None
+
+
+def test_one_file_is_whole_or_absent(spark, tmp_path):
+    path = tmp_path / "lines.txt"
+    lines = spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("value"))
+    for _ in range(2):  # a rerun replaces it
+        sinks.one_file(lines, str(path))
+        assert path.read_text() == "".join(f"{k}\n" for k in range(1000))
+    broken = lines.select(F.when(F.col("value") == "999", F.raise_error(F.lit("no"))).otherwise(F.col("value")).alias("value"))
+    with pytest.raises(Exception):
+        sinks.one_file(broken, str(tmp_path / "broken.txt"))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["lines.txt"]
+
+
+def test_text_before_the_first_header_is_sequence_without_a_header(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text("junk\nACGT\n>h1 x\nac\n>h2\ngg\n")
+    (tmp_path / "b.fasta").write_text(">h1\ntt\n")
+    found = fasta.records(spark, str(tmp_path))
+    assert sorted((r["stem"], r["header"], r["seq"]) for r in found.collect()) == [("a", "", "JUNKACGT"), ("a", "h1 x", "AC"), ("a", "h2", "GG"), ("b", "h1", "TT")]
+    assert sorted((r["stem"], r["id"]) for r in fasta.by_first_word(found).collect()) == [("a", "h1"), ("a", "h2"), ("b", "h1")]
+
+
+def test_headers_with_back_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("a`b,x y\n1,NA\n")
+    assert [tuple(r) for r in delimited.csv(spark, str(tmp_path / "q.csv")).collect()] == [("1", None)]
+
+
+def test_ranges_across_chunks_against_slices(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "CHUNK", 7)
+    monkeypatch.setattr(sequences, "TOGETHER", 3)
+    rng = random.Random(12)
+    texts = {f"c{k}": "".join(rng.choices("ACGTnxé\U0001f600", k=k * k * 5)) for k in range(7)}
+    hits = [(k, f"c{rng.randrange(8)}", rng.randrange(-3, 190), rng.randrange(-3, 190)) for k in range(150)] + [(150, "c3", None, 4), (151, None, 1, 4)]
+    df = spark.createDataFrame(hits, "hit long, contig string, a long, b long").withColumns({c: F.lit(c) for c in ("chunk", "low", "piece")})
+    store = sequences.store(spark.createDataFrame([*texts.items(), ("c9", None)], "name string, seq string"), "name", "seq")
+    got = {r["hit"]: r["part"] for r in sequences.ranges(store, df, "contig", "a", "b").collect()}
+    assert len(got) == len(hits)
+    for k, contig, a, b in hits:
+        whole = texts.get(contig, "") if a is not None else ""
+        part = whole[max(min(a, b) - 1, 0) : max(max(a, b), 0)] if whole else ""
+        part = part if not part or a <= b else part[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        assert (got[k] or "") == part, k

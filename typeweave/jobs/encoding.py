@@ -17,9 +17,9 @@ def _part_long(spark, sf_dir):
 
 
 def _orders_long(spark, sf_dir):
-    """Customers by the statuses of their orders: a locus is a status, its value the commonest priority's first digit."""
+    """Customers by the statuses of their orders: a locus is a status, its value the least priority."""
     orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("locus")).agg(F.min(F.substring("o_orderpriority", 1, 1)).alias("value"))
+    return orders.groupBy(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("locus")).agg(F.min("o_orderpriority").alias("value"))
 
 
 def _customers(spark, sf_dir):
@@ -119,19 +119,19 @@ _LONG = "l AS (SELECT p_partkey e, unnest(['p_type','p_brand','p_size']) locus,
 ORACLE_SQL = {
     "q_freq_dict": f"WITH {_LONG} SELECT locus, value, n, row_number() OVER (PARTITION BY locus ORDER BY n DESC, f, value)::int AS code FROM n",
     "q_first_seen_dict": f"WITH {_LONG} SELECT locus, value, row_number() OVER (PARTITION BY locus ORDER BY f, value)::int AS code FROM n",
-    "q_st_assign": """WITH l AS (SELECT o_custkey e, o_orderstatus s, min(substr(o_orderpriority, 1, 1)) v FROM orders GROUP BY ALL),
+    "q_st_assign": """WITH l AS (SELECT o_custkey e, o_orderstatus s, min(o_orderpriority) v FROM orders GROUP BY ALL),
 p AS (SELECT c_custkey e, max(v) FILTER (s = 'F') f, max(v) FILTER (s = 'O') o, max(v) FILTER (s = 'P') p FROM customer LEFT JOIN l ON e = c_custkey GROUP BY ALL),
 c AS (SELECT *, min(e) OVER (PARTITION BY f, o, p) first, count(*) OVER (PARTITION BY f, o, p) m FROM p WHERE f IS NOT NULL AND o IS NOT NULL AND p IS NOT NULL),
 t AS (SELECT e, dense_rank() OVER (ORDER BY first) st, m FROM c)
 SELECT p.e AS entity, t.st, CASE WHEN t.st IS NOT NULL THEN m = 1 END AS is_novel, (f IS NULL OR o IS NULL OR p IS NULL) AS has_missing_data,
  concat_ws(';', CASE WHEN f IS NULL THEN 'F' END, CASE WHEN o IS NULL THEN 'O' END, CASE WHEN p IS NULL THEN 'P' END) AS missing_loci FROM p LEFT JOIN t USING (e)""",
-    "q_st_assign_names": """WITH l AS (SELECT o_custkey e, o_orderstatus s, min(substr(o_orderpriority, 1, 1)) v FROM orders GROUP BY ALL),
+    "q_st_assign_names": """WITH l AS (SELECT o_custkey e, o_orderstatus s, min(o_orderpriority) v FROM orders GROUP BY ALL),
 p AS (SELECT c_name e, max(v) FILTER (s = 'F') f, max(v) FILTER (s = 'O') o, max(v) FILTER (s = 'P') p FROM customer LEFT JOIN l ON e = c_custkey GROUP BY ALL),
 c AS (SELECT *, min(e) OVER (PARTITION BY f, o, p) first, count(*) OVER (PARTITION BY f, o, p) m FROM p WHERE f IS NOT NULL AND o IS NOT NULL AND p IS NOT NULL),
 t AS (SELECT e, dense_rank() OVER (ORDER BY first) st, m FROM c)
 SELECT p.e AS entity, t.st, CASE WHEN t.st IS NOT NULL THEN m = 1 END AS is_novel, (f IS NULL OR o IS NULL OR p IS NULL) AS has_missing_data,
  concat_ws(';', CASE WHEN p IS NULL THEN 'P' END, CASE WHEN f IS NULL THEN 'F' END, CASE WHEN o IS NULL THEN 'O' END) AS missing_loci, 'ST' || st AS label FROM p LEFT JOIN t USING (e)""",
-    "q_complete_dict": """WITH l AS (SELECT c_name e, o_orderstatus locus, min(substr(o_orderpriority, 1, 1)) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+    "q_complete_dict": """WITH l AS (SELECT c_name e, o_orderstatus locus, min(o_orderpriority) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
 w AS (SELECT e FROM l WHERE locus IN ('F', 'O', 'P') GROUP BY e HAVING count(*) = 3), f AS (SELECT locus, value, min(e) f FROM l JOIN w USING (e) WHERE locus IN ('F', 'O', 'P') GROUP BY ALL)
 SELECT locus, value, row_number() OVER (PARTITION BY locus ORDER BY f, value)::int AS code FROM f""",
     "q_relabel": """WITH p AS (SELECT p_partkey e, concat_ws('|', p_brand, p_type) profile, p_size FROM part),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from typeweave.operators import distance as D
 from typeweave.operators import seq
 from typeweave.operators import tree as T
-from typeweave.sources import delimited, fasta, newick, sinks
+from typeweave.sources import delimited, fasta, newick, sequences, sinks
 from typeweave.sources.tables import shared_folder, table
 
 
@@ -95,6 +95,36 @@ def q_newick(spark, sf_dir):
     return nodes.groupBy("tree").agg(F.count_if("is_leaf").alias("leaves"), F.count_if(~F.col("is_leaf")).alias("inner"), F.round(F.sum("length"), 6).alias("length")).join(T.support(nodes).select("tree", "median"), "tree")
 
 
+def q_hit_ranges(spark, sf_dir):
+    """Every order line as a hit on the document of its part's number: its range, backwards for every third line, from the chunks that it touches."""
+    docs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
+    low = (F.col("l_suppkey") * 131 + F.col("l_orderkey") * 17) % 9000 + 1
+    high = low + (F.col("l_extendedprice") % 6000).cast("bigint")
+    hits = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("contig"), low.alias("low"), high.alias("high"))
+    turned = F.col("l_linenumber") % 3 == 0
+    hits = hits.select("l_orderkey", "l_linenumber", "contig", F.when(turned, F.col("high")).otherwise(F.col("low")).alias("start"), F.when(turned, F.col("low")).otherwise(F.col("high")).alias("end"))
+    found = sequences.ranges(sequences.store(docs, "doc_id", "text"), hits, "contig", "start", "end")
+    return found.where("part IS NOT NULL").select("l_orderkey", F.col("l_linenumber").alias("line"), "contig", F.length("part").alias("n"), F.md5("part").alias("digest"))
+
+
+def q_partition_file(spark, sf_dir):
+    """Languages as loci of their longest text, as one partition file, read back line by line."""
+    blocks = table(spark, sf_dir, "documents").groupBy("lang").agg(F.max("n_chars").alias("length"))
+    path = f"{_folder(spark, 'partitions')}.txt"
+    sinks.partition_file(seq.partitions(blocks, "lang", "length"), "lang", path)
+    whole = spark.read.text(path, wholetext=True)  # a line a locus
+    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("k", "line"))
+
+
+def q_joined_fasta(spark, sf_dir):
+    """Conversations' turns joined in one file that is named with their number, read back by header."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate(seq.ascii_upper(F.coalesce("text", F.lit(""))), "> \n\r\t", "").alias("text"))
+    joined = seq.concatenated(turns, "conv_id", "turn", "text").where("seq <> ''")
+    path = sinks.concatenated_fasta(joined, "conv_id", "seq", _folder(spark, "joined"), "turns")
+    found = fasta.by_header(fasta.records(spark, path.rpartition("/")[0], "concat_turns_*.fasta"))
+    return found.select(F.col("id").cast("bigint").alias("conv_id"), F.regexp_extract("stem", r"_(\d+)$", 1).cast("bigint").alias("named"), F.length("seq").alias("n"), F.md5("seq").alias("digest"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 from typeweave.jobs.encoding import ORACLE_SQL as _ENCODING  # noqa: E402
@@ -112,6 +142,14 @@ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 7 AND flo
 SELECT 'usual' AS reading, e + a AS missing, 0 AS literal_na, n FROM c UNION ALL SELECT 'empty', e, a, n FROM c UNION ALL SELECT 'never', 0, a, n FROM c""",
     "q_flagged": f"WITH t AS ({_ENCODING['q_st_assign']}), c AS (SELECT count(*) FILTER (NOT has_missing_data) n, count(*) FILTER (is_novel) k FROM t) SELECT 'flag' AS \"by\", n, k AS novel FROM c UNION ALL SELECT 'label', n, k FROM c",
     "q_wide_export": f"WITH {_D} SELECT vec_id, distance, compared, distance <= 40 AS member FROM d",
+    "q_hit_ranges": """WITH d AS (SELECT doc_id, min(text) t FROM documents GROUP BY doc_id),
+h AS (SELECT l_orderkey, l_linenumber, l_partkey c, (l_suppkey * 131 + l_orderkey * 17) % 9000 + 1 AS a, trunc(l_extendedprice % 6000)::bigint AS k FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, c, CASE WHEN k > 0 AND l_linenumber % 3 = 0 THEN translate(reverse(substr(t, a, k + 1)), 'ACGTacgt', 'TGCAtgca') ELSE substr(t, a, k + 1) END AS s FROM h JOIN d ON d.doc_id = c)
+SELECT l_orderkey, l_linenumber AS line, c AS contig, length(s)::int AS n, md5(s) AS digest FROM p WHERE s <> ''""",
+    "q_partition_file": """WITH b AS (SELECT lang, max(n_chars) len FROM documents GROUP BY lang), c AS (SELECT lang, len, sum(len) OVER (ORDER BY lang)::bigint AS upto, row_number() OVER (ORDER BY lang) - 1 AS k FROM b)
+SELECT k::int AS k, 'DNA, ' || lang || ' = ' || (upto - len + 1)::varchar || '-' || upto::varchar AS line FROM c""",
+    "q_joined_fasta": """WITH t AS (SELECT conv_id, string_agg(translate(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '> ' || chr(10) || chr(13) || chr(9), ''), '' ORDER BY turn) s FROM conversations GROUP BY conv_id)
+SELECT conv_id, (SELECT count(*) FROM t WHERE s <> '') AS named, length(s)::int AS n, md5(s) AS digest FROM t WHERE s <> ''""",
     "q_newick": """WITH s AS (SELECT s_nationkey::varchar AS tree, floor((s_acctbal+1000)/2500)::int band, 0.5 + s_suppkey % 4 * 0.25 AS l FROM supplier), b AS (SELECT tree, band, count(*) k, sum(l) l FROM s GROUP BY ALL)
 SELECT tree, sum(k)::bigint AS leaves, count(*) + 1 AS "inner", round((sum(l) + 1.5*count(*))::double, 6) AS length, round(median(band*10+50)::double, 8) AS median FROM b GROUP BY tree""",
 }

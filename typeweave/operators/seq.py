@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SITES, PLANES, CHARACTERS = 1024, 256, 1 << 20
 LOW, HIGH = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -87,12 +94,38 @@ def last_matching(lines: DataFrame, key: str, position: str, line: str, pattern:
 def informative_sites(rows: DataFrame, seq: str) -> DataFrame:
     """(site, states, informative): a site is informative if two states or more each stand in two rows or more.
 
-    Sites are 0-based, and all are counted. Counting is partial in each task, so only site and state
-    counts are shuffled.
+    Sites are 0-based code points, and all are counted. Sites are cut into blocks of ``SITES``; each task counts a
+    block's states in planes, one vector of counts for each block and state, and Spark adds vectors up, so there is no row for a character.
     """
-    site = rows.select(F.posexplode(F.split(ascii_upper(F.col(seq)), "")).alias("site", "state")).where("state <> ''")
-    counts = site.groupBy("site", "state").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("site").agg(F.count(F.lit(1)).alias("states"), (F.count_if(F.col("n") >= 2) >= 2).alias("informative"))
+
+    def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            start = 0
+            while start < len(texts):  # about CHARACTERS at once, or one longer text
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHARACTERS):
+                    size += len(texts[stop])
+                    stop += 1
+                codes = np.frombuffer("".join(texts[start:stop]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                codes[(codes >= 97) & (codes <= 122)] -= 32
+                lengths = np.array([len(t) for t in texts[start:stop]])
+                site = np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                key, plane = np.unique((site // SITES << 21) | codes, return_inverse=True)
+                for low in range(0, len(key), PLANES):
+                    here = (plane >= low) & (plane < low + PLANES)
+                    counts = np.bincount((plane[here] - low) * SITES + site[here] % SITES, minlength=len(key[low : low + PLANES]) * SITES)
+                    offsets = pa.array(np.arange(0, len(counts) + 1, SITES, dtype=np.int32))
+                    some = key[low : low + PLANES]
+                    yield pa.RecordBatch.from_arrays([pa.array(some >> 21), pa.array(some & 0x1FFFFF), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.float64)))], ["block", "state", "counts"])
+                start = stop
+
+    made = rows.select(F.col(seq).alias("text")).mapInArrow(planes, "block bigint, state bigint, counts array<double>")
+    summed = made.groupBy("block", "state").agg(vector_to_array(Summarizer.sum(array_to_vector("counts"))).alias("n"))
+    flags = lambda least: Summarizer.sum(array_to_vector(F.transform("n", lambda x: (x >= least).cast("double"))))
+    by_block = summed.groupBy("block").agg(vector_to_array(flags(1)).alias("states"), vector_to_array(flags(2)).alias("often"))
+    each = by_block.select("block", F.posexplode(F.arrays_zip("states", "often")).alias("at", "s")).where("s.states > 0")
+    return each.select((F.col("block") * SITES + F.col("at")).cast("int").alias("site"), F.col("s.states").cast("bigint").alias("states"), (F.col("s.often") >= 2).alias("informative"))
 
 
 def best_hit(hits: DataFrame, query: str, length: Column, wanted: Column, score: str, position: str) -> DataFrame:

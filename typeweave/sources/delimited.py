@@ -27,6 +27,11 @@ def hits(spark: SparkSession, path: str) -> DataFrame:
     return read.where(F.size("f") >= len(kinds)).select(*(F.get("f", k).cast(kind).alias(name) for k, (name, kind) in enumerate(kinds)), "position")
 
 
+def _column(name: str) -> Column:
+    """A column by its header, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def clean_names(names: Iterable[str]) -> list[str]:
     """Of each header its first line, without a byte-order mark and white space around it."""
     return [n.replace("﻿", "").strip().split("\n")[0].strip() for n in names]
@@ -45,7 +50,7 @@ def csv(spark: SparkSession, path: str, missing: str = "usual", multi_line: bool
         "empty": lambda c: F.when(c != "", c),
         "never": lambda c: F.coalesce(c, F.lit("")),
     }[missing]
-    return read.select(*(cell(F.col(f"`{n}`")).alias(n) for n in read.columns))
+    return read.select(*(cell(_column(n)).alias(n) for n in read.columns))
 
 
 def without_missing_data(df: DataFrame, flag: str = "has_missing_data", label: str = "ST") -> DataFrame:
@@ -61,11 +66,11 @@ def family(df: DataFrame, suffix: str, but_not: tuple[str, ...] = ()) -> list[st
 
 def packed(df: DataFrame, columns: list[str]) -> Column:
     """Columns as one array of numbers; what isn't a number is null."""
-    return F.array(*(F.col(f"`{c}`").try_cast("double") for c in columns))
+    return F.array(*(_column(c).try_cast("double") for c in columns))
 
 
 def wide_export(spark: SparkSession, path: str, keys: list[str], suffix: str, but_not: tuple[str, ...] = ()) -> DataFrame:
     """The key columns (by the first line of their headers) and ``profile``, the family's values, of an export of many columns with headers of several lines."""
     read = csv(spark, path, missing="empty", multi_line=True)
     by_name = dict(zip(clean_names(read.columns), read.columns))
-    return read.select(*(trimmed(F.col(f"`{by_name[k]}`")).alias(k) for k in keys), packed(read, family(read, suffix, but_not)).alias("profile"))
+    return read.select(*(trimmed(_column(by_name[k])).alias(k) for k in keys), packed(read, family(read, suffix, but_not)).alias("profile"))

@@ -2,7 +2,8 @@
 
 A record is what stands between two lines that begin with ``>``. Its first line is the header;
 the others, without white space at their ends, are joined and upper-cased. Records without a body
-are left out. Text before a file's first header is read as a record of its own.
+are left out. Text before a file's first header is a record without a header: all of it is sequence to those who
+count bases, and readings by header leave it out.
 """
 
 from __future__ import annotations
@@ -24,11 +25,17 @@ def records(spark: SparkSession, folder: str, pattern: str = "*.fasta") -> DataF
     place orders the records of a file. Files are split, and no file is held as a whole.
     """
     read = spark.read.option("lineSep", "\n>").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder)
-    lines = F.split(F.regexp_replace("value", "^>", ""), "\n", 2)
-    body = ascii_upper(trimmed(F.regexp_replace(F.coalesce(F.get(lines, 1), F.lit("")), r"\s*\n\s*", "")))
     path = F.col("_metadata.file_path")
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return read.select(stem(path).alias("stem"), trimmed(F.get(lines, 0)).alias("header"), body.alias("seq"), path.alias("path"), place.alias("place")).where("seq <> ''")
+    found = read.select("value", path.alias("path"), place.alias("place"))
+    # Separators take the > of all records but a file's first.
+    odd = found.groupBy("path").agg(F.min("place").alias("place"), F.min_by(F.col("value").startswith(">"), "place").alias("headed")).where("NOT headed").select("path", "place", F.lit(True).alias("headless"))
+    lines = F.split(F.regexp_replace("value", "^>", ""), "\n", 2)
+    header = F.when(F.col("headless"), "").otherwise(trimmed(F.get(lines, 0)))
+    text = F.when(F.col("headless"), F.col("value")).otherwise(F.coalesce(F.get(lines, 1), F.lit("")))
+    body = ascii_upper(trimmed(F.regexp_replace(text, r"\s*\n\s*", "")))
+    whole = found.join(odd, ["path", "place"], "left")
+    return whole.select(stem(F.col("path")).alias("stem"), header.alias("header"), body.alias("seq"), "path", "place").where("seq <> ''")
 
 
 def by_header(found: DataFrame) -> DataFrame:

@@ -1,13 +1,47 @@
-"""Files for other programs. Each sink is one distributed write; a path is a folder of parts, as Spark writes it."""
+"""Files for other programs. Tables are folders of parts, as Spark writes them; what other programs open by name is one file."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.sources.tables import handed_over
 
 
+def one_file(lines: DataFrame, path: str) -> None:
+    """The one text column of ``lines``, in the order of its partitions, as one file of that name.
+
+    Tasks write parts beside it, which are joined byte by byte, in order, under a name of its own and
+    then renamed: until then nothing stands at ``path``, a failed task leaves nothing there, and a rerun
+    replaces it as a whole. No part is held in memory; any file system that Spark writes to will do.
+    """
+    spark = lines.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    name = f"{path}.{uuid.uuid4().hex}"
+    parts, joined, target = (hadoop.fs.Path(p) for p in (f"{name}.parts", f"{name}.joined", path))
+    system = target.getFileSystem(conf)
+    try:
+        lines.write.text(f"{name}.parts")
+        out = system.create(joined)
+        try:
+            for part in sorted(str(f.getPath()) for f in system.listStatus(parts) if f.getPath().getName().startswith("part-")):
+                piece = system.open(hadoop.fs.Path(part))
+                try:
+                    hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+                finally:
+                    piece.close()
+        finally:
+            out.close()
+        system.delete(target, True)
+        if not system.rename(joined, target):
+            raise OSError(f"can't rename to {path}")
+    finally:
+        for left in (parts, joined):
+            system.delete(left, True)
+
+
 def appended_tsv(df: DataFrame, path: str) -> None:
     """Adds the rows to a tab-separated table; each part has the header."""
     df.write.mode("append").csv(path, sep="\t", header=True)
@@ -27,13 +61,13 @@ def concatenated_fasta(df: DataFrame, key: str, seq: str, folder: str, scheme: s
     """Joined sequences, in the order of their keys, in a file that is named with their number; its path."""
     df = handed_over(df.select(key, seq), "concatenated")
     path = f"{folder}/concat_{scheme}_{df.count()}.fasta"
-    df.orderBy(key).select(_record(key, seq).alias("value")).write.text(path)
+    one_file(df.orderBy(key).select(_record(key, seq).alias("value")), path)
     return path
 
 
 def partition_file(blocks: DataFrame, name: str, path: str) -> None:
     """``DNA, NAME = FIRST-LAST`` of each block, from ``seq.partitions``."""
-    blocks.orderBy("first").select(F.format_string("DNA, %s = %d-%d", F.col(name), F.col("first").cast("bigint"), F.col("last").cast("bigint")).alias("value")).write.text(path)
+    one_file(blocks.orderBy("first").select(F.format_string("DNA, %s = %d-%d", F.col(name), F.col("first").cast("bigint"), F.col("last").cast("bigint")).alias("value")), path)
 
 
 def records(df: DataFrame, path: str) -> None:
@@ -70,4 +104,4 @@ def report(df: DataFrame, widths: dict[str, int], title: str, path: str) -> None
     line = F.concat(*(pad(F.coalesce(F.col(n).cast("string"), F.lit("-")), n) for n in widths))
     head = "".join(n.ljust(w) if texts[n] else n.rjust(w) for n, w in widths.items())
     first = df.sparkSession.createDataFrame([(0, title), (1, head)], "at int, value string")
-    first.unionByName(df.select(F.lit(2).alias("at"), line.alias("value"))).orderBy("at", "value").select("value").write.text(path)
+    one_file(first.unionByName(df.select(F.lit(2).alias("at"), line.alias("value"))).orderBy("at", "value").select("value"), path)
