@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from typeweave.operators import distance, encode, partition, resample, seq, tree
+from typeweave.operators import distance, encode, partition, quantiles, resample, seq, tree
 from typeweave.operators.components import components
 from typeweave.operators.offsets import ranked
 from typeweave.sources import newick
@@ -493,3 +493,26 @@ def test_informative_sites_are_counted_to_the_end(spark):
         column = [t[site].upper() for t in texts if site < len(t)]
         assert got.pop(site) == (len(set(column)), sum(column.count(c) >= 2 for c in set(column)) >= 2)
     assert not got
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    data = [("hot", float(v)) for v in rng.integers(0, 40, 500)] + [("one", 3.5)] + [("few", float(v)) for v in rng.random(4)] + [("none", None), (None, 1.0)]
+    got = {r["k"]: r for r in quantiles.exact_quantiles(rows(spark, data, "k string, v double"), ["k"], "v", [0.0, 0.025, 0.5, 0.975, 1.0]).collect()}
+    assert set(got) == {"hot", "one", "few"}
+    for k, r in got.items():
+        values = [v for x, v in data if x == k]
+        assert r["n"] == len(values) and r["quantiles"] == pytest.approx(list(np.quantile(values, [0.0, 0.025, 0.5, 0.975, 1.0])))
+    whole = quantiles.exact_quantiles(rows(spark, data, "k string, v double"), [], "v", [0.5]).first()
+    values = [v for _, v in data if v is not None]
+    assert whole["n"] == len(values) and whole["quantiles"] == pytest.approx([np.quantile(values, 0.5)])
+
+
+def test_newick_nodes_are_closed_with_their_way_alone():
+    text = "(" * 5_000 + "x" + ",y)" * 5_000 + ";"
+    seen = [(node, parent, last, depth) for node, parent, _, _, _, last, depth in newick.closed_nodes(text)]
+    assert len(seen) == 10_001 and seen[0] == (5_000, 4_999, 5_000, 5_000) and seen[-1] == (0, None, 10_000, 0)
+    assert [(n["label"], n["leaf"], n["length"]) for n in newick.parse("(,b:1[note],(c)d:2)e;")] == [("e", False, None), ("", True, None), ("b", True, 1.0), ("d", False, 2.0), ("c", True, None)]
+    for broken in ("(a,b", "a,b;", "(a,b));"):
+        with pytest.raises(ValueError):
+            newick.parse(broken)

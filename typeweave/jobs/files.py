@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from typeweave.operators import distance as D
 from typeweave.operators import seq
 from typeweave.operators import tree as T
-from typeweave.sources import delimited, fasta, newick, sequences, sinks
+from typeweave.sources import delimited, fasta, newick, sequences, sinks, table_functions
 from typeweave.sources.tables import shared_folder, table
 
 
@@ -95,6 +95,23 @@ def q_newick(spark, sf_dir):
     return nodes.groupBy("tree").agg(F.count_if("is_leaf").alias("leaves"), F.count_if(~F.col("is_leaf")).alias("inner"), F.round(F.sum("length"), 6).alias("length")).join(T.support(nodes).select("tree", "median"), "tree")
 
 
+def q_newick_rows(spark, sf_dir):
+    """Nodes of each nation's suppliers as a tree, from SQL: a row for each node as it is closed."""
+    table_functions.registered(spark)
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.floor((F.col("s_acctbal") + 1000) / 2500).cast("int").alias("band"))
+    leaf = F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"), F.lit(":"), (0.5 + F.col("s_suppkey") % 4 * 0.25).cast("string"))
+    bands = s.groupBy("s_nationkey", "band").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(leaf)), ","), F.lit(")"), (F.col("band") * 10 + 50).cast("string")).alias("clade"))
+    trees = bands.groupBy("s_nationkey").agg(F.concat(F.lit("("), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("band", "clade"))), lambda x: x["clade"]), ","), F.lit(");")).alias("newick"))
+    return spark.sql("SELECT t.s_nationkey, n.name, n.confidence, n.length, n.first, n.last - n.first + 1 AS size, n.depth FROM {trees} t, LATERAL newick_nodes(t.newick) n", trees=trees)
+
+
+def q_locus_rows(spark, sf_dir):
+    """Six ranges of each document as loci, from SQL; a range that a text doesn't fill is missing."""
+    table_functions.registered(spark)
+    loci = ", ".join(f"named_struct('locus', 'l{k}', 'first', {a}, 'last', {b})" for k, (a, b) in enumerate(((1, 40), (41, 85), (86, 120), (121, 900), (901, 4000), (4001, 4450))))
+    return spark.sql(f"SELECT d.doc_id, l.locus, l.length, md5(l.seq) AS digest FROM {{docs}} d, LATERAL locus_rows(d.text, array({loci})) l", docs=table(spark, sf_dir, "documents"))
+
+
 def q_hit_ranges(spark, sf_dir):
     """Every order line as a hit on the document of its part's number: its range, backwards for every third line, from the chunks that it touches."""
     docs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -142,6 +159,13 @@ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 7 AND flo
 SELECT 'usual' AS reading, e + a AS missing, 0 AS literal_na, n FROM c UNION ALL SELECT 'empty', e, a, n FROM c UNION ALL SELECT 'never', 0, a, n FROM c""",
     "q_flagged": f"WITH t AS ({_ENCODING['q_st_assign']}), c AS (SELECT count(*) FILTER (NOT has_missing_data) n, count(*) FILTER (is_novel) k FROM t) SELECT 'flag' AS \"by\", n, k AS novel FROM c UNION ALL SELECT 'label', n, k FROM c",
     "q_wide_export": f"WITH {_D} SELECT vec_id, distance, compared, distance <= 40 AS member FROM d",
+    "q_newick_rows": """WITH s AS (SELECT s_nationkey, s_suppkey, floor((s_acctbal+1000)/2500)::int band, 0.5 + s_suppkey % 4 * 0.25 AS l, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor((s_acctbal+1000)/2500), s_suppkey) AS i FROM supplier),
+b AS (SELECT s_nationkey, band, count(*) k, min(i) i, row_number() OVER (PARTITION BY s_nationkey ORDER BY band) AS j FROM s GROUP BY s_nationkey, band)
+SELECT s_nationkey, NULL::varchar AS name, NULL::double AS confidence, NULL::double AS length, 0 AS first, sum(k)::bigint + count(*) + 1 AS size, 0 AS depth FROM b GROUP BY s_nationkey
+UNION ALL SELECT s_nationkey, NULL, band*10 + 50, NULL, i - 1 + j, k + 1, 1 FROM b
+UNION ALL SELECT s.s_nationkey, 'S' || lpad(s_suppkey::varchar, 8, '0'), NULL, l, s.i + j, 1, 2 FROM s JOIN b USING (s_nationkey, band)""",
+    "q_locus_rows": """WITH l(locus, a, b) AS (VALUES ('l0', 1, 40), ('l1', 41, 85), ('l2', 86, 120), ('l3', 121, 900), ('l4', 901, 4000), ('l5', 4001, 4450))
+SELECT doc_id, locus, b - a + 1 AS length, md5(translate(substr(text, a, b - a + 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS digest FROM documents, l WHERE length(text) >= b""",
     "q_hit_ranges": """WITH d AS (SELECT doc_id, min(text) t FROM documents GROUP BY doc_id),
 h AS (SELECT l_orderkey, l_linenumber, l_partkey c, (l_suppkey * 131 + l_orderkey * 17) % 9000 + 1 AS a, trunc(l_extendedprice % 6000)::bigint AS k FROM lineitem),
 p AS (SELECT l_orderkey, l_linenumber, c, CASE WHEN k > 0 AND l_linenumber % 3 = 0 THEN translate(reverse(substr(t, a, k + 1)), 'ACGTacgt', 'TGCAtgca') ELSE substr(t, a, k + 1) END AS s FROM h JOIN d ON d.doc_id = c)

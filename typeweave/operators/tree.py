@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.operators.offsets import exclusive_sums, placed
+from typeweave.operators.quantiles import exact_quantiles
 from typeweave.operators.resample import uniform
 from typeweave.sources.tables import handed_over
 
@@ -242,9 +243,11 @@ def clustering_information_listed(found: DataFrame, one: str, two: str) -> DataF
 
 def support(nodes: DataFrame) -> DataFrame:
     """(tree, n, median, over_70, over_90) of the inner nodes with a confidence; zeros without any."""
-    c = F.when(~F.col("is_leaf"), F.col("confidence"))
-    share = lambda least: F.round(F.coalesce(100 * F.avg((c >= least).cast("double")), F.lit(0.0)), 8)
-    return nodes.groupBy("tree").agg(F.count(c).alias("n"), F.round(F.coalesce(F.median(c), F.lit(0.0)), 8).alias("median"), share(70).alias("over_70"), share(90).alias("over_90"))
+    nodes = nodes.select("tree", F.when(~F.col("is_leaf"), F.col("confidence")).alias("c"))
+    share = lambda least: F.round(F.coalesce(100 * F.avg((F.col("c") >= least).cast("double")), F.lit(0.0)), 8)
+    middle = exact_quantiles(nodes, ["tree"], "c", [0.5]).select("tree", F.get("quantiles", 0).alias("m"))
+    sums = nodes.groupBy("tree").agg(F.count("c").alias("n"), share(70).alias("over_70"), share(90).alias("over_90"))
+    return sums.join(middle, "tree", "left").select("tree", "n", F.round(F.coalesce("m", F.lit(0.0)), 8).alias("median"), "over_70", "over_90")
 
 
 def resolution(nodes: DataFrame) -> DataFrame:

@@ -11,35 +11,42 @@ ROWS = 20_000  # nodes handed on at once
 NODES = "tree string, node int, parent int, name string, length double, confidence double, is_leaf boolean, first bigint, last bigint, root_dist double, depth int"
 
 
-def parse(text: str) -> list[dict]:
-    """Nodes in order of appearance, numbered in preorder from 0 at the root; quoted names keep their characters."""
-    nodes: list[dict] = []
-    stack: list[int] = []
-    last: int | None = None
-    at, end = 0, len(text)
-
-    def add(parent: int | None) -> int:
-        nodes.append({"parent": parent, "label": "", "length": None, "leaf": True})
-        if parent is not None:
-            nodes[parent]["leaf"] = False
-        return len(nodes) - 1
-
-    def token(at: int) -> tuple[str, int]:
-        if text[at] == "'":
-            out, at = [], at + 1
-            while at < end:
-                if text[at] == "'":
-                    if at + 1 < end and text[at + 1] == "'":
-                        at += 1
-                    else:
-                        break
-                out.append(text[at])
+def _token(text: str, at: int) -> tuple[str, int]:
+    """A label or a number from ``at`` on, and where it ends; quoted names keep their characters."""
+    end = len(text)
+    if at < end and text[at] == "'":
+        out, at = [], at + 1
+        while at < end:
+            if text[at] == "'":
+                if text[at + 1 : at + 2] != "'":
+                    break
                 at += 1
-            return "".join(out), at + 1
-        start = at
-        while at < end and text[at] not in "(),:;[":
+            out.append(text[at])
             at += 1
-        return text[start:at].strip(), at
+        return "".join(out), at + 1
+    start = at
+    while at < end and text[at] not in "(),:;[":
+        at += 1
+    return text[start:at].strip(), at
+
+
+def closed_nodes(text: str) -> Iterator[tuple[int, int | None, str, float | None, bool, int, int]]:
+    """(node, parent, label, length, leaf, last, depth) of each node as it is closed, numbered in preorder from 0 at the root.
+
+    Only the way from the root to the open node is held.
+    """
+    way: list[list] = []  # of open nodes: number, label, length, leaf
+    count, at, end = 0, 0, len(text)
+    fresh = True  # whether a node may begin here
+
+    def opened(leaf: bool) -> None:
+        nonlocal count
+        way.append([count, "", None, leaf])
+        count += 1
+
+    def closed() -> tuple:
+        node, label, length, leaf = way.pop()
+        return node, (way[-1][0] if way else None), label, length, leaf, count - 1, len(way)
 
     while at < end:
         c = text[at]
@@ -48,37 +55,48 @@ def parse(text: str) -> list[dict]:
         elif c == "[":
             at = text.find("]", at) + 1 or end
         elif c == "(":
-            stack.append(add(stack[-1] if stack else None))
-            last, at = None, at + 1
-        elif c == ",":
-            last, at = None, at + 1
-        elif c == ")":
-            last, at = stack.pop(), at + 1
+            opened(False)
+            fresh, at = True, at + 1
+        elif c in ",)":
+            if fresh:  # a leaf without a name
+                opened(True)
+            yield closed()
+            if not way:
+                raise ValueError("a bracket isn't open")
+            fresh, at = c == ",", at + 1
         elif c == ":":
-            value, at = token(at + 1)
-            if last is not None and value:
-                nodes[last]["length"] = float(value)
+            value, at = _token(text, at + 1)
+            if fresh:
+                opened(True)
+                fresh = False
+            if value:
+                way[-1][2] = float(value)
         elif c == ";":
             break
         else:
-            label, at = token(at)
-            if last is None:
-                last = add(stack[-1] if stack else None)
-            nodes[last]["label"] = label
-    if stack:
+            label, at = _token(text, at)
+            if fresh:
+                opened(True)
+                fresh = False
+            way[-1][1] = label
+    if len(way) > 1 or (way and fresh):
         raise ValueError("a bracket isn't closed")
-    for i, n in enumerate(nodes):
-        up = nodes[n["parent"]] if n["parent"] is not None else None
-        n["last"] = i
-        n["depth"] = up["depth"] + 1 if up else 0
-        n["root_dist"] = (up["root_dist"] + (n["length"] or 0.0)) if up else 0.0
-    for n in reversed(nodes):  # children stand behind their parent
-        if n["parent"] is not None:
-            nodes[n["parent"]]["last"] = max(nodes[n["parent"]]["last"], n["last"])
+    if way:
+        yield closed()
+
+
+def parse(text: str) -> list[dict]:
+    """All nodes in preorder, each with its place's last descendant, depth and distance from the root."""
+    nodes: list[dict] = []
+    for node, parent, label, length, leaf, last, depth in closed_nodes(text):
+        nodes.extend({} for _ in range(node + 1 - len(nodes)))
+        nodes[node] = {"parent": parent, "label": label, "length": length, "leaf": leaf, "last": last, "depth": depth}
+    for n in nodes:
+        n["root_dist"] = 0.0 if n["parent"] is None else nodes[n["parent"]]["root_dist"] + (n["length"] or 0.0)
     return nodes
 
 
-def _number(text: str) -> float | None:
+def number(text: str) -> float | None:
     try:
         return float(text)
     except ValueError:
@@ -94,7 +112,7 @@ def nodes_of(trees: DataFrame) -> DataFrame:
                 nodes = parse(text) if text else []
                 for start in range(0, len(nodes), ROWS):
                     rows = [
-                        (tree, i, n["parent"], n["label"] if n["leaf"] else None, n["length"], None if n["leaf"] else _number(n["label"]), n["leaf"], i, n["last"], n["root_dist"], n["depth"])
+                        (tree, i, n["parent"], n["label"] if n["leaf"] else None, n["length"], None if n["leaf"] else number(n["label"]), n["leaf"], i, n["last"], n["root_dist"], n["depth"])
                         for i, n in enumerate(nodes[start : start + ROWS], start)
                     ]
                     out = pd.DataFrame(rows, columns=["tree", "node", "parent", "name", "length", "confidence", "is_leaf", "first", "last", "root_dist", "depth"])
