@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from typeweave.operators import encode, seq
-from typeweave.sources import delimited, fasta, sequences, sinks
+from typeweave.sources import delimited, fasta, sequences, sinks, worklist
 
 
 def listed(spark, path):
@@ -147,3 +147,20 @@ def test_ranges_across_chunks_against_slices(spark, monkeypatch):
         part = whole[max(min(a, b) - 1, 0) : max(max(a, b), 0)] if whole else ""
         part = part if not part or a <= b else part[::-1].translate(str.maketrans("ACGT", "TGCA"))
         assert (got[k] or "") == part, k
+
+
+def test_batches_are_appended_once_and_followed(spark, tmp_path):
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    df = spark.createDataFrame([(k,) for k in range(10)], "k long")
+    assert worklist.appended(spark, folder, df.schema).count() == 0
+    assert worklist.append_once(df.where("k < 4"), folder, "a b/c") and not worklist.append_once(df, folder, "a b/c")
+    assert sorted(r["k"] for r in worklist.pending(df, folder, "k", df.schema).collect()) == [4, 5, 6, 7, 8, 9]
+    for low in (4, 7):
+        df.where(F.col("k").between(low, low + 2)).write.mode("append").parquet(source)
+        for _ in range(2):  # the second call finds nothing new
+            worklist.followed(spark, source, df.schema, folder, "stream", lambda x: x.where("k <> 9"))
+    assert sorted(r["k"] for r in worklist.appended(spark, folder, df.schema).collect()) == list(range(9))
+    broken = df.select(F.when(F.col("k") == 9, F.raise_error(F.lit("no"))).otherwise(F.col("k")).cast("long").alias("k"))
+    with pytest.raises(Exception):
+        worklist.append_once(broken, folder, "broken")
+    assert worklist.appended(spark, folder, df.schema).count() == 9

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from typeweave.operators import distance as D
 from typeweave.operators import seq
 from typeweave.operators import tree as T
-from typeweave.sources import delimited, fasta, newick, sequences, sinks, table_functions
+from typeweave.sources import delimited, fasta, newick, sequences, sinks, table_functions, worklist
 from typeweave.sources.tables import shared_folder, table
 
 
@@ -95,6 +95,19 @@ def q_newick(spark, sf_dir):
     return nodes.groupBy("tree").agg(F.count_if("is_leaf").alias("leaves"), F.count_if(~F.col("is_leaf")).alias("inner"), F.round(F.sum("length"), 6).alias("length")).join(T.support(nodes).select("tree", "median"), "tree")
 
 
+def q_work_list(spark, sf_dir):
+    """Orders as a work list done in three runs, the second of them killed before its commit and one run twice: every order once."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    folder = _folder(spark, "work")
+    worklist.append_once(orders.where("o_orderkey % 3 = 0"), folder, "first")
+    orders.where("o_orderkey % 3 = 1").write.parquet(f"{folder}/parts/killed")
+    worklist.append_once(orders, folder, "first")
+    worklist.append_once(worklist.pending(orders, folder, "o_orderkey", orders.schema), folder, "rest")
+    left = worklist.pending(orders, folder, "o_orderkey", orders.schema).agg(F.count(F.lit(1)).alias("pending"))
+    done = worklist.appended(spark, folder, orders.schema).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("orders"))
+    return done.crossJoin(F.broadcast(left))  # one row
+
+
 def q_newick_rows(spark, sf_dir):
     """Nodes of each nation's suppliers as a tree, from SQL: a row for each node as it is closed."""
     table_functions.registered(spark)
@@ -159,6 +172,7 @@ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 7 AND flo
 SELECT 'usual' AS reading, e + a AS missing, 0 AS literal_na, n FROM c UNION ALL SELECT 'empty', e, a, n FROM c UNION ALL SELECT 'never', 0, a, n FROM c""",
     "q_flagged": f"WITH t AS ({_ENCODING['q_st_assign']}), c AS (SELECT count(*) FILTER (NOT has_missing_data) n, count(*) FILTER (is_novel) k FROM t) SELECT 'flag' AS \"by\", n, k AS novel FROM c UNION ALL SELECT 'label', n, k FROM c",
     "q_wide_export": f"WITH {_D} SELECT vec_id, distance, compared, distance <= 40 AS member FROM d",
+    "q_work_list": "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS orders, 0::bigint AS pending FROM orders GROUP BY o_orderstatus",
     "q_newick_rows": """WITH s AS (SELECT s_nationkey, s_suppkey, floor((s_acctbal+1000)/2500)::int band, 0.5 + s_suppkey % 4 * 0.25 AS l, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor((s_acctbal+1000)/2500), s_suppkey) AS i FROM supplier),
 b AS (SELECT s_nationkey, band, count(*) k, min(i) i, row_number() OVER (PARTITION BY s_nationkey ORDER BY band) AS j FROM s GROUP BY s_nationkey, band)
 SELECT s_nationkey, NULL::varchar AS name, NULL::double AS confidence, NULL::double AS length, 0 AS first, sum(k)::bigint + count(*) + 1 AS size, 0 AS depth FROM b GROUP BY s_nationkey
