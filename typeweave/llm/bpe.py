@@ -6,7 +6,7 @@ merges that its neighbours allow, by rank and then place; an entry whose symbols
 have changed since is stale and skipped. Decoding concatenates the vocabulary's
 strings and turns their characters back into bytes.
 
-Each task fills a cache of encoded words, of at most twice ``CACHED_WORDS`` words and
+Each worker process fills a cache of encoded words, which its later tasks find too, of at most twice ``CACHED_WORDS`` words and
 none longer than ``CACHED_CHARS``, as texts repeat most of theirs. The vocabulary is read from the tokenizer's JSON on the driver and sent
 to the executors; its size is checked, as it must not grow with the data.
 
@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Callable
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,6 +38,8 @@ MOST_IDS = 1 << 20
 #: The byte-level pattern of public tokenizers, with white space as Unicode has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: The same for texts of ASCII alone.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 CACHED_WORDS, CACHED_CHARS = 200_000, 64
 
 
@@ -46,6 +50,22 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+class _Known(dict):
+    """Ids of words met, in two generations of at most CACHED_WORDS: words of the old one that are met again become young."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(word) > CACHED_CHARS:
+            return self.make(word)
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids = self.old.get(word) or self.make(word)
+        return ids
+
+
 class Codec:
     """Merges by pair, and the bytes of each id, from a tokenizer's JSON."""
 
@@ -66,64 +86,71 @@ class Codec:
             self.bytes_of[i] = token.encode()
         self.first = [vocab[c] for c in byte_characters()]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.known: _Known | None = None
         self.merges = {(vocab[a] << 32) | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.merged = [vocab[a + b] for a, b in pairs]
+        self.byte_ranks = [self.merges.get(a << 32 | b, -1) for a in self.first for b in self.first]
 
     def word(self, text: str) -> tuple[int, ...]:
         """The ids of one word."""
-        symbols = [self.first[b] for b in text.encode()]
-        n = len(symbols)
+        data = text.encode()
+        n = len(data)
+        first = self.first
         if n == 1:
-            return tuple(symbols)
+            return (first[data[0]],)
+        symbols = [first[b] for b in data]
         rank_of, merged = self.merges.get, self.merged
+        # The rank of each symbol with the one after it, -1 for none: an entry of the queue that says otherwise is stale.
+        ranks = [self.byte_ranks[a << 8 | b] for a, b in zip(data, data[1:])]
+        queue = [rank << 32 | i for i, rank in enumerate(ranks) if rank >= 0]
+        if not queue:
+            return tuple(symbols)
+        ranks.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            if (rank := rank_of((symbols[i] << 32) | symbols[i + 1])) is not None:
-                queue.append((rank << 32) | i)
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            top = heapq.heappop(queue)
+            top = pop(queue)
             rank, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            if symbols[i] < 0 or j >= n or rank_of((symbols[i] << 32) | symbols[j]) != rank:
+            if ranks[i] != rank:
                 continue  # stale
-            symbols[i], symbols[j] = merged[rank], -1
+            j = after[i]
+            symbol = symbols[i] = merged[rank]
+            symbols[j] = ranks[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (rank := rank_of((symbols[i] << 32) | symbols[k])) is not None:
-                    heapq.heappush(queue, (rank << 32) | i)
+                ranks[i] = rank = rank_of(symbol << 32 | symbols[k], -1)
+                if rank >= 0:
+                    push(queue, rank << 32 | i)
+            else:
+                ranks[i] = -1
             k = before[i]
-            if k >= 0 and (rank := rank_of((symbols[k] << 32) | symbols[i])) is not None:
-                heapq.heappush(queue, (rank << 32) | k)
-        return tuple(s for s in symbols if s >= 0)
-
-    def encoder(self) -> Callable[[str], list[int]]:
-        """A function for texts that keeps up to twice CACHED_WORDS words."""
-        words = regex.compile(PATTERN).findall
+            if k >= 0:
+                ranks[k] = rank = rank_of(symbols[k] << 32 | symbol, -1)
+                if rank >= 0:
+                    push(queue, rank << 32 | k)
+        return tuple([s for s in symbols if s >= 0])
+
+    def encoder(self) -> Callable[[str], np.ndarray]:
+        """A function for texts; the codec keeps up to twice CACHED_WORDS words for all of them, so for later tasks of its process too."""
+        words, plain_words = regex.compile(PATTERN).findall, re.compile(PLAIN_PATTERN).findall
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        young: dict[str, tuple[int, ...]] = {}
-        old: dict[str, tuple[int, ...]] = {}
-
-        def missing(word: str) -> tuple[int, ...]:
-            nonlocal young, old
-            if len(word) > CACHED_CHARS:
-                return self.word(word)
-            if len(young) >= CACHED_WORDS:
-                young, old = {}, young
-            young[word] = ids = old.get(word) or self.word(word)
-            return ids
-
-        def encode(text: str) -> list[int]:
+        if self.known is None:
+            self.known = _Known(self.word)
+        ids_of = self.known.__getitem__
+
+        def encode(text: str) -> np.ndarray:
+            find = plain_words if text.isascii() else words
+            if not (cut and any(s in text for s in self.special)):
+                return np.fromiter(chain.from_iterable(map(ids_of, find(text))), np.int32)
             out: list[int] = []
-            for k, part in enumerate(cut.split(text)) if cut and any(s in text for s in self.special) else ((0, text),):
+            for k, part in enumerate(cut.split(text)):
                 if k % 2:
                     out.append(self.special[part])
                 else:
-                    for word in words(part):
-                        out += young.get(word) or missing(word)
-            return out
+                    out.extend(chain.from_iterable(map(ids_of, find(part))))
+            return np.array(out, np.int32)
 
         return encode
 
@@ -146,7 +173,7 @@ def encoded(df: DataFrame, text: str, codec: Broadcast, out: str = "token_ids",
         encode = codec.value.encoder()
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            ids = [np.array(encode(t or ""), np.int32) for t in batch.column(text).to_pylist()]
+            ids = [encode(t or "") for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             return {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))}
 
