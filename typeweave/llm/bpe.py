@@ -132,7 +132,7 @@ class Codec:
                     push(queue, rank << 32 | k)
         return tuple([s for s in symbols if s >= 0])
 
-    def encoder(self) -> Callable[[str], np.ndarray]:
+    def encoder(self) -> Callable[[str], list[int]]:
         """A function for texts; the codec keeps up to twice CACHED_WORDS words for all of them, so for later tasks of its process too."""
         words, plain_words = regex.compile(PATTERN).findall, re.compile(PLAIN_PATTERN).findall
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -140,17 +140,17 @@ class Codec:
             self.known = _Known(self.word)
         ids_of = self.known.__getitem__
 
-        def encode(text: str) -> np.ndarray:
+        def encode(text: str) -> list[int]:
             find = plain_words if text.isascii() else words
             if not (cut and any(s in text for s in self.special)):
-                return np.fromiter(chain.from_iterable(map(ids_of, find(text))), np.int32)
+                return list(chain.from_iterable(map(ids_of, find(text))))
             out: list[int] = []
             for k, part in enumerate(cut.split(text)):
                 if k % 2:
                     out.append(self.special[part])
                 else:
                     out.extend(chain.from_iterable(map(ids_of, find(part))))
-            return np.array(out, np.int32)
+            return out
 
         return encode
 
@@ -173,7 +173,7 @@ def encoded(df: DataFrame, text: str, codec: Broadcast, out: str = "token_ids",
         encode = codec.value.encoder()
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            ids = [encode(t or "") for t in batch.column(text).to_pylist()]
+            ids = [np.array(encode(t or ""), np.int32) for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             return {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))}
 
