@@ -2,13 +2,14 @@
 
 import csv as plain_csv
 import random
+import zipfile
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from typeweave.operators import encode, seq
-from typeweave.sources import delimited, fasta, sequences, sinks, worklist
+from typeweave.sources import delimited, fasta, sequences, sinks, spreadsheet, worklist
 
 
 def listed(spark, path):
@@ -164,3 +165,48 @@ def test_batches_are_appended_once_and_followed(spark, tmp_path):
     with pytest.raises(Exception):
         worklist.append_once(broken, folder, "broken")
     assert worklist.appended(spark, folder, df.schema).count() == 9
+
+
+def test_spreadsheets_come_back_and_are_cut_into_workbooks(spark, tmp_path):
+    odd = ["", None, "NA", " a&b<c>\"' ", "_x0041_ _x005F_", "tab\there\nline\r\x00\x1f￾", "ä€\U0001f600", "x" * 40_000]
+    rows = [(k, odd[k % 8], k / 4, k % 3 == 0 if k % 7 else None) for k in range(53)] + [(53, None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "k int, `odd ``one``\n(core)` string, at double, book boolean").repartition(3)
+    spreadsheet.spreadsheets(df, ["k"], str(tmp_path), most=20)
+    assert sorted(p.name for p in tmp_path.glob("[!.]*")) == ["book-00000.xlsx", "book-00001.xlsx", "book-00002.xlsx"]
+    read = spreadsheet.sheet(spark, str(tmp_path), "never")
+    assert read.columns == df.columns
+    flag = lambda b: "" if b is None else str(int(b))
+    assert sorted(tuple(r) for r in read.collect()) == sorted((str(k), t or "", "NaN" if x != x else str(x), flag(b)) for k, t, x, b in rows)
+    assert read.count() == 54 and spreadsheet.sheet(spark, str(tmp_path)).where("`odd ``one``\n(core)` IS NULL").count() == 22
+    inner = [[c for _, c in spreadsheet.parsed((tmp_path / f"book-0000{n}.xlsx").read_bytes())] for n in range(3)]
+    assert [int(c[0]) for part in inner for c in part[1:]] == list(range(54)) and all(c[0][1] == "odd `one`\n(core)" for c in inner)
+    spreadsheet.spreadsheets(df.where("false"), ["k"], str(tmp_path / "none"))
+    assert spreadsheet.sheet(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_spreadsheets_of_other_programs(spark, tmp_path):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def book(name, rows):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="first" r:id="a"/><sheet name="second" r:id="b"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="/xl/one.xml"/><Relationship Id="b" Target="two.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>id</t></si><si><r><t>na</t></r><r><t>me</t></r><rPh><t>no</t></rPh></si></sst>')
+            z.writestr("xl/one.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+            z.writestr("xl/two.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="str"><v>z</v></c></row><row><c><v>9</v></c></row></sheetData></worksheet>')
+
+    head = '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c><c r="D2" t="s"><v>0</v></c></row>'
+    book("a.xlsx", head + '<row r="3"/><row r="9"><c r="D9" t="e"><v>#N/A</v></c><c r="A9"><v>1.50</v></c></row><row r="10"><c r="C10" t="s"><v>1</v></c></row>')
+    read = spreadsheet.sheet(spark, str(tmp_path))
+    assert read.columns == ["id", "Unnamed: 1", "name", "id.1"]
+    assert sorted(map(repr, map(tuple, read.collect()))) == sorted(map(repr, [("1.50", None, None, None), (None, None, "name", None)]))
+    assert [r["z"] for r in spreadsheet.sheet(spark, str(tmp_path), name="second").collect()] == ["9"]
+    with pytest.raises(Exception, match="no sheet third"):
+        spreadsheet.sheet(spark, str(tmp_path), name="third")
+    book("b.xlsx", head.replace("C2", "B2"))
+    with pytest.raises(ValueError, match="more than one header"):
+        spreadsheet.sheet(spark, str(tmp_path))
+    book("b.xlsx", head + '<row><c r="E3"><v>1</v></c></row>')
+    with pytest.raises(Exception, match="beyond the header"):
+        spreadsheet.sheet(spark, str(tmp_path)).collect()

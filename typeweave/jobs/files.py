@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from typeweave.operators import distance as D
 from typeweave.operators import seq
 from typeweave.operators import tree as T
-from typeweave.sources import delimited, fasta, newick, sequences, sinks, table_functions, worklist
+from typeweave.sources import delimited, fasta, newick, sequences, sinks, spreadsheet, table_functions, worklist
 from typeweave.sources.tables import shared_folder, table
 
 
@@ -85,6 +85,18 @@ def q_wide_export(spark, sf_dir):
     return D.distance_to_anchor(read, anchor, "vec_id", "profile", 40)
 
 
+def q_spreadsheet(spark, sf_dir):
+    """All orders as workbooks, with missing cells and texts that XML has to escape, read back."""
+    odd = F.concat(F.lit(" <"), "o_orderstatus", F.lit("&_x0041_\a\r\n>"), "o_orderpriority", F.lit(" "))
+    label = F.when(F.col("o_orderkey") % 5 == 0, None).when(F.col("o_orderkey") % 5 == 1, "NA").when(F.col("o_orderkey") % 5 == 2, "").otherwise(odd)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("Label\n(of the order)"), (F.col("o_totalprice") > 100_000).alias("large"), F.col("o_totalprice").cast("double").alias("price"))
+    folder = _folder(spark, "books")
+    spreadsheet.spreadsheets(orders, ["o_orderkey"], folder)
+    read = spreadsheet.sheet(spark, folder, "usual")
+    text = F.col("Label\n(of the order)")
+    return read.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.md5(text).alias("digest"), (F.col("large") == "1").alias("large"), F.round(F.col("price").cast("double"), 2).alias("price"))
+
+
 def q_newick(spark, sf_dir):
     """Suppliers of each nation as a tree in Newick form, read back: leaves, inner nodes, total length and median support."""
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.floor((F.col("s_acctbal") + 1000) / 2500).cast("int").alias("band"))
@@ -172,6 +184,8 @@ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 7 AND flo
 SELECT 'usual' AS reading, e + a AS missing, 0 AS literal_na, n FROM c UNION ALL SELECT 'empty', e, a, n FROM c UNION ALL SELECT 'never', 0, a, n FROM c""",
     "q_flagged": f"WITH t AS ({_ENCODING['q_st_assign']}), c AS (SELECT count(*) FILTER (NOT has_missing_data) n, count(*) FILTER (is_novel) k FROM t) SELECT 'flag' AS \"by\", n, k AS novel FROM c UNION ALL SELECT 'label', n, k FROM c",
     "q_wide_export": f"WITH {_D} SELECT vec_id, distance, compared, distance <= 40 AS member FROM d",
+    "q_spreadsheet": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 2 THEN md5(' <' || o_orderstatus || '&_x0041_' || chr(7) || chr(13) || chr(10) || '>' || o_orderpriority || ' ') END AS digest,
+o_totalprice > 100000 AS large, round(o_totalprice::double, 2) AS price FROM orders""",
     "q_work_list": "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS orders, 0::bigint AS pending FROM orders GROUP BY o_orderstatus",
     "q_newick_rows": """WITH s AS (SELECT s_nationkey, s_suppkey, floor((s_acctbal+1000)/2500)::int band, 0.5 + s_suppkey % 4 * 0.25 AS l, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor((s_acctbal+1000)/2500), s_suppkey) AS i FROM supplier),
 b AS (SELECT s_nationkey, band, count(*) k, min(i) i, row_number() OVER (PARTITION BY s_nationkey ORDER BY band) AS j FROM s GROUP BY s_nationkey, band)

@@ -14,6 +14,13 @@ NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#
 #: The fields of a hit table, which has no header.
 HIT_FIELDS = "sseqid string, pident double, length int, qlen int, sstart int, send int, sstrand string, bitscore double"
 
+#: What is null of a cell's text.
+READINGS = {
+    "usual": lambda c: F.when(~c.isin(NA), c),
+    "empty": lambda c: F.when(c != "", c),
+    "never": lambda c: F.coalesce(c, F.lit("")),
+}
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line) of a list file, without white space around it and without blank lines."""
@@ -45,12 +52,7 @@ def csv(spark: SparkSession, path: str, missing: str = "usual", multi_line: bool
     """
     read = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     read = read.toDF(*(n.replace("﻿", "").strip() for n in read.columns))
-    cell = {
-        "usual": lambda c: F.when(~c.isin(NA), c),
-        "empty": lambda c: F.when(c != "", c),
-        "never": lambda c: F.coalesce(c, F.lit("")),
-    }[missing]
-    return read.select(*(cell(_column(n)).alias(n) for n in read.columns))
+    return read.select(*(READINGS[missing](_column(n)).alias(n) for n in read.columns))
 
 
 def without_missing_data(df: DataFrame, flag: str = "has_missing_data", label: str = "ST") -> DataFrame:
