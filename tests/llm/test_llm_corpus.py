@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -477,3 +478,28 @@ def test_fingerprints_grow_with_the_text():
     shared = syncmer.likeness((hashes, places), syncmer.sketch(text[:20_000]))
     assert shared == pytest.approx(_dice_of_all_anchors(text, text[:20_000]), abs=0.03)
     assert all(np.array_equal(x, y) for x, y in zip(syncmer.read(syncmer.written((hashes, places))), (hashes, places)))
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["b", "a", None]), ("int", [7, 3, None]), ("decimal(20,0)", [Decimal(10**19), Decimal(5), None])])
+def test_items_have_ids_of_any_type(spark, kind, ids):
+    texts = ["which river runs through the old town of the valley. it is the green river", "how many bridges did the miller build in the north. he built seven of them", "who kept the keys of the tower when the king was away. his sister kept them"]
+    bench = spark.createDataFrame([*zip(ids, texts)], f"item_id {kind}, text string")
+    bench = bench.withColumn("item_id", F.col("item_id").cast(kind))
+    df = spark.createDataFrame([(1, " ".join(texts)), (2, texts[1]), (3, "nothing of it here"), (4, None)], "doc_id long, text string")
+    found = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontaminate.with_leaks(df, bench).collect()}
+    known = sorted(i for i in ids if i is not None)
+    assert found == {1: [*known, None], 2: [ids[1]], 3: [], 4: []}
+
+
+def test_names_of_sets_are_wide():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 3, 50, 0, 50)]
+    sets.append(sets[3])
+    at = np.cumsum([0, *map(len, sets)])
+    names = [int(x) for x in neardup._names(np.concatenate(sets), at).to_pylist()]
+    assert names[3] == names[6] and len(set(names)) == len(sets) - 1 and max(names) < 1 << 122 and names[4] == 0
+    low, high = 0, 0
+    for h in sets[3].tolist():  # the same sums by plain integers
+        low = (low + int(neardup.mixed(np.array([h ^ 5], np.uint64))[0])) % (1 << 64)
+        high = (high + int(neardup.mixed(np.array([h ^ 11], np.uint64))[0])) % (1 << 64)
+    assert names[3] == (high >> 6) << 64 | low

@@ -292,3 +292,19 @@ def test_chat_query_hashes_what_was_asked(spark, sf):
     text = "</s>[INST] ok [/INST]"
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert r["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["loss_chars"] == len(text)
+
+
+def test_words_encoded_side_by_side(monkeypatch):
+    codec = bpe.Codec(registry.tokenizer_path())
+    rng = random.Random(8)
+    words = list({"".join(rng.choice("abeinorst ADE\u00e9\u6f22\U0001f600") for _ in range(rng.randrange(1, 65))) for _ in range(3_000)} | {"a", "\0", "\0\0", "\U0001f600" * 64, "x" * 64})
+    ids, at = codec.queued(words)
+    assert [tuple(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:])] == [codec.word(w) for w in words]
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 50)  # words grow old, are met again and are forgotten
+    encode, texts = codec.batch_encoder(), [" ".join(rng.choices(words[:200], k=30)) + "y" * 100 + "<|endoftext|>" for _ in range(60)]
+    want = [bpe.Codec(registry.tokenizer_path()).encoder()(t) for t in texts[:3]]
+    got = []
+    for k in range(0, 60, 4):
+        ids, at = encode(texts[k : k + 4])
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got[:3] == want and [codec.decode(x) for x in got] == texts

@@ -41,6 +41,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from typeweave.llm.arrays import Texts, Words, mapped, pieces, released
 from typeweave.operators.names import unused
@@ -297,6 +298,8 @@ class Search:
     def __init__(self, asked: list[Query]) -> None:
         self.items = [q for q in asked if q.whole is None]
         place = {id(q): k for k, q in enumerate(self.items)}
+        # Items come in the order of their ids; leaks are listed by the number of different ids before, as ids may have any type.
+        self.rank_of = np.cumsum([k > 0 and q.item_id != self.items[k - 1].item_id for k, q in enumerate(self.items)])
         self.asked = sorted((q for q in asked if len(q.words) >= LEAST_WORDS), key=lambda q: q.width)
         self.item_of = [place[id(q.whole or q)] for q in self.asked]
         found: dict[int, tuple[list, list]] = {}
@@ -379,7 +382,7 @@ class Search:
                     if query.whole is not None:
                         share, answer = common(query.whole, hashes[begin:stop])
                     _keep(best[text], self.item_of[own[q]], query.item_id, int(starts[i] - first[text]), float(cosine[q, i]), share, answer)
-        return [sorted(b.values(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["word"])) for b in best]
+        return [[b[k] for k in sorted(b, key=lambda k: (b[k]["item_id"] is None, self.rank_of[k], b[k]["word"]))] for b in best]
 
     def _add_runs(self, best: list[dict], words: Words, space: Space) -> None:
         """Adds the leaks by runs: all words of a short item, RUN words of any other."""
@@ -430,15 +433,16 @@ def _groups(items: DataFrame, item_id: str, text: str) -> Iterator[list[list[tup
 def with_leaks(docs: DataFrame, items: DataFrame, space: Space | None = None, text: str = "text", item_id: str = "item_id", keep_text: bool = True, out: str = "leaks") -> DataFrame:
     """Adds the array of items that leak into each document: item_id, word, cosine, common, answer.
 
-    ``items`` has item_id (an integer) and a column named like ``text``. word is the
+    ``items`` has item_id, of any type that Spark can order, and a column named like ``text``. word is the
     place of the window's first word, common and answer are the parts of the
     item and of its last sentence that the window's neighbourhood shares in order.
     """
     space = space or latent_space(docs, items, text)
     send = docs.sparkSession.sparkContext.broadcast
     shared = send(space)
-    kind = "array<struct<item_id: long, word: long, cosine: double, common: double, answer: double>>"
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())]))
+    id_type = items.schema[item_id].dataType
+    kind = f"array<struct<item_id: {id_type.simpleString()}, word: long, cosine: double, common: double, answer: double>>"
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())]))
     found, parts = docs, []
     for group in _groups(items, item_id, text):
         asked = send([Search(queries(block, space)) for block in group])

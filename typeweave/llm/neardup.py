@@ -11,8 +11,8 @@ Two documents of similarity 0.8 share no band with a chance of 1.2e-7, and are
 dropped by the estimate with one below 1e-8. Otherwise no link is lost:
 
 * Documents with equal sets are one node, so groups of copies cost one document. A
-  node is named by a 64-bit sum over its set; among 5e10 different sets some 70 pairs
-  would share a name.
+  node is named by two sums over its set, 122 bits as a decimal number; among 5e10
+  different sets two share a name with a chance of about 2e-16.
 * The nodes of a band key are a bucket. In one of at most ``SMALL`` nodes all pairs are
   candidates, a bounded number for each node.
 * Nodes of larger buckets are hot, and their buckets aren't expanded into pairs. First
@@ -40,6 +40,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def sketches(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
             packed = np.concatenate(planes, axis=1)
             return {
                 "n_shingles": pa.array(size),
-                "node": pa.array(_names(sets, at), mask=~some),
+                "node": pc.if_else(pa.array(some), _names(sets, at), None),
                 "planes": _lists(packed, some),
                 "bands": _lists(keys.view(np.int64), some),
             }
@@ -101,16 +102,18 @@ def sketches(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
         return run
 
     slim = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    return mapped(slim, make, "n_shingles long, node long, planes array<long>, bands array<long>", "text", drop=("text",))
+    return mapped(slim, make, "n_shingles long, node decimal(38,0), planes array<long>, bands array<long>", "text", drop=("text",))
 
 
-def _names(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each set: a sum over its members."""
+def _names(sets: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A number of 122 bits for each set: two sums of hashes over its members, the second one's high bits before the first."""
     size = np.diff(at)
-    out = np.zeros(len(size), np.uint64)
+    sums = np.zeros((len(size), 2), np.uint64)  # the low and high half of a 128-bit decimal
     if len(sets):
-        out[size > 0] = np.add.reduceat(mixed(sets ^ np.uint64(5)), at[:-1][size > 0])
-    return out.view(np.int64)
+        for k, other in enumerate((5, 11)):
+            sums[size > 0, k] = np.add.reduceat(mixed(sets ^ np.uint64(other)), at[:-1][size > 0])
+    sums[:, 1] >>= np.uint64(6)
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(size), [None, pa.py_buffer(sums.tobytes())])
 
 
 def _lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
@@ -130,14 +133,14 @@ def set_table(docs: DataFrame, wanted: DataFrame, row_id: str, text: str, n: int
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             sets, at = shingle_sets(batch.column("text"), n)
-            return {"node": pa.array(_names(sets, at)), "members": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))}
+            return {"node": _names(sets, at), "members": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))}
 
         return run
 
     # A few ids are sent to the texts; only beyond that are the texts dealt out to the ids.
     ids = F.broadcast(wanted) if wanted.count() <= MOST_IDS_SENT else wanted
     texts = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).join(ids, "row_id", "left_semi")
-    return mapped(texts, make, "node long, members array<long>", "text", drop=("text",)).select("node", "members")
+    return mapped(texts, make, "node decimal(38,0), members array<long>", "text", drop=("text",)).select("node", "members")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
