@@ -516,3 +516,41 @@ def test_newick_nodes_are_closed_with_their_way_alone():
     for broken in ("(a,b", "a,b;", "(a,b));"):
         with pytest.raises(ValueError):
             newick.parse(broken)
+
+
+def test_mantel_of_leaves_against_all_pairs(spark):
+    """Trees with unary nodes, missing lengths and chains; values that tie or lack; one value alone, leaves at one distance, and two leaves."""
+    rng = random.Random(8)
+    names = [f"n{k:02d}" for k in range(17)]
+    rng.shuffle(names)
+    chain = "(" * 12 + "n00:1" + "".join(f",m{k:02d}):{k % 3}" for k in range(12)) + ";"
+    for text, values in (
+        (random_newick(rng, names) + ";", {n: rng.choice([1.5, 2.25, 7.0, None]) for n in names} | {"elsewhere": 3.0}),
+        (chain, {n: rng.random() for n in ["n00", *(f"m{k:02d}" for k in range(12))]}),
+        (chain, {n: 4.7 for n in ["n00", *(f"m{k:02d}" for k in range(12))]}),
+        ("(a:0.1,b:0.1,c:0.1,d:0.1);", {"a": 1.0, "b": 2.0, "c": 4.0, "d": 4.5}),
+        ("(a:1,b:2);", {"a": 1.0, "b": 2.0}),
+    ):
+        nodes = node_tables(spark, one=text)
+        held = rows(spark, list(values.items()), "name string, v double")
+        one, two = held.withColumnsRenamed({"name": "a", "v": "va"}), held.withColumnsRenamed({"name": "b", "v": "vb"})
+        pairs = tree.patristic(nodes, tree.leaves(nodes)).join(one, "a").join(two, "b").select("a", "b", "distance", F.abs(F.col("va") - F.col("vb")).alias("gap"))
+        both = pairs.where("gap IS NOT NULL").toPandas()
+        varies = len(both) and both.gap.std(ddof=0) > 0 and both.distance.std(ddof=0) > 1e-9
+        got = tree.mantel_of_leaves(nodes, tree.leaves(nodes), held).first()
+        assert got["pairs"] == pairs.count()
+        assert got["r"] == pytest.approx(np.corrcoef(both.distance, both.gap)[0, 1], abs=1e-8) if varies else got["r"] is None
+    assert tree.mantel_of_leaves(nodes, tree.leaves(nodes).where("false"), held).first().asDict() == {"r": None, "pairs": 0}
+
+
+def test_permutations_of_leaves_against_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tree, "LEAF_PERMUTATIONS_TOGETHER", 7)
+    rng = random.Random(9)
+    names = [f"n{k:02d}" for k in range(7)]
+    nodes = node_tables(spark, one=random_newick(rng, names) + ";")
+    held = rows(spark, [(n, float(rng.randrange(4))) for n in names], "name string, v double")
+    one, two = held.withColumnsRenamed({"name": "a", "v": "va"}), held.withColumnsRenamed({"name": "b", "v": "vb"})
+    pairs = tree.patristic(nodes, tree.leaves(nodes)).join(one, "a").join(two, "b").select("a", "b", "distance", F.abs(F.col("va") - F.col("vb")).alias("gap"))
+    assert tree.mantel_permutations_of_leaves(nodes, tree.leaves(nodes), held, 60).first() == tree.mantel_permutations(pairs, "distance", "gap", 60).first()
+    same = tree.mantel_permutations_of_leaves(nodes, tree.leaves(nodes), held.withColumn("v", F.lit(1.0)), 5).first()
+    assert same["r"] is None and same["p"] is None and same["permutations"] == 5

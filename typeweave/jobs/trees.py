@@ -84,12 +84,16 @@ def q_median_support(spark, sf_dir):
     return T.support(nodes(spark, sf_dir))
 
 
-def _pairs(spark, sf_dir):
+def _leaves_and_balances(spark, sf_dir):
     found = nodes(spark, sf_dir).where("tree = 'geo'")
     balance = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("name"), F.round("s_acctbal", 2).alias("v"))
-    d = T.patristic(found, T.leaves(found))
+    return found, T.leaves(found), balance
+
+
+def _pairs(spark, sf_dir):
+    found, leaf_rows, balance = _leaves_and_balances(spark, sf_dir)
     one, two = balance.withColumnsRenamed({"name": "a", "v": "va"}), balance.withColumnsRenamed({"name": "b", "v": "vb"})
-    return d.join(one, "a").join(two, "b").select("a", "b", "distance", F.abs(F.col("va") - F.col("vb")).alias("gap"))
+    return T.patristic(found, leaf_rows).join(one, "a").join(two, "b").select("a", "b", "distance", F.abs(F.col("va") - F.col("vb")).alias("gap"))
 
 
 def q_mantel(spark, sf_dir):
@@ -97,7 +101,7 @@ def q_mantel(spark, sf_dir):
 
 
 def q_mantel_perm(spark, sf_dir):
-    return T.mantel_permutations(_pairs(spark, sf_dir), "distance", "gap", 9_999)
+    return T.mantel_permutations_of_leaves(*_leaves_and_balances(spark, sf_dir), 9_999)
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
