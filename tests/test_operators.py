@@ -554,3 +554,14 @@ def test_permutations_of_leaves_against_pairs(spark, monkeypatch):
     assert tree.mantel_permutations_of_leaves(nodes, tree.leaves(nodes), held, 60).first() == tree.mantel_permutations(pairs, "distance", "gap", 60).first()
     same = tree.mantel_permutations_of_leaves(nodes, tree.leaves(nodes), held.withColumn("v", F.lit(1.0)), 5).first()
     assert same["r"] is None and same["p"] is None and same["permutations"] == 5
+
+
+def test_mantel_queries_make_no_pairs(spark, sf, monkeypatch):
+    from typeweave.jobs import trees
+
+    def none(*_):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(tree, "patristic", none)
+    monkeypatch.setattr(tree, "mantel_permutations", none)
+    assert trees.q_mantel(spark, sf).first()["r"] == trees.q_mantel_perm(spark, sf).first()["r"]

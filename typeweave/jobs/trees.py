@@ -90,14 +90,9 @@ def _leaves_and_balances(spark, sf_dir):
     return found, T.leaves(found), balance
 
 
-def _pairs(spark, sf_dir):
-    found, leaf_rows, balance = _leaves_and_balances(spark, sf_dir)
-    one, two = balance.withColumnsRenamed({"name": "a", "v": "va"}), balance.withColumnsRenamed({"name": "b", "v": "vb"})
-    return T.patristic(found, leaf_rows).join(one, "a").join(two, "b").select("a", "b", "distance", F.abs(F.col("va") - F.col("vb")).alias("gap"))
-
-
 def q_mantel(spark, sf_dir):
-    return T.mantel(_pairs(spark, sf_dir), "distance", "gap")
+    """Patristic distances against gaps between balances, over all pairs of suppliers."""
+    return T.mantel_of_leaves(*_leaves_and_balances(spark, sf_dir))
 
 
 def q_mantel_perm(spark, sf_dir):
