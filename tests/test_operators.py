@@ -565,3 +565,30 @@ def test_mantel_queries_make_no_pairs(spark, sf, monkeypatch):
     monkeypatch.setattr(tree, "patristic", none)
     monkeypatch.setattr(tree, "mantel_permutations", none)
     assert trees.q_mantel(spark, sf).first()["r"] == trees.q_mantel_perm(spark, sf).first()["r"]
+
+
+def test_expected_information_costs_no_more_with_more_rows(monkeypatch):
+    seen, logs_of = [], partition._log_factorials
+
+    def counted(total):
+        logs = logs_of(total)
+        return lambda n: (seen.append(np.size(n)), logs(n))[1]
+
+    monkeypatch.setattr(partition, "_log_factorials", counted)
+    terms = {}
+    for total in (40_000, 4_000_000):
+        ones, others = np.array([total // 4, total - total // 4]), np.array([total // 3, total - total // 3])
+        seen.clear()
+        got = partition._expected_information(ones, np.array([1, 1]), others, np.array([1, 1]), total)
+        terms[total] = sum(seen)
+        want = 0.0  # every count within the same bounds
+        for a in ones:
+            for b in others:
+                mean = a * b / total
+                wide = 9 * math.sqrt(mean * (1 - a / total) * (1 - b / total)) + 12
+                k = np.arange(math.floor(mean - wide), math.ceil(mean + wide) + 1)
+                lg = logs_of(total)
+                chance = np.exp(lg(a) + lg(b) + lg(total - a) + lg(total - b) - lg(np.int64(total)) - lg(k) - lg(a - k) - lg(b - k) - lg(total - a - b + k))
+                want += float(np.sum(k / total * np.log(total * k / (a * b)) * chance))
+        assert got == pytest.approx(want, abs=1e-11)
+    assert terms[4_000_000] <= 1.1 * terms[40_000] < 2_000
