@@ -592,3 +592,10 @@ def test_expected_information_costs_no_more_with_more_rows(monkeypatch):
                 want += float(np.sum(k / total * np.log(total * k / (a * b)) * chance))
         assert got == pytest.approx(want, abs=1e-11)
     assert terms[4_000_000] <= 1.1 * terms[40_000] < 2_000
+
+
+def test_replicates_are_dealt_to_all_partitions(spark):
+    """Rows of few bytes and long work aren't put together in one task."""
+    cells = rows(spark, [("x", f"a{i}", f"b{j}", 3) for i in range(4) for j in range(3)], "g string, a string, b string, n bigint")
+    values = partition.statistics_of(resample.resampled(cells, ["g"], 40), ["g", "rep"])
+    assert values.count() == 40 and values.select(F.spark_partition_id()).distinct().count() == 4

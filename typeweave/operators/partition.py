@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.operators.resample import intervals
-from typeweave.sources.tables import handed_over
+from typeweave.sources.tables import handed_over, shuffle_partitions
 
 Z = 1.96
 MOST_SENT = 100_000  # rows of a table of counts that may be broadcast
@@ -284,6 +284,8 @@ def statistics_of(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
         kind(0, size * times).alias("n"), *(kind(k, size * (size - 1) / 2 * times).alias(name) for k, name in enumerate(("both", "in_a", "in_b"))),
         *(kind(k, size * F.ln(size) * times).alias(f"_h{k}") for k in range(3)), listed(1).alias("_ones"), listed(2).alias("_others"),
     )
+    if by:  # groups are small rows of long work: a number of partitions keeps them from being put together by their bytes
+        sums = sums.repartition(shuffle_partitions(cells.sparkSession), F.xxhash64(*by))
 
     @F.pandas_udf("double")
     def expected(ones: pd.Series, others: pd.Series, total: pd.Series) -> pd.Series:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.operators.offsets import placed
-from typeweave.sources.tables import handed_over
+from typeweave.sources.tables import handed_over, shuffle_partitions
 
 BLOCK_BITS, EXACT, REPLICATES = 12, 1 << 12, 1000
 BLOCK = 1 << BLOCK_BITS
@@ -115,7 +115,8 @@ def resampled(cells: DataFrame, by: list[str], replicates: int = REPLICATES) ->
     path = each.join(sums, [*keys, "up", "_node"]).groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("up", "t"))), lambda x: x["t"]).alias("path"))
     chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // TOGETHER))).alias("chunk")
     dealt = handed_over(known.join(path, [*keys, "block"]).select(*keys, "block", "rows", "above", "below", "path", "held"), "cell-blocks")
-    work = dealt.select("*", chunks).repartition(F.xxhash64(*keys, "block", "chunk"))
+    # With a number, as partitions of few bytes would else be put together.
+    work = dealt.select("*", chunks).repartition(shuffle_partitions(cells.sparkSession), F.xxhash64(*keys, "block", "chunk"))
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
