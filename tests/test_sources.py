@@ -210,3 +210,20 @@ def test_spreadsheets_of_other_programs(spark, tmp_path):
     book("b.xlsx", head + '<row><c r="E3"><v>1</v></c></row>')
     with pytest.raises(Exception, match="beyond the header"):
         spreadsheet.sheet(spark, str(tmp_path)).collect()
+
+
+def test_only_hits_that_touch_something_are_dealt_out(spark, monkeypatch):
+    written, write = {}, sequences.handed_over
+
+    def counted(df, what):
+        done = write(df, what)
+        written[what] = done.count()
+        return done
+
+    monkeypatch.setattr(sequences, "CHUNK", 10)
+    store = sequences.store(spark.createDataFrame([("a", "ACGT" * 6), ("b", "AC")], "name string, seq string"), "name", "seq")
+    monkeypatch.setattr(sequences, "handed_over", counted)
+    hits = [(0, "a", 1, 10), (1, "a", 9, 11), (2, "a", 25, 30), (3, "b", 3, 400), (4, "b", 400, 2), (5, "x", 1, 2), (6, "a", -4, 0)]
+    got = {r["hit"]: r["part"] for r in sequences.ranges(store, spark.createDataFrame(hits, "hit long, contig string, a long, b long"), "contig", "a", "b").collect()}
+    assert got == {0: "ACGTACGTAC", 1: "ACG", 2: None, 3: None, 4: "G", 5: None, 6: None}
+    assert written["sequence-hits"] == 3 and written["sequence-crossing"] == 1

@@ -10,7 +10,7 @@ from typeweave.operators import distance as D
 from typeweave.operators import seq
 from typeweave.operators import tree as T
 from typeweave.sources import delimited, fasta, newick, sequences, sinks, spreadsheet, table_functions, worklist
-from typeweave.sources.tables import shared_folder, table
+from typeweave.sources.tables import handed_over, shared_folder, table
 
 
 def _folder(spark, what):
@@ -139,7 +139,10 @@ def q_locus_rows(spark, sf_dir):
 
 def q_hit_ranges(spark, sf_dir):
     """Every order line as a hit on the document of its part's number: its range, backwards for every third line, from the chunks that it touches."""
-    docs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id IS NOT NULL")
+    # Texts are dealt out by their number only where several share it.
+    repeated = handed_over(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    docs = rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     low = (F.col("l_suppkey") * 131 + F.col("l_orderkey") * 17) % 9000 + 1
     high = low + (F.col("l_extendedprice") % 6000).cast("bigint")
     hits = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("contig"), low.alias("low"), high.alias("high"))
