@@ -227,3 +227,18 @@ def test_only_hits_that_touch_something_are_dealt_out(spark, monkeypatch):
     got = {r["hit"]: r["part"] for r in sequences.ranges(store, spark.createDataFrame(hits, "hit long, contig string, a long, b long"), "contig", "a", "b").collect()}
     assert got == {0: "ACGTACGTAC", 1: "ACG", 2: None, 3: None, 4: "G", 5: None, 6: None}
     assert written["sequence-hits"] == 3 and written["sequence-crossing"] == 1
+
+
+def test_records_are_not_dealt_out_to_find_headless_files(spark, tmp_path, monkeypatch):
+    from typeweave.operators import seq
+
+    (tmp_path / "a.txt").write_text(">one\n acß gt \n\n TT  \n>two\nAC GT\n>blank\n \t\n")
+    (tmp_path / "b.txt").write_text("no header\n>three\r\nggNc  \n")
+    headless, write = [], sequences.handed_over
+    monkeypatch.setattr(fasta, "handed_over", lambda df, what: headless.append(df.count()) or write(df, what), raising=False)
+    found = fasta.records(spark, str(tmp_path), "*.txt")
+    assert headless == [1]
+    assert {(r["header"], r["seq"]) for r in found.collect()} == {("one", "ACß GTTT "), ("two", "AC GT"), ("", "NO HEADER"), ("three", "GGNC")}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = seq.quality(found.withColumn("k", F.lit(1)), "k", "seq", 1, 99, 1).first()
+    assert got["total_bp"] == 27 and got["contigs"] == 4 and got["gc_pct"] == pytest.approx(round(100 * 7 / 27, 6))

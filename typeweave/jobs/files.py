@@ -29,7 +29,7 @@ def q_fasta(spark, sf_dir):
 
 def q_fasta_quality(spark, sf_dir):
     """Quality figures of the same, by source, from the files."""
-    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    letters = F.regexp_replace("text", "[^A-Za-z]+", "")
     docs = table(spark, sf_dir, "documents").select("source", F.concat_ws(" ", "source", "doc_id").alias("id"), letters.alias("seq"))
     path = _folder(spark, "fasta")
     sinks.fasta(docs, "id", "seq", path)

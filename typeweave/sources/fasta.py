@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeweave.operators.seq import ascii_upper, trimmed
+from typeweave.sources.tables import handed_over
 
 
 def stem(path: Column) -> Column:
@@ -29,13 +30,18 @@ def records(spark: SparkSession, folder: str, pattern: str = "*.fasta") -> DataF
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     found = read.select("value", path.alias("path"), place.alias("place"))
     # Separators take the > of all records but a file's first.
-    odd = found.groupBy("path").agg(F.min("place").alias("place"), F.min_by(F.col("value").startswith(">"), "place").alias("headed")).where("NOT headed").select("path", "place", F.lit(True).alias("headless"))
+    firsts = found.select("path", "place", F.col("value").startswith(">").alias("headed")).groupBy("path").agg(F.min("place").alias("place"), F.min_by("headed", "place").alias("headed"))
+    # Written, so that the join knows that it is a row a file at most, and no sequence is dealt out for it.
+    odd = handed_over(firsts.where("NOT headed").select("path", "place", F.lit(True).alias("headless")), "headless")
     lines = F.split(F.regexp_replace("value", "^>", ""), "\n", 2)
     header = F.when(F.col("headless"), "").otherwise(trimmed(F.get(lines, 0)))
     text = F.when(F.col("headless"), F.col("value")).otherwise(F.coalesce(F.get(lines, 1), F.lit("")))
-    body = ascii_upper(trimmed(F.regexp_replace(text, r"\s*\n\s*", "")))
-    whole = found.join(odd, ["path", "place"], "left")
-    return whole.select(stem(F.col("path")).alias("stem"), header.alias("header"), body.alias("seq"), "path", "place").where("seq <> ''")
+    whole = found.join(odd, ["path", "place"], "left").select("path", "place", header.alias("header"), text.alias("text")).where(F.col("text").rlike(r"\S"))
+    # Most bodies are one line, which needs no pattern but at its ends.
+    joined = F.when(F.contains("text", F.lit("\n")), F.regexp_replace("text", r"\s*\n\s*", "")).otherwise(F.col("text"))
+    ends = F.concat(F.substring(joined, 1, 1), F.substring(joined, -1, 1))
+    body = F.when(ends.rlike(r"[\s\x85\u2028\u2029]"), trimmed(joined)).otherwise(joined)  # the last three may stand behind white space at an end
+    return whole.select(stem(F.col("path")).alias("stem"), "header", ascii_upper(body).alias("seq"), "path", "place")
 
 
 def by_header(found: DataFrame) -> DataFrame:
