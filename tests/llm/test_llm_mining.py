@@ -8,6 +8,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -57,6 +59,37 @@ def test_phrases_against_plain_counts(sent, words, spark, monkeypatch):
     assert phrases.collocations(df.where("false")).count() == 0
 
 
+def test_phrase_groups_joined_over_chunks_and_batches(spark, monkeypatch):
+    """Occurrences that are joined by group come back to their chunks, also where an Arrow batch ends within one."""
+    monkeypatch.setattr(phrases, "MOST_SENT", 0)
+    monkeypatch.setattr(phrases, "CHUNK_WORDS", 9)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = phrases.collocations(spark.createDataFrame(PHRASE_ROWS, "text string, lang string"), least=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert {tuple(r) for r in got} == plain_collocations(PHRASE_ROWS, 2)
+
+
+def test_phrase_relations_are_read_in_bounded_parts(spark, monkeypatch):
+    """However many chunks a task writes, no row group, which Spark reads whole, is much larger than allowed."""
+    monkeypatch.setattr(phrases, "CHUNK_WORDS", 10_000)
+    monkeypatch.setattr(phrases, "ROW_GROUP_BYTES", 1 << 18, raising=False)
+    text = F.expr("concat_ws(' ', transform(sequence(1, 1000), x -> concat('w', pmod(hash(id, x), 50000), if(x % 10 = 0, '.', ''))))")
+    chunks = phrases.relation(spark.range(0, 400, 1, 1).select(text.alias("text"), F.lit("en").alias("lang")))
+    groups = [m.row_group(k) for f in chunks.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for k in range(m.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) < 2 << 18
+    assert sum(g.num_rows for g in groups) == chunks.count() > 20
+    assert chunks.select(F.explode("times").alias("n")).agg(F.sum("n")).first()[0] == 400_000
+
+
+@pytest.mark.parametrize("values", [[], [0], [255, 0], [256, 1], [1 << 16], [1 << 32, 7]])
+def test_phrase_places_packed_and_unpacked(values):
+    packed = phrases._packed(np.array(values, np.int64))
+    assert phrases._unpacked(pa.scalar(packed, pa.binary())).tolist() == values
+
+
 def test_phrase_scores_beyond_64_bits(spark):
     df = spark.createDataFrame([(5 * 10**14, 9 * 10**15, 7 * 10**14, 6 * 10**14)], "a long, n long, l long, r long")
     got = df.select(phrases._score(*map(F.col, "anlr"), 1000)).first()[0]

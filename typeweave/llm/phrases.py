@@ -11,7 +11,13 @@ ones are semi-joined before the next length. Counts are exact integers throughou
 over whole texts: names are ids or words, never hashes.
 
 A semi-join sends the frequent groups to the tasks where they are at most
-``MOST_SENT``; beyond that the occurrences are dealt out and joined by group.
+``MOST_SENT``; beyond that the occurrences are dealt out and joined by group, and
+sorted back into chunks as they stream by.
+
+What a task holds doesn't grow with the table: a chunk's places and ids are packed
+integers in one binary value each (arrays are taken apart by element, with levels
+beside each, wherever Spark reads or writes them), chunks have a bounded number of
+words, and the relations' row groups, which Spark reads whole, of bytes.
 
 Defined results: a null text is an empty one and has no words; a null language is
 ``und``; repeated rows count each time; a text of any length is handled whole (its
@@ -33,10 +39,11 @@ from pyspark.sql.window import Window
 
 from typeweave.llm.arrays import Texts, bounded, released
 from typeweave.operators.offsets import ranked
-from typeweave.sources.tables import handed_over
+from typeweave.sources.tables import discarded, handed_over
 
 LEAST, LONGEST, SCALE = 100, 5, 1000
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 17
+ROW_GROUP_BYTES = 4 << 20
 MOST_SENT = 2_000_000  # frequent groups that may be sent to the tasks, of 16 bytes or a word each
 BUCKET_ROWS = 1 << 16
 UNKNOWN = "und"
@@ -69,48 +76,50 @@ def _words(texts: Texts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, places, at
 
 
-def _cuts(places: np.ndarray) -> list[int]:
-    """Where chunks begin and end: at piece ends, after about CHUNK_WORDS words."""
+def _cuts(places: np.ndarray, size: int) -> list[int]:
+    """Where chunks begin and end: at piece ends, after about ``size`` words."""
     cuts = [0]
-    if len(places) > CHUNK_WORDS:
-        for end in np.flatnonzero(np.diff(places) > 1) + 1:
-            if end - cuts[-1] >= CHUNK_WORDS:
-                cuts.append(int(end))
+    ends = np.flatnonzero(np.diff(places) > 1) + 1
+    while (k := int(np.searchsorted(ends, cuts[-1] + size))) < len(ends):
+        cuts.append(int(ends[k]))
     return [*cuts, len(places)]
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), kind))
+def _packed(values: np.ndarray) -> bytes:
+    """Non-negative integers in the fewest bytes that hold the largest; the first byte tells how many."""
+    kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    data = value.as_buffer()
+    return np.frombuffer(data, f"u{memoryview(data)[0]}", offset=1).astype(np.int64)
 
 
 def relation(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(chunk, lang, words, times, steps, at): distinct words of a chunk with their counts, and the word at each rising place."""
+    """(chunk, lang, words, times, steps, at): distinct words of a chunk with their counts, and (packed) the word at each rising place."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = pc.dictionary_encode(batch.column("lang"))
-            made: list[tuple] = []
             for k, name in enumerate(langs.dictionary.to_pylist()):
                 words, places, _ = _words(Texts(batch.column("text").filter(pc.equal(langs.indices, k))))
-                for a, b in zip((cuts := _cuts(places))[:-1], cuts[1:]):
+                for a, b in zip((cuts := _cuts(places, CHUNK_WORDS))[:-1], cuts[1:]):
                     if a < b:
                         coded = words.slice(a, b - a).dictionary_encode()
                         ids = coded.indices.to_numpy()
-                        made.append((name, coded.dictionary, np.bincount(ids), np.diff(places[a:b], prepend=places[a]), ids))
-            if made:
-                names, found, times, steps, ids = zip(*made)
-                sizes = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-                strings = pa.concat_arrays([f.cast(pa.binary()).cast(pa.string()) for f in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(sizes), strings), _lists(list(times), pa.int64()), _lists(list(steps), pa.int32()), _lists(list(ids), pa.int32())],
-                    ["lang", "words", "times", "steps", "at"],
-                )
+                        found, times = coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(np.bincount(ids), pa.int64())
+                        whole = pa.array([0, len(found)], pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name], pa.string()), pa.ListArray.from_arrays(whole, found), pa.ListArray.from_arrays(whole, times),
+                             pa.array([_packed(np.diff(places[a:b], prepend=places[a]))], pa.binary()), pa.array([_packed(ids)], pa.binary())],
+                            ["lang", "words", "times", "steps", "at"],
+                        )
         released()
 
-    chunks = bounded(rows).mapInArrow(run, "lang string, words array<string>, times array<bigint>, steps array<int>, at array<int>")
-    return handed_over(chunks.withColumn("chunk", F.monotonically_increasing_id()), "phrase-words")
+    chunks = bounded(rows).mapInArrow(run, "lang string, words array<string>, times array<bigint>, steps binary, at binary")
+    return handed_over(chunks.withColumn("chunk", F.monotonically_increasing_id()), "phrase-words", row_group=ROW_GROUP_BYTES)
 
 
 def _numbered(groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,6 +129,46 @@ def _numbered(groups: DataFrame, keys: list[str]) -> DataFrame:
     return handed_over(ranked(groups.withColumn("_all", F.lit(0)), ["_all"], F.pmod(F.xxhash64(*keys), F.lit(buckets).cast("bigint")), keys, "id").drop("_all"), "phrase-groups")
 
 
+def _related(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of a relation from (chunk, rising places, ids)."""
+    for chunk, places, ids in rows:
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_packed(np.diff(places, prepend=0))], pa.binary()), pa.array([_packed(ids)], pa.binary())], ["chunk", "steps", "ids"])
+    released()
+
+
+RELATION = "chunk bigint, steps binary, ids binary"
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """The relation of rows (chunk, place, id) in any order: sorted by Spark, which spills, and packed as they stream by."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        last, held = None, []
+        for batch in batches:
+            chunk, place, ids = (batch.column(c).to_numpy() for c in ("chunk", "place", "id"))
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    if held and chunk[a] != last:
+                        yield last, *map(np.concatenate, zip(*held))
+                        held = []
+                    last = int(chunk[a])
+                    held.append((place[a:b], ids[a:b]))
+        if held:
+            yield last, *map(np.concatenate, zip(*held))
+
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "place")
+    return handed_over(bounded(dealt).mapInArrow(lambda batches: _related(runs(batches)), RELATION), "phrase-relation", row_group=ROW_GROUP_BYTES)
+
+
+def _placed(batch: pa.RecordBatch, known: Iterator[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each chunk's places of frequent words, and their ids; known: the id of each of its words, or -1."""
+    for chunk, steps, at, ids in zip(batch.column("chunk").to_pylist(), batch.column("steps"), batch.column("at"), known):
+        each = ids[_unpacked(at)]
+        yield chunk, np.cumsum(_unpacked(steps))[each >= 0], each[each >= 0]
+
+
 def _first(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
     """Relation 1 (chunk, steps, ids): the occurrences of frequent words; steps are those between places."""
     spark = chunks.sparkSession
@@ -129,49 +178,44 @@ def _first(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
         ids_of = {k: table.filter(pc.equal(table["lang"], k))["id"].to_numpy() for k in of_lang}
         sent = spark.sparkContext.broadcast((of_lang, ids_of))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             of_lang, ids_of = sent.value
             for batch in batches:
-                known, offsets = [], batch.column("words").offsets.to_numpy()
-                for k, name in enumerate(batch.column("lang").to_pylist()):
-                    local = batch.column("words").values.slice(offsets[k], offsets[k + 1] - offsets[k])
-                    where = pc.index_in(local, value_set=of_lang[name]).fill_null(-1).to_numpy(zero_copy_only=False) if name in of_lang else np.full(len(local), -1)
-                    known.append(np.where(where >= 0, ids_of[name][where], -1) if name in of_lang else where)
-                yield pa.RecordBatch.from_arrays([batch.column("chunk"), _lists(known, pa.int64())], ["chunk", "known"])
-            released()
-
-        known = bounded(chunks.select("chunk", "lang", "words", "steps", "at"))
-        return _occurrences(known, run)
-    local = chunks.select("chunk", "lang", F.posexplode("words").alias("k", "word"))
-    hits = handed_over(local.join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "k", "id"), "phrase-hits")
-    by_chunk = hits.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("k", "id"))).alias("_ids"))
-    known = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.coalesce(F.try_element_at("_ids", k), F.lit(-1).cast("bigint")))
-    return _occurrences(chunks.join(by_chunk, "chunk").select("chunk", "steps", "at", known.alias("known")), None)
-
-
-def _occurrences(chunks: DataFrame, known_of) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.column("known") if known_of is None else next(known_of([batch])).column("known")
-            steps, ids = [], []
-            for k in range(batch.num_rows):
-                each = known[k].values.to_numpy()[batch.column("at")[k].values.to_numpy()]
-                places = np.cumsum(batch.column("steps")[k].values.to_numpy(), dtype=np.int64)[each >= 0]
-                steps.append(np.diff(places, prepend=0))
-                ids.append(each[each >= 0])
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), _lists(steps, pa.int32()), _lists(ids, pa.int64())], ["chunk", "steps", "ids"])
-        released()
-
-    return handed_over(chunks.mapInArrow(run, "chunk bigint, steps array<int>, ids array<bigint>"), "phrase-relation")
-
-
-def _joined(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                langs = batch.column("lang").to_pylist()
+                for name in dict.fromkeys(langs):
+                    if name in of_lang:  # one look-up for all its chunks, as each hashes the frequent words anew
+                        part = batch.take([k for k, x in enumerate(langs) if x == name])
+                        words = part.column("words")
+                        where = pc.index_in(words.flatten(), value_set=of_lang[name]).fill_null(-1).to_numpy(zero_copy_only=False)
+                        ids = np.append(ids_of[name], -1)[where]
+                        yield from _placed(part, iter(np.split(ids, np.cumsum(words.value_lengths().to_numpy())[:-1])))
+
+        held = bounded(chunks.select("chunk", "lang", "words", "steps", "at")).mapInArrow(lambda batches: _related(looked_up(batches)), RELATION)
+        return handed_over(held, "phrase-relation", row_group=ROW_GROUP_BYTES)
+    local = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
+    hits = handed_over(local.join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("chunk", F.col("place").cast("bigint"), "id"), "phrase-hits")
+
+    def spread(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for size, places, ids in zip(batch.column("size").to_pylist(), batch.column("places"), batch.column("ids")):
+            known = np.full(size, -1)
+            known[np.cumsum(_unpacked(places))] = _unpacked(ids)
+            yield known
+
+    gathered = _gathered(hits)
+    discarded(hits)
+    known = chunks.select("chunk", F.size("words").alias("size"), "steps", "at").join(gathered.withColumnRenamed("steps", "places"), "chunk")
+    held = bounded(known).mapInArrow(lambda batches: _related(x for batch in batches for x in _placed(batch, spread(batch))), RELATION)
+    held = handed_over(held, "phrase-relation", row_group=ROW_GROUP_BYTES)
+    discarded(gathered)
+    return held
+
+
+def _joined(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each chunk: places p with an occurrence at p and one at p + 1, and the key of the two ids."""
-    for k in range(batch.num_rows):
-        places = np.cumsum(batch.column("steps")[k].values.to_numpy(), dtype=np.int64)
-        ids = batch.column("ids")[k].values.to_numpy()
+    for chunk, steps, ids in zip(batch.column("chunk").to_pylist(), batch.column("steps"), batch.column("ids")):
+        places, ids = np.cumsum(_unpacked(steps)), _unpacked(ids)
         meet = np.flatnonzero(np.diff(places) == 1)  # both sides are sorted and of one relation, so the merge is one step ahead
-        yield places[meet], ids[meet] * width + ids[meet + 1]
+        yield chunk, places[meet], ids[meet] * width + ids[meet + 1]
 
 
 def _counted(held: DataFrame, width: int) -> DataFrame:
@@ -179,7 +223,7 @@ def _counted(held: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(keys for _, keys in _joined(batch, width))]), return_counts=True)
+            keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(keys for _, _, keys in _joined(batch, width))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
         released()
 
@@ -188,33 +232,33 @@ def _counted(held: DataFrame, width: int) -> DataFrame:
 
 def _longer(held: DataFrame, frequent: DataFrame, width: int) -> DataFrame:
     """The relation of the next length: the merge-join, semi-joined with the frequent keys."""
-    spark = held.sparkSession
-    sent = None
     if frequent.count() <= MOST_SENT:
-        table = frequent.select("key", "id").toPandas().sort_values("key")  # at most MOST_SENT pairs of integers
-        sent = spark.sparkContext.broadcast((table["key"].to_numpy(), table["id"].to_numpy()))
+        table = frequent.select("key", "id").toArrow()  # at most MOST_SENT pairs of integers
+        order = np.argsort(keys := table["key"].to_numpy())
+        sent = held.sparkSession.sparkContext.broadcast((keys[order], table["id"].to_numpy()[order]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            steps, ids = [], []
-            for places, keys in _joined(batch, width):
-                if sent is not None:
-                    known, numbers = sent.value
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            known, numbers = sent.value
+            for batch in batches:
+                for chunk, places, keys in _joined(batch, width):
                     where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     hit = known[where] == keys
-                    places, keys = places[hit], numbers[where[hit]]
-                steps.append(places if sent is None else np.diff(places, prepend=0))
-                ids.append(keys)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), _lists(steps, pa.int32()), _lists(ids, pa.int64())], ["chunk", "steps", "ids"])
+                    if hit.sum() > 1:
+                        yield chunk, places[hit], numbers[where[hit]]
+
+        made = bounded(held).mapInArrow(lambda batches: _related(looked_up(batches)), RELATION)
+        return handed_over(made, "phrase-relation", row_group=ROW_GROUP_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, places, keys in _joined(batch, width):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk)), pa.array(places), pa.array(keys)], ["chunk", "place", "key"])
         released()
 
-    made = bounded(held).mapInArrow(run, "chunk bigint, steps array<int>, ids array<bigint>")
-    if sent is not None:
-        return handed_over(made.where(F.size("ids") > 1), "phrase-relation")
-    rows = handed_over(made.where(F.size("ids") > 0).select("chunk", F.explode(F.arrays_zip(F.col("steps").alias("place"), F.col("ids").alias("key"))).alias("o")).select("chunk", "o.*"), "phrase-rows")
-    found = rows.join(frequent.select("key", "id"), "key").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("o"))
-    step = F.transform("o", lambda x, k: (x["place"] - F.when(k > 0, F.get("o", k - 1)["place"]).otherwise(0)).cast("int"))
-    return handed_over(found.select("chunk", step.alias("steps"), F.col("o")["id"].alias("ids")), "phrase-relation")
+    rows = handed_over(bounded(held).mapInArrow(run, "chunk bigint, place bigint, key bigint"), "phrase-rows")
+    found = _gathered(rows.join(frequent.select("key", "id"), "key").select("chunk", "place", "id"))
+    discarded(rows)
+    return found
 
 
 def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -231,6 +275,7 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     counts = F.array("a")
     known = frequent.select(F.lit(1).alias("k"), "id", "lang", F.col("word").alias("phrase"), "a", counts.alias("first"), counts.alias("rest"), F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))
     levels, held = [known], _first(chunks, frequent)
+    discarded(chunks)  # what the next relation replaces isn't read again
     for k in range(2, longest + 1):
         width = levels[-1].count()
         if width == 0:
@@ -240,7 +285,10 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
         frequent = _numbered(_counted(held, width).where(F.col("a") >= least), ["key"])
         if frequent.isEmpty():
             break
-        held = _longer(held, frequent, width) if k < longest else held
+        if k < longest:
+            longer = _longer(held, frequent, width)
+            discarded(held)
+            held = longer
         sides = frequent.select("id", "key", "a", F.expr(f"key div {width}").alias("left"), F.expr(f"key % {width}").alias("right"))
         side = lambda name, *cols: levels[-1].select(F.col("id").alias(name), *cols)
         both = sides.join(side("left", "lang", F.col("phrase").alias("_head"), "first"), "left").join(side("right", F.col("phrase").alias("_tail"), "rest"), "right")
@@ -248,6 +296,7 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
             F.lit(k).alias("k"), "id", "lang", F.concat_ws(" ", "_head", F.substring_index("_tail", " ", -1)).alias("phrase"), "a",
             F.concat("first", F.array("a")).alias("first"), F.concat("rest", F.array("a")).alias("rest"), "left", "right",
         ), "phrase-level"))
+    discarded(held)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

@@ -30,17 +30,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def handed_over(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
+def handed_over(df: DataFrame, what: str, partition_by: str | None = None, row_group: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     It cuts the lineage in a way that outlives executors, and the files give
     Catalyst the true size, so that a later join can weigh a broadcast.
+
+    ``row_group`` is for large rows: Parquet checks sizes only after 100 rows, and its
+    reader takes up to 4,096 rows of a row group at once. With it, sizes are checked
+    after each row, and a row group ends at about so many bytes (a row beyond, at most).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if row_group:
+        writer = writer.options(**{"parquet.block.size": row_group, "parquet.page.size.row.check.min": 1})
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
